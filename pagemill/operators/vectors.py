@@ -36,8 +36,11 @@ def cosine_top_k(
     ``query`` is a literal or a scalar subquery. Every partition keeps its own
     top ``k``; only those meet.
     """
-    scored = table.filter(F.col(vector).isNotNull()).select(
-        id_column, F.round(cosine(F.col(vector), query), digits).alias("similarity")
+    paired = table.filter(F.col(vector).isNotNull()).select(
+        id_column, vector, query.alias("_query")
+    )
+    scored = paired.select(
+        id_column, F.round(cosine(F.col(vector), F.col("_query")), digits).alias("similarity")
     )
     return (
         scored.filter(F.col("similarity").isNotNull())

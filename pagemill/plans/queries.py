@@ -382,7 +382,7 @@ def classify_pages(spark, folder):
 def image_ratio_of_pages(spark, folder):
     pages = ad.line_pages(spark, folder)
     ratio = image_ratio(F.col("images"), F.col("width"), F.col("height"))
-    return pages.select("doc_id", "page_number", F.round(ratio, 6).alias("image_ratio"))
+    return pages.select("doc_id", "page_number", F.round(ratio, 10).alias("image_ratio"))
 
 
 @query
