@@ -218,7 +218,7 @@ def inline(x: str) -> str:
     return x
 
 
-MD_BLOCKS = f"""{MD_DOCS},
+MD_RULES = f"""
 md_lines AS (
   SELECT doc_id, unnest(string_split(text, {NL})) AS line,
     generate_subscripts(string_split(text, {NL}), 1) AS line_no FROM md_docs
@@ -299,6 +299,8 @@ blocks AS (
   FROM md WHERE block_type <> 'paragraph' OR trim(text, {WS_CHARS}) <> ''
 )"""
 
+MD_BLOCKS = f"{MD_DOCS},{MD_RULES}"
+
 # --- repeated regions -------------------------------------------------------------
 
 REPEATED = f"""
@@ -424,15 +426,21 @@ CHUNKS_OF_LINES = (SPACED, paragraphs("spaced"), chunks())
 add("write_chunks", "SELECT document_id, chunk_index, chunk_hash, token_count FROM chunk_table", *CHUNKS_OF_DOCS, recursive=True)
 add("write_report", f"""SELECT line, count(*) AS n FROM (SELECT unnest(string_split(report, {NL})) AS line FROM reports)
   GROUP BY line""", PROMPTS, REPORT)
+PARSED_FILES = (
+    FILES,
+    "md_docs AS (SELECT doc_id, text FROM files WHERE file_type = '.md')",
+    MD_RULES.replace("blocks AS", "md_blocks AS"),
+    "txt_docs AS (SELECT doc_id, text FROM files WHERE file_type = '.txt')",
+    paragraphs("txt_docs").replace("blocks AS", "txt_blocks AS"),
+    """blocks AS (SELECT doc_id, position, block_type, text FROM md_blocks
+      UNION ALL SELECT doc_id, position, block_type, text FROM txt_blocks)""",
+)
 add("route_by_type", """SELECT doc_id, count(*) AS blocks, CAST(NULL AS VARCHAR) AS error FROM blocks GROUP BY doc_id
-  UNION ALL SELECT doc_id, 0, 'no parser for ''.csv''; have .md, .txt' FROM files WHERE file_type = '.csv'""",
-  FILES, "readable AS (SELECT doc_id, CASE WHEN file_type = '.md' THEN regexp_replace(text, '\\n', chr(10), 'g') ELSE text END AS text FROM files WHERE file_type <> '.csv')",
-  paragraphs("readable"))
+  UNION ALL SELECT doc_id, 0, 'no parser for \'\'.csv\'\'; have .md, .txt' FROM files WHERE file_type = '.csv'""", *PARSED_FILES)
 add("isolate_failures", """SELECT f.doc_id, file_type, CASE WHEN file_type <> '.csv' THEN 'utf-8' END AS encoding,
-  'ready' AS status, CASE WHEN file_type <> '.csv' THEN CAST(doc_id % 2 AS INTEGER) END AS replacement_chars,
+  'ready' AS status, CASE WHEN file_type <> '.csv' THEN CAST(f.doc_id % 2 AS INTEGER) END AS replacement_chars,
   CAST(count(b.text) AS INTEGER) AS blocks
-  FROM files f LEFT JOIN (SELECT * FROM blocks) b USING (doc_id) GROUP BY ALL""",
-  FILES, "readable AS (SELECT doc_id, text FROM files WHERE file_type <> '.csv')", paragraphs("readable"))
+  FROM files f LEFT JOIN blocks b USING (doc_id) GROUP BY ALL""", *PARSED_FILES)
 
 # --- catalog --------------------------------------------------------------------
 ORDER = "ORDER BY created_at DESC, id DESC"
@@ -559,9 +567,7 @@ add("chunk_rows", "SELECT * FROM chunk_table", *CHUNKS_OF_DOCS, recursive=True)
 add("chunk_rows_small", "SELECT document_id, chunk_index, chunk_hash, token_count FROM chunk_table",
     SPACED, paragraphs("spaced"), chunks(100, 20, 30), recursive=True)
 add("ingest_files", """SELECT document_id, count(*) AS chunks, CAST(sum(token_count) AS BIGINT) AS tokens
-  FROM chunk_table GROUP BY document_id""", FILES,
-  "readable AS (SELECT doc_id, CASE file_type WHEN '.md' THEN trim(regexp_replace(text, '[ \\t]*\\n[ \\t]*', ' ', 'g'), ' ') ELSE text END AS text FROM files WHERE file_type <> '.csv')",
-  paragraphs("readable"), chunks(), recursive=True)
+  FROM chunk_table GROUP BY document_id""", *PARSED_FILES, chunks(), recursive=True)
 add("dedup_chunks", """SELECT document_id, chunk_index, chunk_hash FROM chunk_table
   QUALIFY row_number() OVER (PARTITION BY chunk_hash ORDER BY document_id, chunk_index) = 1""", *CHUNKS_OF_LINES, recursive=True)
 add("chunk_summary", """SELECT document_id, count(*) AS chunks, CAST(sum(token_count) AS BIGINT) AS tokens,

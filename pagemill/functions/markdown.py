@@ -149,7 +149,7 @@ def _fenced(raw: Column) -> Column:
     info = strip(F.regexp_extract(raw, r"\A {0,3}(?:`{3,}|~{3,})([^\n]*)", 1))
     closed = raw.rlike(r"(?ds)\n {0,3}(?:`{3,}|~{3,})[ \t]*\z")
     body = _sub(raw, r"(?d)\A[^\n]*\n?", "")
-    body = F.when(closed, _sub(body, r"(?d)\n?[^\n]*\z", "")).otherwise(_sub(body, r"\n\z", ""))
+    body = F.when(closed, _sub(body, r"(?d)(?:\A|\n)[^\n]*\z", "")).otherwise(_sub(body, r"\n\z", ""))
     return _block("code", body, language=F.coalesce(F.nullif(info, F.lit("")), F.lit("unknown")))
 
 
@@ -210,7 +210,7 @@ def markdown_blocks(text: Column) -> Column:
             .when(_starts(raw, ITEM), _item(raw))
             .when(_starts(raw, QUOTE), _quote(raw))
             .when(_starts(raw, INDENTED), _indented(raw))
-            .when(raw.rlike(rf"(?dm)\n{UNDERLINE}\z".replace(r"$\z", r"\z")), _setext(raw))
+            .when(raw.rlike(rf"(?dm)\n{UNDERLINE}\z"), _setext(raw))
             .otherwise(_paragraph(raw))
         )
 

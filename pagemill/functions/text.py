@@ -67,7 +67,7 @@ def replacement_share(text: Column) -> Column:
 
 
 def percent(share: Column) -> Column:
-    return F.format_string("%.1f%%", share * 100)
+    return F.concat(F.format_number(share * 100, 1), F.lit("%"))
 
 
 def garbled_warning(text: Column, threshold: float = GARBLED_SHARE) -> Column:
