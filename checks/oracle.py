@@ -305,8 +305,7 @@ MD_BLOCKS = f"{MD_DOCS},{MD_RULES}"
 
 REPEATED = f"""
 src_pages AS (
-  SELECT source AS doc_id, CAST(row_number() OVER (PARTITION BY source ORDER BY doc_id) AS BIGINT) AS page_number,
-    text, lang FROM documents
+  SELECT source AS doc_id, doc_id AS page_number, text, lang FROM documents
 ),
 spans AS (
   SELECT doc_id, page_number, CAST(0 AS BIGINT) AS seq, 'Report ' || doc_id || '  page ' || page_number AS text,
@@ -497,6 +496,10 @@ add("sanitize_text", f"""SELECT doc_id, CAST(length(c) AS INTEGER) AS chars, sha
 add("split_paragraphs", "SELECT doc_id, position, text FROM blocks",
     f"padded AS (SELECT doc_id, replace(text, {NL}, {NL} || ' ' || {NL}) AS text FROM documents)", paragraphs("padded"))
 add("token_estimate", f"SELECT doc_id, line_no, {tokens('line')} AS token_count FROM lines", LINES)
+add("chunk_hash", "SELECT doc_id, line_no, sha256(line) AS chunk_hash FROM lines", LINES)
+add("status_flow", """SELECT CAST(doc_id AS VARCHAR) AS id, filename,
+  CASE WHEN file_type = '.csv' OR b.n IS NOT NULL THEN 'ready' ELSE 'uploaded' END AS status
+  FROM files LEFT JOIN (SELECT doc_id, count(*) AS n FROM blocks GROUP BY doc_id) b USING (doc_id)""", *PARSED_FILES)
 add("parse_warnings", f"""SELECT doc_id, warning FROM (SELECT doc_id, {WARNING} FROM (
   SELECT doc_id, translate(text, 'h', chr(65533)) AS t FROM files WHERE file_type <> '.csv')) WHERE warning IS NOT NULL""", FILES)
 
@@ -509,6 +512,10 @@ add("parse_stats", """SELECT doc_id, count(*) AS total_blocks, count(*) FILTER (
 add("renumber", """SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY position) - 1 AS INTEGER) AS position,
   block_type FROM blocks WHERE block_type <> 'code'""", MD_BLOCKS)
 
+for _kind, _columns in {"heading": "level", "code": "language", "list_item": "ordered, level"}.items():
+    add(f"md_{_kind}", f"SELECT doc_id, position, text, {_columns} FROM blocks WHERE block_type = '{_kind}'", MD_BLOCKS)
+add("md_quote", "SELECT doc_id, position, text FROM blocks WHERE is_quote", MD_BLOCKS)
+
 # --- pages ----------------------------------------------------------------------
 add("classify_pages", "SELECT doc_id, page_number, image_count, page_type FROM classes", LINE_PAGES)
 add("image_ratio_of_pages", "SELECT doc_id, page_number, round(image_ratio, 10) AS image_ratio FROM ratios", LINE_PAGES)
@@ -556,8 +563,8 @@ add("hf_warnings", """SELECT c.doc_id, c.region, c.norm, c.region || '_detected:
 
 # --- chunks -----------------------------------------------------------------------
 ONE_BLOCK = "blocks AS (SELECT doc_id, CAST(0 AS INTEGER) AS position, 'paragraph' AS block_type, text FROM documents)"
-add("split_long", """SELECT doc_id, CAST(part AS INTEGER) AS part, CAST(split_part AS INTEGER) AS split_part, split_total,
-  char_offset_start, char_offset_end, sha256(text) AS text_hash FROM parts""", ONE_BLOCK, chunks(), recursive=True)
+add("split_long", """SELECT doc_id, CAST(part AS INTEGER) AS part, CASE WHEN split_part IS NOT NULL THEN lang <> 'fr' END AS page_number_certain, CAST(split_part AS INTEGER) AS split_part, split_total,
+  char_offset_start, char_offset_end, sha256(p.text) AS text_hash FROM parts p JOIN documents USING (doc_id)""", ONE_BLOCK, chunks(), recursive=True)
 MARKS = "CAST(merged_from AS INTEGER) AS merged_from, CAST(merged_to AS INTEGER) AS merged_to"
 add("merge_short", f"""SELECT doc_id, position, block_type, {MARKS}, sha256(text) AS text_hash FROM merged""",
     MD_BLOCKS, chunks(), recursive=True)
@@ -592,6 +599,9 @@ found AS (SELECT user_id, CAST(session_no AS BIGINT) AS session_no, min(ts) AS s
 add("session_timeout", f"""SELECT user_id, session_no, {iso('session_start')} AS session_start,
   {iso('last_access')} AS last_access, accesses FROM found""", SESSIONS)
 ORACLE["hot_stream"] = ORACLE["hot_top_n"]
+add("session_stream", f"""SELECT user_id, {iso('session_start')} AS session_start,
+  {iso('last_access + INTERVAL 30 MINUTE')} AS session_end, accesses FROM found
+  WHERE last_access + INTERVAL 30 MINUTE <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE""", SESSIONS)
 add("count_stream", "SELECT o_orderstatus AS status, count(*) AS cnt FROM orders GROUP BY 1")
 add("ingest_stream", "SELECT document_id, chunk_index, chunk_hash, token_count FROM chunk_table", *CHUNKS_OF_DOCS, recursive=True)
 

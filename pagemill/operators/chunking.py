@@ -7,7 +7,7 @@ a document may hold any share of them; its scans run over segments.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagemill.constants import ChunkingConfig
@@ -15,9 +15,8 @@ from pagemill.functions.chunking import chunk_blocks, is_splittable, split_block
 from pagemill.functions.text import sanitize, text_hash, token_estimate
 from pagemill.operators.segments import (
     by_position,
-    previous_value,
     row_numbers,
-    running_sum,
+    run_numbers,
 )
 
 DEFAULT = ChunkingConfig()
@@ -103,17 +102,24 @@ def merge_short(
 ) -> DataFrame:
     """Part rows to merged rows, numbered from 0 (row form)."""
     order = ["source_position", "part"]
-    order_cols = [F.col(c) for c in order]
-    segment = by_position("source_position")
-    before = previous_value(parts, [doc_id], order, segment, "block_type", "_before_type")
-    joins = (
-        F.col("_before_type").isNotNull()
-        & is_splittable(F.col("block_type"))
-        & (F.length("text") < config.merge_short_threshold)
-        & is_splittable(F.col("_before_type"))
+
+    def opens(previous: Column, current: Column) -> Column:
+        joins = (
+            is_splittable(current["block_type"])
+            & (current["chars"] < config.merge_short_threshold)
+            & is_splittable(previous["block_type"])
+        )
+        return ~joins
+
+    grouped = run_numbers(
+        parts.withColumn("chars", F.length("text")),
+        [doc_id],
+        order,
+        by_position("source_position"),
+        ["block_type", "chars"],
+        opens,
+        "_run",
     )
-    opened = before.withColumn("_opens", F.when(joins, 0).otherwise(1))
-    grouped = running_sum(opened, [doc_id], order_cols, segment, F.col("_opens"), "_run")
     key = F.struct(*order)
     first = F.min_by(
         F.struct(

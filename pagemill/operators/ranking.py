@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagemill.constants import HOT_TOP_N, RECENT_PER_USER, SESSION_IDLE_MINUTES
-from pagemill.operators.segments import by_minute, previous_value, running_sum
+from pagemill.operators.segments import by_minute, run_numbers
 
 
 def hot_counts(access_log: DataFrame) -> DataFrame:
@@ -39,13 +39,16 @@ def sessions(access_log: DataFrame, idle_minutes: int = SESSION_IDLE_MINUTES) ->
 
     The log is scanned in segments of time, so one busy user is many tasks.
     """
-    key = ["user_id"]
-    segment = by_minute("ts")
-    before = previous_value(access_log, key, ["ts", "event_id"], segment, "ts", "_prev")
-    gap = F.col("ts") - F.col("_prev") >= F.expr(f"INTERVAL {int(idle_minutes)} MINUTES")
-    opened = before.withColumn("_opens", F.when(F.coalesce(gap, F.lit(True)), 1).otherwise(0))
-    order = [F.col("ts"), F.col("event_id")]
-    numbered = running_sum(opened, key, order, segment, F.col("_opens"), "session_no")
+    idle = F.expr(f"INTERVAL {int(idle_minutes)} MINUTES")
+    numbered = run_numbers(
+        access_log,
+        ["user_id"],
+        ["ts", "event_id"],
+        by_minute("ts"),
+        ["ts"],
+        lambda previous, current: current["ts"] - previous["ts"] >= idle,
+        "session_no",
+    )
     return numbered.groupBy("user_id", "session_no").agg(
         F.min("ts").alias("session_start"),
         F.max("ts").alias("last_access"),

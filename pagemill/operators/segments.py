@@ -8,7 +8,7 @@ table is shuffled once, by (key, segment), and the carry join reuses that.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -73,25 +73,52 @@ def row_numbers(
     return running_sum(df, keys, order, segment, F.lit(1), out)
 
 
-def previous_value(
+def run_numbers(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[str],
     segment: Column,
-    value: str,
+    values: Sequence[str],
+    opens: Callable[[Column, Column], Column],
     out: str,
 ) -> DataFrame:
-    """Add ``out``: ``value`` of the preceding row of the key, null for the first."""
-    rows = df.withColumn(SEGMENT, segment)
+    """Add ``out``: the number, from 1, of the run each row of a key belongs to.
+
+    ``opens(previous, current)`` says, from the ``values`` of two neighbours,
+    whether the later one starts a new run; the first row of a key always does.
+    The rows are read twice, so a costly input should be a stored table.
+    """
     local = Window.partitionBy(*keys, SEGMENT).orderBy(*order)
-    earlier = Window.partitionBy(*keys).orderBy(SEGMENT)
-    lasts = rows.groupBy(*keys, SEGMENT).agg(
-        F.max_by(F.struct(F.col(value).alias("v")), F.struct(*order)).alias("_last")
+    upto = local.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    across = Window.partitionBy(*keys).orderBy(SEGMENT)
+    earlier = across.rowsBetween(Window.unboundedPreceding, -1)
+
+    def step(previous: Column, current: Column) -> Column:
+        starts = F.coalesce(opens(previous, current), F.lit(True))
+        return F.when(previous.isNull() | starts, 1).otherwise(0)
+
+    rows = (
+        df.withColumn(SEGMENT, segment)
+        .withColumn("_this", F.struct(*values))
+        .withColumn("_n", F.row_number().over(local))
+        .withColumn("_prev", F.lag("_this").over(local))
+        .withColumn(
+            "_open", F.when(F.col("_n") > 1, step(F.col("_prev"), F.col("_this"))).otherwise(0)
+        )
     )
-    scanned = rows.withColumn("_n", F.row_number().over(local)).withColumn(
-        "_lag", F.lag(value).over(local)
+    totals = rows.groupBy(*keys, SEGMENT).agg(
+        F.sum("_open").alias("_opened"),
+        F.min_by("_this", "_n").alias("_first"),
+        F.max_by("_this", "_n").alias("_last"),
+    )
+    scanned = totals.withColumn("_head", step(F.lag("_last").over(across), F.col("_first")))
+    before = F.coalesce(F.sum(F.col("_head") + F.col("_opened")).over(earlier), F.lit(0))
+    joined = _carry(
+        rows.withColumn("_local", F.sum("_open").over(upto)),
+        keys,
+        scanned,
+        {"_base": before + F.col("_head")},
+    )
+    return joined.withColumn(out, F.col("_base") + F.col("_local")).drop(
+        "_this", "_n", "_prev", "_open", "_local", "_base", SEGMENT
     )
-    joined = _carry(scanned, keys, lasts, {"_prior": F.lag("_last").over(earlier)})
-    return joined.withColumn(
-        out, F.when(F.col("_n") == 1, F.col("_prior")["v"]).otherwise(F.col("_lag"))
-    ).drop("_n", "_lag", "_prior", SEGMENT)

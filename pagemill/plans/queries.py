@@ -26,6 +26,7 @@ from pagemill.operators import quality as ql
 from pagemill.operators import ranking as rk
 from pagemill.operators import repeated as rp
 from pagemill.operators import vectors as vc
+from pagemill.plans import detect as dp
 from pagemill.plans import experiment as ex
 from pagemill.plans import ingest as ig
 from pagemill.sources import adapters as ad
@@ -354,6 +355,31 @@ def md_tables(spark, folder):
     return tables.select("doc_id", F.size("headers").alias("cols"), F.size("rows").alias("rows"), "text")
 
 
+def _md_kind(spark: SparkSession, folder: str, kind: str, *columns: str) -> DataFrame:
+    blocks = bl.md_blocks(ad.markdown_documents(spark, folder))
+    return blocks.filter(F.col("block_type") == kind).select("doc_id", "position", "text", *columns)
+
+
+@query
+def md_heading(spark, folder):
+    return _md_kind(spark, folder, "heading", "level")
+
+
+@query
+def md_code(spark, folder):
+    return _md_kind(spark, folder, "code", "language")
+
+
+@query
+def md_list_item(spark, folder):
+    return _md_kind(spark, folder, "list_item", "ordered", "level")
+
+
+@query
+def md_quote(spark, folder):
+    return _md_kind(spark, folder, "paragraph", "is_quote").filter("is_quote").drop("is_quote")
+
+
 @query
 def parse_stats(spark, folder):
     return bl.parse_stats(bl.md_blocks(ad.markdown_documents(spark, folder)))
@@ -423,23 +449,20 @@ def page_blocks(spark, folder):
     return pg.page_blocks(pages, ad.line_pages(spark, folder), ad.raw_tables(spark, folder))
 
 
-def _repeated(spark: SparkSession, folder: str) -> tuple[DataFrame, ...]:
+def _repeated(spark: SparkSession, folder: str) -> dp.Repeated:
     pages = ad.source_pages(spark, folder)
-    spans = ad.page_spans(pages)
-    guards = rp.hf_guards(pages.select("doc_id", "page_number"), spans)
-    regions = rp.hf_regions(spans)
-    confirmed = rp.hf_confirm(rp.hf_groups(regions), guards)
-    return guards, regions, confirmed
+    return dp.detect(pages.select("doc_id", "page_number"), ad.page_spans(pages))
 
 
 @query
 def hf_guards(spark, folder):
-    return _repeated(spark, folder)[0]
+    pages = ad.source_pages(spark, folder)
+    return rp.hf_guards(pages.select("doc_id", "page_number"), ad.page_spans(pages))
 
 
 @query
 def hf_regions(spark, folder):
-    return _repeated(spark, folder)[1]
+    return rp.hf_regions(ad.page_spans(ad.source_pages(spark, folder)))
 
 
 @query
@@ -450,24 +473,22 @@ def hf_normalize(spark, folder):
 
 @query
 def hf_groups(spark, folder):
-    return rp.hf_groups(_repeated(spark, folder)[1])
+    return rp.hf_groups(rp.hf_regions(ad.page_spans(ad.source_pages(spark, folder))))
 
 
 @query
 def hf_confirm(spark, folder):
-    return rp.hf_order(_repeated(spark, folder)[2])
+    return rp.hf_order(_repeated(spark, folder).confirmed)
 
 
 @query
 def hf_page_ranges(spark, folder):
-    _, regions, confirmed = _repeated(spark, folder)
-    return rp.hf_page_ranges(regions, confirmed)
+    return _repeated(spark, folder).ranges
 
 
 @query
 def hf_warnings(spark, folder):
-    _, regions, confirmed = _repeated(spark, folder)
-    return rp.hf_warnings(confirmed, rp.hf_page_ranges(regions, confirmed))
+    return _repeated(spark, folder).warnings
 
 
 # --- chunks -----------------------------------------------------------------
@@ -481,10 +502,11 @@ def split_long(spark, folder):
         F.lit("paragraph").alias("block_type"),
         "text",
         F.lit(None).cast("int").alias("page_number"),
+        (F.col("lang") == "fr").alias("cross_page_boundary"),
     )
     parts = ch.split_long(docs)
     return parts.select(
-        "doc_id", "part", "split_part", "split_total", "char_offset_start", "char_offset_end",
+        "doc_id", "part", "page_number_certain", "split_part", "split_total", "char_offset_start", "char_offset_end",
         F.sha2("text", 256).alias("text_hash"),
     )
 
@@ -492,7 +514,8 @@ def split_long(spark, folder):
 @query
 def merge_short(spark, folder):
     blocks = bl.md_blocks(ad.markdown_documents(spark, folder))
-    merged = ch.merge_short(ch.split_long(blocks.withColumn("page_number", F.lit(None).cast("int"))))
+    parts = ch.split_long(blocks.withColumn("page_number", F.lit(None).cast("int")))
+    merged = ch.merge_short(tb.stored(parts, "parts"))
     return merged.select(
         "doc_id", "position", "block_type", "merged_from", "merged_to", F.sha2("text", 256).alias("text_hash")
     )
@@ -545,6 +568,25 @@ def chunk_summary(spark, folder):
     return ch.chunk_summary(ch.chunk_rows(_paragraphs_of_lines(spark, folder)))
 
 
+@query
+def chunk_hash(spark, folder):
+    rows = ad.lines(ad.documents(spark, folder))
+    return rows.select("doc_id", "line_no", tx.text_hash(F.col("line")).alias("chunk_hash"))
+
+
+@query
+def status_flow(spark, folder):
+    files = fs.admit_files(ad.text_files(spark, folder))
+    uploaded = files.select(
+        F.col("doc_id").cast("string").alias("id"), "filename", F.lit("uploaded").alias("status")
+    )
+    parsed = ig.parse_files(ad.text_files(spark, folder)).filter(
+        (F.size("blocks") > 0) | (F.col("file_type") == ".csv") | (F.col("status") == "failed")
+    )
+    outcome = parsed.select(F.col("doc_id").cast("string").alias("id"), "status")
+    return mu.update_rows(uploaded, outcome, columns=["status"])
+
+
 @query
 def token_estimate(spark, folder):
     rows = ad.lines(ad.documents(spark, folder))
@@ -814,4 +856,7 @@ def session_stream(spark, folder):
     path, checkpoint = tb.shared_folder(spark, "sessions"), tb.shared_folder(spark, "checkpoint")
     events = tb.stream_table(spark, folder, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"))
     sj.append_to(sj.closed_sessions(events), path, checkpoint).awaitTermination()
-    return spark.read.parquet(path)
+    return spark.read.parquet(path).select(
+        "user_id", tx.iso_micros(F.col("session_start")).alias("session_start"),
+        tx.iso_micros(F.col("session_end")).alias("session_end"), "accesses",
+    )

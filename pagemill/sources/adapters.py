@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagemill.operators.prompts import PRESETS
-from pagemill.operators.segments import by_position, row_numbers
 from pagemill.sources.tables import read_table, spread
 
 NEW_LINE = "\n"
@@ -130,13 +129,9 @@ def access_log(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def source_pages(spark: SparkSession, folder: str) -> DataFrame:
-    """Each source as one paged document; its documents are the pages, in id order."""
-    docs = documents(spark, folder)
-    numbered = row_numbers(
-        docs.select("source", "doc_id"), ["source"], [F.col("doc_id")], by_position("doc_id"), "page_number"
-    )
-    return docs.join(numbered.select("doc_id", "page_number"), "doc_id").select(
-        F.col("source").alias("doc_id"), "page_number", "text", "lang"
+    """Each source as one paged document; its documents are the pages, by their id."""
+    return documents(spark, folder).select(
+        F.col("source").alias("doc_id"), F.col("doc_id").alias("page_number"), "text", "lang"
     )
 
 

@@ -45,6 +45,16 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex[:12]}"
 
 
+def stored(df: DataFrame, purpose: str) -> DataFrame:
+    """The rows as a table in the shared folder, for a costly input that is read again.
+
+    The table survives the loss of executors and ends the lineage of the rows.
+    """
+    path = shared_folder(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def write_documents(catalog: DataFrame, path: str, *, mode: str = "append") -> None:
     """Append catalog rows; a missing status is 'uploaded', missing times are now."""
     now = F.current_timestamp()
