@@ -27,6 +27,13 @@ INDENTED = r"(?: {4}| {0,3}\t)[ \t]*\S"
 BLANK = r"[ \t]*$"
 # ------------------------------------------------------------------------------
 
+# Code spans, escaped characters, and the text between them.
+INLINE_LITERALS = (
+    r"(?s)(?<!`)(`+)(?!`).+?(?<!`)\1(?!`)|\\[!-/:-@\[-`{-~]|[^`\\]+|[`\\]"
+)
+MARKS = "!()*<>[\\]_`"
+HELD = "".join(chr(0xFDD0 + i) for i in range(len(MARKS)))
+
 FLAGS = "(?dms)"
 INTERRUPT = "|".join([BLANK, HEADING, ANY_FENCE, RULE, ITEM, QUOTE, TABLE_START])
 BLOCKS = FLAGS + "|".join(
@@ -53,27 +60,56 @@ def _sub(text: Column, pattern: str, by: str) -> Column:
 
 
 def inline_text(text: Column) -> Column:
-    """Text as read: marks, link targets and inline HTML removed."""
+    """Text as read: marks, link targets and inline HTML removed.
+
+    Characters in code spans and after a backslash are not marks. They are held
+    as noncharacters, which no text contains, while the marks are taken out.
+    """
+    return (
+        F.when(text.rlike(r"[`\\]"), F.translate(_without_marks(_hold_literals(text)), HELD, MARKS))
+        .when(text.rlike(r"[\[<*_]"), _without_marks(text))
+        .otherwise(text)
+    )
+
+
+def _hold_literals(text: Column) -> Column:
+    def hold(token: Column) -> Column:
+        code = _sub(_sub(token, r"\A`+|`+\z", ""), r"(?s)\A (.*\S.*) \z", "$1")
+        return (
+            F.when(F.length(token) < 2, token)
+            .when(F.startswith(token, F.lit("`")), F.translate(code, MARKS, HELD))
+            .when(F.startswith(token, F.lit("\\")), F.translate(F.substring(token, 2, 1), MARKS, HELD))
+            .otherwise(token)
+        )
+
+    tokens = F.regexp_extract_all(text, F.lit(INLINE_LITERALS), F.lit(0))
+    return F.array_join(F.transform(tokens, hold), "")
+
+
+def _without_marks(text: Column) -> Column:
     text = _sub(text, r"!\[\]\([^)]*\)", "[image]")
     text = _sub(text, r"!?\[([^\]]*)\]\([^)]*\)", "$1")
     text = _sub(text, r"<((?:https?://|mailto:)[^>\s]+)>", "$1")
     text = _sub(text, r"</?[A-Za-z][^>]*>|<!--[^>]*-->", "")
     text = _sub(text, r"\*\*([^*\n]+)\*\*", "$1")
     text = _sub(text, r"\*([^*\s\n]|[^*\s\n][^*\n]*[^*\s\n])\*", "$1")
-    text = _sub(text, r"(^|[^\w\\])__([^_\n]+)__($|[^\w])", "$1$2$3")
-    text = _sub(text, r"(^|[^\w\\])_([^_\n]+)_($|[^\w])", "$1$2$3")
-    text = _sub(text, r"`+([^`\n]+)`+", "$1")
-    return _sub(text, r"\\([!-/:-@\[-`{-~])", "$1")
+    text = _sub(text, r"(^|[^\w])__([^_\n]+)__($|[^\w])", "$1$2$3")
+    return _sub(text, r"(^|[^\w])_([^_\n]+)_($|[^\w])", "$1$2$3")
 
 
 def join_lines(lines: Column) -> Column:
     """Lines of one paragraph: a soft break is a space, a hard break a new line."""
+    return let(lines, _join)
+
+
+def _join(lines: Column) -> Column:
     last = F.size(lines) - 1
 
     def piece(line: Column, i: Column) -> Column:
-        hard = line.rlike(r"(?: {2,}|\\)\z")
-        bare = _sub(line, r"\A[ \t]+|[ \t]+\z", "")
-        bare = F.when(line.rlike(r"\\\z") & (i < last), _sub(bare, r"\\\z", "")).otherwise(bare)
+        slash = F.endswith(line, F.lit("\\"))
+        hard = slash | F.endswith(line, F.lit("  "))
+        bare = F.btrim(line, F.lit(" \t"))
+        bare = F.when(slash & (i < last), F.substring(bare, F.lit(1), F.length(bare) - 1)).otherwise(bare)
         joint = F.when(i == last, F.lit("")).when(hard, F.lit("\n")).otherwise(F.lit(" "))
         return F.concat(bare, joint)
 
@@ -154,7 +190,7 @@ def _fenced(raw: Column) -> Column:
 
 
 def _indented(raw: Column) -> Column:
-    body = _sub(_sub(raw, r"(?dm)^(?: {4}| {0,3}\t)", ""), r"\s+\z", "")
+    body = F.rtrim(_sub(raw, r"(?dm)^(?: {4}| {0,3}\t)", ""), F.lit(" \t\n"))
     return _block("code", body, language=F.lit("unknown"))
 
 

@@ -114,9 +114,15 @@ def has_citation(text: Column) -> Column:
 
 
 def has_json(text: Column) -> Column:
-    """The whole text is one JSON value."""
-    wrapped = F.concat(F.lit('{"v":'), text, F.lit("}"))
-    return F.try_parse_json(wrapped).isNotNull() & (strip(text) != "")
+    """The whole text is one JSON value.
+
+    The parser stops at the end of the first value. What may follow a value in
+    an object and what may follow one in an array exclude each other, so only a
+    text that is one value passes both.
+    """
+    in_object = F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}")))
+    in_array = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
+    return in_object.isNotNull() & in_array.isNotNull() & (strip(text) != "")
 
 
 def excerpt(text: Column, chars: int = EXCERPT_CHARS) -> Column:

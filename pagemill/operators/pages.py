@@ -97,7 +97,7 @@ def table_warnings(tables: DataFrame) -> DataFrame:
 
 
 def page_blocks(pages: DataFrame, page_text: DataFrame, raw_tables: DataFrame) -> DataFrame:
-    """Blocks of paged documents in reading order: per page its text, then its tables.
+    """Blocks of paged documents, not yet numbered.
 
     Blank pages give nothing and scanned pages give a placeholder.
     """
@@ -126,9 +126,16 @@ def page_blocks(pages: DataFrame, page_text: DataFrame, raw_tables: DataFrame) -
     scanned = ocr_placeholders(pages).select(
         *PAGE, F.lit(0).alias("_kind"), F.lit(0).alias("seq"), "block_type", "text", "needs_ocr", "image_count"
     )
-    blocks = paragraphs.unionByName(tables, allowMissingColumns=True).unionByName(
+    return paragraphs.unionByName(tables, allowMissingColumns=True).unionByName(
         scanned, allowMissingColumns=True
     )
+
+
+def number_blocks(blocks: DataFrame) -> DataFrame:
+    """Add ``position``: reading order within the document, per page text before tables.
+
+    The blocks are read twice, so pass a stored table.
+    """
     order = [F.col("page_number"), F.col("_kind"), F.col("seq")]
     numbered = row_numbers(blocks, ["doc_id"], order, by_position("page_number"), "_n")
     return numbered.withColumn("position", (F.col("_n") - 1).cast("int")).drop("_n", "_kind", "seq")

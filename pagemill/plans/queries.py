@@ -446,7 +446,8 @@ def table_warnings(spark, folder):
 @query
 def page_blocks(spark, folder):
     pages = pg.classify_pages(ad.line_pages(spark, folder))
-    return pg.page_blocks(pages, ad.line_pages(spark, folder), ad.raw_tables(spark, folder))
+    blocks = pg.page_blocks(pages, ad.line_pages(spark, folder), ad.raw_tables(spark, folder))
+    return pg.number_blocks(tb.stored(blocks, "blocks"))
 
 
 def _repeated(spark: SparkSession, folder: str) -> dp.Repeated:
@@ -554,7 +555,7 @@ def ingest_files(spark, folder):
 @query
 def renumber(spark, folder):
     rows = bl.md_blocks(ad.markdown_documents(spark, folder)).filter(F.col("block_type") != "code")
-    return ch.renumber(rows.select("doc_id", "position", "block_type"))
+    return ch.renumber(tb.stored(rows.select("doc_id", "position", "block_type"), "blocks"))
 
 
 @query

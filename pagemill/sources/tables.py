@@ -19,16 +19,25 @@ def spread(df: DataFrame) -> DataFrame:
     text work is bound by the processor. Large inputs have splits to spare, so
     for them this changes nothing and nothing is shuffled.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    files = df.inputFiles()
-    return df.repartition(cores) if len(files) < cores else df
+    return df.repartition(_cores(df)) if _is_narrow(df) else df
+
+
+def _cores(df: DataFrame) -> int:
+    return df.sparkSession.sparkContext.defaultParallelism
+
+
+def _is_narrow(df: DataFrame) -> bool:
+    return len(df.inputFiles()) < _cores(df)
 
 
 def stream_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """The table as a file stream; the pattern matches a file or a folder of that name."""
-    schema = read_table(spark, folder, name).schema
+    table = read_table(spark, folder, name)
     pattern = f"{folder}/{name}.parque[t]"
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", "1000").parquet(pattern)
+    stream = (
+        spark.readStream.schema(table.schema).option("maxFilesPerTrigger", "1000").parquet(pattern)
+    )
+    return stream.repartition(_cores(table)) if _is_narrow(table) else stream
 
 
 def shared_folder(spark: SparkSession, purpose: str) -> str:
