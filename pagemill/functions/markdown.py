@@ -65,10 +65,11 @@ def inline_text(text: Column) -> Column:
     Characters in code spans and after a backslash are not marks. They are held
     as noncharacters, which no text contains, while the marks are taken out.
     """
-    return (
-        F.when(text.rlike(r"[`\\]"), F.translate(_without_marks(_hold_literals(text)), HELD, MARKS))
-        .when(text.rlike(r"[\[<*_]"), _without_marks(text))
-        .otherwise(text)
+    return let(
+        text,
+        lambda t: F.when(~t.rlike(r"[`\\\[<*_]"), t)
+        .when(t.rlike(r"[`\\]"), F.translate(_without_marks(_hold_literals(t)), HELD, MARKS))
+        .otherwise(_without_marks(t)),
     )
 
 
@@ -102,6 +103,11 @@ def join_lines(lines: Column) -> Column:
     return let(lines, _join)
 
 
+def joined_text(raw: Column) -> Column:
+    one_line = F.btrim(raw, F.lit(" \t"))
+    return F.when(~F.contains(raw, F.lit("\n")), one_line).otherwise(join_lines(F.split(raw, "\n")))
+
+
 def _join(lines: Column) -> Column:
     last = F.size(lines) - 1
 
@@ -182,10 +188,15 @@ def _setext(raw: Column) -> Column:
 
 
 def _fenced(raw: Column) -> Column:
-    info = strip(F.regexp_extract(raw, r"\A {0,3}(?:`{3,}|~{3,})([^\n]*)", 1))
-    closed = raw.rlike(r"(?ds)\n {0,3}(?:`{3,}|~{3,})[ \t]*\z")
-    body = _sub(raw, r"(?d)\A[^\n]*\n?", "")
-    body = F.when(closed, _sub(body, r"(?d)(?:\A|\n)[^\n]*\z", "")).otherwise(_sub(body, r"\n\z", ""))
+    opening = F.substring_index(raw, "\n", 1)
+    closing = F.substring_index(raw, "\n", -1)
+    info = strip(F.regexp_extract(opening, r"\A {0,3}(?:`{3,}|~{3,})(.*)", 1))
+    start = F.length(opening) + 1
+    closed = F.contains(raw, F.lit("\n")) & closing.rlike(r"\A {0,3}(?:`{3,}|~{3,})[ \t]*\z")
+    inner = F.length(raw) - start - F.length(closing) - 1
+    body = F.when(
+        closed, F.substring(raw, start + 1, F.greatest(inner, F.lit(0)))
+    ).otherwise(_sub(F.substring(raw, start + 1, F.length(raw)), r"\n\z", ""))
     return _block("code", body, language=F.coalesce(F.nullif(info, F.lit("")), F.lit("unknown")))
 
 
@@ -199,7 +210,7 @@ def _item(raw: Column) -> Column:
     body = _sub(raw, r"\A[ \t]*(?:[-*+]|\d{1,9}[.)])[ \t]+", "")
     return _block(
         "list_item",
-        inline_text(join_lines(F.split(body, "\n"))),
+        inline_text(joined_text(body)),
         level=F.floor(indent / 2) + 1,
         ordered=raw.rlike(r"\A[ \t]*\d"),
     )
@@ -229,12 +240,14 @@ def _table(raw: Column) -> Column:
 
 
 def _paragraph(raw: Column) -> Column:
-    return _block("paragraph", inline_text(join_lines(F.split(raw, "\n"))))
+    return _block("paragraph", inline_text(joined_text(raw)))
 
 
 def markdown_blocks(text: Column) -> Column:
     """``array<struct<block_type, text, ..., headers, table_rows>>`` in document order."""
-    unix = F.regexp_replace(text, F.lit(r"\r\n?"), F.lit("\n"))
+    unix = F.when(
+        F.contains(text, F.lit("\r")), F.regexp_replace(text, F.lit(r"\r\n?"), F.lit("\n"))
+    ).otherwise(text)
     raws = F.regexp_extract_all(unix, F.lit(BLOCKS), F.lit(0))
 
     def label(raw: Column) -> Column:

@@ -27,7 +27,7 @@ def _cores(df: DataFrame) -> int:
 
 
 def _is_narrow(df: DataFrame) -> bool:
-    return len(df.inputFiles()) < _cores(df)
+    return df.rdd.getNumPartitions() < 2 * _cores(df)
 
 
 def stream_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
