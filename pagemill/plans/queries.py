@@ -560,7 +560,8 @@ def renumber(spark, folder):
 
 @query
 def dedup_chunks(spark, folder):
-    kept = ch.dedup_chunks(ch.chunk_rows(_paragraphs_of_lines(spark, folder)))
+    chunks = tb.stored(ch.chunk_rows(_paragraphs_of_lines(spark, folder)), "chunks")
+    kept = ch.dedup_chunks(chunks)
     return kept.select("document_id", "chunk_index", "chunk_hash")
 
 
