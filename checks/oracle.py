@@ -417,6 +417,13 @@ add("admit_web_files", f"SELECT page_id, file_type, {REJECT} FROM typed", WEB)
 add("admit_files", "SELECT doc_id, file_type, CAST(NULL AS VARCHAR) AS reject_reason FROM files", FILES)
 add("storage_paths", """SELECT id, file_type, 'uploads/' || strftime(created_at, '%Y/%m') || '/doc-'
   || substr(sha256(user_id || '|' || filename), 1, 12) || file_type AS storage_path FROM catalog""", CATALOG)
+STORED = "'uploads/2026/08/doc-' || substr(sha256(filename), 1, 12) || file_type AS storage_path"
+BYTES = "encode(d.text) || CASE WHEN doc_id % 2 = 1 THEN '\\xFF'::BLOB ELSE ''::BLOB END"
+add("save_files", f"""SELECT doc_id, {STORED}, octet_length({BYTES}) AS file_size, sha256({BYTES}) AS content_hash,
+  CAST(2026 AS INTEGER) AS year, CAST(8 AS INTEGER) AS month FROM files JOIN documents d USING (doc_id)
+  WHERE d.lang = 'en' AND doc_id IN (SELECT doc_id FROM labels)""", FILES)
+add("catalog_rows", f"""SELECT substr(sha256(filename), 1, 12) AS id, doc_id % 10 AS user_id, filename, file_type,
+  octet_length({BYTES}) AS file_size, {STORED}, 'ready' AS status FROM files JOIN documents d USING (doc_id)""", FILES)
 add("save_partitioned", """SELECT CAST(year(created_at) AS INTEGER) AS year, CAST(month(created_at) AS INTEGER) AS month,
   count(*) AS n, CAST(sum(file_size) AS BIGINT) AS bytes FROM catalog GROUP BY 1, 2""", CATALOG)
 add("write_documents", f"SELECT id, filename, status, {iso('created_at')} AS created_at FROM catalog", CATALOG)
@@ -459,6 +466,9 @@ add("keyset_page_info", f"""SELECT CAST(50 AS INTEGER) AS item_count, TRUE AS ha
   FROM (SELECT * FROM catalog WHERE status = 'ready' {ORDER} LIMIT 1 OFFSET 49)""", CATALOG)
 add("encode_cursor_round_trip", f"""SELECT id, {CURSOR} AS cursor, {iso('created_at')} AS created_at, id AS decoded_id
   FROM (SELECT event_id AS id, ts AS created_at FROM events)""")
+add("list_documents", f"""SELECT CAST(id AS VARCHAR) AS id, filename, file_type, file_size, status,
+  {iso('created_at')} AS created_at
+  FROM (SELECT * FROM catalog WHERE user_id = 7 AND status = 'ready' {ORDER} LIMIT 5)""", CATALOG)
 add("sorted_listing", f"{PUBLIC} FROM (SELECT * FROM catalog ORDER BY file_size, id LIMIT 100 OFFSET 100)", CATALOG)
 add("offset_page", f"{PUBLIC} FROM (SELECT * FROM catalog WHERE file_type = '.pdf' {ORDER} LIMIT 20 OFFSET 40)", CATALOG)
 TIMES = f"{iso('created_at')} AS created_at, {iso('updated_at')} AS updated_at"
@@ -617,6 +627,11 @@ add("deleted_flags", """SELECT event_id AS id, event_id IN (SELECT id FROM catal
   FROM events""", CATALOG)
 add("cascade_delete", """SELECT id, user_id, (SELECT count(*) FROM lineitem WHERE l_orderkey = id) AS chunks FROM catalog
   WHERE user_id NOT IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')""", CATALOG)
+GONE = "gone AS (SELECT DISTINCT doc_id FROM labels WHERE toxic = 1)"
+add("delete_documents", """SELECT 'catalog' AS part, count(*) AS n FROM catalog WHERE id NOT IN (FROM gone)
+  UNION ALL SELECT 'chunks', count(*) FROM lineitem WHERE l_orderkey NOT IN (FROM gone)
+  UNION ALL SELECT 'scores', count(*) FROM scores WHERE doc_id NOT IN (FROM gone)
+  UNION ALL SELECT 'deleted', count(*) FROM catalog WHERE id IN (FROM gone)""", CATALOG, ACCESS, SCORES, GONE)
 add("replace_document_chunks", """SELECT document_id, count(*) AS chunks, CAST(sum(t) AS BIGINT) AS tokens FROM (
     SELECT l_orderkey AS document_id, CAST(l_quantity AS INTEGER) AS t FROM lineitem
     WHERE l_orderkey NOT IN (SELECT id FROM catalog WHERE status = 'parsing')

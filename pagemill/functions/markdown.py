@@ -65,12 +65,11 @@ def inline_text(text: Column) -> Column:
     Characters in code spans and after a backslash are not marks. They are held
     as noncharacters, which no text contains, while the marks are taken out.
     """
-    return let(
-        text,
-        lambda t: F.when(~t.rlike(r"[`\\\[<*_]"), t)
-        .when(t.rlike(r"[`\\]"), F.translate(_without_marks(_hold_literals(t)), HELD, MARKS))
-        .otherwise(_without_marks(t)),
-    )
+    def plain(t: Column) -> Column:
+        held = F.when(t.rlike(r"[`\\]"), _hold_literals(t)).otherwise(t)
+        return F.translate(_without_marks(held), HELD, MARKS)
+
+    return let(text, lambda t: F.when(t.rlike(r"[`\\\[<*_]"), plain(t)).otherwise(t))
 
 
 def _hold_literals(text: Column) -> Column:
@@ -177,13 +176,13 @@ def _heading(raw: Column) -> Column:
     body = F.regexp_extract(raw, r"^ {0,3}#{1,6}(?:[ \t]+(.*))?$", 1)
     body = _sub(body, r"(?:\A|[ \t]+)#+[ \t]*\z", "")
     level = F.length(F.regexp_extract(raw, r"^ {0,3}(#{1,6})", 1))
-    return _block("heading", inline_text(strip(body)), level=level)
+    return _block("heading", strip(body), level=level)
 
 
 def _setext(raw: Column) -> Column:
     lines = F.split(raw, "\n")
     mark = strip(F.get(lines, F.size(lines) - 1))
-    text = inline_text(join_lines(F.slice(lines, 1, F.size(lines) - 1)))
+    text = join_lines(F.slice(lines, 1, F.size(lines) - 1))
     return _block("heading", text, level=F.when(mark.startswith("="), 1).otherwise(2))
 
 
@@ -210,7 +209,7 @@ def _item(raw: Column) -> Column:
     body = _sub(raw, r"\A[ \t]*(?:[-*+]|\d{1,9}[.)])[ \t]+", "")
     return _block(
         "list_item",
-        inline_text(joined_text(body)),
+        joined_text(body),
         level=F.floor(indent / 2) + 1,
         ordered=raw.rlike(r"\A[ \t]*\d"),
     )
@@ -219,7 +218,7 @@ def _item(raw: Column) -> Column:
 def _quote(raw: Column) -> Column:
     lines = F.split(_sub(raw, r"(?dm)^ {0,3}> ?", ""), "\n")
     filled = F.filter(lines, lambda x: strip(x) != "")
-    return _block("paragraph", inline_text(join_lines(filled)), is_quote=True)
+    return _block("paragraph", join_lines(filled), is_quote=True)
 
 
 def _table(raw: Column) -> Column:
@@ -240,7 +239,7 @@ def _table(raw: Column) -> Column:
 
 
 def _paragraph(raw: Column) -> Column:
-    return _block("paragraph", inline_text(joined_text(raw)))
+    return _block("paragraph", joined_text(raw))
 
 
 def markdown_blocks(text: Column) -> Column:
@@ -263,8 +262,12 @@ def markdown_blocks(text: Column) -> Column:
             .otherwise(_paragraph(raw))
         )
 
-    labelled = F.transform(raws, label)
+    def read(block: Column) -> Column:
+        verbatim = block["block_type"].isin("code", "table")
+        text = F.when(verbatim, block["text"]).otherwise(inline_text(block["text"]))
+        return block.withField("text", text)
+
+    blocks = F.transform(F.filter(F.transform(raws, label), lambda b: b.isNotNull()), read)
     return F.filter(
-        labelled,
-        lambda b: b.isNotNull() & ((b["block_type"] != "paragraph") | (strip(b["text"]) != "")),
+        blocks, lambda b: (b["block_type"] != "paragraph") | (strip(b["text"]) != "")
     )

@@ -69,11 +69,14 @@ def assemble_request(
 def request_params(
     requests: DataFrame,
     *,
+    model: str | None = None,
     max_tokens: int = DEFAULT_MAX_TOKENS,
     effort: str = DEFAULT_EFFORT,
     thinking: bool = DEFAULT_THINKING,
 ) -> DataFrame:
     """Fill in defaults: 0 and '' count as missing, for thinking only null does."""
+    if model is not None:
+        requests = requests.withColumn("model", F.lit(model))
     enabled = F.coalesce(F.col("thinking_enabled"), F.lit(thinking))
     return requests.withColumns(
         {
@@ -111,8 +114,10 @@ def parse_response(
 
 
 def explode_messages(sessions: DataFrame, *, messages: str = "messages") -> DataFrame:
-    """Session rows with a JSON array of messages to one row per message."""
-    listed = F.from_json(F.col(messages), f"array<{MESSAGE.simpleString()}>")
+    """Session rows to one row per message; messages are an array, or JSON text of one."""
+    listed = F.col(messages)
+    if dict(sessions.dtypes)[messages] == "string":
+        listed = F.from_json(listed, f"array<{MESSAGE.simpleString()}>")
     return sessions.select("id", F.posexplode(listed).alias("position", "m")).select(
         "id", "position", "m.role", "m.content", "m.timestamp"
     )

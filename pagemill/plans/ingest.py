@@ -10,7 +10,7 @@ from pagemill.functions.encoding import decode_text
 from pagemill.functions.text import garbled_warning, replacement_count
 from pagemill.operators.blocks import markdown_block_array, text_block_array
 from pagemill.operators.chunking import chunk_rows
-from pagemill.sources.files import admit_files, parse_status
+from pagemill.sources.files import admit_files, file_id, parse_status, storage_columns
 
 EMPTY_BLOCKS = (
     "cast(array() as array<struct<block_type:string,text:string,"
@@ -51,6 +51,24 @@ def parse_files(files: DataFrame) -> DataFrame:
     )
 
 
+def catalog_rows(
+    files: DataFrame, *, key: Column, user_id: Column, stored_at: Column
+) -> DataFrame:
+    """Catalog rows of the admitted files, with the status their parsing gave them."""
+    named = storage_columns(parse_files(files), key=key, stored_at=stored_at)
+    return named.select(
+        file_id(key).alias("id"),
+        user_id.alias("user_id"),
+        "filename",
+        "file_type",
+        F.col("length").alias("file_size"),
+        "storage_path",
+        "status",
+        stored_at.alias("created_at"),
+        stored_at.alias("updated_at"),
+    )
+
+
 def ingest(
     files: DataFrame, *, doc_id: str = "path", config: ChunkingConfig = ChunkingConfig()
 ) -> DataFrame:

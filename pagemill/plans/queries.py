@@ -29,6 +29,7 @@ from pagemill.operators import vectors as vc
 from pagemill.plans import detect as dp
 from pagemill.plans import experiment as ex
 from pagemill.plans import ingest as ig
+from pagemill.plans import listing as ls
 from pagemill.sources import adapters as ad
 from pagemill.sources import files as fs
 from pagemill.sources import tables as tb
@@ -98,6 +99,27 @@ def save_partitioned(spark, folder):
     return stored.groupBy("year", "month").agg(F.count("*").alias("n"), F.sum("file_size").alias("bytes"))
 
 
+@query
+def save_files(spark, folder):
+    path = tb.shared_folder(spark, "files")
+    files = ad.text_files(spark, folder).drop("length")
+    fs.save_files(files, path, key=F.col("filename"), stored_at=F.lit("2026-08-03").cast("timestamp_ntz"))
+    labelled = tb.read_table(spark, folder, "labels").select(
+        F.concat(F.lit("doc_"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("filename")
+    )
+    wanted = fs.storage_columns(labelled, key=F.col("filename"), stored_at=F.lit("2026-08-03").cast("timestamp_ntz"))
+    return fs.read_saved(spark, path, wanted).select(
+        "doc_id", "storage_path", "file_size", F.sha2("content", 256).alias("content_hash"), "year", "month"
+    )
+
+
+@query
+def catalog_rows(spark, folder):
+    at = F.lit("2026-08-03").cast("timestamp_ntz")
+    rows = ig.catalog_rows(ad.text_files(spark, folder), key=F.col("filename"), user_id=F.col("doc_id") % 10, stored_at=at)
+    return rows.drop("created_at", "updated_at")
+
+
 @query
 def write_documents(spark, folder):
     path = tb.shared_folder(spark, "documents")
@@ -230,6 +252,12 @@ def encode_cursor_round_trip(spark, folder):
     )
 
 
+@query
+def list_documents(spark, folder):
+    listing = ls.list_documents(ad.catalog(spark, folder), USER, page_size=5, status="ready")
+    return listing.items.drop("updated_at", "storage_path")
+
+
 @query
 def sorted_listing(spark, folder):
     return _public(
@@ -672,6 +700,18 @@ def cascade_delete(spark, folder):
     )
 
 
+@query
+def delete_documents(spark, folder):
+    scores = rk.hot_counts(ad.access_log(spark, folder))
+    asked = tb.read_table(spark, folder, "labels").filter(F.col("toxic") == 1).select(F.col("doc_id").alias("id"))
+    left = ls.delete_documents(ad.catalog(spark, folder), ad.catalog_chunks(spark, folder), scores, asked)
+    sizes = [
+        (left.catalog, "catalog"), (left.chunks, "chunks"), (left.scores, "scores"), (left.outcome.filter("deleted"), "deleted"),
+    ]
+    counts = [rows.agg(F.count("*").alias("n")).select(F.lit(name).alias("part"), "n") for rows, name in sizes]
+    return counts[0].unionAll(counts[1]).unionAll(counts[2]).unionAll(counts[3])
+
+
 @query
 def replace_document_chunks(spark, folder):
     kept = ad.catalog_chunks(spark, folder)

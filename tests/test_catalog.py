@@ -11,6 +11,7 @@ from pagemill.operators import catalog as ct
 from pagemill.operators import mutations as mu
 from pagemill.operators import quality as ql
 from pagemill.operators import ranking as rk
+from pagemill.plans.listing import delete_documents, list_documents
 from pagemill.schemas import DOCUMENTS
 
 START = dt.datetime(2026, 8, 1, 10, 0, 0)
@@ -172,6 +173,25 @@ def test_deletes_cascade(spark):
     assert {r.id for r in again.collect()} == {"c1", "c2", "n"}
 
 
+def test_listing_brings_page_and_totals(catalog):
+    rows = [r for r in catalog.collect() if r.user_id == "u1"]
+    ready = sorted(((r.created_at, r.id) for r in rows if r.status == "ready"), reverse=True)
+    listing = list_documents(catalog, "u1", status="ready", page_size=10)
+    assert [r.id for r in listing.items.orderBy(F.desc("created_at"), F.desc("id")).collect()] == [i for _, i in ready[:10]]
+    assert listing.info.first().has_more is (len(ready) > 10)
+    totals = listing.totals.first()
+    assert (totals.total, totals.filtered_total, totals.total_pages) == (len(rows), len(ready), -(-len(rows) // 10))
+
+
+def test_deleting_documents_reaches_chunks_and_ranking(spark, catalog):
+    chunks = spark.createDataFrame([("0001", 0), ("0001", 1), ("0002", 0)], "document_id string, chunk_index int")
+    scores = spark.createDataFrame([("0001", 9), ("0002", 5)], "doc_id string, score long")
+    left = delete_documents(catalog, chunks, scores, spark.createDataFrame([("0001",), ("none",)], "id string"))
+    assert left.catalog.count() == 229 and left.chunks.count() == 1
+    assert [r.doc_id for r in left.scores.collect()] == ["0002"]
+    assert {tuple(r) for r in left.outcome.collect()} == {("0001", True), ("none", False)}
+
+
 def test_rules(spark, catalog):
     assert {r.violations for r in ql.check_rules(catalog, ql.catalog_rules()).collect()} == {0}
     bad = catalog.withColumn("status", F.lit("odd")).withColumn("file_size", F.lit(-1)).withColumn("filename", F.lit(None).cast("string"))

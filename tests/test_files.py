@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pagemill.functions.encoding import decode_text
 from pagemill.operators import blocks as bl
 from pagemill.operators.chunking import chunk_rows
-from pagemill.plans.ingest import ingest, parse_files
+from pagemill.plans.ingest import catalog_rows, ingest, parse_files
 from pagemill.sources import files as fs
 from pagemill.sources import tables as tb
 from pagemill.streaming import jobs as sj
@@ -106,6 +106,20 @@ def test_stored_names_are_stable(spark):
     assert row.storage_path.startswith("uploads/2026/08/doc-") and row.storage_path.endswith(".pdf") and len(row.storage_path) == 36
 
 
+def test_saved_files_are_found_by_their_path(spark, folder, tmp_path):
+    files = fs.admit_files(fs.scan_files(spark, str(folder / "in"))).filter("reject_reason IS NULL").drop("file_type")
+    at = F.lit("2026-08-03").cast("timestamp")
+    out = str(tmp_path / "saved")
+    fs.save_files(files, out, key=F.col("filename"), stored_at=at)
+    catalog = catalog_rows(files, key=F.col("filename"), user_id=F.lit("u"), stored_at=at)
+    wanted = catalog.filter("filename = 'c.TXT'")
+    [row] = fs.read_saved(spark, out, wanted).collect()
+    assert row.content.decode("gbk") == "中文内容在这里，用国标编码。" and row.file_size == 28 and row.file_type == ".txt"
+    assert fs.read_saved(spark, out).count() == 5
+    assert {(r.filename, r.status) for r in catalog.collect()} == {
+        ("a.txt", "ready"), ("b.md", "ready"), ("c.TXT", "ready"), ("d.pdf", "failed"), ("e.csv", "ready")}
+
+
 def test_month_folders_and_document_defaults(spark, tmp_path):
     rows = spark.createDataFrame([(1, "2026-08-03"), (2, "2026-09-01"), (3, "2026-08-09")], "id int, d string").select("id", F.to_timestamp("d").alias("created_at"))
     tb.write_by_month(rows, str(tmp_path / "m"))
