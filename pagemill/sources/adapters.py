@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pagemill.functions.text import let
 from pagemill.operators.prompts import PRESETS
 from pagemill.sources.tables import read_table, spread
 
@@ -141,19 +142,23 @@ def page_spans(pages: DataFrame) -> DataFrame:
     Very short pages have no spans, as scanned ones would not.
     """
     page = F.col("page_number").cast("string")
-    body = F.split("text", NEW_LINE)
-    height = F.size(body)
-
     def span(seq: Column, text: Column, y0: Column) -> Column:
         return F.struct(
             seq.cast("bigint").alias("seq"), text.alias("text"), y0.cast("double").alias("y0")
         )
 
-    placed = F.concat(
-        F.array(span(F.lit(0), F.concat(F.lit("Report "), F.col("doc_id"), F.lit("  page "), page), F.lit(0.0))),
-        F.transform(body, lambda x, i: span(i + 1, x, i * 600.0 / height + 200)),
-        F.array(span(height + 1, F.concat(F.lit(" "), F.col("lang"), F.lit(" edition - "), page, F.lit(" ")), F.lit(1000.0))),
-    )
+    title = F.concat(F.lit("Report "), F.col("doc_id"), F.lit("  page "), page)
+    footer = F.concat(F.lit(" "), F.col("lang"), F.lit(" edition - "), page, F.lit(" "))
+
+    def place(body: Column) -> Column:
+        count = F.size(body)
+        return F.concat(
+            F.array(span(F.lit(0), title, F.lit(0.0))),
+            F.transform(body, lambda x, i: span(i + 1, x, i * 600.0 / count + 200)),
+            F.array(span(count + 1, footer, F.lit(1000.0))),
+        )
+
+    placed = let(F.split("text", NEW_LINE), place)
     return (
         pages.filter(F.length("text") >= 100)
         .select("doc_id", "page_number", F.explode(placed).alias("s"))
