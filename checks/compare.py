@@ -16,12 +16,6 @@ from checks.oracle import ORACLE
 from pagemill import build_session
 from pagemill.plans.queries import QUERIES
 
-FAMILY = {
-    "bigint": "int", "int": "int", "smallint": "int", "hugeint": "int", "integer": "int",
-    "string": "text", "varchar": "text", "json": "text",
-    "double": "double", "float": "float", "boolean": "boolean",
-}
-
 
 def canonical(value: object) -> object:
     if isinstance(value, float):

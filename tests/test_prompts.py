@@ -1,7 +1,5 @@
 import json
 
-from pyspark.sql import functions as F
-
 from pagemill.operators import conversations as cv
 from pagemill.operators import prompts as pr
 from pagemill.plans import experiment as ex
