@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.llm import mixing
+from pagemill.llm import audio, mixing, quality_cnn
+from pagemill.llm.labelled import fold
 from pagemill.sources.tables import read_table
 
 
@@ -16,8 +17,21 @@ def op1_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op3_audio_features(spark: SparkSession, folder: str) -> DataFrame:
+    return audio.digest(audio.features(audio.store(read_table(spark, folder, "documents"))))
+
+
+def op10_quality_cnn(spark: SparkSession, folder: str) -> DataFrame:
+    docs, labels = read_table(spark, folder, "documents"), read_table(spark, folder, "labels")
+    net = quality_cnn.train(docs, labels, "quality", fold(5) != 0)
+    scored = quality_cnn.score(docs, net)
+    return scored.select("doc_id", (fold(5) == 0).alias("held_out"), "score", "predicted")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
+    "op3_audio_features": op3_audio_features,
+    "op10_quality_cnn": op10_quality_cnn,
 }
 
 # Words are counted by the rule of the operators; the rest follows the text of the contract.
