@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.llm import audio, mixing, quality_cnn
+from pagemill.llm import audio, language, mixing, quality_cnn
 from pagemill.llm.labelled import fold
 from pagemill.sources.tables import read_table
 
@@ -17,6 +17,12 @@ def op1_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op2_language(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read_table(spark, folder, "documents")
+    found = language.predict(docs, language.train(docs, fold(4) != 2))
+    return found.select("doc_id", (fold(4) == 2).alias("held_out"), "lang_pred", "score")
+
+
 def op3_audio_features(spark: SparkSession, folder: str) -> DataFrame:
     return audio.digest(audio.features(audio.store(read_table(spark, folder, "documents"))))
 
@@ -30,6 +36,7 @@ def op10_quality_cnn(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
+    "op2_language": op2_language,
     "op3_audio_features": op3_audio_features,
     "op10_quality_cnn": op10_quality_cnn,
 }
