@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagemill.llm.blocks import map_blocks, text_bytes
-from pagemill.llm.labelled import labelled_sample
+from pagemill.llm.labelled import class_share, labelled_sample
 
 CHUNK, STEP = 512, 448  # bytes of a chunk, and from one to the next
 WIDTH, STRIDE, EMBED, FILTERS = 12, 4, 4, 24
@@ -182,12 +182,6 @@ def training_chunks(sample: DataFrame, per_text: int = SAMPLE_CHUNKS) -> tuple[n
     return data, np.array([r[2] for r in rows], np.float32)
 
 
-def class_share(labels: DataFrame, label: str, keep: Column) -> float | None:
-    """Share of class 1 among all labelled rows that ``keep`` allows; None without any."""
-    row = labels.where(keep & F.col("doc_id").isNotNull() & F.col(label).isin(0, 1)).agg(F.avg(label)).first()
-    return None if row is None or row[0] is None else float(row[0])
-
-
 def train(docs: DataFrame, labels: DataFrame, label: str, keep: Column, rows: int = SAMPLE_ROWS) -> Network:
     """The network fitted to at most ``rows`` documents of each class."""
     chunks, classes = training_chunks(labelled_sample(docs, labels, label, keep, rows))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.llm import audio, language, mixing, quality_cnn
+from pagemill.llm import audio, language, mixing, quality_cnn, toxicity
 from pagemill.llm.labelled import fold
 from pagemill.sources.tables import read_table
 
@@ -27,6 +27,13 @@ def op3_audio_features(spark: SparkSession, folder: str) -> DataFrame:
     return audio.digest(audio.features(audio.store(read_table(spark, folder, "documents"))))
 
 
+def op4_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs, labels = read_table(spark, folder, "documents"), read_table(spark, folder, "labels")
+    net = toxicity.train(docs, labels, "toxic", fold(4) != 2)
+    scored = toxicity.score(docs, net)
+    return scored.select("doc_id", (fold(4) == 2).alias("held_out"), "score", "predicted")
+
+
 def op10_quality_cnn(spark: SparkSession, folder: str) -> DataFrame:
     docs, labels = read_table(spark, folder, "documents"), read_table(spark, folder, "labels")
     net = quality_cnn.train(docs, labels, "quality", fold(5) != 0)
@@ -38,6 +45,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_language": op2_language,
     "op3_audio_features": op3_audio_features,
+    "op4_toxicity": op4_toxicity,
     "op10_quality_cnn": op10_quality_cnn,
 }
 
