@@ -37,8 +37,8 @@ from pagemill.llm.labelled import class_share, labelled_sample
 
 WINDOW, STEP = 32, 24  # words
 HIDDEN, WORD, CHAR, SLOTS, BUCKETS, VOCABULARY = 8, 8, 8, 4, 2048, 4096
-SAMPLE_ROWS, SAMPLE_WINDOWS = 1500, 10
-EPOCHS, WORST_FROM, BATCH, RATE = 6, 2, 128, 0.01
+SAMPLE_ROWS, SAMPLE_WINDOWS = 1500, 40
+EPOCHS, WORST_FROM, BATCH, RATE, DECAY = 10, 2, 128, 0.01, 1e-4
 THRESHOLD = 0.3
 GROUP = 2048  # windows that are worked on at once
 KNOWN_WORDS = 300_000  # words whose inputs a task keeps
@@ -243,14 +243,14 @@ def fit(texts: list[list[str]], classes: np.ndarray, prior: float | None = None,
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.p.items()}
     step = 0
     for epoch in range(EPOCHS):
-        chosen = np.arange(len(windows))
+        chosen = np.flatnonzero(rng.random(len(windows)) < 0.25)
         if epoch >= WORST_FROM:  # of toxic documents the worst window, of the others the worst two and two more
             logit = _logits(net, windows, codes)
             order = np.lexsort((-logit, owner))
             rank = np.empty(len(order), np.int64)
             first = np.searchsorted(owner[order], np.arange(len(texts)))
             rank[order] = np.arange(len(order)) - first[owner[order]]
-            chosen = np.flatnonzero(np.where(label == 1, rank < 1, (rank < 2) | (rng.random(len(windows)) < 0.3)))
+            chosen = np.flatnonzero(np.where(label == 1, rank < 1, (rank < 2) | (rng.random(len(windows)) < 0.1)))
         even = np.where(label == 1, 0.5 / (label[chosen] == 1).sum(), 0.5 / (label[chosen] == 0).sum()) * len(chosen)
         chosen = rng.permutation(chosen)
         for a in range(0, len(chosen), BATCH):
@@ -262,6 +262,7 @@ def fit(texts: list[list[str]], classes: np.ndarray, prior: float | None = None,
             step += 1
             rate = RATE * (1 - 0.8 * epoch / EPOCHS) * np.sqrt(1 - 0.999**step) / (1 - 0.9**step)
             for k, (m, v) in moments.items():
+                grads[k] += DECAY * net.p[k]
                 m += 0.1 * (grads[k] - m)
                 v += 0.001 * (grads[k] ** 2 - v)
                 net.p[k] -= (rate * m / (np.sqrt(v) + 1e-8)).astype(np.float32)
