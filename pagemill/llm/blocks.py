@@ -10,6 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 BLOCK_BYTES = 2 << 20
+BLOCK_ROWS = 10_000
 
 # The word rule of all operators: runs of bytes outside \x20 and \x09-\x0D.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -26,7 +27,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, block_bytes: int) ->
         if not batch.num_rows:
             continue
         sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
-        part = np.cumsum(sizes, dtype=np.int64) // block_bytes
+        part = np.cumsum(sizes, dtype=np.int64) // block_bytes + np.arange(len(sizes)) // BLOCK_ROWS
         cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
         for a, b in zip(cuts, cuts[1:]):
             yield batch.slice(a, b - a)
@@ -61,6 +62,15 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
+def hash_runs(data: np.ndarray, first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Hash of each of the runs of bytes, none empty, that follow each other in ``data``."""
+    place = np.arange(len(data), dtype=np.int64) - np.repeat(first, sizes)
+    value = _TABLE[place & 63, data]
+    if sizes.max() > 64:
+        value = value * (_U(2) * (place >> 6).astype(_U) + _U(1))
+    return mix64(np.add.reduceat(value, first))
+
+
 def lower_ascii(raw: bytes) -> bytes:
     return raw.lower()  # bytes.lower changes A-Z only
 
@@ -81,13 +91,8 @@ def words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, bytes
     if not len(starts):
         return np.zeros(0, _U), starts, ends, joined, before
     sizes = ends - starts
-    inside = np.flatnonzero(~space)
-    first = np.cumsum(sizes) - sizes
-    place = np.arange(len(inside), dtype=np.int64) - np.repeat(first, sizes)
-    value = _TABLE[place & 63, data[inside]]
-    if sizes.max() > 64:
-        value = value * (_U(2) * (place >> 6).astype(_U) + _U(1))
-    return mix64(np.add.reduceat(value, first)), starts, ends, joined, before
+    value = hash_runs(data[~space], np.cumsum(sizes) - sizes, sizes)
+    return value, starts, ends, joined, before
 
 
 def grams(hashes: np.ndarray, n: int) -> np.ndarray:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.llm import audio, language, mixing, quality_cnn, toxicity
+from pagemill.llm import audio, language, mixing, passages, quality_cnn, suffixes, toxicity
 from pagemill.llm.labelled import fold
 from pagemill.sources.tables import read_table
 
@@ -34,6 +34,14 @@ def op4_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return scored.select("doc_id", (fold(4) == 2).alias("held_out"), "score", "predicted")
 
 
+def op6_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return suffixes.remove_repeated_bytes(read_table(spark, folder, "documents"))
+
+
+def op9_passage_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return passages.remove_repeated_passages(read_table(spark, folder, "documents"))
+
+
 def op10_quality_cnn(spark: SparkSession, folder: str) -> DataFrame:
     docs, labels = read_table(spark, folder, "documents"), read_table(spark, folder, "labels")
     net = quality_cnn.train(docs, labels, "quality", fold(5) != 0)
@@ -46,6 +54,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_language": op2_language,
     "op3_audio_features": op3_audio_features,
     "op4_toxicity": op4_toxicity,
+    "op6_suffix_dedup": op6_suffix_dedup,
+    "op9_passage_dedup": op9_passage_dedup,
     "op10_quality_cnn": op10_quality_cnn,
 }
 
