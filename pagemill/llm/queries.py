@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.llm import audio, language, mixing, passages, quality_cnn, suffixes, toxicity
+from pagemill.llm import audio, jaccard, language, mixing, passages, quality_cnn, suffixes, toxicity
 from pagemill.llm.labelled import fold
 from pagemill.sources.tables import read_table
 
@@ -38,6 +38,10 @@ def op6_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return suffixes.remove_repeated_bytes(read_table(spark, folder, "documents"))
 
 
+def op8_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard.similar_texts(read_table(spark, folder, "documents"))
+
+
 def op9_passage_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return passages.remove_repeated_passages(read_table(spark, folder, "documents"))
 
@@ -55,12 +59,29 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_audio_features": op3_audio_features,
     "op4_toxicity": op4_toxicity,
     "op6_suffix_dedup": op6_suffix_dedup,
+    "op8_jaccard_join": op8_jaccard_join,
     "op9_passage_dedup": op9_passage_dedup,
     "op10_quality_cnn": op10_quality_cnn,
 }
 
 # Words are counted by the rule of the operators; the rest follows the text of the contract.
 ORACLE: dict[str, str] = {
+    "op8_jaccard_join": r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words
+  FROM documents),
+s AS (
+  SELECT doc_id, CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 5 THEN [array_to_string(words, ' ')]
+    ELSE list_distinct([array_to_string(words[i:i + 4], ' ') FOR i IN range(1, len(words) - 3)]) END AS shingles
+  FROM w),
+x AS (SELECT doc_id, len(shingles) AS n, unnest(shingles) AS shingle FROM s),
+common AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS i
+  FROM x a JOIN x b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+link AS (SELECT a, b FROM common WHERE 100 * i >= 75 * (na + nb - i)),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM s UNION SELECT r.a, l.b FROM reach r JOIN link l ON r.b = l.a)
+SELECT s.doc_id, CAST(len(shingles) AS BIGINT) AS n_shingles, c.component_id
+FROM s JOIN (SELECT a, min(b) AS component_id FROM reach GROUP BY a) c ON c.a = s.doc_id""",
     "op1_mix_sources": r"""
 WITH d AS (
   SELECT doc_id, source, md5('mix-1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS draw,

@@ -179,34 +179,60 @@ def packed_texts(docs: DataFrame) -> DataFrame:
     return docs.select(order, "text").mapInArrow(run, TEXT_SCHEMA)
 
 
-def _raw_texts(docs: DataFrame) -> DataFrame:
+def raw_texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LAST)).alias("_order"), "text")
 
 
-def frequent_anchors(docs: DataFrame, rule: Rule) -> np.ndarray:
-    """Anchors that many texts hold, by a fixed sample of the texts; a sorted list of bounded length."""
+Extract = Callable[[list[bytes]], tuple[np.ndarray, np.ndarray, np.ndarray | None]]
+
+
+def anchor_extract(rule: Rule) -> Extract:
+    """(text, anchor) of all runs, and no need of more than one repeated anchor."""
+
+    def extract(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray, None]:
+        runs = runs_of(rule, *units(rule, raw))
+        sort = np.lexsort((runs.anchor, runs.text))
+        text, value = runs.text[sort], runs.anchor[sort]
+        new = np.ones(len(text), bool)
+        new[1:] = (text[1:] != text[:-1]) | (value[1:] != value[:-1])
+        return text[new], value[new], None
+
+    return extract
+
+
+def _raw(block: pa.RecordBatch) -> list[bytes]:
+    if "_packed" in block.schema.names:
+        return _unpacked(block)
+    return [x or b"" for x in block.column("text").cast(pa.binary()).to_pylist()]
+
+
+def frequent_values(sampled: DataFrame, extract: Extract, column: str = "text") -> np.ndarray:
+    """Values that many texts hold, by a fixed sample of the texts; a sorted list of bounded length."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in slices(batches, "text", BLOCK_BYTES // 2):
-            raw = [x or b"" for x in block.column("text").cast(pa.binary()).to_pylist()]
-            runs = runs_of(rule, *units(rule, raw))
-            pairs = np.unique(np.stack([runs.text.astype(U), runs.anchor], 1), axis=0) if len(runs.text) else np.zeros((0, 2), U)
-            value, count = np.unique(pairs[:, 1], return_counts=True)
+        for block in slices(batches, column, BLOCK_BYTES // 2):
+            value, count = np.unique(extract(_raw(block))[1], return_counts=True)
             yield pa.record_batch([pa.array(value.view(np.int64)), pa.array(count)], ["anchor", "n"])
 
-    sampled = _raw_texts(docs).where(F.pmod(F.xxhash64("_order"), F.lit(SAMPLED)) == 0)
+    sampled = sampled.where(F.pmod(F.xxhash64("_order"), F.lit(SAMPLED)) == 0)
     counted = sampled.mapInArrow(run, "anchor bigint, n bigint").groupBy("anchor").agg(F.sum("n").alias("n"))
     found = counted.where(F.col("n") >= FREQUENT // SAMPLED).orderBy(F.desc("n"), "anchor").limit(LIST).collect()
     return np.sort(np.array([r.anchor for r in found], np.int64).view(U))
 
 
-def anchors(docs: DataFrame, rule: Rule, frequent: np.ndarray, n: int) -> DataFrame:
-    """Packed (hash, text) of all anchors but the frequent ones, and the names of the texts of a block."""
+def sent_values(
+    texts: DataFrame, extract: Extract, frequent: np.ndarray, n: int, column: str = "text", back: bool = False
+) -> DataFrame:
+    """Packed (hash, text) of all values, and the names of the texts of a block.
+
+    Frequent values are known to repeat; they are left out, or go straight ``back`` to their texts.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         value: list[np.ndarray] = []
         owner: list[np.ndarray] = []
         order: list[np.ndarray] = []
+        needed: list[np.ndarray] = []
         version: list[int] = []
         size = 0
 
@@ -214,39 +240,37 @@ def anchors(docs: DataFrame, rule: Rule, frequent: np.ndarray, n: int) -> DataFr
             ids, kinds = np.concatenate(order), np.array(version, np.uint16)
             tag = int(mix64(np.array([(mix64(ids.view(U)) + kinds).sum(dtype=U)], U))[0] >> U(1))
             every, text = np.concatenate(value), np.concatenate(owner)
-            rows = list(packs.cut((every >> U(32)) % U(n), [every.astype(np.uint32), text], ANCHORS, tag))
-            rows.append((tag % n, NAMES, tag, ids.tobytes(), kinds.tobytes()))
+            often = np.isin(every, frequent) if len(frequent) else np.zeros(len(every), bool)
+            rows = list(packs.cut((every[~often] >> U(32)) % U(n), [every[~often].astype(np.uint32), text[~often]], ANCHORS, tag))
+            rows.append((tag % n, NAMES, tag, ids.tobytes(), kinds.tobytes(), np.concatenate(needed).astype(np.uint32).tobytes()))
+            if back and often.any():
+                rows.append((tag % n, MARKS, tag, every[often].astype(np.uint32).tobytes(), text[often].tobytes()))
             return packs.batch(rows)
 
-        for block in slices(batches, "text", BLOCK_BYTES // 2):
-            raw = [x or b"" for x in block.column("text").cast(pa.binary()).to_pylist()]
-            runs = runs_of(rule, *units(rule, raw))
-            sort = np.lexsort((runs.anchor, runs.text))
-            a, t = runs.anchor[sort], runs.text[sort]
-            new = np.ones(len(a), bool)
-            new[1:] = (a[1:] != a[:-1]) | (t[1:] != t[:-1])
-            if len(frequent):
-                new &= ~np.isin(a, frequent)
-            value.append(a[new])
-            owner.append((t[new] + len(version)).astype(np.uint16))
+        for block in slices(batches, column, BLOCK_BYTES // 2):
+            raw = _raw(block)
+            text, found, need = extract(raw)
+            value.append(found)
+            owner.append((text + len(version)).astype(np.uint16))
             order.append(block.column("_order").to_numpy())
+            needed.append(np.ones(len(raw), np.uint32) if need is None else need)
             version.extend(zlib.crc32(x) & 0xFFFF for x in raw)
             size += sum(map(len, raw))
             if size >= FLUSH_BYTES or len(version) > 50_000:
                 yield flush()
-                value, owner, order, version, size = [], [], [], [], 0
+                value, owner, order, needed, version, size = [], [], [], [], [], 0
         if version:
             yield flush()
 
-    return _raw_texts(docs).mapInArrow(run, packs.SCHEMA)
+    return texts.mapInArrow(run, packs.SCHEMA)
 
 
 def marks(packed: DataFrame, n: int) -> DataFrame:
-    """(order, version, repeated anchors) of every text that has some."""
+    """(order, version, repeated values) of every text that has as many as it needs."""
 
     def repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in packs.groups(batches):
-            out = [(r["bucket"], NAMES, r["tag"], r["a"], r["b"]) for r in rows if r["kind"] == NAMES]
+            out = [(r["bucket"], r["kind"], r["tag"], r["a"], r["b"], r["c"]) for r in rows if r["kind"] != ANCHORS]
             rows = [r for r in rows if r["kind"] == ANCHORS]
             if rows:
                 value, text = packs.column(rows, "a", np.uint32), packs.column(rows, "b", np.uint16)
@@ -273,7 +297,7 @@ def marks(packed: DataFrame, n: int) -> DataFrame:
                 sort = np.lexsort((value, text))
                 value, text = value[sort], text[sort]
                 edges = np.searchsorted(text, np.arange(len(order) + 1))
-                has = np.flatnonzero(np.diff(edges))
+                has = np.flatnonzero(np.diff(edges) >= np.frombuffer(names["c"], np.uint32))
                 yield pa.record_batch(
                     [
                         pa.array(order[has]), pa.array(version[has].astype(np.int32)),
@@ -334,7 +358,8 @@ def marked_runs(texts: DataFrame, rule: Rule, frequent: np.ndarray, n: int) -> D
             marked = [np.frombuffer(x or b"", np.uint32) for x in block.column("_marks").to_pylist()]
             known = np.concatenate([m.astype(U) | U(i << 32) for i, m in enumerate(marked)])
             asked = runs.anchor & U(0xFFFFFFFF) | runs.text.astype(U) << U(32)
-            out += rows_of(order, version, data, bounds, mine := runs.take(np.isin(asked, known)), mine.anchor)
+            mine = runs.take(np.isin(asked, known) & ~np.isin(runs.anchor, frequent))
+            out += rows_of(order, version, data, bounds, mine, mine.anchor)
             if len(frequent):
                 often = runs.take(np.isin(runs.anchor, frequent))
                 at = spread(often.first, often.count)
@@ -456,9 +481,11 @@ Finish = Callable[[bytes, np.ndarray, np.ndarray], tuple]
 def remove_repeats(docs: DataFrame, rule: Rule, classes: Classes, finish: Finish, arrow: pa.Schema, schema: str) -> DataFrame:
     """``finish(text, first windows, numbers)`` of every row, as (doc_id, columns of ``schema``)."""
     n = packs.buckets(docs.sparkSession)
-    frequent = frequent_anchors(docs, rule)
+    extract = anchor_extract(rule)
+    frequent = frequent_values(raw_texts(docs), extract)
     texts = packed_texts(docs)
-    marked = texts.join(marks(anchors(docs, rule, frequent, n), n), ["_order", "_version"], "left")
+    sent = sent_values(raw_texts(docs), extract, frequent, n)
+    marked = texts.join(marks(sent, n), ["_order", "_version"], "left")
     found = spans(marked_runs(marked, rule, frequent, n), rule, classes, n)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
