@@ -17,8 +17,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
-_U = np.uint64
-_TABLE = np.random.default_rng(20).integers(0, 2**63, (64, 256), dtype=np.uint64) * _U(2) + _U(1)
+U = np.uint64
+_TABLE = np.random.default_rng(20).integers(0, 2**63, (64, 256), dtype=np.uint64) * U(2) + U(1)
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str, block_bytes: int) -> Iterator[pa.RecordBatch]:
@@ -57,9 +57,9 @@ def text_bytes(column: pa.Array) -> list[bytes]:
 
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit values that spreads every bit."""
-    x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> _U(27))) * _U(0x94D049BB133111EB)
-    return x ^ (x >> _U(31))
+    x = (x ^ (x >> U(30))) * U(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> U(27))) * U(0x94D049BB133111EB)
+    return x ^ (x >> U(31))
 
 
 def hash_runs(data: np.ndarray, first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -67,7 +67,7 @@ def hash_runs(data: np.ndarray, first: np.ndarray, sizes: np.ndarray) -> np.ndar
     place = np.arange(len(data), dtype=np.int64) - np.repeat(first, sizes)
     value = _TABLE[place & 63, data]
     if sizes.max() > 64:
-        value = value * (_U(2) * (place >> 6).astype(_U) + _U(1))
+        value = value * (U(2) * (place >> 6).astype(U) + U(1))
     return mix64(np.add.reduceat(value, first))
 
 
@@ -89,7 +89,7 @@ def words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, bytes
     at = np.cumsum([0, *(len(t) + 1 for t in texts)])
     before = np.searchsorted(starts, at)
     if not len(starts):
-        return np.zeros(0, _U), starts, ends, joined, before
+        return np.zeros(0, U), starts, ends, joined, before
     sizes = ends - starts
     value = hash_runs(data[~space], np.cumsum(sizes) - sizes, sizes)
     return value, starts, ends, joined, before
@@ -99,9 +99,9 @@ def grams(hashes: np.ndarray, n: int) -> np.ndarray:
     """Hash of each run of ``n`` neighbours; as many less as there are entries fewer."""
     count = len(hashes) - n + 1
     if count <= 0:
-        return np.zeros(0, _U)
-    out = np.zeros(count, _U)
+        return np.zeros(0, U)
+    out = np.zeros(count, U)
     for k in range(n):
-        out *= _U(0x9E3779B97F4A7C15)
+        out *= U(0x9E3779B97F4A7C15)
         out += hashes[k : k + count]
     return mix64(out)

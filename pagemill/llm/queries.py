@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.llm import audio, jaccard, language, mixing, passages, quality_cnn, suffixes, toxicity
+from pagemill.llm import audio, decontaminate, jaccard, language, mixing, passages, quality_cnn, suffixes, toxicity
 from pagemill.llm.labelled import fold
 from pagemill.sources.tables import read_table
 
@@ -38,6 +38,10 @@ def op6_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return suffixes.remove_repeated_bytes(read_table(spark, folder, "documents"))
 
 
+def op7_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.leaks(read_table(spark, folder, "documents"), read_table(spark, folder, "benchmark"))
+
+
 def op8_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard.similar_texts(read_table(spark, folder, "documents"))
 
@@ -59,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_audio_features": op3_audio_features,
     "op4_toxicity": op4_toxicity,
     "op6_suffix_dedup": op6_suffix_dedup,
+    "op7_decontaminate": op7_decontaminate,
     "op8_jaccard_join": op8_jaccard_join,
     "op9_passage_dedup": op9_passage_dedup,
     "op10_quality_cnn": op10_quality_cnn,
