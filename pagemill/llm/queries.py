@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.llm import audio, decontaminate, jaccard, language, mixing, passages, quality_cnn, suffixes, toxicity
+from pagemill.llm import audio, decontaminate, jaccard, language, mixing, passages, private_data, quality_cnn, suffixes, toxicity
 from pagemill.llm.labelled import fold
 from pagemill.sources.tables import read_table
 
@@ -34,6 +34,10 @@ def op4_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return scored.select("doc_id", (fold(4) == 2).alias("held_out"), "score", "predicted")
 
 
+def op5_private_data(spark: SparkSession, folder: str) -> DataFrame:
+    return private_data.digest(private_data.find(read_table(spark, folder, "documents")))
+
+
 def op6_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return suffixes.remove_repeated_bytes(read_table(spark, folder, "documents"))
 
@@ -62,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_language": op2_language,
     "op3_audio_features": op3_audio_features,
     "op4_toxicity": op4_toxicity,
+    "op5_private_data": op5_private_data,
     "op6_suffix_dedup": op6_suffix_dedup,
     "op7_decontaminate": op7_decontaminate,
     "op8_jaccard_join": op8_jaccard_join,
