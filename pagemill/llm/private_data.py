@@ -123,11 +123,16 @@ def spans_of(kind: str, text: Column) -> Column:
     return F.when(_hint(kind, text), passing).otherwise(F.array().cast(SPAN)).cast(SPAN)
 
 
+def key_of(doc_id: Column, text: Column) -> Column:
+    """What identifies a row: its id and a hash of its text."""
+    hashed = F.xxhash64(F.coalesce(text, F.lit(""))).cast("string")
+    return F.concat_ws(":", F.coalesce(doc_id.cast("string"), F.lit("-")), hashed)
+
+
 def scanned(docs: DataFrame) -> DataFrame:
     """One narrow row per document: its key, base spans by kind, and candidates."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    key = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.xxhash64(text).cast("string"))
-    return docs.select("doc_id", key.alias("key"), *(spans_of(k, text).alias(k) for k in SHAPES))
+    return docs.select("doc_id", key_of(F.col("doc_id"), text).alias("key"), *(spans_of(k, text).alias(k) for k in SHAPES))
 
 
 def _patterns(left: Column, right: Column) -> Column:
