@@ -26,6 +26,16 @@ def buckets(spark: SparkSession) -> int:
     return 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def planes(values: np.ndarray) -> bytes:
+    """The bytes of an array by significance: first all lowest bytes, and so on, which compresses well."""
+    return np.ascontiguousarray(values).view(np.uint8).reshape(len(values), values.itemsize).T.tobytes()
+
+
+def values_of(stored: bytes | None, dtype: type) -> np.ndarray:
+    size = np.dtype(dtype).itemsize
+    return np.ascontiguousarray(np.frombuffer(stored or b"", np.uint8).reshape(size, -1).T).view(dtype).ravel()
+
+
 def exchange(packed: DataFrame) -> DataFrame:
     """Rows of a bucket together, in one partition after the other."""
     partitions = int(packed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -48,7 +58,7 @@ def cut(key: np.ndarray, fields: list[np.ndarray], kind: int, tag: int = 0) -> I
     fields = [f[order] for f in fields]
     edges = [0, *(np.flatnonzero(np.diff(key)) + 1).tolist(), len(key)]
     for a, b in zip(edges, edges[1:]):
-        yield (int(key[a]), kind, tag, *(f[a:b].tobytes() for f in fields))
+        yield (int(key[a]), kind, tag, *(planes(f[a:b]) for f in fields))
 
 
 def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[dict]]]:
@@ -65,4 +75,5 @@ def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[dict]]
 
 
 def column(rows: list[dict], field: str, dtype: type) -> np.ndarray:
-    return np.frombuffer(b"".join(r[field] or b"" for r in rows), dtype)
+    """A field of all rows, one after the other."""
+    return np.concatenate([values_of(r[field], dtype) for r in rows] or [np.zeros(0, dtype)])

@@ -43,6 +43,8 @@ LAST = np.iinfo(np.int64).max
 FLUSH_BYTES = 32 << 20  # of text whose anchors are packed together
 SAMPLED = 16  # one text in so many is looked at for frequent anchors
 FREQUENT = 2048  # texts that hold an anchor, by the sample
+COMPARED = 300_000  # windows that are compared at once, but for larger groups
+HELD = 4_000_000  # results of a task that are packed together
 LIST = 20_000  # frequent anchors, at most: no other one has more than its share of 1 / LIST
 TEXT_SCHEMA = "_order bigint, _version int, _packed binary"
 
@@ -242,9 +244,9 @@ def sent_values(
             every, text = np.concatenate(value), np.concatenate(owner)
             often = np.isin(every, frequent) if len(frequent) else np.zeros(len(every), bool)
             rows = list(packs.cut((every[~often] >> U(32)) % U(n), [every[~often].astype(np.uint32), text[~often]], ANCHORS, tag))
-            rows.append((tag % n, NAMES, tag, ids.tobytes(), kinds.tobytes(), np.concatenate(needed).astype(np.uint32).tobytes()))
+            rows.append((tag % n, NAMES, tag, *map(packs.planes, (ids, kinds, np.concatenate(needed).astype(np.uint32)))))
             if back and often.any():
-                rows.append((tag % n, MARKS, tag, every[often].astype(np.uint32).tobytes(), text[often].tobytes()))
+                rows.append((tag % n, MARKS, tag, packs.planes(every[often].astype(np.uint32)), packs.planes(text[often])))
             return packs.batch(rows)
 
         for block in slices(batches, column, BLOCK_BYTES // 2):
@@ -283,7 +285,7 @@ def marks(packed: DataFrame, n: int) -> DataFrame:
                     edges = [0, *(np.flatnonzero(np.diff(tags[by])) + 1).tolist(), len(by)]
                     for a, b in zip(edges, edges[1:]):
                         tag = int(tags[by[a]])
-                        out.append((tag % n, MARKS, tag, value[by[a:b]].tobytes(), text[by[a:b]].tobytes()))
+                        out.append((tag % n, MARKS, tag, packs.planes(value[by[a:b]]), packs.planes(text[by[a:b]])))
             yield packs.batch(out)
 
     def by_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -291,13 +293,13 @@ def marks(packed: DataFrame, n: int) -> DataFrame:
             for tag in sorted({r["tag"] for r in rows}):
                 mine = [r for r in rows if r["tag"] == tag]
                 names = next(r for r in mine if r["kind"] == NAMES)
-                order, version = np.frombuffer(names["a"], np.int64), np.frombuffer(names["b"], np.uint16)
+                order, version = packs.values_of(names["a"], np.int64), packs.values_of(names["b"], np.uint16)
                 mine = [r for r in mine if r["kind"] == MARKS]
                 value, text = packs.column(mine, "a", np.uint32), packs.column(mine, "b", np.uint16)
                 sort = np.lexsort((value, text))
                 value, text = value[sort], text[sort]
                 edges = np.searchsorted(text, np.arange(len(order) + 1))
-                has = np.flatnonzero(np.diff(edges) >= np.frombuffer(names["c"], np.uint32))
+                has = np.flatnonzero(np.diff(edges) >= packs.values_of(names["c"], np.uint32))
                 yield pa.record_batch(
                     [
                         pa.array(order[has]), pa.array(version[has].astype(np.int32)),
@@ -334,9 +336,12 @@ def marked_runs(texts: DataFrame, rule: Rule, frequent: np.ndarray, n: int) -> D
         low = key.astype(np.uint32)
         edges = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(bucket)]
         return [
-            (int(bucket[a]), RUNS, 0, low[a:b].tobytes(), *(names[f][a:b].tobytes() for f in ("order", "version", "start")), names["count"][a:b].tobytes() + content[cuts[a] : cuts[b]].tobytes())
+            (
+                int(bucket[a]), RUNS, 0, low[a:b].tobytes(), *(packs.planes(names[f][a:b]) for f in ("order", "version", "start")),
+                packs.planes(names["count"][a:b]) + content[cuts[a] : cuts[b]].tobytes(),
+            )
             for a, b in zip(edges, edges[1:])
-        ]
+        ]
 
     def found_rows(order: np.ndarray, version: np.ndarray, start: np.ndarray) -> list:
         return list(_found(order, version, start, np.ones(len(start), np.uint32), n))
@@ -395,14 +400,14 @@ def content_classes(data: np.ndarray, cuts: np.ndarray, group: np.ndarray) -> np
 
 def decide(rule: Rule, rows: list[dict], classes: Classes) -> Iterator[tuple[np.ndarray, ...]]:
     """(order, version, start, count) of windows that stand in a smaller document too."""
-    group = packs.column(rows, "a", np.uint32)
+    group = np.frombuffer(b"".join(r["a"] for r in rows), np.uint32)
     order, version = packs.column(rows, "b", np.int64), packs.column(rows, "c", np.uint16)
     start = packs.column(rows, "d", np.uint32)
     counts, parts = [], []
     for r in rows:
         k = len(r["a"])  # as many bytes of counts as of anchors
-        counts.append(np.frombuffer(r["e"], np.uint32, k // 4))
-        parts.append(np.frombuffer(r["e"], rule.dtype, offset=k) if k % np.dtype(rule.dtype).itemsize == 0 else np.frombuffer(r["e"][k:], rule.dtype))
+        counts.append(packs.values_of(r["e"][:k], np.uint32))
+        parts.append(np.frombuffer(r["e"], rule.dtype, offset=k))
     count, data = np.concatenate(counts).astype(np.int64), np.concatenate(parts)
     cuts = np.concatenate([[0], np.cumsum(count + rule.width - 1)])
     content = content_classes(data, cuts, group)
@@ -414,44 +419,61 @@ def decide(rule: Rule, rows: list[dict], classes: Classes) -> Iterator[tuple[np.
     first = np.flatnonzero(~later)
     one = first[np.unique(content[first], return_index=True)[1]]  # a run of each content
     # Where an anchor has runs of several contents, their windows are compared.
-    sizes = np.unique(group[one], return_inverse=True, return_counts=True)
-    open_ = one[sizes[2][sizes[1]] > 1]
-    if not len(open_):
-        return
-    number = classes(data, cuts[open_], count[open_], group[open_])
-    owner = np.repeat(order[open_], count[open_])
+    _, of, sizes = np.unique(group[one], return_inverse=True, return_counts=True)
+    several = one[sizes[of] > 1]
+    several = several[np.argsort(group[several], kind="stable")]
+    total = np.cumsum(count[several])
+    last = np.append(group[several][1:] != group[several][:-1], True)
+    ends = np.flatnonzero(last) + 1  # of the groups, which are worked on a bounded number of windows at a time
+    ends = ends[np.append(np.diff(total[ends - 1] // COMPARED) > 0, True)] if len(ends) else ends
+    alike = first[np.argsort(content[first], kind="stable")]
+    for a, b in zip([0, *ends.tolist()], ends.tolist()):
+        yield from _compare(several[a:b], alike, content, order, version, start, count, classes, data, cuts, group)
+
+
+def _compare(
+    mine: np.ndarray, alike: np.ndarray, content: np.ndarray, order: np.ndarray, version: np.ndarray, start: np.ndarray,
+    count: np.ndarray, classes: Classes, data: np.ndarray, cuts: np.ndarray, group: np.ndarray,
+) -> Iterator[tuple[np.ndarray, ...]]:
+    """What ``decide`` finds among runs of different contents; ``alike`` has the runs of a content together."""
+    size = count[mine] + np.diff(cuts)[mine[0]] - count[mine[0]]
+    local = np.concatenate([[0], np.cumsum(size)])
+    number = classes(data[spread(cuts[mine], size)], local[:-1], count[mine], group[mine])
+    owner = np.repeat(order[mine], count[mine])
     least = np.full(int(number.max()) + 1, LAST)
     np.minimum.at(least, number, owner)
     repeated = owner > least[number]
     if not repeated.any():
         return
     # The verdict on a run holds for all runs of its content in the same document.
-    place = np.full(int(content.max()) + 1, -1)
-    place[content[open_]] = np.arange(len(open_))
-    all_runs = first[place[content[first]] >= 0]
-    source = place[content[all_runs]]
-    begin = np.concatenate([[0], np.cumsum(count[open_])])
-    flags = repeated[spread(begin[source], count[open_][source])]
-    at = spread(start[all_runs].astype(np.int64), count[all_runs])[flags]
-    who = np.repeat(all_runs, count[all_runs])[flags]
+    low = np.searchsorted(content[alike], content[mine])
+    high = np.searchsorted(content[alike], content[mine], "right")
+    source = np.repeat(np.arange(len(mine)), high - low)
+    runs = alike[spread(low, high - low)]
+    begin = np.cumsum(count[mine]) - count[mine]
+    flags = repeated[spread(begin[source], count[mine][source])]
+    at = spread(start[runs].astype(np.int64), count[runs])[flags]
+    who = np.repeat(runs, count[runs])[flags]
     new = np.ones(len(at), bool)
     new[1:] = (at[1:] != at[:-1] + 1) | (who[1:] != who[:-1])
     edge = np.flatnonzero(new)
-    mine = who[edge]
-    yield order[mine], version[mine], at[edge].astype(np.uint32), np.diff(np.append(edge, len(at)))
+    yield order[who[edge]], version[who[edge]], at[edge].astype(np.uint32), np.diff(np.append(edge, len(at)))
 
 
 def spans(packed: DataFrame, rule: Rule, classes: Classes, n: int) -> DataFrame:
     """(order, version, first windows and numbers) of the repeated windows of every text that has some."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
         for _, rows in packs.groups(batches):
-            out = [(r["bucket"], FOUND, 0, r["a"], r["b"], r["c"], r["d"]) for r in rows if r["kind"] == FOUND]
+            yield packs.batch([(r["bucket"], FOUND, 0, r["a"], r["b"], r["c"], r["d"]) for r in rows if r["kind"] == FOUND])
             rows = [r for r in rows if r["kind"] == RUNS]
-            if rows:
-                for found in decide(rule, rows, classes):
-                    out += _found(*found, n)
-            yield packs.batch(out)
+            held += decide(rule, rows, classes) if rows else []
+            if sum(len(h[0]) for h in held) > HELD:
+                yield packs.batch(list(_found(*map(np.concatenate, zip(*held)), n)))
+                held = []
+        if held:
+            yield packs.batch(list(_found(*map(np.concatenate, zip(*held)), n)))
 
     def by_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in packs.groups(batches):
