@@ -421,11 +421,13 @@ def decide(rule: Rule, rows: list[dict], classes: Classes) -> Iterator[tuple[np.
     # Where an anchor has runs of several contents, their windows are compared.
     _, of, sizes = np.unique(group[one], return_inverse=True, return_counts=True)
     several = one[sizes[of] > 1]
+    if not len(several):
+        return
     several = several[np.argsort(group[several], kind="stable")]
     total = np.cumsum(count[several])
     last = np.append(group[several][1:] != group[several][:-1], True)
     ends = np.flatnonzero(last) + 1  # of the groups, which are worked on a bounded number of windows at a time
-    ends = ends[np.append(np.diff(total[ends - 1] // COMPARED) > 0, True)] if len(ends) else ends
+    ends = ends[np.append(np.diff(total[ends - 1] // COMPARED) > 0, True)]
     alike = first[np.argsort(content[first], kind="stable")]
     for a, b in zip([0, *ends.tolist()], ends.tolist()):
         yield from _compare(several[a:b], alike, content, order, version, start, count, classes, data, cuts, group)
