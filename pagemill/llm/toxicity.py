@@ -38,7 +38,7 @@ from pagemill.llm.labelled import class_share, labelled_sample
 WINDOW, STEP = 32, 24  # words
 HIDDEN, WORD, CHAR, SLOTS, BUCKETS, VOCABULARY = 8, 8, 8, 4, 2048, 4096
 SAMPLE_ROWS, SAMPLE_WINDOWS = 1500, 40
-EPOCHS, WORST_FROM, BATCH, RATE, DECAY = 10, 2, 128, 0.01, 1e-4
+EPOCHS, WORST_FROM, BATCH, RATE, DECAY, EVIDENCE = 10, 2, 128, 0.01, 1e-3, 2.0
 THRESHOLD = 0.3
 GROUP = 2048  # windows that are worked on at once
 KNOWN_WORDS = 300_000  # words whose inputs a task keeps
@@ -226,15 +226,36 @@ def windows_of(numbers: np.ndarray) -> np.ndarray:
     return np.lib.stride_tricks.sliding_window_view(numbers, WINDOW)[starts(len(numbers))]
 
 
+def evidence(texts: list[list[str]], classes: np.ndarray, frequent: list[str]) -> np.ndarray:
+    """Where each word's first coordinate starts: how surely its documents are of one class.
+
+    The signed root of the likelihood ratio of its counts of documents by class, scaled down.
+    """
+    place = {w: k for k, w in enumerate(frequent)}
+    seen = np.zeros((2, len(frequent)))
+    for doc, c in zip(texts, classes):
+        for k in {place[n] for window in doc for w in window.split() if (n := normal(w)) in place}:
+            seen[int(c), k] += 1
+    size = np.array([[(classes == 0).sum()], [(classes == 1).sum()]])
+    share = seen.sum(0) / size.sum()
+    log = lambda p: np.log(np.clip(p, 1e-9, 1))
+    own = seen / size
+    ratio = (seen * (log(own) - log(share)) + (size - seen) * (log(1 - own) - log(1 - share))).sum(0)
+    return (np.sign(own[1] - own[0]) * np.sqrt(np.maximum(2 * ratio, 0)) / EVIDENCE).astype(np.float32)
+
+
 def fit(texts: list[list[str]], classes: np.ndarray, prior: float | None = None, seed: int = 3) -> Network:
     """A network for documents given as lists of windows of words, and their classes."""
     seen = Counter(w for doc in texts for w in {normal(x) for window in doc for x in window.split()})
     frequent = sorted((w for w in seen if seen[w] >= 3), key=lambda w: (-seen[w], w))[:VOCABULARY]
     net = Network({w: k + 2 for k, w in enumerate(frequent)})
+    for name in ("word", "char"):
+        net.p[name] *= 0.2
     share = float(classes.mean()) if len(classes) else 0.5
     if share in (0.0, 1.0) or not len(classes):
         net.slope, net.shift = 0.0, float(np.log((share + 1e-3) / (1 - share + 1e-3)))
         return net
+    net.p["word"][2 : 2 + len(frequent), 0] = evidence(texts, classes, frequent)
     table = Words(net)
     windows = np.concatenate([windows_of(table.of(w.split()))[:1] for doc in texts for w in doc])
     owner = np.repeat(np.arange(len(texts)), [len(doc) for doc in texts])
