@@ -364,37 +364,36 @@ ranges AS (
 # --- prompts ------------------------------------------------------------------------
 
 PROMPTS = """
-names AS (SELECT * FROM (VALUES ('baseline', 0), ('structured', 1), ('concise', 2), ('json_output', 3),
-  ('chain_of_thought', 4), ('few_shot', 5)) t(prompt_name, ord)),
-asked AS (SELECT conv_id AS input_id, min_by(text, turn) AS text FROM conversations WHERE role = 'user' GROUP BY conv_id),
+names AS (SELECT * FROM (VALUES ('plain', 0), ('for_newcomers', 1), ('claims_with_sources', 2), ('two_sides', 3),
+  ('csv_facts', 4)) t(prompt_name, ord)),
+asked AS (SELECT conv_id || '-' || turn AS input_id, text FROM conversations WHERE role = 'user'),
+newest AS (SELECT conv_id, max(turn) AS asked, max_by(text, turn) AS text FROM conversations WHERE role = 'user' GROUP BY conv_id),
 answers AS (
-  SELECT conv_id AS input_id, prompt_name, ord, turn AS run_no, text, length(text) AS n
-  FROM conversations JOIN names ON ord = (turn // 2) %% 6 WHERE role = 'assistant'
-),
-firsts AS (
-  SELECT * FROM answers QUALIFY row_number() OVER (PARTITION BY input_id, prompt_name ORDER BY run_no) = 1
+  SELECT conv_id || '-' || (turn - 1) AS input_id, conv_id, prompt_name, ord, turn AS run_no, text, length(text) AS n
+  FROM conversations JOIN names ON ord = (conv_id + turn // 2) %% 5 WHERE role = 'assistant'
 ),
 results AS (
-  SELECT f.input_id, prompt_name, ord, a.text AS input_text, f.text, n AS char_count,
+  SELECT a.input_id, g.prompt_name, g.ord, f.run_no, a.text AS input_text, f.text, n AS char_count,
     len(list_filter(regexp_split_to_array(f.text, '%(ws)s+'), lambda w: w <> '')) AS word_count,
     json_valid(f.text) AS has_json,
     (contains(f.text, '[1]') OR contains(f.text, '[2]') OR contains(f.text, '来源') OR contains(f.text, 'reference')
       OR contains(f.text, 'Reference') OR contains(f.text, '引用') OR contains(f.text, '参见')) AS has_citation,
     round(n * CAST(1.23456 AS DOUBLE), 2) AS latency_ms, n * 3 AS token_total
-  FROM firsts f JOIN asked a USING (input_id)
+  FROM asked a CROSS JOIN names g LEFT JOIN answers f ON f.input_id = a.input_id AND f.prompt_name = g.prompt_name
 )""" % {"ws": WS}
 
 REPORT = f"""
 reports AS (
-  SELECT input_id, count(*) AS prompts,
+  SELECT input_id, count(text) AS answers, count(*) - count(text) AS missing,
     '# Prompt comparison' || {NL} || {NL} || '**Input**: ' || min(input_text) || {NL} || {NL}
     || '| Prompt | Characters | Latency (ms) | Tokens | JSON | Citation |' || {NL} || '|---|---|---|---|---|---|' || {NL}
-    || string_agg('| ' || prompt_name || ' | ' || char_count || ' | ' || CAST(round_even(latency_ms, 0) AS BIGINT)
+    || string_agg('| ' || prompt_name || coalesce(' #' || run_no, '') || ' | ' || CASE WHEN text IS NULL THEN 'no answer | | | |' ELSE
+      char_count || ' | ' || CAST(round_even(latency_ms, 0) AS BIGINT)
       || ' | ' || token_total || ' | ' || CASE WHEN has_json THEN '✅' ELSE '—' END || ' | '
-      || CASE WHEN has_citation THEN '✅' ELSE '—' END || ' |', {NL} ORDER BY ord)
+      || CASE WHEN has_citation THEN '✅' ELSE '—' END END || ' |', {NL} ORDER BY ord, run_no)
     || {NL} || {NL} || '## Outputs' || {NL} || {NL}
-    || string_agg('### ' || prompt_name || {NL} || {NL} || '```' || {NL} || substr(text, 1, 500)
-      || CASE WHEN length(text) > 500 THEN {NL} || '...(truncated)' ELSE '' END || {NL} || '```' || {NL}, {NL} ORDER BY ord)
+    || coalesce(string_agg('### ' || prompt_name || ' #' || run_no || {NL} || {NL} || '```' || {NL} || substr(text, 1, 500)
+      || CASE WHEN length(text) > 500 THEN {NL} || '...(truncated)' ELSE '' END || {NL} || '```' || {NL}, {NL} ORDER BY ord, run_no), '')
       AS report
   FROM results GROUP BY input_id
 )"""
@@ -456,7 +455,7 @@ add("get_by_id_list", f"{PUBLIC} FROM catalog WHERE id IN (3, 5, 8, 13, 21, 34)"
 add("filter_keyword", f"{PUBLIC} FROM catalog WHERE filename ILIKE '%URG_NT%7%'", CATALOG)
 add("filter_status", f"{PUBLIC} FROM catalog WHERE status = 'parsing'", CATALOG)
 add("filter_file_type", f"{PUBLIC} FROM catalog WHERE file_type = '.md'", CATALOG)
-add("catalog_search", f"""{PUBLIC} FROM catalog WHERE user_id = 7 AND filename ILIKE '%h%' AND status = 'ready'
+add("catalog_search", f"""{PUBLIC} FROM catalog WHERE contains(filename, 'high_1') AND status = 'ready'
   AND file_type = '.md'""", CATALOG)
 add("keyset_after", f"{PUBLIC} FROM catalog WHERE (created_at, id) < (TIMESTAMP '1998-01-01', 5000)", CATALOG)
 add("keyset_page", f"{PUBLIC} FROM (SELECT * FROM catalog WHERE status = 'ready' {ORDER} LIMIT 50)", CATALOG)
@@ -467,7 +466,13 @@ add("keyset_page_info", f"""SELECT CAST(50 AS INTEGER) AS item_count, TRUE AS ha
 add("encode_cursor_round_trip", f"""SELECT id, {CURSOR} AS cursor, {iso('created_at')} AS created_at, id AS decoded_id
   FROM (SELECT event_id AS id, ts AS created_at FROM events)""")
 add("list_documents", f"""SELECT CAST(id AS VARCHAR) AS id, filename, file_type, file_size, status,
-  {iso('created_at')} AS created_at
+  {iso('created_at')} AS created_at,
+  (SELECT count(*) FROM catalog WHERE user_id = 7) AS total,
+  (SELECT count(*) FROM catalog WHERE user_id = 7 AND status = 'ready') AS filtered_total,
+  (SELECT greatest(1, CAST(ceil(count(*) / 5) AS BIGINT)) FROM catalog WHERE user_id = 7) AS total_pages,
+  (SELECT count(*) > 5 FROM catalog WHERE user_id = 7 AND status = 'ready') AS has_more,
+  (SELECT {CURSOR} FROM (SELECT *, row_number() OVER ({ORDER}) AS r, count(*) OVER () AS n FROM catalog WHERE user_id = 7 AND status = 'ready')
+    WHERE r = 5 AND n > 5) AS next_cursor
   FROM (SELECT * FROM catalog WHERE user_id = 7 AND status = 'ready' {ORDER} LIMIT 5)""", CATALOG)
 add("sorted_listing", f"{PUBLIC} FROM (SELECT * FROM catalog ORDER BY file_size, id LIMIT 100 OFFSET 100)", CATALOG)
 add("offset_page", f"{PUBLIC} FROM (SELECT * FROM catalog WHERE file_type = '.pdf' {ORDER} LIMIT 20 OFFSET 40)", CATALOG)
@@ -656,27 +661,33 @@ add("build_conversation", "SELECT * FROM turns", TURNS)
 add("message_json", """SELECT conv_id, turn, CAST(CASE role WHEN 'assistant' THEN json_object('role', role, 'content', text,
   'reasoning_content', 'weighed turn ' || turn) ELSE json_object('role', role, 'content', text) END AS VARCHAR) AS message
   FROM conversations""")
-add("assemble_request", """SELECT input_id AS conv_id, CAST(0 AS INTEGER) AS section, CAST(0 AS BIGINT) AS position,
-    'system' AS role, 'Be brief.' AS content FROM asked
-  UNION ALL SELECT conv_id, 1, position, role, content FROM turns WHERE conv_id IN (SELECT input_id FROM asked)
-  UNION ALL SELECT input_id, 2, 0, 'user', text FROM asked""", PROMPTS, TURNS)
+add("assemble_request", """SELECT conv_id, CAST(0 AS INTEGER) AS section, CAST(0 AS BIGINT) AS position,
+    'system' AS role, 'Be brief.' AS content FROM newest
+  UNION ALL SELECT conv_id, 1, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1, role, c.text
+    FROM conversations c JOIN newest USING (conv_id) WHERE role IN ('user', 'assistant') AND turn < asked
+  UNION ALL SELECT conv_id, 2, 0, 'user', text FROM newest""", PROMPTS)
 add("request_params", """SELECT event_id, CASE WHEN user_id % 5 = 0 THEN 16000 ELSE CAST(user_id % 5 AS INTEGER) END AS max_tokens,
   CASE WHEN event_type = 'view' THEN 'low' ELSE 'high' END AS reasoning_effort,
   CASE WHEN event_type = 'error' THEN 'disabled' ELSE 'enabled' END AS thinking FROM events""")
 add("parse_response", """SELECT input_id, prompt_name, run_no, text, CASE WHEN run_no % 3 = 0 THEN 'thought' END AS reasoning_content,
-  CASE WHEN input_id % 2 = 0 THEN 'model-a' ELSE 'model-z' END AS model,
+  CASE WHEN conv_id % 2 = 0 THEN 'model-a' ELSE 'model-z' END AS model,
   CASE WHEN run_no % 4 = 1 THEN 'length' ELSE 'stop' END AS finish_reason, n AS prompt_tokens,
   CASE WHEN run_no % 5 = 3 THEN 0 ELSE n * 2 END AS completion_tokens, n * 3 AS total_tokens,
-  round(n * CAST(1.23456 AS DOUBLE), 2) AS latency_ms FROM answers""", PROMPTS)
+  round(n * CAST(1.23456 AS DOUBLE), 2) AS latency_ms, CAST(NULL AS VARCHAR) AS parse_error FROM answers""", PROMPTS)
+add("unreadable_responses", """SELECT input_id, prompt_name, run_no, CASE WHEN run_no % 4 = 1 THEN 'not a JSON object'
+  WHEN run_no % 8 = 3 THEN 'no response' ELSE 'no choices' END AS parse_error FROM answers WHERE run_no % 4 IN (1, 3)""", PROMPTS)
+add("prompt_registry", """SELECT prompt_name, CAST(ord AS INTEGER) AS ord, CAST(CASE prompt_name WHEN 'claims_with_sources' THEN 26 WHEN 'two_sides' THEN 18
+  ELSE 7 END AS INTEGER) AS template_chars, (SELECT count(*) FROM answers a WHERE a.prompt_name = n.prompt_name) AS responses FROM names n""", PROMPTS)
 add("explode_messages", f"""SELECT conv_id || '-' || turn AS id, CAST(i - 1 AS INTEGER) AS position,
   CASE WHEN i % 2 = 1 THEN 'user' ELSE 'assistant' END AS role, content,
-  '2026-01-01T00:00:' || lpad(CAST((i - 1) % 60 AS VARCHAR), 2, '0') || 'Z' AS timestamp
+  '2026-01-01T00:00:' || lpad(CAST((i - 1) % 60 AS VARCHAR), 2, '0') || 'Z' AS timestamp, CAST(NULL AS VARCHAR) AS error
   FROM (SELECT conv_id, turn, unnest(string_split(text, {NL})) AS content,
     generate_subscripts(string_split(text, {NL}), 1) AS i FROM conversations)""")
 add("render_prompts", """SELECT doc_id, CASE WHEN lang <> 'es' THEN 'In ' || lang || ', {from} ' || source || '?' END AS user_message,
   CASE WHEN lang = 'es' THEN 'missing value' END AS reject_reason FROM documents""")
-add("render_grid", """SELECT input_id, prompt_name, CAST(ord AS INTEGER) AS ord, text AS user_message FROM asked
-  CROSS JOIN (VALUES ('concise', 0), ('baseline', 1), ('few_shot', 2)) t(prompt_name, ord)""", PROMPTS)
+add("render_grid", """SELECT input_id, prompt_name, CAST(ord AS INTEGER) AS ord,
+  CASE WHEN prompt_name = 'two_sides' THEN 'Statement: ' ELSE '' END || text AS user_message FROM asked
+  CROSS JOIN (VALUES ('csv_facts', 0), ('plain', 1), ('two_sides', 2)) t(prompt_name, ord)""", PROMPTS)
 add("unknown_names", "SELECT event_type AS prompt_name, count(*) AS n FROM events WHERE event_type <> 'view' GROUP BY 1")
 add("has_json", """SELECT event_id, json_valid(CASE event_type WHEN 'view' THEN props WHEN 'click' THEN props || ' x'
   WHEN 'error' THEN '"error"' WHEN 'purchase' THEN '[' || user_id || ', null]' ELSE event_type END) AS has_json FROM events""")
@@ -688,7 +699,7 @@ add("output_metrics", f"""SELECT doc_id, CAST(length(t) AS INTEGER) AS char_coun
 add("prompt_metrics_summary", """SELECT prompt_name, count(*) AS outputs, round(avg(char_count), 4) AS avg_chars,
   round(avg(word_count), 4) AS avg_words, round(avg(latency_ms), 4) AS avg_latency_ms, CAST(sum(token_total) AS BIGINT) AS tokens,
   count(*) FILTER (WHERE has_json) AS json_outputs, count(*) FILTER (WHERE has_citation) AS cited_outputs
-  FROM results GROUP BY prompt_name""", PROMPTS)
+  FROM results WHERE text IS NOT NULL GROUP BY prompt_name""", PROMPTS)
 add("run_experiment", "SELECT * FROM reports", PROMPTS, REPORT)
 
 # --- vectors --------------------------------------------------------------------------

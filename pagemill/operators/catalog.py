@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, GroupedData, Window
 from pyspark.sql import functions as F
 
 from pagemill.constants import (
@@ -250,10 +250,22 @@ def catalog_totals(
     catalog: DataFrame, *, page_size: int = DEFAULT_PAGE_SIZE, matching: Column | None = None
 ) -> DataFrame:
     """Per user: all documents, those that match the filters, and pages of the former."""
+    return _totals(catalog.groupBy("user_id"), page_size, matching)
+
+
+def owner_totals(
+    catalog: DataFrame, user_id: object, *, page_size: int = DEFAULT_PAGE_SIZE, matching: Column | None = None
+) -> DataFrame:
+    """The totals of one user: one row, also of a user without documents."""
+    mine = catalog.filter(F.col("user_id") == F.lit(user_id))
+    return _totals(mine.groupBy(), page_size, matching)
+
+
+def _totals(groups: GroupedData, page_size: int, matching: Column | None) -> DataFrame:
     check_paging(page_size=page_size)
     total = F.count("*")
     matched = total if matching is None else F.count_if(matching)
-    return catalog.groupBy("user_id").agg(
+    return groups.agg(
         total.alias("total"),
         matched.alias("filtered_total"),
         F.greatest(F.lit(1), F.ceil(total / page_size)).cast("bigint").alias("total_pages"),

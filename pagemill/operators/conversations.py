@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from pagemill.constants import (
     DEFAULT_EFFORT,
@@ -90,14 +91,24 @@ def request_params(
 def parse_response(
     responses: DataFrame, *, raw: str = "raw", default_model: str = ""
 ) -> DataFrame:
-    """Stored completion JSON to typed columns, with defaults for what is missing."""
+    """Stored completion JSON to typed columns, with defaults for what is missing.
+
+    ``parse_error`` says why a response could not be read; it is null for the others.
+    """
     r = F.col("_r")
     choice = F.get(r["choices"], F.lit(0))
 
     def tokens(name: str) -> Column:
         return F.coalesce(r["usage"][name], F.lit(0)).alias(name)
 
-    parsed = responses.withColumn("_r", F.from_json(F.col(raw), COMPLETION))
+    broken = "_broken"
+    schema = StructType([*COMPLETION.fields, StructField(broken, StringType())])
+    parsed = responses.withColumn("_r", F.from_json(F.col(raw), schema, {"columnNameOfCorruptRecord": broken}))
+    error = (
+        F.when(F.col(raw).isNull(), "no response")
+        .when(r.isNull() | r[broken].isNotNull(), "not a JSON object")
+        .when(F.size(F.coalesce(r["choices"], F.array())) == 0, "no choices")
+    )
     return parsed.select(
         *[c for c in responses.columns if c not in (raw, "latency_ms")],
         F.coalesce(choice["message"]["content"], F.lit("")).alias("text"),
@@ -110,14 +121,20 @@ def parse_response(
         tokens("completion_tokens"),
         tokens("total_tokens"),
         F.round("latency_ms", 2).alias("latency_ms"),
+        error.alias("parse_error"),
     )
 
 
 def explode_messages(sessions: DataFrame, *, messages: str = "messages") -> DataFrame:
-    """Session rows to one row per message; messages are an array, or JSON text of one."""
+    """Session rows to one row per message; messages are an array, or JSON text of one.
+
+    A session whose messages can't be read is one row with ``error``; one without
+    messages is one row without anything.
+    """
     listed = F.col(messages)
     if dict(sessions.dtypes)[messages] == "string":
-        listed = F.from_json(listed, f"array<{MESSAGE.simpleString()}>")
-    return sessions.select("id", F.posexplode(listed).alias("position", "m")).select(
-        "id", "position", "m.role", "m.content", "m.timestamp"
+        listed = F.from_json(listed, f"array<{MESSAGE.simpleString()}>", {"mode": "PERMISSIVE"})
+    error = F.when(F.col(messages).isNotNull() & listed.isNull(), "messages are not a JSON array")
+    return sessions.select("id", error.alias("error"), F.posexplode_outer(listed).alias("position", "m")).select(
+        "id", "position", "m.role", "m.content", "m.timestamp", "error"
     )

@@ -18,17 +18,21 @@ def insert_if_absent(
     others = [c for c in incoming.columns if c not in keys]
     row = F.struct(*[F.col(c) for c in others])
     firsts = incoming.groupBy(*keys).agg(F.min_by(row, first_by).alias("_row"))
-    new = firsts.join(existing.select(*keys), list(keys), "left_anti")
+    new = firsts.join(existing.select(*keys).distinct(), list(keys), "left_anti")
     return existing.unionByName(new.select(*keys, "_row.*"))
 
 
 def update_rows(
-    table: DataFrame, changes: DataFrame, *, key: str = "id", columns: Sequence[str]
+    table: DataFrame, changes: DataFrame, *, key: str = "id", columns: Sequence[str], latest: str | None = None
 ) -> DataFrame:
-    """The table with ``columns`` set from the change row of the same key, null included."""
-    renamed = changes.select(
-        F.col(key), F.struct(*[F.col(c) for c in columns]).alias("_change")
-    )
+    """The table with ``columns`` set from the change row of the same key, null included.
+
+    Of several changes to a key the one that is last by ``latest`` counts; without
+    such a column, the largest by its values.
+    """
+    change = F.struct(*[F.col(c) for c in columns])
+    order = F.struct(F.col(latest), change) if latest else change
+    renamed = changes.groupBy(key).agg(F.max_by(change, order).alias("_change"))
     joined = table.join(renamed, key, "left")
     changed = F.col("_change").isNotNull()
     return joined.select(

@@ -23,32 +23,29 @@ class Template:
 
 
 PRESETS = (
-    Template("baseline", "the bare question", "", "{input}"),
+    Template("plain", "the text alone", "", "{input}"),
     Template(
-        "structured",
-        "role, limits and layout",
-        "You are an engineer. State the answer in one sentence, list the reasons, "
-        "end with an example to try.",
+        "for_newcomers",
+        "everyday words for readers new to the subject",
+        "Your readers meet this subject for the first time. Use everyday words and explain every term you can't avoid.",
         "{input}",
     ),
-    Template("concise", "short answers only", "Answer in at most one hundred words.", "{input}"),
     Template(
-        "json_output",
-        "answers as JSON",
-        "Answer with a JSON object that has the keys summary, key_points and conclusion.",
-        "{input}",
+        "claims_with_sources",
+        "every claim with where it comes from",
+        "After each claim name the passage it rests on in square brackets. Leave out what no passage supports.",
+        "Text to work from:\n{input}",
     ),
     Template(
-        "chain_of_thought",
-        "reasoning in steps",
-        "Restate the problem, name its parts, reason step by step, then give the answer.",
-        "{input}",
+        "two_sides",
+        "the case for and the case against",
+        "First make the strongest case for the statement, then the strongest case against it. Do not decide.",
+        "Statement: {input}",
     ),
     Template(
-        "few_shot",
-        "one worked example",
-        "Follow the example.\nQuestion: what is an index?\n"
-        "Answer: a structure that finds rows without reading the whole table.",
+        "csv_facts",
+        "facts as lines of a table",
+        "Write nothing but lines of the form subject;property;value, one fact to a line.",
         "{input}",
     ),
 )
@@ -149,7 +146,7 @@ def output_metrics(outputs: DataFrame, *, text: str = "text") -> DataFrame:
 
 def prompt_metrics_summary(results: DataFrame) -> DataFrame:
     """Per prompt: how its outputs came out."""
-    return results.groupBy("prompt_name").agg(
+    return results.filter("answered").groupBy("prompt_name").agg(
         F.count("*").alias("outputs"),
         F.round(F.avg("char_count"), 4).alias("avg_chars"),
         F.round(F.avg("word_count"), 4).alias("avg_words"),
@@ -160,46 +157,36 @@ def prompt_metrics_summary(results: DataFrame) -> DataFrame:
     )
 
 
-def unique_results(results: DataFrame, *, order: str) -> DataFrame:
-    """One result per input and prompt, the first by ``order``.
-
-    An input then has at most as many results as there are templates, which is
-    what bounds a report.
-    """
-    keys = ["input_id", "prompt_name"]
-    others = [c for c in results.columns if c not in keys]
-    first = F.min_by(F.struct(*others), order).alias("_r")
-    return results.groupBy(*keys).agg(first).select(*keys, "_r.*")
-
-
 def comparison_table(results: DataFrame) -> DataFrame:
-    """A Markdown report per input: a row per prompt, then an excerpt of each output.
+    """A Markdown report per input: a row per prompt and run, then an excerpt of each output.
 
-    ``results`` has unique (input_id, prompt_name) and their run order ``ord``.
+    ``results`` has unique (input_id, prompt_name, run_no) and the prompts' order
+    ``ord``; a prompt without an answer is one row that says so.
     """
     tick = lambda flag: F.when(flag, "✅").otherwise("—")
+    label = F.concat(F.col("prompt_name"), F.coalesce(F.concat(F.lit(" #"), F.col("run_no").cast("string")), F.lit("")))
+    figures = F.concat_ws(
+        " | ",
+        F.col("char_count").cast("string"),
+        F.bround("latency_ms", 0).cast("bigint").cast("string"),
+        F.col("token_total").cast("string"),
+        tick(F.col("has_json")),
+        tick(F.col("has_citation")),
+    )
     row = F.concat(
-        F.lit("| "),
-        F.concat_ws(
-            " | ",
-            "prompt_name",
-            F.col("char_count").cast("string"),
-            F.bround("latency_ms", 0).cast("bigint").cast("string"),
-            F.col("token_total").cast("string"),
-            tick(F.col("has_json")),
-            tick(F.col("has_citation")),
-        ),
-        F.lit(" |"),
+        F.lit("| "), label, F.lit(" | "), F.when(F.col("answered"), figures).otherwise("no answer | | | |"), F.lit(" |")
     )
-    detail = F.concat(
-        F.lit("### "), F.col("prompt_name"), F.lit("\n\n```\n"), excerpt(F.col("text")), F.lit("\n```\n")
+    detail = F.when(
+        F.col("answered"),
+        F.concat(F.lit("### "), label, F.lit("\n\n```\n"), excerpt(F.col("text")), F.lit("\n```\n")),
     )
     lines = results.withColumn("_row", row).withColumn("_detail", detail)
     listed = lines.groupBy("input_id").agg(
         F.min("input_text").alias("input_text"),
-        F.count("*").alias("prompts"),
-        F.expr("listagg(_row, '\\n') WITHIN GROUP (ORDER BY ord)").alias("_rows"),
-        F.expr("listagg(_detail, '\\n') WITHIN GROUP (ORDER BY ord)").alias("_details"),
+        F.count_if("answered").alias("answers"),
+        F.count_if(~F.col("answered")).alias("missing"),
+        F.expr("listagg(_row, '\\n') WITHIN GROUP (ORDER BY ord, run_no)").alias("_rows"),
+        F.expr("listagg(_detail, '\\n') WITHIN GROUP (ORDER BY ord, run_no)").alias("_details"),
     )
     report = F.concat(
         F.lit("# Prompt comparison\n\n**Input**: "),
@@ -208,6 +195,6 @@ def comparison_table(results: DataFrame) -> DataFrame:
         F.lit("|---|---|---|---|---|---|\n"),
         F.col("_rows"),
         F.lit("\n\n## Outputs\n\n"),
-        F.col("_details"),
+        F.coalesce(F.col("_details"), F.lit("")),
     )
-    return listed.select("input_id", "prompts", report.alias("report"))
+    return listed.select("input_id", "answers", "missing", report.alias("report"))

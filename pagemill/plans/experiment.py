@@ -14,7 +14,6 @@ from pagemill.operators.prompts import (
     comparison_table,
     output_metrics,
     render_grid,
-    unique_results,
 )
 
 
@@ -25,16 +24,25 @@ def experiment_results(
     names: Sequence[str] | None = None,
     templates: Sequence[Template] = PRESETS,
 ) -> DataFrame:
-    """Scored outputs of every input and prompt that has a stored response.
+    """Every input and prompt with its scored outputs, all runs of them.
 
     ``inputs(input_id, text)``, ``responses(input_id, prompt_name, raw, latency_ms, run_no)``.
+    A prompt without a readable answer is one row with ``answered`` false; answers
+    that can't be read are listed by :func:`unreadable_responses`.
     """
     grid = render_grid(inputs, names=names, templates=templates).select(
         "input_id", "prompt_name", "ord", F.col("text").alias("input_text"), "system", "user_message"
     )
-    outputs = unique_results(parse_response(responses), order="run_no")
+    outputs = parse_response(responses).filter(F.col("parse_error").isNull()).drop("parse_error")
     scored = output_metrics(outputs.withColumn("token_total", F.col("total_tokens")))
-    return grid.join(scored, ["input_id", "prompt_name"])
+    return grid.join(scored, ["input_id", "prompt_name"], "left").withColumn("answered", F.col("text").isNotNull())
+
+
+def unreadable_responses(responses: DataFrame) -> DataFrame:
+    """Stored responses that no score counts, with why."""
+    return parse_response(responses).filter(F.col("parse_error").isNotNull()).select(
+        "input_id", "prompt_name", "run_no", "parse_error"
+    )
 
 
 def run_experiment(inputs: DataFrame, responses: DataFrame, **options: object) -> DataFrame:

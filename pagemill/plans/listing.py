@@ -36,7 +36,7 @@ def list_documents(
     return Listing(
         ct.document_response(ct.keyset_page(mine, **page)),
         ct.keyset_page_info(mine, **page),
-        ct.catalog_totals(mine, page_size=page_size, matching=ct.catalog_filter(**filters)),
+        ct.owner_totals(catalog, user_id, page_size=page_size, matching=ct.catalog_filter(**filters)),
     )
 
 

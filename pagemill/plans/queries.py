@@ -214,7 +214,7 @@ def filter_file_type(spark, folder):
 def catalog_search(spark, folder):
     return _public(
         ct.catalog_search(
-            ad.catalog(spark, folder), user_id=USER, keyword="h", status="ready", file_type=".md"
+            ad.catalog(spark, folder), keyword="high_1", status="ready", file_type=".md"
         )
     )
 
@@ -255,7 +255,14 @@ def encode_cursor_round_trip(spark, folder):
 @query
 def list_documents(spark, folder):
     listing = ls.list_documents(ad.catalog(spark, folder), USER, page_size=5, status="ready")
-    return listing.items.drop("updated_at", "storage_path")
+    return listing.items.drop("updated_at", "storage_path").select(
+        "*",
+        listing.totals.select("total").scalar().alias("total"),
+        listing.totals.select("filtered_total").scalar().alias("filtered_total"),
+        listing.totals.select("total_pages").scalar().alias("total_pages"),
+        listing.info.select("has_more").scalar().alias("has_more"),
+        listing.info.select("next_cursor").scalar().alias("next_cursor"),
+    )
 
 
 @query
@@ -755,10 +762,13 @@ def message_json(spark, folder):
 
 @query
 def assemble_request(spark, folder):
-    history = cv.build_conversation(ad.messages(spark, folder))
-    ask = ad.experiment_inputs(spark, folder).select(
-        F.col("input_id").alias("conv_id"), F.lit("Be brief.").alias("system"), F.col("text").alias("user_message")
+    messages = ad.messages(spark, folder)
+    newest = messages.filter(F.col("role") == "user").groupBy("conv_id").agg(
+        F.max("turn").alias("asked"), F.max_by("content", "turn").alias("user_message")
     )
+    before = messages.join(newest.select("conv_id", "asked"), "conv_id").filter(F.col("turn") < F.col("asked"))
+    history = cv.build_conversation(before.drop("asked"))
+    ask = newest.select("conv_id", F.lit("Be brief.").alias("system"), "user_message")
     return cv.assemble_request(history, ask).select("conv_id", "section", "position", "role", "content")
 
 
@@ -783,6 +793,21 @@ def explode_messages(spark, folder):
     return cv.explode_messages(ad.chat_sessions(spark, folder))
 
 
+@query
+def prompt_registry(spark, folder):
+    """The registry, and how many stored responses each template has."""
+    asked = ad.stored_responses(spark, folder).groupBy("prompt_name").agg(F.count("*").alias("responses"))
+    registry = pr.prompt_registry(spark).withColumnRenamed("name", "prompt_name")
+    return registry.join(asked, "prompt_name", "left").select(
+        "prompt_name", "ord", F.length("user_template").alias("template_chars"), F.coalesce("responses", F.lit(0)).alias("responses")
+    )
+
+
+@query
+def unreadable_responses(spark, folder):
+    return ex.unreadable_responses(ad.damaged_responses(spark, folder))
+
+
 @query
 def render_prompts(spark, folder):
     asked = ad.documents(spark, folder).select(
@@ -795,7 +820,7 @@ def render_prompts(spark, folder):
 @query
 def render_grid(spark, folder):
     inputs = ad.experiment_inputs(spark, folder)
-    return pr.render_grid(inputs, names=["concise", "nobody", "baseline", "few_shot"]).select(
+    return pr.render_grid(inputs, names=["csv_facts", "nobody", "plain", "two_sides"]).select(
         "input_id", "prompt_name", "ord", "user_message"
     )
 
@@ -803,7 +828,7 @@ def render_grid(spark, folder):
 @query
 def unknown_names(spark, folder):
     asked = tb.read_table(spark, folder, "events").select(
-        F.when(F.col("event_type") == "view", "baseline").otherwise(F.col("event_type")).alias("prompt_name")
+        F.when(F.col("event_type") == "view", "plain").otherwise(F.col("event_type")).alias("prompt_name")
     )
     return pr.unknown_names(asked)
 

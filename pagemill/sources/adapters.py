@@ -228,7 +228,7 @@ def chat_sessions(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def stored_responses(spark: SparkSession, folder: str) -> DataFrame:
-    """Assistant turns as stored completions of the prompts in turn.
+    """Assistant turns as stored completions, of the turn before, with the templates in turn.
 
     Some leave out the finish reason, the model or the reasoning.
     """
@@ -253,19 +253,31 @@ def stored_responses(spark: SparkSession, folder: str) -> DataFrame:
         )
     )
     return read_table(spark, folder, "conversations").filter(F.col("role") == "assistant").select(
-        F.col("conv_id").alias("input_id"),
-        F.get(names, F.pmod(F.floor(turn / 2), F.lit(len(PRESETS))).cast("int")).alias("prompt_name"),
+        _input_id(F.col("conv_id"), turn - 1).alias("input_id"),
+        F.get(names, F.pmod(F.col("conv_id") + F.floor(turn / 2), F.lit(len(PRESETS))).cast("int")).alias("prompt_name"),
         turn.alias("run_no"),
         raw.alias("raw"),
         (size * 1.23456).alias("latency_ms"),
     )
 
 
-def experiment_inputs(spark: SparkSession, folder: str) -> DataFrame:
-    """The first user message of each conversation."""
-    return (
-        read_table(spark, folder, "conversations")
-        .filter(F.col("role") == "user")
-        .groupBy(F.col("conv_id").alias("input_id"))
-        .agg(F.min_by("text", "turn").alias("text"))
+def damaged_responses(spark: SparkSession, folder: str) -> DataFrame:
+    """Stored responses of which some are cut short, missing or without an answer."""
+    n = F.col("run_no")
+    raw = (
+        F.when(n % 4 == 1, F.substring("raw", 1, 10))
+        .when(n % 8 == 3, F.lit(None))
+        .when(n % 8 == 7, F.lit('{"choices": []}'))
+        .otherwise(F.col("raw"))
     )
+    return stored_responses(spark, folder).withColumn("raw", raw)
+
+
+def _input_id(conversation: Column, turn: Column) -> Column:
+    return F.concat_ws("-", conversation.cast("string"), turn.cast("string"))
+
+
+def experiment_inputs(spark: SparkSession, folder: str) -> DataFrame:
+    """Every user message as an input, named by its conversation and turn."""
+    asked = read_table(spark, folder, "conversations").filter(F.col("role") == "user")
+    return asked.select(_input_id(F.col("conv_id"), F.col("turn")).alias("input_id"), "text")

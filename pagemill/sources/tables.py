@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import functools
+import shutil
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -40,18 +44,36 @@ def stream_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return stream.repartition(_cores(table)) if _is_narrow(table) else stream
 
 
+@functools.cache
+def _local_folder() -> str:
+    """A folder of this process, removed when it ends."""
+    path = tempfile.mkdtemp(prefix="pagemill-")
+    atexit.register(shutil.rmtree, path, ignore_errors=True)
+    return f"file://{path}"
+
+
 def shared_folder(spark: SparkSession, purpose: str) -> str:
     """A new folder under the one all executors share.
 
-    It is the one the cluster names in ``spark.checkpoint.dir``. Only a local
-    master, where every task runs on this machine, may go without the setting.
+    It is the one the cluster names in ``spark.checkpoint.dir``; all folders of an
+    application lie under its id there, so that their owner can drop them with
+    :func:`drop_stored`. Only a local master, where every task runs on this
+    machine, may go without the setting.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        base = "/tmp/pagemill"
-    return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex[:12]}"
+        base = _local_folder()
+    return f"{base.rstrip('/')}/{spark.sparkContext.applicationId}/{purpose}-{uuid.uuid4().hex[:12]}"
+
+
+def drop_stored(spark: SparkSession) -> None:
+    """Delete all folders that this application has had from :func:`shared_folder`."""
+    folder = shared_folder(spark, "any").rsplit("/", 1)[0]
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def stored(df: DataFrame, purpose: str) -> DataFrame:

@@ -240,3 +240,23 @@ def test_sessions_end_after_half_an_hour(log):
         previous[r.user_id] = r.ts
     got = {(r.user_id, r.session_start, r.last_access, r.accesses) for r in rk.sessions(log).collect()}
     assert got == {tuple(s) for s in expected}
+
+
+def test_an_owner_without_documents_has_totals(spark):
+    from pagemill.plans.listing import list_documents
+
+    catalog = spark.createDataFrame([], DOCUMENTS)
+    listing = list_documents(catalog, "nobody")
+    assert [tuple(r) for r in listing.totals.select("total", "filtered_total", "total_pages").collect()] == [(0, 0, 1)]
+    assert listing.items.collect() == []
+
+
+def test_repeated_changes_do_not_multiply_rows(spark):
+    from pagemill.operators import mutations as mu
+
+    table = spark.createDataFrame([(1, "a"), (2, "b")], "id long, status string")
+    changes = spark.createDataFrame([(1, "x", 2), (1, "y", 1), (3, "z", 1)], "id long, status string, at int")
+    got = mu.update_rows(table, changes, columns=["status"], latest="at").orderBy("id").collect()
+    assert [(r.id, r.status) for r in got] == [(1, "x"), (2, "b")]
+    got = mu.update_rows(table, changes, columns=["status"]).orderBy("id").collect()
+    assert [(r.id, r.status) for r in got] == [(1, "y"), (2, "b")]

@@ -39,13 +39,16 @@ def test_responses_fill_in_defaults(spark):
     bare = {"choices": [{"message": {"content": None}}], "usage": {}}
     df = spark.createDataFrame([(1, json.dumps(full), 120.456), (2, json.dumps(bare), 1.0), (3, "not json", 2.0)], "i int, raw string, latency_ms double")
     got = {r.i: tuple(r)[1:] for r in cv.parse_response(df, default_model="d").collect()}
-    assert got[1] == ("hi", "r", "m", "length", 100, 50, 150, 120.46)
-    assert got[2] == got[3][:-1] + (1.0,) == ("", None, "d", "stop", 0, 0, 0, 1.0)
+    assert got[1] == ("hi", "r", "m", "length", 100, 50, 150, 120.46, None)
+    assert got[2] == ("", None, "d", "stop", 0, 0, 0, 1.0, None)
+    assert got[3][-1] == "not a JSON object"
 
 
 def test_sessions_explode_in_order(spark):
     raw = json.dumps([{"role": "user", "content": "q", "timestamp": "2026-08-10T10:00:00Z"}, {"role": "assistant", "content": "a"}])
-    rows = cv.explode_messages(spark.createDataFrame([("s", raw), ("t", "[]")], "id string, messages string")).collect()
+    rows = cv.explode_messages(spark.createDataFrame([("s", raw), ("t", "[]"), ("u", "{bad")], "id string, messages string")).collect()
+    assert [(r.id, r.error) for r in rows if r.role is None] == [("t", None), ("u", "messages are not a JSON array")]
+    rows = [r for r in rows if r.role is not None]
     assert [(r.id, r.position, r.role, r.content, r.timestamp) for r in rows] == [("s", 0, "user", "q", "2026-08-10T10:00:00Z"), ("s", 1, "assistant", "a", None)]
 
 
@@ -59,10 +62,10 @@ def test_rendering_fills_each_place_once(spark):
 
 def test_registry_and_unknown_names(spark):
     registry = pr.prompt_registry(spark).collect()
-    assert len({r.name for r in registry}) == 6 and all("{input}" in r.user_template for r in registry)
-    grid = pr.render_grid(spark.createDataFrame([(1, "q")], "input_id long, text string"), names=["concise", "nobody"]).collect()
-    assert [(r.prompt_name, r.user_message) for r in grid] == [("concise", "q")]
-    asked = spark.createDataFrame([("nobody",), ("nobody",), ("concise",)], "prompt_name string")
+    assert len({r.name for r in registry}) == len(pr.PRESETS) and all("{input}" in r.user_template for r in registry)
+    grid = pr.render_grid(spark.createDataFrame([(1, "q")], "input_id long, text string"), names=["two_sides", "nobody"]).collect()
+    assert [(r.prompt_name, r.user_message) for r in grid] == [("two_sides", "Statement: q")]
+    asked = spark.createDataFrame([("nobody",), ("nobody",), ("plain",)], "prompt_name string")
     assert [tuple(r) for r in pr.unknown_names(asked).collect()] == [("nobody", 2)]
 
 
@@ -71,13 +74,17 @@ def test_experiment_report(spark):
     def raw(text):
         return json.dumps({"choices": [{"message": {"content": text}}], "usage": {"total_tokens": 7}})
     responses = spark.createDataFrame(
-        [(1, "concise", 1, raw('{"k": 1}'), 119.5), (1, "concise", 2, raw("later run"), 1.0), (1, "baseline", 1, raw("x" * 600 + "[1]"), 120.5), (1, "nobody", 1, raw("?"), 1.0)],
+        [(1, "csv_facts", 1, raw('{"k": 1}'), 119.5), (1, "csv_facts", 2, raw("later run"), 1.0), (1, "plain", 1, raw("x" * 600 + "[1]"), 120.5),
+         (1, "nobody", 1, raw("?"), 1.0), (1, "two_sides", 1, "{bad", 1.0)],
         "input_id long, prompt_name string, run_no long, raw string, latency_ms double")
-    [row] = ex.run_experiment(inputs, responses).collect()
-    lines = row.report.split("\n")
-    assert row.input_id == 1 and row.prompts == 2
+    reports = {r.input_id: r for r in ex.run_experiment(inputs, responses, names=["plain", "csv_facts", "two_sides"]).collect()}
+    row, lines = reports[1], reports[1].report.split("\n")
+    assert (row.answers, row.missing) == (3, 1) and (reports[2].answers, reports[2].missing) == (0, 3)
     assert lines[2] == "**Input**: what?" and lines[4].startswith("| Prompt |")
-    assert lines[6:8] == ["| baseline | 603 | 120 | 7 | — | ✅ |", "| concise | 8 | 120 | 7 | ✅ | — |"]
-    assert "x" * 500 + "\n...(truncated)\n```" in row.report and "later run" not in row.report
+    assert lines[6:10] == ["| plain #1 | 603 | 120 | 7 | — | ✅ |", "| csv_facts #1 | 8 | 120 | 7 | ✅ | — |",
+                           "| csv_facts #2 | 9 | 1 | 7 | — | — |", "| two_sides | no answer | | | | |"]
+    assert "x" * 500 + "\n...(truncated)\n```" in row.report and "later run" in row.report
+    assert reports[2].report.endswith("## Outputs\n\n")
     summary = {r.prompt_name: r for r in pr.prompt_metrics_summary(ex.experiment_results(inputs, responses)).collect()}
-    assert summary["concise"].json_outputs == 1 and summary["baseline"].cited_outputs == 1
+    assert summary["csv_facts"].json_outputs == 1 and summary["csv_facts"].outputs == 2 and summary["plain"].cited_outputs == 1
+    assert [tuple(r) for r in ex.unreadable_responses(responses).collect()] == [(1, "two_sides", 1, "not a JSON object")]
