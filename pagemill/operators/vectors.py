@@ -2,106 +2,112 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-MAX_QUERIES = 1024
+QUERY_BLOCK = 2048  # queries that a task multiplies its vectors with at once
+ROW_BLOCK = 1024
+DIGITS = 6  # of the similarity that is shown; ranks are by the unrounded value
 
 
-def cosine(a: Column, b: Column) -> Column:
-    """Cosine similarity of two numeric arrays; null where one has no length."""
-    dot = lambda x, y: F.aggregate(
-        F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")),
-        F.lit(0.0),
-        lambda total, v: total + v,
-    )
-    return dot(a, b) / F.nullif(F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)), F.lit(0.0))
-
+def usable(vector: Column) -> Column:
+    """A vector with a direction: not null, no null, NaN or infinite entry, not all zero."""
+    sound = F.forall(vector, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
+    return F.coalesce(sound & F.exists(vector, lambda v: v != 0), F.lit(False))
 
-def cosine_top_k(
-    table: DataFrame,
-    query: Column,
-    k: int,
-    *,
-    id_column: str = "vec_id",
-    vector: str = "embedding",
-    digits: int = 6,
-) -> DataFrame:
-    """The ``k`` rows most like one query vector.
 
-    ``query`` is a literal or a scalar subquery. Every partition keeps its own
-    top ``k``; only those meet.
-    """
-    paired = table.filter(F.col(vector).isNotNull()).select(
-        id_column, vector, query.alias("_query")
-    )
-    scored = paired.select(
-        id_column, F.round(cosine(F.col(vector), F.col("_query")), digits).alias("similarity")
-    )
-    return (
-        scored.filter(F.col("similarity").isNotNull())
-        .orderBy(F.col("similarity").desc(), F.col(id_column).asc())
-        .limit(k)
+def vector_rejects(table: DataFrame, width: int, *, id_column: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """Rows that no search of ``width`` entries can rank, with why."""
+    v = F.col(vector)
+    reason = (
+        F.when(v.isNull(), "no vector")
+        .when(F.size(v) != width, "another width")
+        .when(~usable(v), "no direction")
     )
+    return table.select(id_column, reason.alias("reject_reason")).filter(F.col("reject_reason").isNotNull())
+
+
+def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """Places of the ``k`` highest scores, equal ones by id."""
+    if len(scores) > k:
+        at = np.flatnonzero(scores >= np.partition(scores, len(scores) - k)[len(scores) - k])
+    else:
+        at = np.arange(len(scores))
+    return at[np.lexsort((ids[at], -scores[at]))[:k]]
 
 
 def cosine_top_k_batch(
-    table: DataFrame,
-    queries: Sequence[tuple[object, Sequence[float]]],
-    k: int,
-    *,
-    id_column: str = "vec_id",
-    vector: str = "embedding",
-    digits: int = 6,
+    table: DataFrame, queries: DataFrame, k: int, *, id_column: str = "vec_id", vector: str = "embedding"
 ) -> DataFrame:
-    """The ``k`` rows most like each of several query vectors.
+    """The ``k`` rows most like each query: query_id, id, similarity, rank.
 
-    Each Arrow batch is multiplied with the matrix of queries in its task and
-    gives on at most ``k`` rows per query, so what is shuffled does not grow with
-    the product of rows and queries. The queries travel with the program, so
-    their number is limited; send more in several calls.
+    ``queries`` has (query_id, vector) and may be of any number: they are taken in
+    blocks of about ``QUERY_BLOCK``, each of which is sent to all tasks. A task
+    multiplies its vectors with the block and gives on its own best ``k`` of each
+    query, so what is shuffled does not grow with the product of rows and queries.
+    Rows and queries without a direction are left out, see
+    :func:`vector_rejects`; a row is compared with the queries of its width.
     """
-    if not 1 <= len(queries) <= MAX_QUERIES:
-        raise ValueError(f"between 1 and {MAX_QUERIES} query vectors at a time")
-    matrix = np.asarray([v for _, v in queries], dtype=np.float64)
-    norms = np.linalg.norm(matrix, axis=1, keepdims=True)
-    unit = np.divide(matrix, norms, out=np.zeros_like(matrix), where=norms > 0)
-    width = matrix.shape[1]
-    names = pa.array([q for q, _ in queries])
+    asked = queries.filter(usable(F.col(vector))).select("query_id", F.col(vector).alias("_query"))
+    count = max(1, math.ceil(asked.count() / QUERY_BLOCK))
+    block = F.pmod(F.xxhash64("query_id"), F.lit(count))
+    name_kind = dict(queries.dtypes)["query_id"]
+    found = None
+    for b in range(count):
+        mine = [(r["query_id"], r["_query"]) for r in asked.filter(block == b).collect()]
+        part = _best_of_block(table, mine, k, id_column, vector, name_kind)
+        found = part if found is None else found.unionByName(part)
+    order = Window.partitionBy("query_id").orderBy(F.col("similarity").desc(), F.col(id_column).asc())
+    ranked = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    return ranked.withColumn("similarity", F.round("similarity", DIGITS))
+
+
+def _best_of_block(
+    table: DataFrame, queries: list[tuple], k: int, id_column: str, vector: str, name_kind: str
+) -> DataFrame:
+    """Each task's best ``k`` rows of every query of a block."""
+    by_width: dict[int, tuple[list, np.ndarray]] = {}
+    for width in sorted({len(v) for _, v in queries}):
+        mine = [(name, v) for name, v in queries if len(v) == width]
+        matrix = np.array([v for _, v in mine], np.float64)
+        by_width[width] = [name for name, _ in mine], matrix / np.linalg.norm(matrix, axis=1, keepdims=True)
+    shared = table.sparkSession.sparkContext.broadcast(by_width)
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            flat = batch.column(1).flatten().to_numpy(zero_copy_only=False)
-            rows = flat.astype(np.float64).reshape(batch.num_rows, width)
-            size = np.linalg.norm(rows, axis=1)
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            usable = size > 0
-            rows, size, ids = rows[usable], size[usable], ids[usable]
-            scores = np.round((unit @ rows.T) / size, digits)
-            for q in range(len(names)):
-                order = np.lexsort((ids, -scores[q]))[:k]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([names[q].as_py()] * len(order), type=names.type),
-                        pa.array(ids[order]),
-                        pa.array(scores[q][order]),
-                    ],
-                    names=["query_id", id_column, "similarity"],
-                )
-
-    usable = table.filter(F.size(vector) == width).filter(~F.exists(vector, F.isnull))
-    kind = dict(table.dtypes)[id_column]
-    name_kind = "bigint" if pa.types.is_integer(names.type) else "string"
-    candidates = usable.select(id_column, vector).mapInArrow(
-        best, f"query_id {name_kind}, {id_column} {kind}, similarity double"
-    )
-    order = Window.partitionBy("query_id").orderBy(
-        F.col("similarity").desc(), F.col(id_column).asc()
+            for first in range(0, batch.num_rows, ROW_BLOCK):
+                rows = batch.slice(first, ROW_BLOCK)
+                sizes = pc.list_value_length(rows.column(1)).to_numpy(zero_copy_only=False)
+                for width, (names, unit) in shared.value.items():
+                    part = rows.filter(pa.array(sizes == width))
+                    if not part.num_rows:
+                        continue
+                    vectors = pc.list_flatten(part.column(1)).to_numpy(zero_copy_only=False).reshape(-1, width)
+                    scores = (unit @ vectors.T) / np.linalg.norm(vectors, axis=1)
+                    ids = part.column(0).to_numpy(zero_copy_only=False)
+                    tops = [_best(line, ids, k) for line in scores]
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array([n for n, top in zip(names, tops) for _ in top]),
+                            part.column(0).take(pa.array(np.concatenate(tops))),
+                            pa.array(np.concatenate([line[top] for line, top in zip(scores, tops)])),
+                        ],
+                        names=["query_id", id_column, "similarity"],
+                    )
+
+    rows = table.filter(usable(F.col(vector))).select(
+        id_column, F.transform(vector, lambda v: v.cast("double")).alias("_vector")
     )
-    return candidates.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    return rows.mapInArrow(best, f"query_id {name_kind}, {id_column} {dict(table.dtypes)[id_column]}, similarity double")
+
+
+def cosine_top_k(table: DataFrame, query: DataFrame, k: int, *, id_column: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """The ``k`` rows most like one vector, the only row of ``query``."""
+    one = query.select(F.lit(0).cast("bigint").alias("query_id"), vector)
+    return cosine_top_k_batch(table, one, k, id_column=id_column, vector=vector).select(id_column, "similarity")

@@ -870,8 +870,7 @@ def run_experiment(spark, folder):
 @query
 def cosine_top_k(spark, folder):
     table = spread_vectors(spark, folder)
-    wanted = tb.read_table(spark, folder, "embeddings").filter(F.col("vec_id") == 0).select("embedding").scalar()
-    return vc.cosine_top_k(table, wanted, 10)
+    return vc.cosine_top_k(table, table.filter(F.col("vec_id") == 0), 10)
 
 
 def spread_vectors(spark: SparkSession, folder: str) -> DataFrame:
@@ -881,8 +880,8 @@ def spread_vectors(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def cosine_top_k_batch(spark, folder):
     table = spread_vectors(spark, folder)
-    asked = table.filter(F.col("vec_id").isin(1, 2, 3, 5, 8)).select("vec_id", "embedding").collect()
-    return vc.cosine_top_k_batch(table, [(r.vec_id, r.embedding) for r in asked], 5)
+    asked = table.filter(F.col("vec_id") % 50 == 0).select(F.col("vec_id").alias("query_id"), "embedding")
+    return vc.cosine_top_k_batch(table, asked, 5)
 
 
 # --- streams ----------------------------------------------------------------
