@@ -496,8 +496,16 @@ add("is_noise", """SELECT doc_id, line_no, coalesce(
     (length(regexp_replace(t, '[\\p{C}\\p{Z}]', '', 'g')) + length(t) - length(translate(t, ' ' || chr(9) || chr(10) || chr(13), '')))
       / nullif(length(t), 0) < 0.6, TRUE) AS is_noise
   FROM (SELECT doc_id, line_no, translate(line, 'etaoins', repeat(chr(1), 7)) AS t FROM lines)""", LINES)
-add("decode_text_files", """SELECT doc_id, 'utf-8' AS encoding, CAST(length(text) AS INTEGER) AS chars,
-  sha256(text) AS text_hash FROM files""", FILES)
+NARROW = "length(text) = octet_length(encode(text))"
+add("decode_text_files", f"""SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'utf-8' WHEN {NARROW} THEN 'gbk' ELSE 'utf-16' END AS encoding,
+  CAST(length(t) AS INTEGER) AS chars, sha256(t) AS text_hash
+  FROM (SELECT *, CASE WHEN doc_id % 2 = 1 AND {NARROW} THEN '编码' || text ELSE text END AS t FROM documents)""")
+FILE = f"text || {NL}"
+add("scan_files", f"""SELECT doc_id, '.txt' AS file_type, octet_length(encode({FILE})) AS length,
+  CASE WHEN octet_length(encode({FILE})) <= 20000 THEN sha256({FILE}) END AS content_hash, CAST(NULL AS VARCHAR) AS reject_reason
+  FROM documents""")
+add("stream_files", f"""SELECT doc_id, octet_length(encode({FILE})) AS length, '.txt' AS file_type, sha256({FILE}) AS content_hash
+  FROM documents""")
 LOST = "SELECT doc_id, translate(text, 'h', chr(65533)) AS t FROM documents"
 COUNT_LOST = "length(t) - length(replace(t, chr(65533), ''))"
 WARNING = f"""CASE WHEN ({COUNT_LOST}) / greatest(length(t), 1) > 0.05 THEN 'encoding_quality_poor: ' || ({COUNT_LOST})

@@ -17,8 +17,8 @@ _LENIENT = {
 
 
 @contextmanager
-def _lenient_decoding(spark: SparkSession) -> Iterator[None]:
-    """Let ``decode`` accept GBK and replace bad bytes.
+def any_charset(spark: SparkSession) -> Iterator[None]:
+    """Let ``encode`` and ``decode`` accept GBK and replace bad bytes.
 
     The two settings are read when the expression is analysed, so they hold for
     the plan built inside the block and leave the session as it was.
@@ -39,25 +39,31 @@ def _lenient_decoding(spark: SparkSession) -> Iterator[None]:
 def decode_text(files: DataFrame, content: str = "content") -> DataFrame:
     """Add ``text`` and ``encoding`` to a table of file bytes.
 
-    Valid UTF-8 is taken as it is. Other bytes are read as GBK and as UTF-8 with
-    replacement characters, and the reading that loses fewer characters is kept.
+    A byte-order mark decides: that of UTF-8 is dropped, those of UTF-16 are
+    followed. Other bytes that are valid UTF-8 are taken as they are; the rest is
+    read as GBK and as UTF-8 with replacement characters, and the reading that
+    loses fewer characters is kept.
     """
-    as_text = F.col(content).cast("string")
+    raw = F.col(content)
+    wide = F.substring(raw, 1, 2).isin(F.unhex(F.lit("FFFE")), F.unhex(F.lit("FEFF")))
+    marked = F.substring(raw, 1, 3) == F.unhex(F.lit("EFBBBF"))
+    body = F.when(marked, F.substring(raw, F.lit(4), F.octet_length(raw))).otherwise(raw)
+    as_text = body.cast("string")
     utf8_ok = F.is_valid_utf8(as_text)
-    with _lenient_decoding(files.sparkSession):
-        candidates = files.withColumn(
-            "_utf8", F.when(utf8_ok, as_text).otherwise(F.make_valid_utf8(as_text))
-        ).withColumn("_gbk", F.when(~utf8_ok, F.decode(F.col(content), "GBK")))
+    with any_charset(files.sparkSession):
+        candidates = (
+            files.withColumn("_utf8", F.when(utf8_ok, as_text).otherwise(F.make_valid_utf8(as_text)))
+            .withColumn("_gbk", F.when(~utf8_ok & ~wide, F.decode(raw, "GBK")))
+            .withColumn("_utf16", F.when(wide, F.decode(raw, "UTF-16")))
+        )
     use_gbk = F.coalesce(
         replacement_count(F.col("_gbk")) < replacement_count(F.col("_utf8")), F.lit(False)
     )
+    label = F.when(wide, F.lit("utf-16")).when(use_gbk, F.lit("gbk")).otherwise(F.lit("utf-8"))
     return (
-        candidates.withColumn("text", F.when(use_gbk, F.col("_gbk")).otherwise(F.col("_utf8")))
-        .withColumn(
-            "encoding",
-            F.when(F.col("text").isNotNull(), F.when(use_gbk, F.lit("gbk")).otherwise(F.lit("utf-8"))),
-        )
-        .drop("_utf8", "_gbk")
+        candidates.withColumn("text", F.when(wide, F.col("_utf16")).when(use_gbk, F.col("_gbk")).otherwise(F.col("_utf8")))
+        .withColumn("encoding", F.when(F.col("text").isNotNull(), label))
+        .drop("_utf8", "_gbk", "_utf16")
     )
 
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagemill.constants import HOT_TOP_N, ChunkingConfig
@@ -62,10 +62,18 @@ def _paragraphs_of_lines(spark: SparkSession, folder: str) -> DataFrame:
 # --- files ------------------------------------------------------------------
 
 
+def _document_of(path: Column) -> Column:
+    return F.regexp_extract(path, "doc_id=([0-9]+)", 1).cast("bigint").alias("doc_id")
+
+
 @query
 def scan_files(spark, folder):
-    files = fs.scan_files(spark, folder)
-    return fs.admit_files(files).select("filename", "length", F.sha2("content", 256).alias("content_hash"), "reject_reason")
+    """One file per document, scanned; those over 20,000 bytes come without their bytes."""
+    files = fs.scan_files(spark, ad.document_files(spark, folder), max_bytes=20_000)
+    admitted = fs.admit_files(files)
+    return admitted.select(
+        _document_of(F.col("path")), "file_type", "length", F.sha2("content", 256).alias("content_hash"), "reject_reason"
+    )
 
 
 @query
@@ -145,7 +153,10 @@ def write_report(spark, folder):
 @query
 def stream_files(spark, folder):
     path, checkpoint = tb.shared_folder(spark, "names"), tb.shared_folder(spark, "checkpoint")
-    files = fs.stream_files(spark, folder).select("filename", "length", tx.file_type(F.col("filename")).alias("file_type"))
+    files = fs.stream_files(spark, ad.document_files(spark, folder)).select(
+        _document_of(F.col("path")), "length", tx.file_type(F.col("filename")).alias("file_type"),
+        F.sha2("content", 256).alias("content_hash"),
+    )
     sj.append_to(files, path, checkpoint).awaitTermination()
     return spark.read.parquet(path)
 
@@ -344,7 +355,7 @@ def is_noise(spark, folder):
 
 @query
 def decode_text_files(spark, folder):
-    decoded = decode_text(ad.text_files(spark, folder))
+    decoded = decode_text(ad.encoded_files(spark, folder))
     return decoded.select("doc_id", "encoding", F.length("text").alias("chars"), F.sha2("text", 256).alias("text_hash"))
 
 

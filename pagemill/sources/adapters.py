@@ -9,9 +9,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pagemill.functions.encoding import any_charset
 from pagemill.functions.text import let
 from pagemill.operators.prompts import PRESETS
-from pagemill.sources.tables import read_table, spread
+from pagemill.sources.tables import read_table, shared_folder, spread
 
 NEW_LINE = "\n"
 
@@ -62,6 +63,29 @@ def text_files(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def encoded_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents as bytes: plain, with a mark, in GBK with two characters before it, or in UTF-16."""
+    docs = documents(spark, folder)
+    text, turn = F.col("text"), F.col("doc_id") % 4
+    narrow = F.length("text") == F.octet_length("text")
+    with any_charset(spark):
+        content = (
+            F.when(turn == 0, F.concat(F.unhex(F.lit("EFBBBF")), text.cast("binary")))
+            .when(turn == 2, text.cast("binary"))
+            .when(narrow, F.encode(F.concat(F.lit("编码"), text), "GBK"))
+            .otherwise(F.encode(text, "UTF-16"))
+        )
+        return docs.select("doc_id", content.alias("content"))
+
+
+def document_files(spark: SparkSession, folder: str) -> str:
+    """A folder with one text file per document, under a folder named by its id."""
+    path = shared_folder(spark, "files")
+    docs = read_table(spark, folder, "documents").select("doc_id", "text")
+    docs.repartition("doc_id").write.partitionBy("doc_id").text(path)
+    return path
+
+
 def web_files(spark: SparkSession, folder: str) -> DataFrame:
     """Pages as files named by their address, without the query part."""
     return spread(read_table(spark, folder, "pages").select(

@@ -168,3 +168,29 @@ def test_chunk_rows_of_stored_blocks(spark, tmp_path):
     docs = spark.createDataFrame([(1, "one\n\ntwo")], "doc_id long, text string")
     blocks = tb.stored(docs.select("doc_id", bl.text_block_array(F.col("text")).alias("blocks")), "blocks")
     assert [r.chunk_text for r in chunk_rows(blocks).collect()] == ["one\ntwo"]
+
+
+def test_marks_and_wide_encodings(spark):
+    files = [("bom.md", b"\xef\xbb\xbf# Title"), ("le.txt", "one\n\ntwo é".encode("utf-16")), ("be.txt", b"\xfe\xff" + "drei ß".encode("utf-16-be")),
+             ("gbk.txt", "中文内容".encode("gbk")), ("only.txt", b"\xef\xbb\xbf"), ("blank.txt", b" \n"), ("x.exe", b"MZ")]
+    rows = [(n, len(c), c) for n, c in files]
+    parsed = parse_files(spark.createDataFrame(rows, "filename string, length long, content binary"))
+    got = {r.filename: r for r in parsed.withColumn("texts", F.col("blocks.text")).collect()}
+    assert got["bom.md"].texts == ["Title"] and got["bom.md"].blocks[0].block_type == "heading" and got["bom.md"].encoding == "utf-8"
+    assert got["le.txt"].texts == ["one", "two é"] and got["le.txt"].encoding == "utf-16"
+    assert got["be.txt"].texts == ["drei ß"] and got["gbk.txt"].texts == ["中文内容"] and got["gbk.txt"].encoding == "gbk"
+    assert got["only.txt"].texts == [] and got["blank.txt"].texts == [] and got["blank.txt"].status == "ready"
+    assert (got["x.exe"].status, got["x.exe"].reject_reason) == ("rejected", "extension_not_allowed")
+
+
+def test_large_files_are_rejected_not_lost(spark, tmp_path):
+    from pagemill.plans.ingest import rejected_files
+
+    (tmp_path / "small.txt").write_text("a few words")
+    with open(tmp_path / "large.txt", "wb") as f:
+        f.truncate(51 * 1024 * 1024)
+    files = fs.scan_files(spark, str(tmp_path))
+    assert sorted((r.filename, r.content is None) for r in files.select("filename", "content").collect()) == [("large.txt", True), ("small.txt", False)]
+    assert [(r.filename, r.reject_reason) for r in rejected_files(files).collect()] == [("large.txt", "too_large")]
+    assert {r.document_id.rsplit("/", 1)[1] for r in ingest(files).collect()} == {"small.txt"}
+    assert {r.filename: r.status for r in parse_files(files).collect()} == {"small.txt": "ready", "large.txt": "rejected"}
