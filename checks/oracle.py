@@ -88,16 +88,14 @@ classes AS (
 )"""
 
 RAW_TABLES = f"""
-first_words AS (
-  SELECT doc_id, list_transform(string_split(text, {NL}), lambda x: [coalesce(string_split(x, ' ')[1], ''),
-    coalesce(string_split(x, ' ')[2], ''), coalesce(string_split(x, ' ')[3], '')]) AS cells
-  FROM documents
+word_rows AS (
+  SELECT doc_id, list_transform(string_split(text, {NL}), lambda x: string_split(x, ' ')) AS cells FROM documents
 ),
 tables AS (
-  SELECT doc_id, 1 AS page_number, len(cells) - 1 AS n,
-    array_to_string(list_concat([array_to_string(cells[1], ' | '), '--- | --- | ---'],
+  SELECT doc_id, 1 AS page_number, len(cells) - 1 AS n, len(cells[1]) AS w,
+    array_to_string(list_concat([array_to_string(cells[1], ' | '), array_to_string(list_transform(cells[1], lambda c: '---'), ' | ')],
       list_transform(cells[2:], lambda r: array_to_string(r, ' | '))), {NL}) AS text
-  FROM first_words
+  FROM word_rows
 )"""
 
 
@@ -306,25 +304,26 @@ MD_BLOCKS = f"{MD_DOCS},{MD_RULES}"
 REPEATED = f"""
 src_pages AS (
   SELECT source AS doc_id, doc_id AS page_number, text, lang FROM documents
+  UNION ALL SELECT source, -doc_id - 1, '', lang FROM documents WHERE doc_id % 7 = 0
 ),
 spans AS (
   SELECT doc_id, page_number, CAST(0 AS BIGINT) AS seq, 'Report ' || doc_id || '  page ' || page_number AS text,
-    CAST(0 AS DOUBLE) AS y0 FROM src_pages WHERE length(text) >= 100
+    CAST(0 AS DOUBLE) AS y0 FROM src_pages WHERE {strip('text')} <> ''
   UNION ALL
   SELECT doc_id, page_number, i, line, 200 + CAST(600 AS DOUBLE) * (i - 1) / n FROM (
     SELECT doc_id, page_number, unnest(string_split(text, {NL})) AS line,
       generate_subscripts(string_split(text, {NL}), 1) AS i, len(string_split(text, {NL})) AS n
-    FROM src_pages WHERE length(text) >= 100)
+    FROM src_pages WHERE {strip('text')} <> '')
   UNION ALL
   SELECT doc_id, page_number, len(string_split(text, {NL})) + 1, ' ' || lang || ' edition - ' || page_number || ' ',
-    1000 FROM src_pages WHERE length(text) >= 100
+    1000 FROM src_pages WHERE {strip('text')} <> ''
 ),
 guards AS (
-  SELECT doc_id, count(*) AS total_pages, count(*) FILTER (WHERE length(text) < 100) AS empty_pages,
-    count(*) FILTER (WHERE length(text) >= 100) AS valid_pages,
-    CASE WHEN count(*) FILTER (WHERE length(text) >= 100) = 0 THEN 'skipped_no_text'
-      WHEN count(*) FILTER (WHERE length(text) >= 100) < 3 THEN 'skipped_few_pages'
-      WHEN count(*) FILTER (WHERE length(text) < 100) > 0 THEN 'limited' ELSE 'full' END AS detection
+  SELECT doc_id, count(*) AS total_pages, count(*) FILTER (WHERE {strip('text')} = '') AS empty_pages,
+    count(*) FILTER (WHERE {strip('text')} <> '') AS valid_pages,
+    CASE WHEN count(*) FILTER (WHERE {strip('text')} <> '') = 0 THEN 'skipped_no_text'
+      WHEN count(*) FILTER (WHERE {strip('text')} <> '') < 3 THEN 'skipped_few_pages'
+      WHEN count(*) FILTER (WHERE {strip('text')} = '') > 0 THEN 'limited' ELSE 'full' END AS detection
   FROM src_pages GROUP BY doc_id
 ),
 placed AS (
@@ -554,7 +553,7 @@ PAGE_PARAS = f"""
 page_paras AS (SELECT doc_id, page_number, page_type, {strip('text')} AS text FROM classes
   WHERE length(regexp_replace(text, '{WS}+', '', 'g')) >= 10)"""
 add("split_paragraphs_page", "SELECT doc_id, page_number, CAST(0 AS INTEGER) AS seq, text FROM page_paras", LINE_PAGES, PAGE_PARAS)
-add("page_tables", """SELECT doc_id, page_number, CAST(n AS INTEGER) AS rows, CAST(3 AS INTEGER) AS cols, text
+add("page_tables", """SELECT doc_id, page_number, CAST(n AS INTEGER) AS rows, CAST(w AS INTEGER) AS cols, text
   FROM tables WHERE n > 0""", RAW_TABLES)
 add("table_warnings", """SELECT doc_id, page_number, 'page 1 table: headers only, skipped' AS warning FROM tables
   WHERE n = 0""", RAW_TABLES)
@@ -565,7 +564,7 @@ add("page_blocks", """SELECT doc_id, page_number, block_type, text, rows, cols,
       CAST(NULL AS INTEGER) AS cols, CAST(NULL AS BOOLEAN) AS needs_ocr, CAST(NULL AS INTEGER) AS image_count
     FROM page_paras WHERE page_type IN ('text', 'hybrid')
     UNION ALL
-    SELECT doc_id, page_number, 2, 'table', t.text, CAST(n AS INTEGER), 3, NULL, NULL
+    SELECT doc_id, page_number, 2, 'table', t.text, CAST(n AS INTEGER), CAST(w AS INTEGER), NULL, NULL
     FROM tables t JOIN classes c USING (doc_id, page_number) WHERE n > 0 AND page_type IN ('text', 'hybrid')
     UNION ALL
     SELECT doc_id, page_number, 0, 'paragraph', '', NULL, NULL, TRUE, image_count FROM classes WHERE page_type = 'scanned')""",

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagemill.functions.encoding import any_charset
-from pagemill.functions.text import let
+from pagemill.functions.text import let, strip
 from pagemill.operators.prompts import PRESETS
 from pagemill.sources.tables import read_table, shared_folder, spread
 
@@ -154,8 +154,13 @@ def access_log(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def source_pages(spark: SparkSession, folder: str) -> DataFrame:
-    """Each source as one paged document; its documents are the pages, by their id."""
-    return documents(spark, folder).select(
+    """Each source as one paged document; its documents are the pages, by their id.
+
+    Every seventh has an empty page of its own as well, as scanned ones are.
+    """
+    docs = documents(spark, folder)
+    empty = docs.filter(F.col("doc_id") % 7 == 0).withColumns({"doc_id": -F.col("doc_id") - 1, "text": F.lit("")})
+    return docs.unionByName(empty).select(
         F.col("source").alias("doc_id"), F.col("doc_id").alias("page_number"), "text", "lang"
     )
 
@@ -163,7 +168,7 @@ def source_pages(spark: SparkSession, folder: str) -> DataFrame:
 def page_spans(pages: DataFrame) -> DataFrame:
     """Placed lines: a title at the top, the text between, a footer at the bottom.
 
-    Very short pages have no spans, as scanned ones would not.
+    Pages without text have no spans.
     """
     page = F.col("page_number").cast("string")
     def span(seq: Column, text: Column, y0: Column) -> Column:
@@ -184,7 +189,7 @@ def page_spans(pages: DataFrame) -> DataFrame:
 
     placed = let(F.split("text", NEW_LINE), place)
     return (
-        pages.filter(F.length("text") >= 100)
+        pages.filter(strip(F.col("text")) != "")
         .select("doc_id", "page_number", F.explode(placed).alias("s"))
         .select("doc_id", "page_number", "s.*")
     )
@@ -213,16 +218,12 @@ def line_pages(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def raw_tables(spark: SparkSession, folder: str) -> DataFrame:
-    """A table per document on its first page: three words of each line, null if missing."""
-    def row(x: Column) -> Column:
-        words = F.split(x, " ")
-        return F.array(*[F.get(words, F.lit(i)) for i in range(3)])
-
+    """A table per document on its first page: the words of each line."""
     return documents(spark, folder).select(
         "doc_id",
         F.lit(1).alias("page_number"),
         F.lit(1).alias("table_no"),
-        F.transform(F.split("text", NEW_LINE), row).alias("cells"),
+        F.transform(F.split("text", NEW_LINE), lambda x: F.split(x, " ")).alias("cells"),
     )
 
 

@@ -30,7 +30,7 @@ def test_decoding(spark):
         ("stray", b"abc\xffdef", "abc�def", "utf-8"),
         ("empty", b"", "", "utf-8"),
         ("null", None, None, None),
-        ("bom", "﻿x".encode(), "﻿x", "utf-8"),
+        ("bom", "﻿x".encode(), "x", "utf-8"),
     ]
     df = spark.createDataFrame([(n, b) for n, b, _, _ in cases], "n string, content binary")
     before = spark.conf.get("spark.sql.legacy.javaCharsets")
@@ -56,7 +56,7 @@ def test_one_bad_file_stops_nothing(spark, folder):
     parsed = parse_files(fs.scan_files(spark, str(folder / "in")))
     got = {r.filename: (r.status, r.n, r.encoding) for r in parsed.withColumn("n", F.size("blocks")).collect()}
     assert got == {"a.txt": ("ready", 3, "utf-8"), "b.md": ("ready", 3, "utf-8"), "c.TXT": ("ready", 1, "gbk"),
-                   "d.pdf": ("failed", 0, None), "e.csv": ("ready", 0, None)}
+                   "d.pdf": ("failed", 0, None), "e.csv": ("ready", 0, None), "f.exe": ("rejected", 0, None)}
 
 
 def test_ingest_is_a_narrow_job(spark, folder):
@@ -156,9 +156,9 @@ def test_counts_over_several_batches(spark, tmp_path):
 def test_shared_folder_comes_from_the_session(spark):
     def session(folder, master):
         conf = SimpleNamespace(get=lambda key, default: folder)
-        return SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master=master))
+        return SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master=master, applicationId="app-1"))
 
-    assert tb.shared_folder(session("/shared/place/", "yarn"), "x").startswith("/shared/place/x-")
+    assert tb.shared_folder(session("/shared/place/", "yarn"), "x").startswith("/shared/place/app-1/x-")
     with pytest.raises(ValueError):
         tb.shared_folder(session(None, "yarn"), "x")
     assert tb.shared_folder(spark, "x") != tb.shared_folder(spark, "x")
