@@ -21,7 +21,7 @@ RULE = r" {0,3}(?:\*[ \t]*\*[ \t]*\*[* \t]*|-[ \t]*-[ \t]*-[- \t]*|_[ \t]*_[ \t]
 ITEM = r"[ \t]*(?:[-*+]|\d{1,9}[.)])[ \t]+\S"
 QUOTE = r" {0,3}>"
 TABLE_DELIMITER = r"[ \t]*(?:\|[ \t]*:?-|:?-[^\n|]*\|)[-:| \t]*$"
-TABLE_START = rf"[^\n]*\|[^\n]*\n{TABLE_DELIMITER}"
+TABLE_START = rf"[^\n|]*+\|[^\n]*+\n{TABLE_DELIMITER}"
 UNDERLINE = r" {0,3}(?:=+|-+)[ \t]*$"
 INDENTED = r"(?: {4}| {0,3}\t)[ \t]*\S"
 BLANK = r"[ \t]*$"
@@ -33,6 +33,8 @@ INLINE_LITERALS = (
 )
 MARKS = "!()*<>[\\]_`"
 HELD = "".join(chr(0xFDD0 + i) for i in range(len(MARKS)))
+ASIDE = "".join(chr(0xFDE0 + i) for i in range(len(MARKS)))  # where a text's own HELD characters wait
+NESTING = 3  # emphasis inside emphasis
 
 FLAGS = "(?dms)"
 INTERRUPT = "|".join([BLANK, HEADING, ANY_FENCE, RULE, ITEM, QUOTE, TABLE_START])
@@ -63,11 +65,13 @@ def inline_text(text: Column) -> Column:
     """Text as read: marks, link targets and inline HTML removed.
 
     Characters in code spans and after a backslash are not marks. They are held
-    as noncharacters, which no text contains, while the marks are taken out.
+    as noncharacters while the marks are taken out; those that a text has itself
+    are put aside meanwhile.
     """
     def plain(t: Column) -> Column:
-        held = F.when(t.rlike(r"[`\\]"), _hold_literals(t)).otherwise(t)
-        return F.translate(_without_marks(held), HELD, MARKS)
+        own = F.translate(t, HELD, ASIDE)
+        held = F.when(t.rlike(r"[`\\]"), _hold_literals(own)).otherwise(own)
+        return F.translate(_without_marks(held), HELD + ASIDE, MARKS + HELD)
 
     return let(text, lambda t: F.when(t.rlike(r"[`\\\[<*_]"), plain(t)).otherwise(t))
 
@@ -87,12 +91,15 @@ def _hold_literals(text: Column) -> Column:
 
 
 def _without_marks(text: Column) -> Column:
-    text = _sub(text, r"!\[\]\([^)]*\)", "[image]")
-    text = _sub(text, r"!?\[([^\]]*)\]\([^)]*\)", "$1")
-    text = _sub(text, r"<((?:https?://|mailto:)[^>\s]+)>", "$1")
-    text = _sub(text, r"</?[A-Za-z][^>]*>|<!--[^>]*-->", "")
-    text = _sub(text, r"\*\*([^*\n]+)\*\*", "$1")
-    text = _sub(text, r"\*([^*\s\n]|[^*\s\n][^*\n]*[^*\s\n])\*", "$1")
+    """Each pattern stops at the next mark of its kind, so a line of marks costs no more than one of words."""
+    target = r"\((?:[^()]|\([^()]*+\))*+\)"
+    text = _sub(text, rf"!\[\]{target}", "[image]")
+    text = _sub(text, rf"!?\[((?:[^\[\]]|\[[^\[\]]*+\])*+)\]{target}", "$1")
+    text = _sub(text, r"<((?:https?://|mailto:)[^<>\s]++)>", "$1")
+    text = _sub(text, r"</?[A-Za-z][^<>]*+>|<!--(?:[^<-]|<(?!!--)|-(?!->))*+-->", "")
+    for _ in range(NESTING):
+        text = _sub(text, r"\*\*([^*\n]+)\*\*", "$1")
+        text = _sub(text, r"\*([^*\s\n]|[^*\s\n][^*\n]*[^*\s\n])\*", "$1")
     text = _sub(text, r"(^|[^\w])__([^_\n]+)__($|[^\w])", "$1$2$3")
     return _sub(text, r"(^|[^\w])_([^_\n]+)_($|[^\w])", "$1$2$3")
 

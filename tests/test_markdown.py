@@ -94,3 +94,17 @@ def test_stats(spark):
     df = spark.createDataFrame([(1, "# a\n\nb\n\n```py\nc\n```\n\n| x | y |\n|---|---|\n| 1 | 2 |")], "doc_id long, text string")
     [row] = bl.parse_stats(bl.md_blocks(df)).collect()
     assert (row.total_blocks, row.heading_count, row.code_block_count, row.table_count, row.has_tables) == (4, 1, 1, 1, True)
+
+
+@pytest.mark.parametrize("mark", ["a|", "[", "![", "[a](", "<a", "<http://a", "<!--", "<!-- -", "*", "**a ", "_a", "`", "`` ` ", "\\\\", "| - ", "- ", "> "])
+def test_a_long_line_of_marks_takes_linear_time(parse, mark):
+    import time
+
+    start = time.perf_counter()
+    parse(mark * (1_000_000 // len(mark)))
+    assert time.perf_counter() - start < 20
+
+
+def test_marks_inside_marks(parse):
+    text = "**bold *it* more** and *it **bold** more*\n\n[a [b] c](u(v)) x\n\n<!-- a-b > c --><!-- d <e> -->end\n\n*a ﷐ b* `!`"
+    assert [r.text for r in parse(text)] == ["bold it more and it bold more", "a [b] c x", "end", "a ﷐ b !"]
