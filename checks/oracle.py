@@ -557,7 +557,7 @@ add("page_tables", """SELECT doc_id, page_number, CAST(n AS INTEGER) AS rows, CA
   FROM tables WHERE n > 0""", RAW_TABLES)
 add("table_warnings", """SELECT doc_id, page_number, 'page 1 table: headers only, skipped' AS warning FROM tables
   WHERE n = 0""", RAW_TABLES)
-add("page_blocks", """SELECT doc_id, page_number, block_type, text, rows, cols, needs_ocr, image_count,
+NUMBERED = """SELECT doc_id, page_number, block_type, text, rows, cols, needs_ocr, image_count,
     CAST(row_number() OVER (PARTITION BY doc_id ORDER BY page_number, kind) - 1 AS INTEGER) AS position
   FROM (
     SELECT doc_id, page_number, 1 AS kind, 'paragraph' AS block_type, text, CAST(NULL AS INTEGER) AS rows,
@@ -567,8 +567,26 @@ add("page_blocks", """SELECT doc_id, page_number, block_type, text, rows, cols,
     SELECT doc_id, page_number, 2, 'table', t.text, CAST(n AS INTEGER), CAST(w AS INTEGER), NULL, NULL
     FROM tables t JOIN classes c USING (doc_id, page_number) WHERE n > 0 AND page_type IN ('text', 'hybrid')
     UNION ALL
-    SELECT doc_id, page_number, 0, 'paragraph', '', NULL, NULL, TRUE, image_count FROM classes WHERE page_type = 'scanned')""",
-    LINE_PAGES, PAGE_PARAS, RAW_TABLES)
+    SELECT doc_id, page_number, 0, 'paragraph', '', NULL, NULL, TRUE, image_count FROM classes WHERE page_type = 'scanned')"""
+add("page_blocks", NUMBERED, LINE_PAGES, PAGE_PARAS, RAW_TABLES)
+PAGED = f"numbered AS ({NUMBERED}), blocks AS (SELECT doc_id, position, block_type, text FROM numbered)"
+add("page_chunk_rows", """SELECT document_id, chunk_index, chunk_hash, token_count, CAST(p.page_number AS INTEGER) AS page_number
+  FROM chunk_table JOIN (SELECT doc_id, run - 1 AS spot, min(source_position) AS head FROM runs GROUP BY doc_id, run) f
+    ON f.doc_id = document_id AND spot = chunk_index
+  JOIN numbered p ON p.doc_id = document_id AND p.position = head""", LINE_PAGES, PAGE_PARAS, RAW_TABLES, PAGED, chunks(), recursive=True)
+WARNINGS = """warned AS (
+  SELECT doc_id, page_number, 'page ' || page_number || CASE page_type WHEN 'scanned'
+    THEN ' scanned: no text, needs OCR, images=' || image_count ELSE ' hybrid: text kept, images skipped' END AS warning
+  FROM classes WHERE page_type IN ('scanned', 'hybrid')
+  UNION ALL SELECT doc_id, 1, 'page 1 table: headers only, skipped' FROM tables WHERE n = 0)"""
+add("parsed_documents", f"""SELECT doc_id, count(*) AS total_pages, count(*) FILTER (WHERE page_type = 'text') AS text_pages,
+  count(*) FILTER (WHERE page_type = 'scanned') AS scanned_pages, count(*) FILTER (WHERE page_type = 'hybrid') AS hybrid_pages,
+  count(*) FILTER (WHERE page_type = 'blank') AS blank_pages,
+  (SELECT count(*) FROM blocks b WHERE b.doc_id = c.doc_id) AS total_blocks,
+  CAST((SELECT count(*) FROM warned w WHERE w.doc_id = c.doc_id) AS INTEGER) AS n_warnings,
+  sha256(coalesce((SELECT string_agg(warning, {NL} ORDER BY page_number, warning) FROM warned w WHERE w.doc_id = c.doc_id), '')) AS warnings,
+  CASE WHEN (SELECT count(*) FROM blocks b WHERE b.doc_id = c.doc_id) > 0 THEN 'ready' ELSE 'failed' END AS status
+  FROM classes c GROUP BY doc_id""", LINE_PAGES, PAGE_PARAS, RAW_TABLES, PAGED, WARNINGS)
 
 # --- repeated regions -------------------------------------------------------------
 add("hf_guards", "SELECT * FROM guards", REPEATED)

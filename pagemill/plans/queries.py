@@ -30,6 +30,7 @@ from pagemill.plans import detect as dp
 from pagemill.plans import experiment as ex
 from pagemill.plans import ingest as ig
 from pagemill.plans import listing as ls
+from pagemill.plans import paged as pd
 from pagemill.sources import adapters as ad
 from pagemill.sources import files as fs
 from pagemill.sources import tables as tb
@@ -496,6 +497,22 @@ def page_blocks(spark, folder):
     return pg.number_blocks(tb.stored(blocks, "blocks"))
 
 
+@query
+def page_chunk_rows(spark, folder):
+    pages = pg.classify_pages(ad.line_pages(spark, folder))
+    rows = pd.page_chunk_rows(pd.paged_blocks(pages, ad.raw_tables(spark, folder)))
+    return rows.select("document_id", "chunk_index", "chunk_hash", "token_count", "page_number")
+
+
+@query
+def parsed_documents(spark, folder):
+    pages, tables = pg.classify_pages(ad.line_pages(spark, folder)), ad.raw_tables(spark, folder)
+    record = pd.parsed_documents(pages, pd.paged_blocks(pages, tables), tables)
+    return record.withColumns(
+        {"n_warnings": F.size("warnings"), "warnings": F.sha2(F.array_join("warnings", "\n"), 256)}
+    )
+
+
 def _repeated(spark: SparkSession, folder: str) -> dp.Repeated:
     pages = ad.source_pages(spark, folder)
     return dp.detect(pages.select("doc_id", "page_number"), ad.page_spans(pages))
