@@ -12,6 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+BUCKET, BUCKETS = "_bucket", 64  # folders of a table whose rows are replaced by key
+
+
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
@@ -86,22 +89,50 @@ def stored(df: DataFrame, purpose: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def write_documents(catalog: DataFrame, path: str, *, mode: str = "append") -> None:
-    """Append catalog rows; a missing status is 'uploaded', missing times are now."""
+def write_documents(catalog: DataFrame, path: str, *, key: str = "id") -> None:
+    """Put catalog rows into the table, in place of those with the same id.
+
+    A missing status is 'uploaded', missing times are now.
+    """
     now = F.current_timestamp()
     rows = catalog
     for name, default in (("status", F.lit("uploaded")), ("created_at", now), ("updated_at", now)):
         value = F.coalesce(F.col(name), default) if name in rows.columns else default
         rows = rows.withColumn(name, value)
-    rows.write.mode(mode).parquet(path)
+    replace_rows(rows, path, key=key)
 
 
-def write_chunks(chunks: DataFrame, path: str, *, mode: str = "append") -> None:
-    """Append chunk rows; the job commits all of them or none."""
+def write_chunks(chunks: DataFrame, path: str, *, key: str = "document_id") -> None:
+    """Put chunk rows into the table, in place of all chunks of their documents."""
     rows = chunks
     if "created_at" not in rows.columns:
         rows = rows.withColumn("created_at", F.current_timestamp())
-    rows.write.mode(mode).parquet(path)
+    replace_rows(rows, path, key=key)
+
+
+def replace_rows(rows: DataFrame, path: str, *, key: str, buckets: int = BUCKETS) -> None:
+    """Write rows so that all earlier rows of their keys are gone; doing it again changes nothing.
+
+    The table lies in folders by a hash of the key. Folders that the rows touch
+    are written anew, from the rows and what is kept of the folder; the others
+    are not read. The job swaps all of them at its end, so a failure leaves the table
+    as it was, but two writers must not work on a table at once.
+    """
+    spark = rows.sparkSession
+    fresh = rows.withColumn(BUCKET, F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
+    if _exists(spark, path):
+        table = spark.read.parquet(path)
+        touched = table.join(fresh.select(BUCKET).distinct(), BUCKET, "left_semi")
+        kept = touched.join(rows.select(key).distinct(), key, "left_anti")
+        fresh = fresh.unionByName(kept, allowMissingColumns=True)
+    writer = fresh.hint("rebalance", BUCKET).write.mode("overwrite").partitionBy(BUCKET)
+    writer.option("partitionOverwriteMode", "dynamic").parquet(path)
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    system = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return system.exists(place) and len(system.listStatus(place)) > 0
 
 
 def write_by_month(rows: DataFrame, path: str, *, ts: str = "created_at", mode: str = "append") -> None:

@@ -194,3 +194,14 @@ def test_large_files_are_rejected_not_lost(spark, tmp_path):
     assert [(r.filename, r.reject_reason) for r in rejected_files(files).collect()] == [("large.txt", "too_large")]
     assert {r.document_id.rsplit("/", 1)[1] for r in ingest(files).collect()} == {"small.txt"}
     assert {r.filename: r.status for r in parse_files(files).collect()} == {"small.txt": "ready", "large.txt": "rejected"}
+
+
+def test_writing_again_replaces(spark, tmp_path):
+    path = str(tmp_path / "chunks")
+    def rows(*values):
+        return spark.createDataFrame(list(values), "document_id string, chunk_index int, chunk_text string")
+    tb.write_chunks(rows(("a", 0, "x"), ("a", 1, "y"), ("b", 0, "z")), path)
+    tb.write_chunks(rows(("a", 0, "new"), ("c", 0, "w")), path)
+    tb.write_chunks(rows(("a", 0, "new"), ("c", 0, "w")), path)
+    got = sorted((r.document_id, r.chunk_index, r.chunk_text) for r in spark.read.parquet(path).collect())
+    assert got == [("a", 0, "new"), ("b", 0, "z"), ("c", 0, "w")]
