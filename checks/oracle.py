@@ -590,6 +590,10 @@ add("parsed_documents", f"""SELECT doc_id, count(*) AS total_pages, count(*) FIL
 
 # --- repeated regions -------------------------------------------------------------
 add("hf_guards", "SELECT * FROM guards", REPEATED)
+add("hf_guard_warnings", """SELECT doc_id, CASE detection WHEN 'limited' THEN 'repeated regions looked for on part of the pages: '
+    || empty_pages || ' of ' || total_pages || ' have no text'
+  WHEN 'skipped_few_pages' THEN 'repeated regions not looked for: pages with text: ' || valid_pages || ', needed: 3'
+  ELSE 'repeated regions not looked for: no page has text' END AS warning FROM guards WHERE detection <> 'full'""", REPEATED)
 add("hf_regions", "SELECT doc_id, page_number, region, text, norm FROM regions", REPEATED)
 add("hf_normalize", f"""SELECT doc_id, line_no, trim(regexp_replace(regexp_replace(line, '\\b\\d+\\b', '#', 'g'),
   '{WS}+', ' ', 'g'), {WS_CHARS}) AS norm FROM lines""", LINES)

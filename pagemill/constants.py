@@ -80,3 +80,5 @@ class ChunkingConfig:
             raise ValueError("merge_short_threshold must not be negative")
         if any(not d for d in self.split_on):
             raise ValueError("split_on must not hold empty delimiters")
+        if any(len(d) > CUT_WINDOW_CHARS for d in self.split_on):
+            raise ValueError("a delimiter must fit in the window it is looked for in")

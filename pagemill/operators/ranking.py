@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagemill.constants import HOT_TOP_N, RECENT_PER_USER, SESSION_IDLE_MINUTES
-from pagemill.operators.segments import by_minute, run_numbers
+from pagemill.operators.segments import by_second, run_numbers
 
 
 def hot_counts(access_log: DataFrame) -> DataFrame:
@@ -44,7 +44,7 @@ def sessions(access_log: DataFrame, idle_minutes: int = SESSION_IDLE_MINUTES) ->
         access_log,
         ["user_id"],
         ["ts", "event_id"],
-        by_minute("ts"),
+        by_second("ts"),
         ["ts"],
         lambda previous, current: current["ts"] - previous["ts"] >= idle,
         "session_no",

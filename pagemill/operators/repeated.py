@@ -53,6 +53,23 @@ def hf_guards(pages: DataFrame, spans: DataFrame) -> DataFrame:
     return counts.withColumn("detection", outcome)
 
 
+def hf_guard_warnings(guards: DataFrame) -> DataFrame:
+    """What the guards of detection have to say: why it was skipped, or limited."""
+    n = lambda c: F.col(c).cast("string")
+    text = (
+        F.when(F.col("detection") == "skipped_no_text", "repeated regions not looked for: no page has text")
+        .when(
+            F.col("detection") == "skipped_few_pages",
+            F.concat(F.lit("repeated regions not looked for: pages with text: "), n("valid_pages"), F.lit(f", needed: {REGION_MIN_PAGES}")),
+        )
+        .when(
+            F.col("detection") == "limited",
+            F.concat(F.lit("repeated regions looked for on part of the pages: "), n("empty_pages"), F.lit(" of "), n("total_pages"), F.lit(" have no text")),
+        )
+    )
+    return guards.select("doc_id", text.alias("warning")).filter(F.col("warning").isNotNull())
+
+
 def hf_regions(spans: DataFrame) -> DataFrame:
     """Text of the top and of the bottom of each page, if short enough to be a header.
 

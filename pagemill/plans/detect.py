@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -19,14 +20,18 @@ class Repeated:
     warnings: DataFrame
 
 
-def detect(pages: DataFrame, spans: DataFrame) -> Repeated:
-    """All results of detection.
+# From spans to regions (doc_id, page_number, region, text, norm), at most a few short ones per page.
+Detector = Callable[[DataFrame], DataFrame]
+
+
+def detect(pages: DataFrame, spans: DataFrame, *, detector: Detector = rp.hf_regions) -> Repeated:
+    """All results of detection; ``detector`` finds the regions that may repeat.
 
     The regions (at most two short texts per page) and the confirmed groups are
     stored: everything later reads these small tables and not the spans again.
     """
     guards = rp.hf_guards(pages, spans)
-    regions = stored(rp.hf_regions(spans), "regions")
+    regions = stored(detector(spans), "regions")
     confirmed = stored(rp.hf_confirm(rp.hf_groups(regions), guards), "confirmed")
     ranges = rp.hf_page_ranges(regions, confirmed)
     return Repeated(guards, regions, confirmed, ranges, rp.hf_warnings(confirmed, ranges))

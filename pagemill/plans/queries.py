@@ -528,6 +528,12 @@ def hf_guards(spark, folder):
     return rp.hf_guards(pages.select("doc_id", "page_number"), ad.page_spans(pages))
 
 
+@query
+def hf_guard_warnings(spark, folder):
+    pages = ad.source_pages(spark, folder)
+    return rp.hf_guard_warnings(rp.hf_guards(pages.select("doc_id", "page_number"), ad.page_spans(pages)))
+
+
 @query
 def hf_regions(spark, folder):
     return rp.hf_regions(ad.page_spans(ad.source_pages(spark, folder)))
