@@ -45,7 +45,8 @@ from pagemill.sources.tables import stored
 
 SHINGLE = 5
 ROUTES = 3  # shared shingles by which a set is routed at first
-GROUPS = 64  # of shingle hashes: coordinates of a point
+GROUPS = 256  # of shingle hashes: coordinates of a point
+FULL = 255  # counts are moved as single bytes
 FANOUT = 16  # children of a box
 MEETING = 2048  # sets at a shingle that are joined in one piece
 
@@ -282,7 +283,7 @@ def candidates(sets: DataFrame, parts: DataFrame) -> DataFrame:
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in slices(batches, "shingles", BLOCK_BYTES):
             sets_ = [np.frombuffer(x, U) for x in block.column("shingles").to_pylist()]
-            rows = [v.astype(np.int32).tobytes() for v in points(sets_)]
+            rows = [v.astype(np.uint8).tobytes() for v in np.minimum(points(sets_), FULL)]
             yield pa.record_batch([block.column("node"), block.column("n"), pa.array(rows, pa.binary())], ["_at", "n", "point"])
 
     pointed = placed.select("node", "n", "shingles").mapInArrow(vectors, "_at bigint, n bigint, point binary")
@@ -300,7 +301,8 @@ def candidates(sets: DataFrame, parts: DataFrame) -> DataFrame:
             if len(held) < 2:
                 return
             _, x, y, own, node, component, n, point = (np.array(c) if k < 7 else c for k, c in enumerate(zip(*held)))
-            found = np.frombuffer(b"".join(point), np.int32).reshape(-1, GROUPS)
+            found = np.frombuffer(b"".join(point), np.uint8).reshape(-1, GROUPS).astype(np.int32)
+            found[found == FULL] = np.iinfo(np.int32).max // GROUPS  # a count of FULL or more bounds nothing
             tree = Tree(found, n)
             for i in range(len(held)):
                 if x[i] != y[i] and own[i] != x[i]:
