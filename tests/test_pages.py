@@ -161,3 +161,44 @@ def test_one_source_may_hold_most_pages(spark):
     found = detect(pages, spans)
     runs = found.ranges.filter("region = 'header'").agg(F.count("*").alias("n"), F.min(F.col("last_page") - F.col("first_page")).alias("d")).first()
     assert (runs.n, runs.d) == (6667, 1)
+
+
+def test_guard_warnings(spark):
+    guards = spark.createDataFrame(
+        [("a", 4, 4, 0, "skipped_no_text"), ("b", 4, 2, 2, "skipped_few_pages"), ("c", 9, 1, 8, "limited"), ("d", 9, 0, 9, "full")],
+        "doc_id string, total_pages int, empty_pages int, valid_pages int, detection string")
+    got = {r.doc_id: r.warning for r in rp.hf_guard_warnings(guards).collect()}
+    assert set(got) == {"a", "b", "c"} and "2, needed: 3" in got["b"] and "1 of 9" in got["c"]
+
+
+def test_any_detector(spark):
+    from pyspark.sql import functions as F
+
+    from pagemill.plans.detect import detect
+
+    pages = spark.createDataFrame([(1, p) for p in range(1, 5)], "doc_id long, page_number long")
+    spans = spark.createDataFrame([(1, p, 0, f"t{p}", 1.0) for p in range(1, 5)], "doc_id long, page_number long, seq long, text string, y0 double")
+
+    def titles(rows):
+        return rows.select("doc_id", "page_number", F.lit("title").alias("region"), "text", F.lit("t").alias("norm"))
+
+    found = detect(pages, spans, detector=titles)
+    assert [(r.region, r.page_count) for r in found.confirmed.collect()] == [("title", 4)]
+    assert [r.pages for r in found.ranges.collect()] == ["1-4"]
+
+
+def test_paged_documents(spark):
+    from pagemill.constants import ChunkingConfig
+    from pagemill.plans import paged
+
+    image = [(0.0, 0.0, 90.0, 90.0)]
+    rows = [(1, 1, "a paragraph of the first page", 29, 100.0, 100.0, []), (1, 2, "", 0, 100.0, 100.0, image), (1, 3, "x" * 150, 150, 100.0, 100.0, [])]
+    frame = spark.createDataFrame(rows, "doc_id long, page_number int, text string, text_len int, width double, height double, images array<struct<x0 double, y0 double, x1 double, y1 double>>")
+    tables = spark.createDataFrame([(1, 3, 1, [["h", "k"], ["1", None]]), (1, 1, 1, [["only"]])], "doc_id long, page_number int, table_no int, cells array<array<string>>")
+    pages = pg.classify_pages(frame)
+    blocks = paged.paged_blocks(pages, tables)
+    chunks = paged.page_chunk_rows(blocks, config=ChunkingConfig(100, 10, 0)).orderBy("chunk_index").collect()
+    assert [r.page_number for r in chunks] == sorted(r.page_number for r in chunks) and {1, 3} <= {r.page_number for r in chunks}
+    [record] = paged.parsed_documents(pages, blocks, tables).collect()
+    assert (record.total_pages, record.scanned_pages, record.status) == (3, 1, "ready") and record.total_blocks == blocks.count()
+    assert record.warnings == ["page 1 table: headers only, skipped", "page 2 scanned: no text, needs OCR, images=1"]
