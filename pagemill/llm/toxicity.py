@@ -1,10 +1,11 @@
 """Toxicity by a bidirectional gated recurrent network with attention pooling, in numpy.
 
-A text's words (runs without blanks, lower-cased, outer punctuation removed) are
-read in overlapping windows of ``WINDOW`` words that cover all of it. A word enters
-as a learned vector of its own, if it is frequent in the training sample, plus
-the learned vectors of character trigrams at four places of it. Two gated
-recurrent layers read the window in either direction, attention weighs their
+A text's words (runs without blanks) are read in overlapping windows of ``WINDOW``
+words that cover all of it; a word of more than ``LONG`` bytes is read as pieces of
+at most as many, which overlap by half. A word enters as a learned vector of its
+own, if it is frequent in the training sample (lower-cased, outer punctuation
+removed), plus the mean of the learned vectors of all its byte trigrams (lower-cased
+only). So every byte but the blanks reaches the network. Two gated recurrent layers read the window in either direction, attention weighs their
 states, and a linear layer makes the window's logit. A text is as toxic as its
 worst window; a logistic curve fitted on whole sampled texts makes that a
 probability.
@@ -22,6 +23,7 @@ worked through in groups of windows. Only doc_id and text are read.
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -36,13 +38,15 @@ from pagemill.llm.blocks import BLOCK_BYTES, map_blocks, slices
 from pagemill.llm.labelled import class_share, labelled_sample
 
 WINDOW, STEP = 32, 24  # words
-HIDDEN, WORD, CHAR, SLOTS, BUCKETS, VOCABULARY = 8, 8, 8, 4, 2048, 4096
+HIDDEN, WORD, CHAR, BUCKETS, VOCABULARY = 8, 8, 8, 2048, 4096
+LONG = 20  # bytes of a word that is read in one piece
 SAMPLE_ROWS, SAMPLE_WINDOWS = 1500, 40
 EPOCHS, WORST_FROM, BATCH, RATE, DECAY, EVIDENCE = 10, 2, 128, 0.01, 1e-3, 2.0
 THRESHOLD = 0.3
 GROUP = 2048  # windows that are worked on at once
 KNOWN_WORDS = 300_000  # words whose inputs a task keeps
 PAD, RARE = 0, 1
+NONE = -1  # fills the codes of words with fewer trigrams than others
 
 
 def normal(word: str) -> str:
@@ -50,12 +54,32 @@ def normal(word: str) -> str:
     return word.strip(punctuation).lower()
 
 
+def pieces(word: str) -> list[str]:
+    """The word, or overlapping pieces of at most ``LONG`` bytes that cover it."""
+    if 4 * len(word) <= LONG or len(word.encode("utf-8", "surrogatepass")) <= LONG:
+        return [word]
+    width = LONG // len(max(word).encode("utf-8", "surrogatepass"))  # characters
+    step = width // 2
+    return [word[a : a + width] for a in [*range(0, max(len(word) - width, 0), step), max(len(word) - width, 0)]]
+
+
+def units(text: str) -> list[str]:
+    """What windows are made of: the words of a text, long ones in pieces."""
+    return [piece for word in text.split() for piece in (pieces(word) if 4 * len(word) > LONG else (word,))]
+
+
 def trigrams(word: str) -> list[int]:
-    """Hashes of the byte trigrams at four evenly spread places of a normal word."""
+    """Hashes of all byte trigrams of a word in lower case."""
     marked = f"<{word}>".encode("utf-8", "surrogatepass")
-    last = max(len(marked) - 3, 0)
-    places = (0, last // 3, 2 * last // 3, last)
-    return [zlib.crc32(marked[k : k + 3]) % BUCKETS for k in places]
+    return [zlib.crc32(marked[k : k + 3]) % BUCKETS for k in range(max(len(marked) - 2, 1))]
+
+
+def padded(found: list[array]) -> np.ndarray:
+    """Codes of words as rows of one length."""
+    sizes = np.fromiter(map(len, found), np.int64, len(found))
+    out = np.full((len(found), int(sizes.max())), NONE, np.int16)
+    out[np.arange(out.shape[1]) < sizes[:, None]] = np.frombuffer(b"".join(found), np.int16)
+    return out
 
 
 def starts(n_words: int) -> list[int]:
@@ -65,6 +89,12 @@ def starts(n_words: int) -> list[int]:
     return [*range(0, n_words - WINDOW, STEP), n_words - WINDOW]
 
 
+def shares(codes: np.ndarray) -> np.ndarray:
+    """The part that each trigram of a word has in their mean."""
+    there = codes[:, 1:] != NONE
+    return there.astype(np.float32) / np.maximum(there.sum(1, keepdims=True), 1).astype(np.float32)
+
+
 def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
@@ -88,13 +118,17 @@ class Network:
     slope: float = 1.0  # of the curve over the worst window's logit
     shift: float = 0.0
 
-    def codes(self, word: str) -> list[int]:
+    def codes(self, word: str) -> array:
         """Number of a word as it stands in a text, and its trigrams."""
         plain = normal(word)
-        return [self.vocabulary.get(plain, RARE), *trigrams(plain)]
+        return array("h", [self.vocabulary.get(plain, RARE), *trigrams(word.lower())])
 
     def inputs(self, codes: np.ndarray) -> np.ndarray:
-        return np.hstack([self.p["word"][codes[:, 0]], self.p["char"][codes[:, 1:]].mean(1)])
+        share = shares(codes)
+        chars = np.zeros((len(codes), CHAR), self.p["char"].dtype)
+        for k in range(share.shape[1]):
+            chars += self.p["char"][codes[:, 1 + k]] * share[:, k, None]
+        return np.hstack([self.p["word"][codes[:, 0]], chars])
 
     def tables(self, codes: np.ndarray) -> dict[str, tuple[np.ndarray, np.ndarray]]:
         """What each word adds to the gates and the new state, by direction."""
@@ -183,7 +217,9 @@ class Network:
             grads[f"new_in_{d}"] += x.T @ new_sum
             to_x += gate_sum @ p[f"gate_in_{d}"].T + new_sum @ p[f"new_in_{d}"].T
         np.add.at(grads["word"], codes[:, 0], to_x[:, :WORD])
-        np.add.at(grads["char"], codes[:, 1:], to_x[:, None, WORD:] / SLOTS)
+        share = shares(codes)
+        row, k = np.nonzero(share)
+        np.add.at(grads["char"], codes[row, 1 + k], to_x[row, WORD:] * share[row, k, None])
         return grads
 
 
@@ -193,7 +229,7 @@ class Words(dict):
     def __init__(self, net: Network) -> None:
         super().__init__()
         self.net = net
-        self.found: list[list[int]] = [[PAD] + [0] * SLOTS]
+        self.found: list[array] = [array("h", [PAD, 0])]
         self.done = 0  # words that the tables hold
         self.held = {d: (np.empty((0, 2 * HIDDEN), np.float32), np.empty((0, HIDDEN), np.float32)) for d in "fb"}
 
@@ -207,12 +243,12 @@ class Words(dict):
 
     def codes(self) -> np.ndarray:
         """Codes of all words, if the tables were never asked for."""
-        return np.array(self.found, np.int64)
+        return padded(self.found)
 
     def tables(self) -> dict[str, tuple[np.ndarray, np.ndarray]]:
         """The network's tables of all words met so far."""
         if self.found:
-            new = self.net.tables(np.array(self.found, np.int64))
+            new = self.net.tables(padded(self.found))
             self.held = {d: tuple(np.concatenate(pair) for pair in zip(self.held[d], new[d])) for d in "fb"}
             self.done += len(self.found)
             self.found = []
@@ -317,7 +353,7 @@ def _curve(x: np.ndarray, y: np.ndarray, prior: float) -> tuple[float, float]:
 
 def score_texts(net: Network, texts: list[str], table: Words) -> np.ndarray:
     """Probability of each whole text; windows of all texts are worked on together."""
-    numbers = [table.of(t.split()) for t in texts]
+    numbers = [table.of(units(t)) for t in texts]
     tables = table.tables()
     worst = np.full(len(texts), -np.inf)
     waiting: list[np.ndarray] = []
@@ -350,7 +386,7 @@ def training_windows(sample: DataFrame, per_text: int = SAMPLE_WINDOWS) -> tuple
     def work(block: pa.RecordBatch) -> pa.RecordBatch:
         chosen = []
         for text in block.column("text").to_pylist():
-            words = text.split()
+            words = units(text)
             at = starts(len(words))
             picked = [at[k] for k in np.unique(np.linspace(0, len(at) - 1, per_text).astype(int))]
             chosen.append([" ".join(words[a : a + WINDOW]) for a in picked])

@@ -131,3 +131,17 @@ def test_windows_and_chunks_cover_everything():
         cut = quality_cnn.chunks_of(raw)
         whole = b"".join(c[: quality_cnn.STEP].tobytes() for c in cut[:-1]) + cut[-1].tobytes()
         assert whole[:n] == raw and not any(whole[n:])
+
+
+def test_every_byte_of_a_word_counts():
+    net = toxicity.Network({})
+    score = lambda text: toxicity.score_texts(net, [text], toxicity.Words(net))[0]
+    for run in ("abcdefghij" * 30, "好坏学生老师天地" * 40, "x_y." * 200, "é" * 99, "\U0001f600a" * 60, "short", "a" * 20, "a" * 21):
+        cut = toxicity.units(run)
+        assert max(len(c.encode()) for c in cut) <= toxicity.LONG
+        raw = run.encode()
+        assert {raw[k : k + 3] for k in range(len(raw) - 2)} == {c.encode()[k : k + 3] for c in cut for k in range(len(c.encode()) - 2)}
+    long = "abcdefghij" * 30
+    for k in (5, 17, 101, 149, 298):
+        assert score(long) != score(long[:k] + "Q9" + long[k + 2 :])
+    assert score("abcdefghijklmno") != score("abXdefghijklmno") and toxicity.units(" a  b ") == ["a", "b"]
