@@ -323,7 +323,7 @@ def fit(texts: list[list[str]], classes: np.ndarray, prior: float | None = None,
                 m += 0.1 * (grads[k] - m)
                 v += 0.001 * (grads[k] ** 2 - v)
                 net.p[k] -= (rate * m / (np.sqrt(v) + 1e-8)).astype(np.float32)
-    worst = np.full(len(texts), -np.inf)
+    worst = np.full(len(texts), -np.inf)  # of the given windows; train() has all windows of the texts
     np.maximum.at(worst, owner, _logits(net, windows, codes))
     share = prior if prior is not None else share
     net.slope, net.shift = _curve(worst, classes, min(max(share, 1e-3), 1 - 1e-3))
@@ -351,8 +351,8 @@ def _curve(x: np.ndarray, y: np.ndarray, prior: float) -> tuple[float, float]:
     return float(max(at[0], 0.0)), float(at[1])
 
 
-def score_texts(net: Network, texts: list[str], table: Words) -> np.ndarray:
-    """Probability of each whole text; windows of all texts are worked on together."""
+def worst_of(net: Network, texts: list[str], table: Words) -> np.ndarray:
+    """Logit of the worst window of each whole text; windows of all texts are worked on together."""
     numbers = [table.of(units(t)) for t in texts]
     tables = table.tables()
     worst = np.full(len(texts), -np.inf)
@@ -377,7 +377,12 @@ def score_texts(net: Network, texts: list[str], table: Words) -> np.ndarray:
                 held = 0
     if waiting:
         flush()
-    return sigmoid(net.slope * worst + net.shift)
+    return worst
+
+
+def score_texts(net: Network, texts: list[str], table: Words) -> np.ndarray:
+    """Probability of each whole text."""
+    return sigmoid(net.slope * worst_of(net, texts, table) + net.shift)
 
 
 def training_windows(sample: DataFrame, per_text: int = SAMPLE_WINDOWS) -> tuple[list[list[str]], np.ndarray]:
@@ -402,8 +407,25 @@ def training_windows(sample: DataFrame, per_text: int = SAMPLE_WINDOWS) -> tuple
 
 def train(docs: DataFrame, labels: DataFrame, label: str, keep: Column, rows: int = SAMPLE_ROWS) -> Network:
     """The network fitted to at most ``rows`` documents of each class."""
-    texts, classes = training_windows(labelled_sample(docs, labels, label, keep, rows))
-    return fit(texts, classes, class_share(labels, label, keep))
+    sample = labelled_sample(docs, labels, label, keep, rows)
+    texts, classes = training_windows(sample)
+    prior = class_share(labels, label, keep)
+    net = fit(texts, classes, prior)
+    if len(set(classes.tolist())) == 2:
+        net.slope, net.shift = whole_curve(net, sample, prior)
+    return net
+
+
+def whole_curve(net: Network, sample: DataFrame, prior: float) -> tuple[float, float]:
+    """The curve over the worst of all windows of the sampled texts."""
+
+    def work(block: pa.RecordBatch) -> pa.RecordBatch:
+        found = worst_of(net, block.column("text").to_pylist(), Words(net))
+        return pa.record_batch([pa.array(found, pa.float64()), block.column("label")], ["worst", "label"])
+
+    rows = sorted((r.worst, r.label) for r in map_blocks(sample, work, "worst double, label int").collect())
+    worst, classes = np.array(rows).T
+    return _curve(worst, classes, min(max(prior, 1e-3), 1 - 1e-3))
 
 
 def score(docs: DataFrame, net: Network) -> DataFrame:

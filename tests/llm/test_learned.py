@@ -145,3 +145,16 @@ def test_every_byte_of_a_word_counts():
     for k in (5, 17, 101, 149, 298):
         assert score(long) != score(long[:k] + "Q9" + long[k + 2 :])
     assert score("abcdefghijklmno") != score("abXdefghijklmno") and toxicity.units(" a  b ") == ["a", "b"]
+
+
+def test_the_curve_is_fitted_on_whole_texts(spark, documents, prose):
+    bad = [(i, prose(i, 40) + " stupid stupid###") for i in range(20)]
+    long = [(100 + i, prose(50 + i, 3000)) for i in range(8)]  # more than SAMPLE_WINDOWS windows
+    labels = spark.createDataFrame([(i, 1) for i, _ in bad] + [(i, 0) for i, _ in long], "doc_id bigint, toxic int")
+    docs = documents(bad + long)
+    net = toxicity.train(docs, labels, "toxic", fold(4) != 9)
+    worst = toxicity.worst_of(net, [t for _, t in bad + long], toxicity.Words(net))
+    classes = np.array([1.0] * len(bad) + [0.0] * len(long))
+    order = np.lexsort((classes, worst))
+    wanted = toxicity._curve(worst[order], classes[order], len(bad) / len(bad + long))
+    assert (net.slope, net.shift) == pytest.approx(wanted, abs=1e-4)
