@@ -5,13 +5,15 @@ last return the columns of docs, with the rows or texts that they decide on:
 
 1. language: documents whose language can't be told are removed;
 2. near copies: of each group of texts linked by word shingles, the document with
-   the smallest id stays; texts without a word are no copies of each other;
+   the smallest id and text hash stays; texts without a word are no copies of each other;
 3. decontamination: documents that hold a test item are removed;
 4. personal data: every span found is replaced by its kind in angle brackets;
 5. mixing: every document with the number of copies that the mix takes of it.
 
-Rows that share a doc_id are judged together: all of them stay or go. A null
-doc_id is an id of its own.
+A row is known by its id and a hash of its text, so texts that share an id, or have
+none, are judged apart. Of rows with the same id and text one stays in stage 2.
+Rows without an id that are copies only of each other all stay, as nothing tells
+which is first; where a copy has an id, the one with the smallest id stays.
 """
 
 from __future__ import annotations
@@ -28,29 +30,51 @@ from pagemill.sources.tables import read_table, stored
 LEAST_SCORE = 0.3  # of the predicted language
 
 
-def _without(docs: DataFrame, ids: DataFrame, column: str) -> DataFrame:
-    """The documents whose id is not among these, null being an id too."""
-    gone = ids.select(F.col(column).alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"].eqNullSafe(F.col("_gone")), "left_anti").select(docs.columns)
+def _keyed(docs: DataFrame) -> DataFrame:
+    """(doc_id, text) with a key of the row, made of its id and text, in the place of the id."""
+    return docs.select(_row_key(docs).alias("doc_id"), "text")
+
+
+def _row_key(docs: DataFrame) -> Column:
+    return _key(docs["doc_id"], jaccard.text_key(docs["text"]))
+
+
+def _key(doc_id: Column, text_key: Column) -> Column:
+    return F.xxhash64(F.coalesce(doc_id.cast("string"), F.lit("-")), text_key)
+
+
+def _without(docs: DataFrame, keys: DataFrame, column: str) -> DataFrame:
+    """The rows whose key is not among these."""
+    gone = keys.select(F.col(column).alias("_gone")).distinct()
+    return docs.join(gone, _row_key(docs) == F.col("_gone"), "left_anti").select(docs.columns)
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Only documents with a language; learned from those that are not held out."""
-    found = language.predict(docs, language.train(docs, fold(4) != 2))
+    found = language.predict(_keyed(docs), language.train(docs, fold(4) != 2))
     lost = found.where((F.col("lang_pred") == language.UNKNOWN) | (F.col("score") < LEAST_SCORE))
     return _without(docs, lost, "doc_id")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies."""
-    found = jaccard.similar_texts(docs)
-    copies = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("n_shingles") > 0))
-    return _without(docs, copies, "doc_id")
+    found = jaccard.similar_rows(docs).where(F.col("n_shingles") > 0)
+    found = stored(found.withColumn("key", _key(F.col("doc_id"), F.col("text_key"))), "pipeline-copies")
+    single = docs.limit(0)
+    copies = found.where(~F.col("is_first") & F.col("component_id").isNotNull()).select("key")
+    same = found.where(F.col("is_first") & F.col("doc_id").isNotNull()).groupBy("key").count().where(F.col("count") > 1)
+    if not same.isEmpty():  # rows with the same id and text: one of each, without gathering them in a task
+        again = docs.join(same.select(F.col("key").alias("_same")), _row_key(docs) == F.col("_same"), "left_semi")
+        whole = F.struct(*(again[c] for c in again.columns))
+        one = again.groupBy(_row_key(again).alias("_key")).agg(F.min_by(whole, F.xxhash64(*again.columns)).alias("_row"))
+        single = one.select("_row.*")
+        copies = copies.unionByName(same.select("key"))
+    return _without(docs, copies, "key").unionByName(single)
 
 
 def decontaminate_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Only documents that hold no test item."""
-    return _without(docs, decontaminate.leaks(docs, read_table(spark, sf_dir, "benchmark")), "doc_id")
+    return _without(docs, decontaminate.leaks(_keyed(docs), read_table(spark, sf_dir, "benchmark")), "doc_id")
 
 
 def redact_private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -34,7 +34,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagemill.llm import packs
@@ -98,7 +98,7 @@ def looked_up(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def set_keys(docs: DataFrame) -> DataFrame:
-    """(order, version, n_shingles, node) of every row; the node stands for the set."""
+    """(order, version, text key, n_shingles, node) of every row; the node stands for the set."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in slices(batches, "text", BLOCK_BYTES // 2):
             raw = [x or b"" for x in block.column("text").cast(pa.binary()).to_pylist()]
@@ -109,11 +109,17 @@ def set_keys(docs: DataFrame) -> DataFrame:
             node = mix64(node + n.astype(U))
             version = [zlib.crc32(x) & 0xFFFF for x in raw]
             yield pa.record_batch(
-                [block.column("_order"), pa.array(version, pa.int32()), pa.array(n), pa.array(node.view(np.int64))],
-                ["_order", "_version", "n_shingles", "node"],
+                [block.column("_order"), pa.array(version, pa.int32()), block.column("text_key"), pa.array(n), pa.array(node.view(np.int64))],
+                ["_order", "_version", "text_key", "n_shingles", "node"],
             )
 
-    return raw_texts(docs).mapInArrow(run, "_order bigint, _version int, n_shingles bigint, node bigint")
+    keyed = raw_texts(docs).withColumn("text_key", text_key(F.col("text")))
+    return keyed.mapInArrow(run, "_order bigint, _version int, text_key bigint, n_shingles bigint, node bigint")
+
+
+def text_key(text: Column) -> Column:
+    """A hash that tells the texts of one id apart."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
 def shared_sets(texts: DataFrame, heads: DataFrame, n: int, frequent: np.ndarray) -> DataFrame:
@@ -369,6 +375,11 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 def similar_texts(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id, the smallest doc_id reachable by links, of every row."""
+    return similar_rows(docs).select("doc_id", "n_shingles", "component_id")
+
+
+def similar_rows(docs: DataFrame) -> DataFrame:
+    """As similar_texts, with the text's key and whether the row is the first of its group by id and text key."""
     n = packs.buckets(docs.sparkSession)
     keys = stored(set_keys(docs), "jaccard-keys")
     heads = (
@@ -383,12 +394,16 @@ def similar_texts(docs: DataFrame) -> DataFrame:
     parts = components(first)
     links = stored(verified(candidates(sets, parts), sets), "jaccard-more")
     parts = components(first.unionByName(links))
-    joined = keys.where(F.col("n_shingles") > 0).groupBy("node").agg(F.min("_order").alias("_first"))
+    joined = keys.where(F.col("n_shingles") > 0).groupBy("node").agg(F.min(F.struct("_order", "text_key")).alias("_first"))
     named = joined.join(parts, "node", "left").withColumn("_part", F.coalesce("component", "node"))
     lowest = named.groupBy("_part").agg(F.min("_first").alias("_lowest"))
     named = named.join(lowest, "_part").select(F.col("node").alias("_node"), "_lowest")
     result = keys.join(named, (F.col("node") == F.col("_node")) & (F.col("n_shingles") > 0), "left")
     real = lambda c: F.when(c != LAST, c)
     return result.select(
-        real(F.col("_order")).alias("doc_id"), "n_shingles", real(F.coalesce("_lowest", "_order")).alias("component_id")
+        real(F.col("_order")).alias("doc_id"),
+        "n_shingles",
+        real(F.coalesce("_lowest._order", "_order")).alias("component_id"),
+        "text_key",
+        F.coalesce(F.struct("_order", "text_key") == F.col("_lowest"), F.lit(True)).alias("is_first"),
     )

@@ -58,3 +58,25 @@ def test_null_ids_and_empty_tables(spark, documents, prose):
     assert corpus_pipeline.drop_near_copies(spark, none, "").columns == none.columns
     assert corpus_pipeline.redact_private_data(spark, none, "").collect() == []
     assert corpus_pipeline.mix_sources(spark, none, "").collect() == []
+
+
+def test_rows_of_one_id_are_judged_apart(spark, documents, prose, tmp_path):
+    item = prose(900, 30) + ". " + prose(901, 8) + "."
+    spark.createDataFrame([(1, item)], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    leaked = prose(1, 90) + " " + item
+    docs = documents([(None, leaked), (None, prose(2, 90)), (7, leaked), (7, prose(3, 90))], clash=False)
+    got = corpus_pipeline.decontaminate_texts(spark, docs, str(tmp_path)).collect()
+    assert sorted((r.doc_id or 0, r.text) for r in got) == [(0, prose(2, 90)), (7, prose(3, 90))]
+
+    rows = [(None, prose(4, 40), "aa"), (None, "", None), (5, prose(5, 40), "aa"), (5, "12 !?", None)]
+    rows += [(100 + k, prose(100 + k, 40), "aa") for k in range(20)]
+    got = corpus_pipeline.identify_language(spark, documents(rows), "").where("coalesce(doc_id, 0) < 100").collect()
+    assert sorted((r.doc_id or 0, r.text) for r in got) == [(0, prose(4, 40)), (5, prose(5, 40))]
+
+    near = prose(6, 80) + " more"
+    rows = [(None, prose(6, 80)), (None, prose(7, 80)), (3, near), (4, near), (4, prose(8, 80)), (9, prose(9, 80))]
+    rows += [(9, prose(9, 80)), (9, prose(9, 80) + " more"), (2, ""), (2, "")]
+    got = corpus_pipeline.drop_near_copies(spark, documents(rows), "").collect()
+    kept = sorted((r.doc_id or 0, r.text) for r in got)
+    nines = [x for x in kept if x[0] == 9]
+    assert len(nines) == 1 and kept[:5] == sorted([(0, prose(7, 80)), (2, ""), (2, ""), (3, near), (4, prose(8, 80))]) and len(kept) == 6
