@@ -10,7 +10,8 @@ word trigrams of the item's question (all sentences but the last) and of its
 answer (the last sentence) are looked up around the passage.
 
 Items are searched in shards of about ``SHARD`` items, whose index is sent to all
-tasks; a larger benchmark means more shards, not a larger index.
+tasks; a larger benchmark means more shards, not a larger index. Document
+frequencies, the number of parts and their mean length are those of all items.
 
 Defined cases: a null text or one without words has no passages; an item without
 words is never found; repeated items are found each, repeated rows give equal
@@ -30,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagemill.llm.blocks import BLOCK_BYTES, U, grams, lower_ascii, slices, text_bytes, words
+from pagemill.sources.tables import stored
 
 PART = 64  # words
 THRESHOLD = 0.6  # of a part's own score
@@ -77,18 +79,32 @@ class Posting:
     block_tops: list[float]
 
 
+@dataclass
+class Statistics:
+    """Of all parts of a benchmark; words, in order, and the parts that hold each are those that a shard needs."""
+
+    n_parts: int
+    mean: float  # words of a part
+    words: np.ndarray
+    df: np.ndarray
+
+
 class Index:
     """BM25 impacts of item parts by word, with the largest impact of every list and block."""
 
-    def __init__(self, items: list[tuple[int | None, bytes]]) -> None:
+    def __init__(self, items: list[tuple[int | None, bytes]], known: Statistics | None = None) -> None:
+        """``known``: statistics of all items, if these are not all."""
         parsed = [parse_item(*x) for x in items]
         self.items = [item for item, _ in parsed]
         cut = [(i, h[a : a + PART]) for i, (_, h) in enumerate(parsed) for a in range(0, len(h), PART)]
         self.owner = [i for i, _ in cut]
         counts = [np.unique(h, return_counts=True) for _, h in cut]
         self.words, df = np.unique(np.concatenate([w for w, _ in counts] or [np.zeros(0, U)]), return_counts=True)
-        idf = np.log(1 + (len(cut) - df + 0.5) / (df + 0.5))
-        mean = sum(len(h) for _, h in cut) / max(len(cut), 1)
+        n_parts, mean = len(cut), sum(len(h) for _, h in cut) / max(len(cut), 1)
+        if known is not None:
+            n_parts, mean = known.n_parts, known.mean
+            df = known.df[np.searchsorted(known.words, self.words)]
+        idf = np.log(1 + (n_parts - df + 0.5) / (df + 0.5))
         lists: list[tuple[list[int], list[float]]] = [([], []) for _ in self.words]
         for part, (word, n) in enumerate(counts):
             at = np.searchsorted(self.words, word)
@@ -218,9 +234,29 @@ def leaks_of(index: Index, texts: list[bytes]) -> list[tuple]:
     return out
 
 
-def search_shard(docs: DataFrame, items: list[tuple[int | None, bytes]]) -> DataFrame:
+def part_words(items: DataFrame) -> DataFrame:
+    """(word, size, shard): a row for each distinct word of every part of these items, and one without a word per part."""
+
+    def run(batches):  # noqa: ANN001, ANN202
+        for block in slices(batches, "text", BLOCK_BYTES // 8):
+            word, size, shard = [], [], []
+            for raw, k in zip(text_bytes(block.column("text")), block.column("shard").to_pylist()):
+                hashes = parse_item(None, raw)[1]
+                for a in range(0, len(hashes), PART):
+                    mine = hashes[a : a + PART]
+                    own = np.unique(mine).view(np.int64).tolist()
+                    word += [None, *own]
+                    size += [len(mine)] * (len(own) + 1)
+                    shard += [k] * (len(own) + 1)
+            columns = [pa.array(word, pa.int64()), pa.array(size, pa.int64()), pa.array(shard, pa.int64())]
+            yield pa.record_batch(columns, ["word", "size", "shard"])
+
+    return items.mapInArrow(run, "word bigint, size bigint, shard bigint")
+
+
+def search_shard(docs: DataFrame, items: list[tuple[int | None, bytes]], known: Statistics | None = None) -> DataFrame:
     """Verified leaks of these items in all passages of all texts."""
-    shared = docs.sparkSession.sparkContext.broadcast(Index(items))
+    shared = docs.sparkSession.sparkContext.broadcast(Index(items, known))
 
     def run(batches):  # noqa: ANN001, ANN202
         index = shared.value
@@ -238,9 +274,22 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     shards = max(1, math.ceil(usable.count() / SHARD))
     shard = F.pmod(F.xxhash64("item_id", "text"), F.lit(shards))
     found = None
+    if shards > 1:
+        counted = stored(part_words(usable.select("text", shard.cast("bigint").alias("shard"))).groupBy("word", "shard").agg(
+            F.count("*").alias("n"), F.sum("size").alias("size")
+        ), "benchmark-words")
+        whole = counted.where(F.col("word").isNull()).agg(F.sum("n").alias("n"), F.sum("size").alias("size")).first()
+        frequency = counted.where(F.col("word").isNotNull()).groupBy("word").agg(F.sum("n").alias("df"))
     for k in range(shards):
+        known = None
+        if shards > 1:
+            own = counted.where((F.col("shard") == k) & F.col("word").isNotNull()).select("word")
+            rows = np.array([(r.word, r.df) for r in frequency.join(own, "word", "left_semi").collect()], np.int64).reshape(-1, 2)
+            word, df = np.ascontiguousarray(rows[:, 0]).view(U), rows[:, 1]
+            order = np.argsort(word)
+            known = Statistics(whole.n or 0, (whole.size or 0) / max(whole.n or 0, 1), word[order], df[order])
         items = sorted(((r.item_id, r.text.encode()) for r in usable.where(shard == k).collect()), key=lambda x: (x[0] is None, x[0] or 0, x[1]))
-        part = search_shard(docs, items)
+        part = search_shard(docs, items, known)
         found = part if found is None else found.unionByName(part)
     best = F.max_by(F.struct("score", "start_word", "question_overlap", "answer_overlap"), F.struct("score", -F.col("start_word")))
     grouped = found.groupBy("doc_id", "item_id").agg(best.alias("_best"), F.count("*").alias("n_passages"))

@@ -60,3 +60,13 @@ def test_empty_tables(spark, documents, items):
     none = spark.createDataFrame([], "item_id bigint, text string")
     assert decontaminate.leaks(documents([(1, items[0][1])]), none).collect() == []
     assert decontaminate.leaks(documents([]), spark.createDataFrame(items, "item_id bigint, text string")).collect() == []
+
+
+def test_scores_do_not_depend_on_shards(spark, documents, items, prose, monkeypatch):
+    long = (99, prose(1, 200) + ". " + prose(2, 20) + ".")
+    bench = spark.createDataFrame([*items, long, (77, ""), (5, items[5][1])], "item_id bigint, text string")
+    rows = [(i, prose(i, 70) + " " + " ".join(items[i][1].split()[: 38 - i % 14])) for i in range(30)] + [(200, long[1])]
+    whole = {(r.doc_id, r.item_id): r.score for r in decontaminate.leaks(documents(rows), bench).collect()}
+    monkeypatch.setattr(decontaminate, "SHARD", 7)
+    got = {(r.doc_id, r.item_id): r.score for r in decontaminate.leaks(documents(rows), bench).collect()}
+    assert len(whole) > 20 and got == pytest.approx(whole)
