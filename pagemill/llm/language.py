@@ -7,8 +7,10 @@ follow-the-regularised-leader with L1 and L2 penalties, which leaves weights of
 uninformative places at exactly zero; then one temperature is fitted on a part of
 the sample that training did not see, so that the score is a probability.
 
-Fitting takes at most ``SAMPLE_ROWS`` whole texts of each of the ``LANGUAGES`` most
-frequent languages; scoring reads every whole text, in bounded pieces.
+Fitting takes at most ``SAMPLE_ROWS`` whole texts of each language, and fewer of each
+where there are so many languages that they would be more than ``SAMPLE_TOTAL`` in
+all, but one of each at least: every language is learned. Document frequencies are
+counted over all documents that fitting may see. Scoring reads every whole text, in bounded pieces.
 
 Defined cases: a null text and a text without a letter give ``und`` with score 0;
 so does every text when nothing could be learned. Equal texts get equal results,
@@ -18,6 +20,7 @@ and, for fitting, lang are read.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,11 +28,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagemill.llm.blocks import map_blocks
+from pagemill.llm.blocks import BLOCK_BYTES, map_blocks, slices
 
 FEATURES = 1 << 12
 ORDERS = (1, 2, 3)
-SAMPLE_ROWS, LANGUAGES = 300, 64
+SAMPLE_ROWS, SAMPLE_TOTAL = 300, 19_200
 ALPHA, BETA, L1, L2, EPOCHS = 0.5, 1.0, 0.02, 0.1, 3
 PIECE = 1 << 18  # characters that are worked on at once
 UNKNOWN = "und"
@@ -128,30 +131,38 @@ def calibrate(logits: np.ndarray, classes: np.ndarray) -> float:
     return float(np.exp((a + b) / 2))
 
 
-def fit(counted: np.ndarray, languages: list[str], held: np.ndarray) -> Model:
-    """A model of counted texts; the temperature comes from the rows marked in ``held``."""
+def fit(counted: np.ndarray, languages: list[str], held: np.ndarray, idf: np.ndarray) -> Model:
+    """A model of counted texts; the temperature comes from the rows marked in ``held``.
+
+    A language whose rows are all held is learned from its first one.
+    """
     names = sorted(set(languages))
     if not names:
         return Model([], np.ones(FEATURES, np.float32), np.zeros((FEATURES, 0)), np.zeros(0), 1.0)
-    classes = np.array([names.index(x) for x in languages])
-    idf = (np.log((1 + len(counted)) / (1 + (counted > 0).sum(0))) + 1).astype(np.float32)
+    number = {x: k for k, x in enumerate(names)}
+    classes = np.array([number[x] for x in languages])
     vectors = weighted(counted, idf)
-    seen = ~held if (~held).any() else np.ones(len(held), bool)
+    held = held.copy()
+    lone = np.bincount(classes[~held], minlength=len(names)) == 0
+    first = np.unique(classes, return_index=True)[1]
+    held[first[lone]] = False
+    seen = ~held
     weights, bias = ftrl(vectors[seen], classes[seen], len(names))
     return Model(names, idf, weights, bias, calibrate(vectors[held] @ weights + bias, classes[held]))
 
 
-def sample(docs: DataFrame, keep: Column, rows: int = SAMPLE_ROWS, languages: int = LANGUAGES) -> DataFrame:
-    """(doc_id, text, lang) of at most ``rows`` documents of each of the most frequent languages.
+def sample(docs: DataFrame, keep: Column, rows: int = SAMPLE_ROWS, total: int = SAMPLE_TOTAL) -> DataFrame:
+    """(doc_id, text, lang) of at most ``rows`` documents of each language, fewer if they were over ``total``.
 
     Ids are thinned by hash to about four times the wanted number of each language
-    before they are ranked, so no task ranks all documents of a language.
+    and 40 more before they are ranked, so no task ranks all documents of a language.
     """
     narrow = docs.where(keep & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
     draw = F.pmod(F.xxhash64(F.col("doc_id")), F.lit(1 << 40)) / F.lit(float(1 << 40))
     narrow = narrow.select("doc_id", "lang", draw.alias("_draw"))
-    known = narrow.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages)
-    rates = known.select(F.col("lang").alias("_lang"), F.least(F.lit(4.0 * rows) / F.col("count"), F.lit(1.0)).alias("_rate"))
+    known = narrow.groupBy("lang").count()
+    rows = max(1, min(rows, total // max(known.count(), 1)))
+    rates = known.select(F.col("lang").alias("_lang"), F.least(F.lit(4.0 * rows + 40) / F.col("count"), F.lit(1.0)).alias("_rate"))
     thinned = narrow.join(F.broadcast(rates), F.col("lang") == F.col("_lang")).where(F.col("_draw") <= F.col("_rate"))
     ranked = thinned.withColumn("_rank", F.row_number().over(Window.partitionBy("lang").orderBy("_draw", "doc_id")))
     chosen = ranked.where(F.col("_rank") <= rows).select(F.col("doc_id").alias("_id"), F.col("lang").alias("_of"), "_draw")
@@ -161,6 +172,25 @@ def sample(docs: DataFrame, keep: Column, rows: int = SAMPLE_ROWS, languages: in
     )
 
 
+def frequencies(docs: DataFrame, keep: Column) -> np.ndarray:
+    """Inverse document frequency of every place, over all texts of the rows that ``keep`` allows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(FEATURES + 1, np.int64)  # the last one: texts
+        for block in slices(batches, "text", BLOCK_BYTES):
+            for text in block.column("text").to_pylist():
+                total[:-1] += counts(text) > 0
+                total[-1] += 1
+        place = np.flatnonzero(total)
+        yield pa.record_batch([pa.array(place, pa.int64()), pa.array(total[place], pa.int64())], ["place", "n"])
+
+    partial = docs.where(keep & F.col("text").isNotNull()).select("text").mapInArrow(run, "place bigint, n bigint")
+    seen = np.zeros(FEATURES + 1, np.int64)
+    for r in partial.groupBy("place").agg(F.sum("n").alias("n")).collect():
+        seen[r.place] = r.n
+    return (np.log((1 + seen[-1]) / (1 + seen[:-1])) + 1).astype(np.float32)
+
+
 def train(docs: DataFrame, keep: Column, rows: int = SAMPLE_ROWS) -> Model:
     """A model learned from a bounded sample of the rows that ``keep`` allows."""
 
@@ -173,7 +203,7 @@ def train(docs: DataFrame, keep: Column, rows: int = SAMPLE_ROWS) -> Model:
     found = map_blocks(sample(docs, keep, rows), work, "doc_id bigint, lang string, counted binary").collect()
     found.sort(key=lambda r: (r.doc_id, r.lang, bytes(r.counted)))
     counted = np.array([np.frombuffer(r.counted, np.int32) for r in found]).reshape(-1, FEATURES)
-    return fit(counted, [r.lang for r in found], np.arange(len(found)) % 5 == 0)
+    return fit(counted, [r.lang for r in found], np.arange(len(found)) % 5 == 0, frequencies(docs, keep))
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:

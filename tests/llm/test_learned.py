@@ -158,3 +158,17 @@ def test_the_curve_is_fitted_on_whole_texts(spark, documents, prose):
     order = np.lexsort((classes, worst))
     wanted = toxicity._curve(worst[order], classes[order], len(bad) / len(bad + long))
     assert (net.slope, net.shift) == pytest.approx(wanted, abs=1e-4)
+
+
+def test_every_language_is_learned(spark, documents):
+    word = lambda k: chr(0x4E00 + 7 * k) * 3 + chr(0x6E00 + 11 * k) * 3
+    rows = [(10 * k + j, f"{word(k)} {word(k)}" * (j + 1), f"l{k:03d}") for k in range(70) for j in range(1 if k > 66 else 3)]
+    docs = documents(rows)
+    model = language.train(docs, fold(4) != 9)
+    assert model.languages == [f"l{k:03d}" for k in range(70)]
+    assert (np.abs(model.weights).sum(0) > 0).all()
+    small = language.sample(docs, fold(4) != 9, total=70).groupBy("lang").count().collect()
+    assert len(small) == 70 and {r["count"] for r in small} == {1}
+    some = language.train(docs, fold(4) != 9, 1)  # frequencies are of all documents, not of the sample
+    there = np.sum([language.counts(t) > 0 for _, t, _ in rows], 0)
+    assert some.idf == pytest.approx(np.log((1 + len(rows)) / (1 + there)) + 1, rel=1e-5)
