@@ -205,3 +205,10 @@ def test_writing_again_replaces(spark, tmp_path):
     tb.write_chunks(rows(("a", 0, "new"), ("c", 0, "w")), path)
     got = sorted((r.document_id, r.chunk_index, r.chunk_text) for r in spark.read.parquet(path).collect())
     assert got == [("a", 0, "new"), ("b", 0, "z"), ("c", 0, "w")]
+
+
+def test_files_without_bytes_are_rejected_by_the_same_limit(spark, folder):
+    files = fs.admit_files(fs.scan_files(spark, str(folder / "in"), max_bytes=5), max_bytes=5).collect()
+    large = [r for r in files if r.content is None]
+    assert large and all(r.length > 5 and r.reject_reason in ("too_large", "extension_not_allowed") for r in large)
+    assert any(r.reject_reason == "too_large" for r in large) and all(r.reject_reason != "too_large" for r in files if r.length <= 5)
