@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagemill.llm import audio, decontaminate, jaccard, language, mixing, passages, private_data, quality_cnn, suffixes, toxicity
+from pagemill.llm import word_bpe
 from pagemill.llm.labelled import fold
 from pagemill.sources.tables import read_table
 
@@ -61,6 +63,11 @@ def op10_quality_cnn(spark: SparkSession, folder: str) -> DataFrame:
     return scored.select("doc_id", (fold(5) == 0).alias("held_out"), "score", "predicted")
 
 
+def op13_word_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    vocabulary = public_tokenizers.path("word_bpe_49k.json")
+    return word_bpe.digest(word_bpe.decode(word_bpe.encode(read_table(spark, folder, "documents"), vocabulary), vocabulary))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_language": op2_language,
@@ -72,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_jaccard_join": op8_jaccard_join,
     "op9_passage_dedup": op9_passage_dedup,
     "op10_quality_cnn": op10_quality_cnn,
+    "op13_word_bpe": op13_word_bpe,
 }
 
 # Words are counted by the rule of the operators; the rest follows the text of the contract.
