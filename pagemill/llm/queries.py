@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagemill.llm import audio, decontaminate, jaccard, language, mixing, passages, private_data, quality_cnn, suffixes, toxicity
-from pagemill.llm import word_bpe
+from pagemill.llm import turns, word_bpe
 from pagemill.llm.labelled import fold
 from pagemill.sources.tables import read_table
 
@@ -63,6 +63,11 @@ def op10_quality_cnn(spark: SparkSession, folder: str) -> DataFrame:
     return scored.select("doc_id", (fold(5) == 0).alias("held_out"), "score", "predicted")
 
 
+def op12_repair_turns(spark: SparkSession, folder: str) -> DataFrame:
+    conversations = read_table(spark, folder, "conversations")
+    return turns.digest(conversations, turns.repair(turns.damage(conversations)))
+
+
 def op13_word_bpe(spark: SparkSession, folder: str) -> DataFrame:
     vocabulary = public_tokenizers.path("word_bpe_49k.json")
     return word_bpe.digest(word_bpe.decode(word_bpe.encode(read_table(spark, folder, "documents"), vocabulary), vocabulary))
@@ -79,11 +84,90 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_jaccard_join": op8_jaccard_join,
     "op9_passage_dedup": op9_passage_dedup,
     "op10_quality_cnn": op10_quality_cnn,
+    "op12_repair_turns": op12_repair_turns,
     "op13_word_bpe": op13_word_bpe,
 }
 
 # Words are counted by the rule of the operators; the rest follows the text of the contract.
 ORACLE: dict[str, str] = {
+    "op12_repair_turns": r"""
+WITH RECURSIVE crc AS (
+  SELECT list(list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t
+  FROM range(256) r(i)),
+keyed AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k
+  FROM conversations),
+hit AS (
+  SELECT keyed.*, xor(list_reduce(list_prepend(4294967295, [CAST(ascii(x) AS BIGINT) FOR x IN string_split(k, '')]),
+         lambda c, b: xor(c >> 8, t[xor(c & 255, b) + 1])), 4294967295) % 20 AS kind
+  FROM keyed, crc),
+damaged AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+         CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM hit, range(2) copy(n) WHERE kind <> 0 AND (n = 0 OR kind = 3)),
+numbered AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM damaged),
+judged AS (
+  SELECT conv_id, turn, role, text, i, left(role, 1) AS initial, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS before,
+         CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank'
+              WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate'
+              WHEN regexp_matches(text, '[^.!?\x20\x09-\x0D][\x20\x09-\x0D]*$') THEN 'truncated' ELSE '' END AS fault
+  FROM numbered),
+state AS (SELECT unnest(['', 's', 'u', 'a']) AS q),
+step AS (
+  SELECT q AS came, initial, CASE WHEN q = '' AND initial = 's' THEN 's' WHEN q <> 'u' AND initial = 'u' THEN 'u'
+         WHEN q = 'u' AND initial = 'a' THEN 'a' END AS goes
+  FROM state, (SELECT DISTINCT initial FROM judged) x),
+dp AS (
+  SELECT conv_id, CAST(0 AS BIGINT) AS i, '' AS q, CAST(0 AS BIGINT) AS cost, '' AS audit FROM (SELECT DISTINCT conv_id FROM conversations) x
+  UNION ALL
+  SELECT conv_id, i, q, best.c, best.a
+  FROM (
+    SELECT conv_id, i, q, min({'c': cost, 'a': audit}) AS best
+    FROM (
+      SELECT g.conv_id, j.i, e.q, g.cost + e.more AS cost, g.audit || e.letter AS audit
+      FROM (
+        SELECT conv_id, i, q, cost, audit FROM dp
+        UNION ALL
+        SELECT conv_id, i, CASE WHEN q = 'u' THEN 'a' ELSE 'u' END, cost + 5, audit || 'I' FROM dp) g
+      JOIN judged j ON j.conv_id IS NOT DISTINCT FROM g.conv_id AND j.i = g.i + 1,
+      LATERAL (
+        SELECT g.q AS q, 2 AS more, 'D' AS letter
+        UNION ALL
+        SELECT s.goes, CASE WHEN j.fault = 'truncated' THEN 5 ELSE 0 END, 'K' FROM step s
+        WHERE s.came = g.q AND s.initial = j.initial AND s.goes IS NOT NULL AND j.fault NOT IN ('blank', 'duplicate')
+        UNION ALL
+        SELECT CASE WHEN g.q = 'u' THEN 'a' ELSE 'u' END, CASE WHEN j.fault = 'truncated' THEN 6 ELSE 1 END, 'R'
+        WHERE j.fault NOT IN ('blank', 'duplicate')) e) offers
+    GROUP BY conv_id, i, q) x),
+ended AS (
+  SELECT dp.conv_id, min({'c': cost + e.more, 'a': audit || e.letter}) AS best
+  FROM dp LEFT JOIN (SELECT conv_id, max(i) AS n FROM judged GROUP BY conv_id) m ON m.conv_id IS NOT DISTINCT FROM dp.conv_id,
+  LATERAL (SELECT 0 AS more, '' AS letter WHERE q IN ('', 'a') UNION ALL SELECT 5, 'I' WHERE q = 'u') e
+  WHERE dp.i = coalesce(m.n, 0) GROUP BY dp.conv_id),
+letter AS (
+  SELECT conv_id, k, best.a[k] AS letter FROM ended, LATERAL (SELECT unnest(range(1, length(best.a) + 1)) AS k) x),
+placed AS (
+  SELECT conv_id, k, letter, count(*) FILTER (WHERE letter <> 'I') OVER w AS i, count(*) FILTER (WHERE letter <> 'D') OVER w AS o
+  FROM letter WINDOW w AS (PARTITION BY conv_id ORDER BY k)),
+written AS (
+  SELECT p.conv_id, p.k, p.letter, p.o, j.role, j.text, max(CASE WHEN p.o = 1 AND p.letter = 'K' AND j.initial = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY p.conv_id) AS s
+  FROM placed p LEFT JOIN judged j ON p.letter <> 'I' AND j.conv_id IS NOT DISTINCT FROM p.conv_id AND j.i = p.i
+  WHERE p.letter <> 'D'),
+mended AS (
+  SELECT conv_id, string_agg(CASE WHEN letter = 'K' THEN role WHEN (o - s) % 2 = 1 THEN 'user' ELSE 'assistant' END
+         || ':' || CASE WHEN letter = 'I' THEN '' ELSE text END, chr(10) ORDER BY k) AS lines
+  FROM written GROUP BY conv_id),
+measured AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE fault = 'blank') AS blank,
+         count(*) FILTER (WHERE fault = 'duplicate') AS duplicate, count(*) FILTER (WHERE fault = 'truncated') AS truncated,
+         count(*) FILTER (WHERE before || initial NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM judged GROUP BY conv_id)
+SELECT e.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+       coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, CAST(e.best.c AS BIGINT) AS cost, e.best.a AS audit,
+       sha256(coalesce(lines, '')) AS repaired_sha256
+FROM ended e LEFT JOIN measured m ON m.conv_id IS NOT DISTINCT FROM e.conv_id LEFT JOIN mended d ON d.conv_id IS NOT DISTINCT FROM e.conv_id""",
     "op8_jaccard_join": r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words
