@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagemill.llm import audio, decontaminate, jaccard, language, mixing, passages, private_data, quality_cnn, suffixes, toxicity
-from pagemill.llm import turns, word_bpe
+from pagemill.llm import spelling, turns, word_bpe
 from pagemill.llm.labelled import fold
 from pagemill.sources.tables import read_table
 
@@ -63,6 +63,10 @@ def op10_quality_cnn(spark: SparkSession, folder: str) -> DataFrame:
     return scored.select("doc_id", (fold(5) == 0).alias("held_out"), "score", "predicted")
 
 
+def op11_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.variants(read_table(spark, folder, "documents"))
+
+
 def op12_repair_turns(spark: SparkSession, folder: str) -> DataFrame:
     conversations = read_table(spark, folder, "conversations")
     return turns.digest(conversations, turns.repair(turns.damage(conversations)))
@@ -84,12 +88,47 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_jaccard_join": op8_jaccard_join,
     "op9_passage_dedup": op9_passage_dedup,
     "op10_quality_cnn": op10_quality_cnn,
+    "op11_spelling_variants": op11_spelling_variants,
     "op12_repair_turns": op12_repair_turns,
     "op13_word_bpe": op13_word_bpe,
 }
 
 # Words are counted by the rule of the operators; the rest follows the text of the contract.
 ORACLE: dict[str, str] = {
+    "op11_spelling_variants": r"""
+WITH RECURSIVE crc AS (
+  SELECT list(list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t
+  FROM range(256) r(i)),
+run AS (
+  SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-z\x{C0}-\x{FF}]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run
+  FROM documents),
+each AS (
+  SELECT doc_id, run, count(*) AS n, hex(encode(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run)) AS bytes
+  FROM run WHERE length(run) >= 5 GROUP BY doc_id, run),
+checked AS (
+  SELECT run, n, xor(list_reduce(list_prepend(4294967295, [CAST('0x' || bytes[k:k + 1] AS BIGINT) FOR k IN range(1, length(bytes), 2)]),
+         lambda c, b: xor(c >> 8, t[xor(c & 255, b) + 1])), 4294967295) AS h
+  FROM each, crc),
+words AS (
+  SELECT word, CAST(sum(n) AS BIGINT) AS n
+  FROM (SELECT n, CASE WHEN h % 97 = 0 THEN left(run, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word FROM checked) x
+  WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+less AS (
+  SELECT word, n, k, left(word, k) || substr(word, k + 2) AS rest FROM words, LATERAL (SELECT unnest(range(length(word))) AS k) x),
+near AS (
+  SELECT a.word, b.word AS other, b.n FROM less a JOIN less b ON a.k = b.k AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM less a JOIN words b ON a.rest = b.word
+  UNION SELECT b.word, a.word, a.n FROM less a JOIN words b ON a.rest = b.word),
+best AS (
+  SELECT word, count(*) AS n_near, min({'m': -n, 'w': other}) AS best FROM near GROUP BY word),
+form AS (
+  SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN -best.m >= 2 * w.n THEN best.w END AS form, CASE WHEN -best.m >= 2 * w.n THEN -best.m END AS form_n
+  FROM words w LEFT JOIN best b ON b.word = w.word),
+follow AS (
+  SELECT word, word AS at FROM form
+  UNION ALL SELECT f.word, g.form FROM follow f JOIN form g ON g.word = f.at WHERE g.form IS NOT NULL)
+SELECT f.word, f.form, r.at AS root, f.n, f.n_near, f.form_n
+FROM form f JOIN (SELECT x.word, x.at FROM follow x JOIN form y ON y.word = x.at WHERE y.form IS NULL) r ON r.word = f.word""",
     "op12_repair_turns": r"""
 WITH RECURSIVE crc AS (
   SELECT list(list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t
