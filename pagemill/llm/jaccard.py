@@ -23,13 +23,12 @@ steps make up for what the parts cannot see, and into all pairs of parts in step
 Defined cases: words are compared with A-Z lower-cased; a text with fewer than
 five words has its whole sequence as one shingle; a null text and a text without
 words has an empty set and is linked with nothing; a null doc_id counts as the
-largest id, and stays null; rows that repeat get equal results. Only doc_id and
-text are read.
+largest id, and stays null; rows that repeat get equal results, and texts under one
+id are told apart by 16 bytes of their SHA-256. Only doc_id and text are read.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -40,7 +39,7 @@ from pyspark.sql import functions as F
 from pagemill.llm import packs
 from pagemill.llm.blocks import BLOCK_BYTES, grams, lower_ascii, mix64, slices, words
 from pagemill.llm.components import components
-from pagemill.llm.repeats import LAST, U, _unpacked, frequent_values, marks, packed_texts, raw_texts, sent_values
+from pagemill.llm.repeats import U, _unpacked, frequent_values, marks, packed_texts, raw_texts, row_key, sent_values
 from pagemill.sources.tables import stored
 
 SHINGLE = 5
@@ -98,7 +97,8 @@ def looked_up(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def set_keys(docs: DataFrame) -> DataFrame:
-    """(order, version, text key, n_shingles, node) of every row; the node stands for the set."""
+    """(doc_id, order, key, n_shingles, node) of every row; the node stands for the set."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in slices(batches, "text", BLOCK_BYTES // 2):
             raw = [x or b"" for x in block.column("text").cast(pa.binary()).to_pylist()]
@@ -107,25 +107,24 @@ def set_keys(docs: DataFrame) -> DataFrame:
             node = np.zeros(len(raw), U)
             np.add.at(node, text, mix64(value ^ U(0x5851F42D4C957F2D)))
             node = mix64(node + n.astype(U))
-            version = [zlib.crc32(x) & 0xFFFF for x in raw]
             yield pa.record_batch(
-                [block.column("_order"), pa.array(version, pa.int32()), block.column("text_key"), pa.array(n), pa.array(node.view(np.int64))],
-                ["_order", "_version", "text_key", "n_shingles", "node"],
+                [block.column("doc_id"), block.column("_order"), pa.array(list(map(row_key, raw)), pa.binary()), pa.array(n), pa.array(node.view(np.int64))],
+                ["doc_id", "_order", "_key", "n_shingles", "node"],
             )
 
-    keyed = raw_texts(docs).withColumn("text_key", text_key(F.col("text")))
-    return keyed.mapInArrow(run, "_order bigint, _version int, text_key bigint, n_shingles bigint, node bigint")
+    keyed = raw_texts(docs, F.col("doc_id").cast("bigint"))
+    return keyed.mapInArrow(run, "doc_id bigint, _order bigint, _key binary, n_shingles bigint, node bigint")
 
 
 def text_key(text: Column) -> Column:
-    """A hash that tells the texts of one id apart."""
-    return F.xxhash64(F.coalesce(text, F.lit("")))
+    """What tells the texts of one id apart, as in the rows of :func:`similar_rows`."""
+    return F.substring(F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256)), 1, 16)
 
 
 def shared_sets(texts: DataFrame, heads: DataFrame, n: int, frequent: np.ndarray) -> DataFrame:
     """(node, n, shingles, routes) of the sets that may have links; routes: shared shingles of the prefix."""
-    keys = ["_order", "_version"]
-    nodes = texts.join(heads, keys)
+    keys = ["_order", "_key"]
+    nodes = texts.join(heads, keys).sortWithinPartitions(*keys)
     found = marks(sent_values(nodes.select(*keys, "_packed"), looked_up, frequent, n, "_packed", back=True), n)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -385,8 +384,8 @@ def similar_rows(docs: DataFrame) -> DataFrame:
     heads = (
         keys.where(F.col("n_shingles") > 0)
         .groupBy("node")
-        .agg(F.min(F.struct("_order", "_version")).alias("_head"))
-        .select("_head._order", "_head._version", "node")
+        .agg(F.min(F.struct("_order", "_key")).alias("_head"))
+        .select("_head._order", "_head._key", "node")
     )
     frequent = frequent_values(raw_texts(docs), looked_up)
     sets = stored(shared_sets(packed_texts(docs), heads, n, frequent), "jaccard-sets")
@@ -394,16 +393,15 @@ def similar_rows(docs: DataFrame) -> DataFrame:
     parts = components(first)
     links = stored(verified(candidates(sets, parts), sets), "jaccard-more")
     parts = components(first.unionByName(links))
-    joined = keys.where(F.col("n_shingles") > 0).groupBy("node").agg(F.min(F.struct("_order", "text_key")).alias("_first"))
+    joined = keys.where(F.col("n_shingles") > 0).groupBy("node").agg(F.min(F.struct("_order", "_key", "doc_id")).alias("_first"))
     named = joined.join(parts, "node", "left").withColumn("_part", F.coalesce("component", "node"))
     lowest = named.groupBy("_part").agg(F.min("_first").alias("_lowest"))
     named = named.join(lowest, "_part").select(F.col("node").alias("_node"), "_lowest")
     result = keys.join(named, (F.col("node") == F.col("_node")) & (F.col("n_shingles") > 0), "left")
-    real = lambda c: F.when(c != LAST, c)
     return result.select(
-        real(F.col("_order")).alias("doc_id"),
+        "doc_id",
         "n_shingles",
-        real(F.coalesce("_lowest._order", "_order")).alias("component_id"),
-        "text_key",
-        F.coalesce(F.struct("_order", "text_key") == F.col("_lowest"), F.lit(True)).alias("is_first"),
+        F.when(F.col("_lowest").isNotNull(), F.col("_lowest.doc_id")).otherwise(F.col("doc_id")).alias("component_id"),
+        F.col("_key").alias("text_key"),
+        F.coalesce((F.col("_order") == F.col("_lowest._order")) & (F.col("_key") == F.col("_lowest._key")), F.lit(True)).alias("is_first"),
     )

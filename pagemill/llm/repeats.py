@@ -18,25 +18,29 @@ beforehand, and their windows are grouped by all their units instead; of such
 windows, equal ones are reduced to their first document before they are moved.
 The sample decides on the route only, never on the result.
 
-Texts are identified by doc_id and a checksum of the text. Rows that share both
-are equal and get equal results; rows that share the id alone are compared with
-smaller ids, and each with itself. A null id counts as larger than all others.
+A row is known by its doc_id and 16 bytes of the SHA-256 of its text. Rows that
+share both are equal and get equal results; rows that share the id alone are compared
+with smaller ids, and each with itself. A null id counts as the largest one. Between
+tasks a text is a number in the block of texts that it was read with; a block's tag
+hashes its rows in order, its partition and its number there, and the rows of a
+partition come in the order of their keys, so a task that is run again makes the same.
 """
 
 from __future__ import annotations
 
-import zlib
+import hashlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagemill.llm import packs
-from pagemill.llm.blocks import BLOCK_BYTES, grams, hash_runs, mix64, slices, words
+from pagemill.llm.blocks import BLOCK_BYTES, grams, mix64, slices, words
 
 U = np.uint64
 LAST = np.iinfo(np.int64).max
@@ -46,7 +50,8 @@ FREQUENT = 2048  # texts that hold an anchor, by the sample
 COMPARED = 300_000  # windows that are compared at once, but for larger groups
 HELD = 4_000_000  # results of a task that are packed together
 LIST = 20_000  # frequent anchors, at most: no other one has more than its share of 1 / LIST
-TEXT_SCHEMA = "_order bigint, _version int, _packed binary"
+KEY = np.dtype("V16")
+TEXT_SCHEMA = "doc_id bigint, _order bigint, _key binary, _packed binary"
 
 ANCHORS, NAMES, MARKS, RUNS, FOUND = range(5)
 
@@ -154,7 +159,8 @@ def repeated_inside(rule: Rule, data: np.ndarray, bounds: np.ndarray) -> np.ndar
     key = mix64(value[at] ^ (text[at].astype(U) * U(0x9E3779B97F4A7C15)))
     order = np.argsort(key, kind="stable")
     same = key[order][1:] == key[order][:-1]
-    out[at[order[1:][same]]] = True
+    here, before = at[order[1:][same]], at[order[:-1][same]]
+    out[here] = _equal(data, here, before, rule.width) & (text[here] == text[before])
     return out
 
 
@@ -165,24 +171,44 @@ def spread(first: np.ndarray, count: np.ndarray) -> np.ndarray:
     return offset + np.arange(total)
 
 
+def row_key(raw: bytes) -> bytes:
+    """What tells the texts of one id apart."""
+    return hashlib.sha256(raw).digest()[: KEY.itemsize]
+
+
+def block_tag(number: int, order: np.ndarray, key: list[bytes]) -> int:
+    """The tag of a task's block of texts."""
+    said = hashlib.sha256(np.array([TaskContext.get().partitionId(), number], np.int64).tobytes() + order.tobytes() + b"".join(key))
+    return int.from_bytes(said.digest()[:8], "little") >> 1
+
+
+def name_row(n: int, tag: int, order: np.ndarray, key: list[bytes], needed: np.ndarray) -> packs.Row:
+    """The row that says which texts the numbers of a block are."""
+    keys = np.frombuffer(b"".join(key), KEY)
+    return (tag % n, NAMES, tag, packs.planes(order), packs.planes(keys), packs.planes(needed.astype(np.uint32)))
+
+
 def packed_texts(docs: DataFrame) -> DataFrame:
-    """(order, version, compressed text) of every row, as texts are moved."""
+    """(doc_id, order, key, compressed text) of every row, as texts are moved."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=1)
         for block in slices(batches, "text", BLOCK_BYTES):
             raw = [x or b"" for x in block.column("text").cast(pa.binary()).to_pylist()]
             yield pa.record_batch(
-                [block.column("_order"), pa.array([zlib.crc32(x) & 0xFFFF for x in raw], pa.int32()), pa.array(list(map(squeeze.compress, raw)), pa.binary())],
-                ["_order", "_version", "_packed"],
-            )
+                [
+                    block.column("doc_id"), block.column("_order"), pa.array(list(map(row_key, raw)), pa.binary()),
+                    pa.array(list(map(squeeze.compress, raw)), pa.binary()),
+                ],
+                ["doc_id", "_order", "_key", "_packed"],
+            )
 
     order = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LAST)).alias("_order")
-    return docs.select(order, "text").mapInArrow(run, TEXT_SCHEMA)
+    return docs.select(F.col("doc_id").cast("bigint"), order, "text").mapInArrow(run, TEXT_SCHEMA)
 
 
-def raw_texts(docs: DataFrame) -> DataFrame:
-    return docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LAST)).alias("_order"), "text")
+def raw_texts(docs: DataFrame, *more: Column) -> DataFrame:
+    return docs.select(*more, F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LAST)).alias("_order"), "text")
 
 
 Extract = Callable[[list[bytes]], tuple[np.ndarray, np.ndarray, np.ndarray | None]]
@@ -235,16 +261,16 @@ def sent_values(
         owner: list[np.ndarray] = []
         order: list[np.ndarray] = []
         needed: list[np.ndarray] = []
-        version: list[int] = []
-        size = 0
+        key: list[bytes] = []
+        size = number = 0
 
         def flush() -> pa.RecordBatch:
-            ids, kinds = np.concatenate(order), np.array(version, np.uint16)
-            tag = int(mix64(np.array([(mix64(ids.view(U)) + kinds).sum(dtype=U)], U))[0] >> U(1))
+            ids = np.concatenate(order)
+            tag = block_tag(number, ids, key)
             every, text = np.concatenate(value), np.concatenate(owner)
             often = np.isin(every, frequent) if len(frequent) else np.zeros(len(every), bool)
             rows = list(packs.cut((every[~often] >> U(32)) % U(n), [every[~often].astype(np.uint32), text[~often]], ANCHORS, tag))
-            rows.append((tag % n, NAMES, tag, *map(packs.planes, (ids, kinds, np.concatenate(needed).astype(np.uint32)))))
+            rows.append(name_row(n, tag, ids, key, np.concatenate(needed)))
             if back and often.any():
                 rows.append((tag % n, MARKS, tag, packs.planes(every[often].astype(np.uint32)), packs.planes(text[often])))
             return packs.batch(rows)
@@ -253,22 +279,23 @@ def sent_values(
             raw = _raw(block)
             text, found, need = extract(raw)
             value.append(found)
-            owner.append((text + len(version)).astype(np.uint16))
+            owner.append((text + len(key)).astype(np.uint16))
             order.append(block.column("_order").to_numpy())
             needed.append(np.ones(len(raw), np.uint32) if need is None else need)
-            version.extend(zlib.crc32(x) & 0xFFFF for x in raw)
+            key.extend(map(row_key, raw))
             size += sum(map(len, raw))
-            if size >= FLUSH_BYTES or len(version) > 50_000:
+            if size >= FLUSH_BYTES or len(key) > 50_000:
                 yield flush()
-                value, owner, order, needed, version, size = [], [], [], [], [], 0
-        if version:
+                value, owner, order, needed, key, size = [], [], [], [], [], 0
+                number += 1
+        if key:
             yield flush()
 
     return texts.mapInArrow(run, packs.SCHEMA)
 
 
 def marks(packed: DataFrame, n: int) -> DataFrame:
-    """(order, version, repeated values) of every text that has as many as it needs."""
+    """(order, key, repeated values) of every text that has as many as it needs."""
 
     def repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in packs.groups(batches):
@@ -293,7 +320,7 @@ def marks(packed: DataFrame, n: int) -> DataFrame:
             for tag in sorted({r["tag"] for r in rows}):
                 mine = [r for r in rows if r["tag"] == tag]
                 names = next(r for r in mine if r["kind"] == NAMES)
-                order, version = packs.values_of(names["a"], np.int64), packs.values_of(names["b"], np.uint16)
+                order, key = packs.values_of(names["a"], np.int64), packs.values_of(names["b"], KEY)
                 mine = [r for r in mine if r["kind"] == MARKS]
                 value, text = packs.column(mine, "a", np.uint32), packs.column(mine, "b", np.uint16)
                 sort = np.lexsort((value, text))
@@ -302,15 +329,15 @@ def marks(packed: DataFrame, n: int) -> DataFrame:
                 has = np.flatnonzero(np.diff(edges) >= packs.values_of(names["c"], np.uint32))
                 yield pa.record_batch(
                     [
-                        pa.array(order[has]), pa.array(version[has].astype(np.int32)),
+                        pa.array(order[has]), pa.array([key[i].tobytes() for i in has], pa.binary()),
                         pa.array([value[edges[i] : edges[i + 1]].tobytes() for i in has], pa.binary()),
                     ],
-                    ["_order", "_version", "_marks"],
+                    ["_order", "_key", "_marks"],
                 )
 
     back = packs.exchange(packs.exchange(packed).mapInArrow(repeated, packs.SCHEMA))
-    found = back.mapInArrow(by_text, "_order bigint, _version int, _marks binary")
-    return found.groupBy("_order", "_version").agg(F.first("_marks").alias("_marks"))
+    found = back.mapInArrow(by_text, "_order bigint, _key binary, _marks binary")
+    return found.groupBy("_order", "_key").agg(F.first("_marks").alias("_marks"))
 
 
 def _unpacked(block: pa.RecordBatch) -> list[bytes]:
@@ -319,9 +346,9 @@ def _unpacked(block: pa.RecordBatch) -> list[bytes]:
 
 
 def marked_runs(texts: DataFrame, rule: Rule, frequent: np.ndarray, n: int) -> DataFrame:
-    """Packed runs of windows with a repeated anchor, and what the texts themselves already show."""
+    """Packed runs of windows with a repeated anchor, what the texts themselves already show, and the names of the texts."""
 
-    def rows_of(order: np.ndarray, version: np.ndarray, data: np.ndarray, bounds: np.ndarray, runs: Runs, key: np.ndarray) -> list:
+    def rows_of(tag: int, order: np.ndarray, data: np.ndarray, bounds: np.ndarray, runs: Runs, key: np.ndarray) -> list:
         if not len(runs.text):
             return []
         sort = np.argsort((key >> U(32)) % U(n), kind="stable")
@@ -331,77 +358,86 @@ def marked_runs(texts: DataFrame, rule: Rule, frequent: np.ndarray, n: int) -> D
         content = data[spread(runs.first, size)]
         cuts = np.concatenate([[0], np.cumsum(size)])
         start = (runs.first - bounds[runs.text]).astype(np.uint32)
-        names = np.empty(len(sort), [("order", np.int64), ("version", np.uint16), ("start", np.uint32), ("count", np.uint32)])
-        names["order"], names["version"], names["start"], names["count"] = order[runs.text], version[runs.text], start, runs.count
+        names = np.empty(len(sort), [("order", np.int64), ("text", np.uint16), ("start", np.uint32), ("count", np.uint32)])
+        names["order"], names["text"], names["start"], names["count"] = order[runs.text], runs.text, start, runs.count
         low = key.astype(np.uint32)
         edges = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(bucket)]
         return [
             (
-                int(bucket[a]), RUNS, 0, low[a:b].tobytes(), *(packs.planes(names[f][a:b]) for f in ("order", "version", "start")),
+                int(bucket[a]), RUNS, tag, low[a:b].tobytes(), *(packs.planes(names[f][a:b]) for f in ("order", "text", "start")),
                 packs.planes(names["count"][a:b]) + content[cuts[a] : cuts[b]].tobytes(),
             )
             for a, b in zip(edges, edges[1:])
         ]
 
-    def found_rows(order: np.ndarray, version: np.ndarray, start: np.ndarray) -> list:
-        return list(_found(order, version, start, np.ones(len(start), np.uint32), n))
+    def found_rows(tag: int, text: np.ndarray, start: np.ndarray) -> list:
+        return list(_found(np.full(len(text), tag), text, start, np.ones(len(start), np.uint32), n))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in slices(batches, "_packed", BLOCK_BYTES // 4):
+        for number, block in enumerate(slices(batches, "_packed", BLOCK_BYTES // 4)):
             raw = _unpacked(block)
-            order = block.column("_order").to_numpy()
-            version = block.column("_version").to_numpy().astype(np.uint16)
+            order, key = block.column("_order").to_numpy(), block.column("_key").to_pylist()
+            tag = block_tag(number, order, key)
             data, bounds = units(rule, raw)
-            out = []
+            out = [name_row(n, tag, order, key, np.zeros(len(raw)))]
             inside = None
             if rule.within:
                 inside = repeated_inside(rule, data, bounds)
                 at = np.flatnonzero(inside)
                 text = np.searchsorted(bounds, at, "right") - 1
-                out += found_rows(order[text], version[text], at - bounds[text])
+                out += found_rows(tag, text, at - bounds[text])
             runs = runs_of(rule, data, bounds, inside)
             marked = [np.frombuffer(x or b"", np.uint32) for x in block.column("_marks").to_pylist()]
             known = np.concatenate([m.astype(U) | U(i << 32) for i, m in enumerate(marked)])
             asked = runs.anchor & U(0xFFFFFFFF) | runs.text.astype(U) << U(32)
             mine = runs.take(np.isin(asked, known) & ~np.isin(runs.anchor, frequent))
-            out += rows_of(order, version, data, bounds, mine, mine.anchor)
+            out += rows_of(tag, order, data, bounds, mine, mine.anchor)
             if len(frequent):
                 often = runs.take(np.isin(runs.anchor, frequent))
                 at = spread(often.first, often.count)
                 text = np.repeat(often.text, often.count)
-                key = gram_hashes(rule, data, rule.width)[at]
-                sort = np.lexsort((order[text], key))
-                key, at, text = key[sort], at[sort], text[sort]
-                new = np.ones(len(key), bool)
-                new[1:] = key[1:] != key[:-1]
-                least = order[text][new][np.cumsum(new) - 1] if len(key) else order[:0]
-                later = order[text] > least
-                out += found_rows(order[text[later]], version[text[later]], at[later] - bounds[text[later]])
-                one = Runs(text[~later], at[~later], np.ones((~later).sum(), np.int64), key[~later])
-                out += rows_of(order, version, data, bounds, one, one.anchor)
+                window = gram_hashes(rule, data, rule.width)[at]
+                sort = np.lexsort((order[text], window))
+                window, at, text = window[sort], at[sort], text[sort]
+                new = np.ones(len(window), bool)
+                new[1:] = window[1:] != window[:-1]
+                head = np.flatnonzero(new)[np.cumsum(new) - 1]  # the first of those with the same hash
+                later = order[text] > order[text[head]]
+                later[later] = _equal(data, at[later], at[head[later]], rule.width)
+                out += found_rows(tag, text[later], at[later] - bounds[text[later]])
+                one = Runs(text[~later], at[~later], np.ones((~later).sum(), np.int64), window[~later])
+                out += rows_of(tag, order, data, bounds, one, one.anchor)
             yield packs.batch(out)
 
     return texts.mapInArrow(run, packs.SCHEMA)
 
 
-def _found(order: np.ndarray, version: np.ndarray, start: np.ndarray, count: np.ndarray, n: int) -> Iterator[packs.Row]:
-    key = (mix64(order.view(U)) % U(n)).astype(np.int64)
-    fields = [order, version.astype(np.uint16), start.astype(np.uint32), count.astype(np.uint32)]
-    return packs.cut(key, fields, FOUND)
+def _equal(data: np.ndarray, a: np.ndarray, b: np.ndarray, width: int) -> np.ndarray:
+    """Whether the ``width`` units from each place in ``a`` are those from the place in ``b``."""
+    out = np.ones(len(a), bool)
+    for k in range(width):
+        out &= data[a + k] == data[b + k]
+    return out
+
+
+def _found(tag: np.ndarray, text: np.ndarray, start: np.ndarray, count: np.ndarray, n: int) -> Iterator[packs.Row]:
+    fields = [tag.astype(np.int64), text.astype(np.uint16), start.astype(np.uint32), count.astype(np.uint32)]
+    return packs.cut(tag % n, fields, FOUND)
 
 
 def content_classes(data: np.ndarray, cuts: np.ndarray, group: np.ndarray) -> np.ndarray:
     """Number of each run's content among the contents of all groups: equal runs, equal numbers."""
-    raw = data.view(np.uint8)
-    scale = data.itemsize
-    value = hash_runs(raw, cuts[:-1] * scale, np.diff(cuts) * scale)
-    return np.unique(mix64(value ^ mix64(group.astype(U))), return_inverse=True)[1]
+    raw = data.tobytes()
+    at = (cuts * data.itemsize).tolist()
+    number: dict[tuple[int, bytes], int] = {}
+    return np.array([number.setdefault((g, raw[a:b]), len(number)) for g, a, b in zip(group.tolist(), at, at[1:])], np.int64)
 
 
 def decide(rule: Rule, rows: list[dict], classes: Classes) -> Iterator[tuple[np.ndarray, ...]]:
-    """(order, version, start, count) of windows that stand in a smaller document too."""
+    """(tag, text, start, count) of windows that stand in a smaller document too."""
     group = np.frombuffer(b"".join(r["a"] for r in rows), np.uint32)
-    order, version = packs.column(rows, "b", np.int64), packs.column(rows, "c", np.uint16)
+    tag = np.repeat(np.array([r["tag"] for r in rows], np.int64), [len(r["a"]) // 4 for r in rows])
+    order, text = packs.column(rows, "b", np.int64), packs.column(rows, "c", np.uint16)
     start = packs.column(rows, "d", np.uint32)
     counts, parts = [], []
     for r in rows:
@@ -415,7 +451,7 @@ def decide(rule: Rule, rows: list[dict], classes: Classes) -> Iterator[tuple[np.
     least = np.full(int(content.max()) + 1, LAST)
     np.minimum.at(least, content, order)
     later = order > least[content]
-    yield order[later], version[later], start[later], count[later]
+    yield tag[later], text[later], start[later], count[later]
     first = np.flatnonzero(~later)
     one = first[np.unique(content[first], return_index=True)[1]]  # a run of each content
     # Where an anchor has runs of several contents, their windows are compared.
@@ -430,12 +466,12 @@ def decide(rule: Rule, rows: list[dict], classes: Classes) -> Iterator[tuple[np.
     ends = ends[np.append(np.diff(total[ends - 1] // COMPARED) > 0, True)]
     alike = first[np.argsort(content[first], kind="stable")]
     for a, b in zip([0, *ends.tolist()], ends.tolist()):
-        yield from _compare(several[a:b], alike, content, order, version, start, count, classes, data, cuts, group)
+        yield from _compare(several[a:b], alike, content, order, tag, text, start, count, classes, data, cuts, group)
 
 
 def _compare(
-    mine: np.ndarray, alike: np.ndarray, content: np.ndarray, order: np.ndarray, version: np.ndarray, start: np.ndarray,
-    count: np.ndarray, classes: Classes, data: np.ndarray, cuts: np.ndarray, group: np.ndarray,
+    mine: np.ndarray, alike: np.ndarray, content: np.ndarray, order: np.ndarray, tag: np.ndarray, text: np.ndarray,
+    start: np.ndarray, count: np.ndarray, classes: Classes, data: np.ndarray, cuts: np.ndarray, group: np.ndarray,
 ) -> Iterator[tuple[np.ndarray, ...]]:
     """What ``decide`` finds among runs of different contents; ``alike`` has the runs of a content together."""
     size = count[mine] + np.diff(cuts)[mine[0]] - count[mine[0]]
@@ -459,16 +495,16 @@ def _compare(
     new = np.ones(len(at), bool)
     new[1:] = (at[1:] != at[:-1] + 1) | (who[1:] != who[:-1])
     edge = np.flatnonzero(new)
-    yield order[who[edge]], version[who[edge]], at[edge].astype(np.uint32), np.diff(np.append(edge, len(at)))
+    yield tag[who[edge]], text[who[edge]], at[edge].astype(np.uint32), np.diff(np.append(edge, len(at)))
 
 
 def spans(packed: DataFrame, rule: Rule, classes: Classes, n: int) -> DataFrame:
-    """(order, version, first windows and numbers) of the repeated windows of every text that has some."""
+    """(order, key, first windows and numbers) of the repeated windows of every text that has some."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
         for _, rows in packs.groups(batches):
-            yield packs.batch([(r["bucket"], FOUND, 0, r["a"], r["b"], r["c"], r["d"]) for r in rows if r["kind"] == FOUND])
+            yield packs.batch([(r["bucket"], r["kind"], r["tag"], r["a"], r["b"], r["c"], r["d"]) for r in rows if r["kind"] != RUNS])
             rows = [r for r in rows if r["kind"] == RUNS]
             held += decide(rule, rows, classes) if rows else []
             if sum(len(h[0]) for h in held) > HELD:
@@ -479,24 +515,33 @@ def spans(packed: DataFrame, rule: Rule, classes: Classes, n: int) -> DataFrame:
 
     def by_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in packs.groups(batches):
-            order, version = packs.column(rows, "a", np.int64), packs.column(rows, "b", np.uint16)
+            names = {r["tag"]: r for r in rows if r["kind"] == NAMES}
+            rows = [r for r in rows if r["kind"] == FOUND]
+            tag, text = packs.column(rows, "a", np.int64), packs.column(rows, "b", np.uint16)
             start, count = packs.column(rows, "c", np.uint32), packs.column(rows, "d", np.uint32)
-            sort = np.lexsort((start, version, order))
-            order, version, start, count = order[sort], version[sort], start[sort], count[sort]
-            new = np.ones(len(order), bool)
-            new[1:] = (order[1:] != order[:-1]) | (version[1:] != version[:-1])
-            edges = np.append(np.flatnonzero(new), len(order))
+            sort = np.lexsort((start, text, tag))
+            tag, text, start, count = tag[sort], text[sort], start[sort], count[sort]
+            new = np.ones(len(tag), bool)
+            new[1:] = (tag[1:] != tag[:-1]) | (text[1:] != text[:-1])
+            edges = np.append(np.flatnonzero(new), len(tag))
+            order, key = [], []
+            for t in np.unique(tag).tolist():
+                mine = text[edges[:-1]][tag[edges[:-1]] == t]
+                order += packs.values_of(names[t]["a"], np.int64)[mine].tolist()
+                key += [k.tobytes() for k in packs.values_of(names[t]["b"], KEY)[mine]]
             yield pa.record_batch(
                 [
-                    pa.array(order[edges[:-1]]), pa.array(version[edges[:-1]].astype(np.int32)),
+                    pa.array(order, pa.int64()), pa.array(key, pa.binary()),
                     pa.array([start[a:b].tobytes() for a, b in zip(edges, edges[1:])], pa.binary()),
                     pa.array([count[a:b].tobytes() for a, b in zip(edges, edges[1:])], pa.binary()),
                 ],
-                ["_order", "_version", "_start", "_count"],
+                ["_order", "_key", "_start", "_count"],
             )
 
     compared = packs.exchange(packed).mapInArrow(compare, packs.SCHEMA)
-    return packs.exchange(compared).mapInArrow(by_text, "_order bigint, _version int, _start binary, _count binary")
+    found = packs.exchange(compared).mapInArrow(by_text, "_order bigint, _key binary, _start binary, _count binary")
+    one = found.groupBy("_order", "_key").agg(F.first(F.struct("_start", "_count")).alias("_one"))  # equal rows have equal spans
+    return one.select("_order", "_key", "_one._start", "_one._count")
 
 
 Finish = Callable[[bytes, np.ndarray, np.ndarray], tuple]
@@ -509,14 +554,13 @@ def remove_repeats(docs: DataFrame, rule: Rule, classes: Classes, finish: Finish
     frequent = frequent_values(raw_texts(docs), extract)
     texts = packed_texts(docs)
     sent = sent_values(raw_texts(docs), extract, frequent, n)
-    marked = texts.join(marks(sent, n), ["_order", "_version"], "left")
+    marked = texts.join(marks(sent, n), ["_order", "_key"], "left").sortWithinPartitions("_order", "_key")
     found = spans(marked_runs(marked, rule, frequent, n), rule, classes, n)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in slices(batches, "_packed", BLOCK_BYTES // 2):
             rows = zip(_unpacked(block), block.column("_start").to_pylist(), block.column("_count").to_pylist())
             done = [finish(raw, np.frombuffer(a or b"", np.uint32), np.frombuffer(b or b"", np.uint32)) for raw, a, b in rows]
-            ids = pa.array([None if x == LAST else x for x in block.column("_order").to_pylist()], pa.int64())
-            yield pa.record_batch([ids, *(pa.array(c, f.type) for c, f in zip(zip(*done), list(arrow)[1:]))], schema=arrow)
+            yield pa.record_batch([block.column("doc_id"), *(pa.array(c, f.type) for c, f in zip(zip(*done), list(arrow)[1:]))], schema=arrow)
 
-    return texts.join(found, ["_order", "_version"], "left").mapInArrow(run, schema)
+    return texts.join(found, ["_order", "_key"], "left").select("doc_id", "_packed", "_start", "_count").mapInArrow(run, schema)

@@ -64,6 +64,20 @@ def test_repeated_rows_and_null_ids(documents, prose):
     assert found == [(2, 0, 2), (4, 46, 4), (4, 46, 4), (9, 46, 4), (99, 0, None), (99, 46, 4)]
 
 
+def test_many_texts_under_one_id(documents, prose):
+    """Texts without an id are told apart by more than a short checksum."""
+    rows = [(None, prose(k, 30)) for k in range(1000)] + [(k, prose(k, 30) + " more") for k in range(20)]
+    got = jaccard.similar_texts(documents(rows)).collect()
+    assert sum(r.component_id is None for r in got) == 980
+    assert {(r.component_id, r.doc_id) for r in got if r.component_id is not None} == {(k, d) for k in range(20) for d in (k, None)}
+
+
+def test_largest_id(documents, prose):
+    a = prose(1, 50)
+    got = jaccard.similar_texts(documents([(2**63 - 1, a), (None, prose(2, 50))])).collect()
+    assert {(r.doc_id, r.component_id) for r in got} == {(2**63 - 1, 2**63 - 1), (None, None)}
+
+
 def test_empty_table(documents):
     assert jaccard.similar_texts(documents([])).collect() == []
 

@@ -1,5 +1,6 @@
 import hashlib
 import random
+import zlib
 
 import pytest
 
@@ -85,6 +86,32 @@ def test_rows_that_share_an_id(documents, prose):
     assert removed == sorted([((False, 5), 0)] * 3 + [((False, 7), size[b]), ((True, 0), size[a])])
 
 
+def _same_checksum(text, like):
+    want = zlib.crc32(like.encode()) & 0xFFFF
+    return next(t for t in (f"{text} {k}" for k in range(10**7)) if zlib.crc32(t.encode()) & 0xFFFF == want)
+
+
+@pytest.mark.parametrize("short", [False, True])
+def test_texts_of_one_id_with_equal_checksums(documents, prose, short):
+    a = prose(1, 80)
+    tail = a + " tail of another kind"
+    other = _same_checksum("brief" if short else prose(2, 80), tail)
+    frame = documents([(1, a), (7, tail), (7, other)])
+    for result in (suffixes.remove_repeated_bytes(frame), passages.remove_repeated_passages(frame)):
+        rows = result.collect()
+        sizes = {r[1]: r.n_removed for r in rows}
+        assert sorted(r.doc_id for r in rows) == [1, 7, 7]
+        assert sorted(r.n_removed == 0 for r in rows) == [False, True, True]
+        assert max(sizes, key=sizes.get) == (len(tail.encode()) if "n_bytes" in result.columns else len(tail.split()))
+
+
+def test_many_texts_without_an_id(documents, prose):
+    rows = [(None, prose(k, 40)) for k in range(1000)] + [(3, prose(5, 40)), (2**63 - 1, prose(2000, 40))]
+    got = suffixes.remove_repeated_bytes(documents(rows)).collect()
+    assert sorted(r.n_removed for r in got)[-2:] == [0, len(prose(5, 40).encode())]
+    assert sorted((r.doc_id for r in got if r.doc_id is not None)) == [3, 2**63 - 1]
+
+
 def test_empty_table(documents):
     assert suffixes.remove_repeated_bytes(documents([])).collect() == []
     assert passages.remove_repeated_passages(documents([])).collect() == []
