@@ -225,7 +225,7 @@ SELECT s.doc_id, CAST(len(shingles) AS BIGINT) AS n_shingles, c.component_id
 FROM s JOIN (SELECT a, min(b) AS component_id FROM reach GROUP BY a) c ON c.a = s.doc_id""",
     "op1_mix_sources": r"""
 WITH d AS (
-  SELECT doc_id, source, md5('mix-1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS draw,
+  SELECT doc_id, source, md5('mix-1:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, ''))) AS draw,
          CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size
   FROM documents),
 s AS (
@@ -243,9 +243,8 @@ p AS (
   SELECT d.*, source_size, target, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS whole
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
 c AS (
-  SELECT *, sum(size) OVER (PARTITION BY source ORDER BY draw RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto,
-         sum(size) OVER (PARTITION BY source, draw) AS same FROM p)
+  SELECT *, sum(size) OVER (PARTITION BY source ORDER BY draw ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto FROM p)
 SELECT doc_id, size, source_size, target,
-       CAST(size * (whole + CASE WHEN upto - same / 2.0 <= target - whole * source_size THEN 1 ELSE 0 END) AS BIGINT) AS taken
+       CAST(size * (whole + CASE WHEN upto - size / 2.0 <= target - whole * source_size THEN 1 ELSE 0 END) AS BIGINT) AS taken
 FROM c""",
 }
