@@ -13,12 +13,12 @@ def fold(divisor: int) -> Column:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, keep: Column, rows: int) -> DataFrame:
-    """(doc_id, text, label) of at most ``rows`` documents of each class 0 and 1.
+    """(doc_id, text, label) of at most ``rows`` documents of each class 0 and 1, one of each id.
 
     The documents are those with the smallest hash of their id among the rows
     that ``keep`` allows, so a rerun takes the same. Rows without a text, an id
-    or a class are passed over. Only the chosen ids, whose number is bounded, are
-    broadcast to the texts.
+    or a class are passed over; of the texts of one id the one with the least hash is
+    taken. Only the chosen ids, whose number is bounded, are broadcast to the texts.
     """
     narrow = (
         labels.where(keep & F.col("doc_id").isNotNull())
@@ -33,7 +33,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, keep: Column
         chosen = part if chosen is None else chosen.unionByName(part)
     chosen = chosen.select(F.col("doc_id").alias("_id"), "label")
     texts = docs.where(F.col("text").isNotNull()).select("doc_id", "text")
-    return texts.join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).drop("_id")
+    found = texts.join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"))
+    one = F.min(F.struct(F.xxhash64("text"), "text")).alias("_one")
+    return found.groupBy("doc_id", "label").agg(one).select("doc_id", "_one.text", "label")
 
 
 def class_share(labels: DataFrame, label: str, keep: Column) -> float | None:

@@ -7,7 +7,7 @@ follow-the-regularised-leader with L1 and L2 penalties, which leaves weights of
 uninformative places at exactly zero; then one temperature is fitted on a part of
 the sample that training did not see, so that the score is a probability.
 
-Fitting takes at most ``SAMPLE_ROWS`` whole texts of each language, and fewer of each
+Fitting takes at most ``SAMPLE_ROWS`` different rows (id and text) of each language, and fewer of each
 where there are so many languages that they would be more than ``SAMPLE_TOTAL`` in
 all, but one of each at least: every language is learned. Document frequencies are
 counted over all documents that fitting may see. Scoring reads every whole text, in bounded pieces.
@@ -152,24 +152,26 @@ def fit(counted: np.ndarray, languages: list[str], held: np.ndarray, idf: np.nda
 
 
 def sample(docs: DataFrame, keep: Column, rows: int = SAMPLE_ROWS, total: int = SAMPLE_TOTAL) -> DataFrame:
-    """(doc_id, text, lang) of at most ``rows`` documents of each language, fewer if they were over ``total``.
+    """(doc_id, text, lang, draw) of at most ``rows`` documents of each language, fewer if they were over ``total``.
 
-    Ids are thinned by hash to about four times the wanted number of each language
-    and 40 more before they are ranked, so no task ranks all documents of a language.
+    Rows with the same id and text are one. By a hash of both, rows are thinned to about
+    four times the wanted number of each language and 40 more before they are ranked, so no
+    task ranks all documents of a language. The rates are as few as the languages.
     """
-    narrow = docs.where(keep & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
-    draw = F.pmod(F.xxhash64(F.col("doc_id")), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    narrow = narrow.select("doc_id", "lang", draw.alias("_draw"))
-    known = narrow.groupBy("lang").count()
+    draw = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), "text"), F.lit(1 << 52))
+    allowed = docs.where(keep & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    narrow = allowed.select("lang", draw.alias("_draw"))
+    known = narrow.groupBy("lang").agg(F.approx_count_distinct("_draw", 0.02).alias("count"))
     rows = max(1, min(rows, total // max(known.count(), 1)))
-    rates = known.select(F.col("lang").alias("_lang"), F.least(F.lit(4.0 * rows + 40) / F.col("count"), F.lit(1.0)).alias("_rate"))
-    thinned = narrow.join(F.broadcast(rates), F.col("lang") == F.col("_lang")).where(F.col("_draw") <= F.col("_rate"))
-    ranked = thinned.withColumn("_rank", F.row_number().over(Window.partitionBy("lang").orderBy("_draw", "doc_id")))
-    chosen = ranked.where(F.col("_rank") <= rows).select(F.col("doc_id").alias("_id"), F.col("lang").alias("_of"), "_draw")
-    texts = docs.where(F.col("text").isNotNull()).select("doc_id", "text", "lang")
-    return texts.join(F.broadcast(chosen), (F.col("doc_id") == F.col("_id")) & (F.col("lang") == F.col("_of"))).select(
-        "doc_id", "text", "lang"
-    )
+    limit = F.least(F.lit(4.0 * rows + 40) / F.col("count"), F.lit(1.0)) * F.lit(float(1 << 52))
+    rates = known.select(F.col("lang").alias("_lang"), limit.alias("_limit"))
+    thinned = narrow.join(rates, F.col("lang") == F.col("_lang")).where(F.col("_draw") <= F.col("_limit"))
+    ranked = thinned.select("lang", "_draw").distinct().withColumn("_rank", F.row_number().over(Window.partitionBy("lang").orderBy("_draw")))
+    chosen = ranked.where(F.col("_rank") <= rows).select(F.col("_draw").alias("_chosen"), F.col("lang").alias("_of"))
+    texts = allowed.select("doc_id", "text", "lang", draw.alias("draw"))
+    found = texts.join(F.broadcast(chosen), (F.col("draw") == F.col("_chosen")) & (F.col("lang") == F.col("_of")))
+    one = found.groupBy("lang", "draw").agg(F.first(F.struct("doc_id", "text")).alias("_one"))
+    return one.select("_one.doc_id", "_one.text", "lang", "draw")
 
 
 def frequencies(docs: DataFrame, keep: Column) -> np.ndarray:
@@ -196,12 +198,11 @@ def train(docs: DataFrame, keep: Column, rows: int = SAMPLE_ROWS) -> Model:
 
     def work(block: pa.RecordBatch) -> pa.RecordBatch:
         counted = [np.minimum(counts(t), 1 << 30).astype(np.int32).tobytes() for t in block.column("text").to_pylist()]
-        return pa.record_batch(
-            [block.column("doc_id"), block.column("lang"), pa.array(counted, pa.binary())], ["doc_id", "lang", "counted"]
-        )
+        return pa.record_batch([block.column("draw"), block.column("lang"), pa.array(counted, pa.binary())], ["draw", "lang", "counted"])
 
-    found = map_blocks(sample(docs, keep, rows), work, "doc_id bigint, lang string, counted binary").collect()
-    found.sort(key=lambda r: (r.doc_id, r.lang, bytes(r.counted)))
+    drawn = sample(docs, keep, rows).select("draw", "lang", "text")
+    found = map_blocks(drawn, work, "draw bigint, lang string, counted binary").collect()
+    found.sort(key=lambda r: (r.draw, r.lang))
     counted = np.array([np.frombuffer(r.counted, np.int32) for r in found]).reshape(-1, FEATURES)
     return fit(counted, [r.lang for r in found], np.arange(len(found)) % 5 == 0, frequencies(docs, keep))
 

@@ -99,6 +99,16 @@ def test_sample_is_bounded(spark, documents, prose):
     assert all(not held(4, 2)(r.doc_id) for r in got)
 
 
+def test_samples_of_one_id_are_bounded(spark, documents, prose):
+    rows = [(5, prose(k % 700, 6), "aa") for k in range(2000)] + [(5, prose(3, 9), "bb")] * 300 + [(None, "only here", "cc")]
+    docs = documents(rows)
+    got = language.sample(docs, fold(4) != 9).collect()
+    assert {x: sum(r.lang == x for r in got) for x in ("aa", "bb", "cc")} == {"aa": 300, "bb": 1, "cc": 1}
+    assert language.train(docs, fold(4) != 9).languages == ["aa", "bb", "cc"]
+    labels = spark.createDataFrame([(5, 1), (5, 1)], "doc_id bigint, toxic int")
+    assert len(labelled_sample(docs, labels, "toxic", fold(4) != 9, 10).collect()) == 1
+
+
 def test_toxicity_gradients():
     rng = np.random.default_rng(0)
     net = toxicity.Network({"a": 2, "b": 3})
