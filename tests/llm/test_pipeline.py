@@ -53,7 +53,7 @@ def test_stages_against_brute_force(spark):
 
 def test_null_ids_and_empty_tables(spark, documents, prose):
     docs = documents([(None, prose(1, 40)), (None, prose(1, 40)), (2, prose(2, 40))])
-    assert corpus_pipeline.drop_near_copies(spark, docs, "").count() == 3
+    assert corpus_pipeline.drop_near_copies(spark, docs, "").count() == 2
     none = documents([])
     assert corpus_pipeline.drop_near_copies(spark, none, "").columns == none.columns
     assert corpus_pipeline.redact_private_data(spark, none, "").collect() == []
@@ -80,3 +80,19 @@ def test_rows_of_one_id_are_judged_apart(spark, documents, prose, tmp_path):
     kept = sorted((r.doc_id or 0, r.text) for r in got)
     nines = [x for x in kept if x[0] == 9]
     assert len(nines) == 1 and kept[:5] == sorted([(0, prose(7, 80)), (2, ""), (2, ""), (3, near), (4, prose(8, 80))]) and len(kept) == 6
+
+
+def test_columns_with_names_of_the_pipeline(spark, prose, tmp_path):
+    names = "_gone _key _row _same _spans key row spans count is_first text_key node draw source_size _one".split()
+    spark.createDataFrame([(1, prose(900, 30))], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.createDataFrame(
+        [(k, prose(k % 9, 40), "aa", "s", 1) for k in range(30)] + [(None, prose(1, 40), "aa", "s", 1)] * 2,
+        "doc_id bigint, text string, lang string, source string, n_chars bigint",
+    ).selectExpr("*", *(f"'x' as `{n}`" for n in names), "map('a', 1) as `_map`")
+    at = docs
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        at = stage(spark, at, str(tmp_path))
+        assert at.columns == docs.columns
+    kept = at.collect()
+    assert len(kept) == 9 and all(r._gone == "x" and r._map == {"a": 1} for r in kept)
+    assert corpus_pipeline.STAGES[-1][1](spark, at, str(tmp_path)).count() == 9
