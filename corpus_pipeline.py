@@ -12,8 +12,6 @@ last return the columns of docs, with the rows or texts that they decide on:
 
 A row is known by its id and a hash of its text, so texts that share an id, or have
 none, are judged apart. Of rows with the same id and text one stays in stage 2.
-Rows without an id that are copies only of each other all stay, as nothing tells
-which is first; where a copy has an id, the one with the smallest id stays.
 """
 
 from __future__ import annotations
@@ -23,76 +21,47 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.llm import decontaminate, jaccard, language, mixing, private_data
+from pagemill.llm import decontaminate, language, mixing, private_data, rows
 from pagemill.llm.labelled import fold
 from pagemill.sources.tables import read_table, stored
 
 LEAST_SCORE = 0.3  # of the predicted language
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """(doc_id, text) with a key of the row, made of its id and text, in the place of the id."""
-    return docs.select(_row_key(docs).alias("doc_id"), "text")
-
-
-def _row_key(docs: DataFrame) -> Column:
-    return _key(docs["doc_id"], jaccard.text_key(docs["text"]))
-
-
-def _key(doc_id: Column, text_key: Column) -> Column:
-    return F.xxhash64(F.coalesce(doc_id.cast("string"), F.lit("-")), text_key)
-
-
-def _without(docs: DataFrame, keys: DataFrame, column: str) -> DataFrame:
-    """The rows whose key is not among these."""
-    gone = keys.select(F.col(column).alias("_gone")).distinct()
-    return docs.join(gone, _row_key(docs) == F.col("_gone"), "left_anti").select(docs.columns)
-
-
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Only documents with a language; learned from those that are not held out."""
-    found = language.predict(_keyed(docs), language.train(docs, fold(4) != 2))
+    found = language.predict(rows.keyed(docs), language.train(docs, fold(4) != 2))
     lost = found.where((F.col("lang_pred") == language.UNKNOWN) | (F.col("score") < LEAST_SCORE))
-    return _without(docs, lost, "doc_id")
+    return rows.without(docs, lost.select("doc_id"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies."""
-    found = jaccard.similar_rows(docs).where(F.col("n_shingles") > 0)
-    found = stored(found.withColumn("key", _key(F.col("doc_id"), F.col("text_key"))), "pipeline-copies")
-    single = docs.limit(0)
-    copies = found.where(~F.col("is_first") & F.col("component_id").isNotNull()).select("key")
-    same = found.where(F.col("is_first") & F.col("doc_id").isNotNull()).groupBy("key").count().where(F.col("count") > 1)
-    if not same.isEmpty():  # rows with the same id and text: one of each, without gathering them in a task
-        again = docs.join(same.select(F.col("key").alias("_same")), _row_key(docs) == F.col("_same"), "left_semi")
-        whole = F.struct(*(again[c] for c in again.columns))
-        one = again.groupBy(_row_key(again).alias("_key")).agg(F.min_by(whole, F.xxhash64(*again.columns)).alias("_row"))
-        single = one.select("_row.*")
-        copies = copies.unionByName(same.select("key"))
-    return _without(docs, copies, "key").unionByName(single)
+    return rows.first_of_copies(docs)
 
 
 def decontaminate_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Only documents that hold no test item."""
-    return _without(docs, decontaminate.leaks(_keyed(docs), read_table(spark, sf_dir, "benchmark")), "doc_id")
+    return rows.without(docs, decontaminate.leaks(rows.keyed(docs), read_table(spark, sf_dir, "benchmark")).select("doc_id"))
 
 
 def redact_private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents with personal data replaced; n_chars follows the text where there is such a column."""
-    found = private_data.find(docs).where(F.size("spans") > 0)
-    found = found.select(F.col("key").alias("_key"), F.col("spans").alias("_spans")).groupBy("_key").agg(F.first("_spans").alias("_spans"))
-    joined = docs.join(found, private_data.key_of(docs["doc_id"], docs["text"]) == F.col("_key"), "left")
-    text = F.when(F.col("_spans").isNotNull(), private_data.redact(docs["text"], F.col("_spans"))).otherwise(docs["text"])
+    found = private_data.find(docs).where(F.size("spans") > 0).groupBy("key").agg(F.first("spans").alias("spans"))
+    key = private_data.key_of(docs["doc_id"], docs["text"])
+    whole = docs.select(key.alias("key"), F.struct(*(docs[c] for c in docs.columns)).alias("row")).join(found, "key", "left")
+    hit, text = F.col("spans").isNotNull(), F.col("row.text")
+    text = F.when(hit, private_data.redact(text, F.col("spans"))).otherwise(text)
 
     def value(name: str) -> Column:
         if name == "text":
             return text.alias("text")
         if name == "n_chars":
-            kept = F.when(F.col("_spans").isNotNull(), F.length(text).cast("bigint")).otherwise(docs["n_chars"])
+            kept = F.when(hit, F.length(text).cast("bigint")).otherwise(F.col("row.n_chars"))
             return kept.cast(docs.schema["n_chars"].dataType).alias("n_chars")
-        return docs[name]
+        return F.col("row")[name].alias(name)
 
-    return joined.select(*(value(name) for name in docs.columns))
+    return whole.select(*(value(name) for name in docs.columns))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
