@@ -1,13 +1,23 @@
 """Personal data by bootstrapped contextual extraction, in DataFrame expressions only.
 
 Base spans come from four shapes (email, ip, card, phone) with their checks.
-They are the seeds: the words beside them are lexical patterns, and other
-identifier-like strings are candidates. Patterns and the strings they stand
-beside form a graph that is scored in rounds: a pattern is as good as the share of
-its distinct strings that are known to be of one kind, and a string is as good as
-its best accepted pattern. Accepted patterns need ``SUPPORT`` known strings and
-``CONFIDENCE``; strings they lead to count for later rounds. Candidates that end
-at ``CONFIDENCE`` are added as spans of that kind wherever they stand.
+They are the seeds: the words beside them are lexical patterns, and what looks like
+an identifier is a candidate: groups of digits with blanks, dots, slashes, dashes or
+brackets between them, words of letters and digits, and addresses without a domain's
+dot or with a written at sign. Patterns and the strings they stand beside form a
+graph that is scored in rounds. A pattern is as good as the share of its distinct
+strings that are known to be of one kind, where strings known to be of another count
+in full, and strings of which nothing is known by the share of their contexts that
+are not this one, ``UNDECIDED`` at least; accepted patterns need ``SUPPORT`` known
+strings and ``CONFIDENCE``. A string is as good as its contexts: the mean, over the
+different contexts with a pattern that ``SUPPORT`` strings have, of the best accepted
+pattern there; if that reaches ``CONFIDENCE``, and ``SPREAD`` of all its contexts are
+accepted, it counts for later rounds. Addresses are taken for emails only, the others for
+the other kinds.
+
+Candidates beside an accepted pattern are added as spans of its kind, whole; elsewhere the
+same string is added only if its own score suffices in the end, so a number that
+stands beside a pattern once isn't marked wherever it stands.
 
 Places are code points, the end exclusive. Matches of a kind are leftmost and do
 not overlap; those that fail their check are dropped, without a retry. The shapes
@@ -29,7 +39,7 @@ from pyspark.sql import functions as F
 from pagemill.sources.tables import stored
 
 KINDS = ("email", "ip", "card", "phone")
-ROUNDS, SUPPORT, CONFIDENCE = 3, 6, 0.85
+ROUNDS, SUPPORT, CONFIDENCE, SPREAD, UNDECIDED = 3, 6, 0.85, 0.5, 0.1
 DIGITS, CONTEXT = 4, 80  # least digits of a candidate; code points beside a span that are looked at
 BLOCK = 512
 
@@ -41,8 +51,14 @@ SHAPES = {
     "ip": r"(?:\G|(?<![0-9]))[0-9]++(?:\.[0-9]++){3}",
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    "other": rf"(?:\G|(?<![{_ID}]))(?=[A-Za-z._@+-]*+[0-9])[{_ID}]++",
 }
+# What may be an identifier, besides.
+CANDIDATES = {
+    "number": rf"(?<![{_ID}])[(+]?[0-9]++(?:[\x20()./-]{{1,2}}[0-9]++)*+(?![A-Za-z0-9_@])",
+    "code": rf"(?:\G|(?<![{_ID}]))(?=[A-Za-z._+-]*+[0-9])(?=[0-9._+-]*+[A-Za-z])[A-Za-z0-9._+-]++",
+    "address": rf"(?:\G|(?<![{_LOCAL}]))[{_LOCAL}]++(?:@|\[at\]|\(at\))[{_NAME}]++(?:\.[{_NAME}]++)*+",
+}
+ALL = {**SHAPES, **CANDIDATES}
 _PART = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 _IP = rf"^{_PART}(?:\.{_PART}){{3}}$"
 
@@ -58,7 +74,7 @@ def _passes(kind: str, match: Column) -> Column:
         return F.length(_digits(match)).between(13, 19) & F.call_function("luhn_check", _digits(match))
     if kind == "phone":
         return F.length(_digits(match)).between(9, 15)
-    if kind == "other":
+    if kind in ("number", "code"):
         return F.length(_digits(match)) >= DIGITS
     return F.lit(True)
 
@@ -71,6 +87,8 @@ def _hint(kind: str, text: Column) -> Column:
         return F.contains(text, F.lit("+")) & text.rlike(r"\+[0-9]")
     if kind == "ip":
         return text.rlike(r"[0-9]\.[0-9]")
+    if kind == "address":
+        return F.contains(text, F.lit("@")) | text.rlike(r"[\[(]at[\])]")
     return text.rlike("[0-9]")
 
 
@@ -117,7 +135,7 @@ def spans_of(kind: str, text: Column) -> Column:
         before = running_sums(F.slice(lengths, F.lit(1), F.size(parts.matches)))
         return let(before, lambda b: F.transform(parts.matches, lambda m, i: span(parts, b, m, i)))
 
-    matches, gaps = F.regexp_extract_all(text, F.lit(SHAPES[kind]), F.lit(0)), F.split(text, SHAPES[kind], -1)
+    matches, gaps = F.regexp_extract_all(text, F.lit(ALL[kind]), F.lit(0)), F.split(text, ALL[kind], -1)
     found = let(F.struct(matches.alias("matches"), gaps.alias("gaps")), spans)
     passing = F.filter(found, lambda s: _passes(kind, s.value))
     return F.when(_hint(kind, text), passing).otherwise(F.array().cast(SPAN)).cast(SPAN)
@@ -125,14 +143,15 @@ def spans_of(kind: str, text: Column) -> Column:
 
 def key_of(doc_id: Column, text: Column) -> Column:
     """What identifies a row: its id and a hash of its text."""
-    hashed = F.xxhash64(F.coalesce(text, F.lit(""))).cast("string")
-    return F.concat_ws(":", F.coalesce(doc_id.cast("string"), F.lit("-")), hashed)
+    whole = F.coalesce(text, F.lit(""))
+    hashes = (F.hex(F.xxhash64(whole)), F.hex(F.xxhash64(F.lit(1), whole)))
+    return F.concat_ws(":", F.coalesce(doc_id.cast("string"), F.lit("-")), *hashes)
 
 
 def scanned(docs: DataFrame) -> DataFrame:
     """One narrow row per document: its key, base spans by kind, and candidates."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select("doc_id", key_of(F.col("doc_id"), text).alias("key"), *(spans_of(k, text).alias(k) for k in SHAPES))
+    return docs.select("doc_id", key_of(F.col("doc_id"), text).alias("key"), *(spans_of(k, text).alias(k) for k in ALL))
 
 
 def _patterns(left: Column, right: Column) -> Column:
@@ -151,7 +170,7 @@ def _patterns(left: Column, right: Column) -> Column:
 
 
 def occurrences(found: DataFrame) -> DataFrame:
-    """(key, kind, start, end, value, patterns) of every span; candidates have no kind.
+    """(key, kind, start, end, value, shape, patterns) of every span; candidates have no kind.
 
     Candidates that overlap a base span are left out, by a join on cells of the text.
     """
@@ -159,47 +178,83 @@ def occurrences(found: DataFrame) -> DataFrame:
     def rows(kind: str) -> DataFrame:
         each = found.where(F.size(kind) > 0).select("key", F.explode(kind).alias("s"))
         label = F.lit(kind if kind in KINDS else None).cast("string")
-        return each.select("key", label.alias("kind"), "s.*")
+        return each.select("key", label.alias("kind"), F.lit(kind).alias("shape"), "s.*")
 
     base = rows(KINDS[0])
     for kind in KINDS[1:]:
         base = base.unionByName(rows(kind))
-    other = rows("other").distinct()
+    other = rows("number").unionByName(rows("code")).unionByName(rows("address")).distinct()
     cell = lambda: F.explode(F.sequence(F.floor(F.col("start") / 64), F.floor((F.col("end") - 1) / 64)))
     taken = base.select(F.col("key").alias("k"), F.col("start").alias("a"), F.col("end").alias("b"), cell().alias("c"))
     placed = other.select("key", "start", "end", cell().alias("cell"))
     same = (F.col("key") == F.col("k")) & (F.col("cell") == F.col("c"))
     hit = placed.join(taken, same & (F.col("start") < F.col("b")) & (F.col("a") < F.col("end")), "left_semi")
-    free = other.join(hit.select("key", "start").distinct(), ["key", "start"], "left_anti")
+    free = other.join(hit.select("key", "start", "end").distinct(), ["key", "start", "end"], "left_anti")
     every = base.distinct().unionByName(free.select(*base.columns))
-    return every.select("key", "kind", "start", "end", "value", _patterns(F.col("left"), F.col("right")).alias("patterns"))
+    return every.select("key", "kind", "start", "end", "value", "shape", _patterns(F.col("left"), F.col("right")).alias("patterns"))
+
+
+def fits(shape: Column, kind: Column) -> Column:
+    """Whether a candidate of this shape may be of this kind."""
+    return (shape == "address") == (kind == "email")
+
+
+def _context(patterns: Column) -> Column:
+    return F.array_join(patterns, "\n")
 
 
-def scored(spans: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """(value, kind, score) of the strings after the last round; seeds keep the score 1."""
-    edges = stored(spans.select("value", F.explode("patterns").alias("pattern")).distinct(), "private-edges")
+def scored(spans: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
+    """(pattern, kind, score) of the accepted patterns, and (value, kind, score) of the candidates that count.
+
+    Both are of the last round. The tables of a round are stored, so a hot pattern or string
+    is a skewed join of two tables, which Spark splits.
+    """
+    edges = spans.where(F.size("patterns") > 0).select("value", "shape", "kind", "patterns").distinct()
+    edges = edges.select("value", "shape", "kind", _context(F.col("patterns")).alias("context"), F.explode("patterns").alias("pattern"))
+    edges = stored(edges, "private-edges")
+    strings = edges.select("value", "pattern").distinct()
+    sizes = stored(strings.groupBy("pattern").agg(F.count("*").alias("n")).where(F.col("n") >= SUPPORT), "private-patterns")
+    open_ = edges.where(F.col("kind").isNull()).select("value", "shape", "context", "pattern").distinct()
+    open_ = stored(open_.join(sizes, "pattern", "left"), "private-open")
+    measured = open_.groupBy("value").agg(
+        F.count_distinct("context").alias("contexts"), F.count_distinct(F.when(F.col("n").isNotNull(), F.col("context"))).alias("informed")
+    )
+    measured = stored(measured, "private-contexts")
     seeds = spans.where(F.col("kind").isNotNull()).select("value", "kind").distinct().withColumn("score", F.lit(1.0))
-    sizes = edges.groupBy("pattern").agg(F.count("*").alias("n")).where(F.col("n") >= SUPPORT)
-    known = seeds
+    seeds = stored(seeds, "private-seeds")
+    # What a string counts in its patterns, and all strings of a pattern together.
+    weight = F.when(F.col("seed"), 1.0).otherwise(F.greatest(F.lit(UNDECIDED), 1 - 1 / F.col("contexts")))
+    is_seed = seeds.select("value").distinct().withColumn("seed", F.lit(True))
+    weights = strings.join(sizes, "pattern", "left_semi").join(stored(is_seed, "private-seeds"), "value", "left").join(measured, "value", "left")
+    telling = stored(weights.select("value", "pattern", weight.alias("weight")), "private-telling")
+    totals = stored(telling.groupBy("pattern").agg(F.sum("weight").alias("total")), "private-totals")
+    found = None
     for _ in range(rounds):
-        sums = edges.join(known, "value").groupBy("pattern", "kind").agg(F.sum("score").alias("sum"))
-        good = (
-            sums.where(F.col("sum") >= SUPPORT)
-            .join(sizes, "pattern")
-            .select("pattern", "kind", (F.col("sum") / F.col("n")).alias("score"))
-            .where(F.col("score") >= CONFIDENCE)
-        )
-        reached = edges.join(good, "pattern").groupBy("value", "kind").agg(F.max("score").alias("score"))
-        known = seeds.unionByName(reached).groupBy("value", "kind").agg(F.max("score").alias("score"))
-    return known
+        known = seeds if found is None else seeds.unionByName(found).groupBy("value", "kind").agg(F.max("score").alias("score"))
+        sums = telling.join(stored(known, "private-known"), "value").groupBy("pattern", "kind")
+        sums = sums.agg(F.sum("score").alias("sum"), F.sum("weight").alias("own")).join(totals, "pattern")
+        share = F.col("sum") / (F.col("sum") + F.greatest(F.col("total") - F.col("own"), F.lit(0.0)))
+        good = sums.where((F.col("sum") >= SUPPORT) & (share >= CONFIDENCE))
+        good = stored(good.select("pattern", "kind", share.alias("score")), "private-good")
+        hits = open_.where(F.col("n").isNotNull()).join(good, "pattern").where(fits(F.col("shape"), F.col("kind")))
+        hits = hits.groupBy("value", "kind", "context").agg(F.max("score").alias("score"))
+        sums = hits.groupBy("value", "kind").agg(F.sum("score").alias("sum"), F.count("*").alias("accepted"))
+        score = F.col("sum") / F.col("informed")
+        enough = (score >= CONFIDENCE) & (F.col("accepted") >= SPREAD * F.col("contexts"))
+        found = stored(sums.join(measured, "value").where(enough).select("value", "kind", score.alias("score")), "private-found")
+    return good, found
 
 
 def discovered(spans: DataFrame) -> DataFrame:
-    """(key, kind, start, end) of candidates that accepted patterns lead to."""
-    rank = F.array_position(F.lit(list(KINDS)), F.col("kind"))
-    best = F.max_by("kind", F.struct("score", -rank))
-    kinds = scored(spans).where(F.col("score") >= CONFIDENCE).groupBy("value").agg(best.alias("kind"))
-    return spans.where(F.col("kind").isNull()).drop("kind").join(kinds, "value").select("key", "kind", "start", "end")
+    """(key, kind, start, end) of candidates beside accepted patterns, and of strings whose score suffices everywhere."""
+    good, found = scored(spans)
+    best = F.max_by("kind", F.struct("score", -F.array_position(F.lit(list(KINDS)), F.col("kind"))))
+    free = spans.where(F.col("kind").isNull()).drop("kind")
+    place = ["key", "start", "end"]
+    beside = free.select(*place, "shape", F.explode("patterns").alias("pattern")).join(good, "pattern")
+    beside = beside.where(fits(F.col("shape"), F.col("kind"))).select(*place, "kind", "score")
+    anywhere = free.join(found, "value").select(*place, "kind", "score")
+    return beside.unionByName(anywhere).groupBy(*place).agg(best.alias("kind")).select("key", "kind", "start", "end")
 
 
 def _written(spans: Column) -> Column:
