@@ -735,6 +735,8 @@ add("run_experiment", "SELECT * FROM reports", PROMPTS, REPORT)
 SIM = "list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[]))"
 add("cosine_top_k", f"""SELECT a.vec_id, round({SIM}, 6) AS similarity FROM embeddings a, (SELECT embedding FROM embeddings WHERE vec_id = 0) q
   ORDER BY {SIM} DESC, a.vec_id LIMIT 10""")
-add("cosine_top_k_batch", f"""SELECT query_id, vec_id, round(s, 6) AS similarity, rank FROM (SELECT q.vec_id AS query_id, a.vec_id, {SIM} AS s,
+NEAREST = f"""SELECT query_id, vec_id, round(s, 6) AS similarity, rank FROM (SELECT q.vec_id AS query_id, a.vec_id, {SIM} AS s,
     CAST(row_number() OVER (PARTITION BY q.vec_id ORDER BY {SIM} DESC, a.vec_id) AS INTEGER) AS rank
-  FROM embeddings a, (SELECT * FROM embeddings WHERE vec_id % 50 = 0) q) WHERE rank <= 5""")
+  FROM embeddings a, (SELECT * FROM embeddings WHERE vec_id % 50 = 0) q) WHERE rank <= """
+add("cosine_top_k_batch", f"{NEAREST}5")
+add("cosine_index_top_k", f"{NEAREST}10")

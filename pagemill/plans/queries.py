@@ -17,6 +17,7 @@ from pagemill.functions.encoding import decode_cursor, decode_text, encode_curso
 from pagemill.functions.pages import image_ratio
 from pagemill.operators import blocks as bl
 from pagemill.operators import catalog as ct
+from pagemill.operators import cells as cl
 from pagemill.operators import chunking as ch
 from pagemill.operators import conversations as cv
 from pagemill.operators import mutations as mu
@@ -922,6 +923,15 @@ def cosine_top_k_batch(spark, folder):
     return vc.cosine_top_k_batch(table, asked, 5)
 
 
+@query
+def cosine_index_top_k(spark, folder):
+    table = spread_vectors(spark, folder)
+    asked = table.filter(F.col("vec_id") % 50 == 0).select(F.col("vec_id").alias("query_id"), "embedding")
+    path = tb.shared_folder(spark, "cells")
+    cl.build(table, path)
+    return cl.search(path, table, asked, 10, exact=True)
+
+
 # --- streams ----------------------------------------------------------------
 
 
