@@ -428,6 +428,10 @@ add("write_documents", f"SELECT id, filename, status, {iso('created_at')} AS cre
 CHUNKS_OF_DOCS = (paragraphs("documents"), chunks())
 CHUNKS_OF_LINES = (SPACED, paragraphs("spaced"), chunks())
 add("write_chunks", "SELECT document_id, chunk_index, chunk_hash, token_count FROM chunk_table", *CHUNKS_OF_DOCS, recursive=True)
+add("upsert_documents", f"""SELECT id, filename, CASE WHEN id % 7 = 0 THEN 'failed' ELSE status END AS status, {iso('created_at')} AS created_at
+  FROM catalog WHERE (id % 11 <> 0 OR id % 7 = 0) AND NOT (id % 7 = 0 AND id % 3 = 0)""", CATALOG)
+add("upsert_chunks", """SELECT document_id, chunk_index, chunk_hash, token_count FROM chunk_table
+  WHERE document_id % 3 <> 0 OR (document_id % 2 = 0 AND chunk_index = 0)""", *CHUNKS_OF_DOCS, recursive=True)
 add("write_report", f"""SELECT line, count(*) AS n FROM (SELECT unnest(string_split(report, {NL})) AS line FROM reports)
   GROUP BY line""", PROMPTS, REPORT)
 PARSED_FILES = (

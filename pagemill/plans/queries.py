@@ -34,6 +34,7 @@ from pagemill.plans import listing as ls
 from pagemill.plans import paged as pd
 from pagemill.sources import adapters as ad
 from pagemill.sources import files as fs
+from pagemill.sources import keyed as ky
 from pagemill.sources import tables as tb
 from pagemill.streaming import jobs as sj
 
@@ -148,6 +149,33 @@ def write_chunks(spark, folder):
     return spark.read.parquet(path).select("document_id", "chunk_index", "chunk_hash", "token_count")
 
 
+@query
+def upsert_documents(spark, folder):
+    """All rows, then new states of some and the removal of others, then the rows left, read after a compaction."""
+    table = ky.KeyedTable(spark, tb.shared_folder(spark, "documents"), "id")
+    catalog = ad.catalog(spark, folder)
+    table.write(catalog.withColumn("status", F.lit("parsing")))
+    table.write(catalog.filter(F.col("id") % 7 != 0))
+    table.compact()
+    failed = catalog.filter(F.col("id") % 7 == 0).withColumn("status", F.lit("failed"))
+    for _ in range(2):  # a retried batch changes nothing
+        table.write(failed, gone=catalog.filter(F.col("id") % 11 == 0).select("id"), name="batch-1")
+    table.write(catalog.limit(0), gone=failed.filter(F.col("id") % 3 == 0).select("id"))
+    return table.read().select("id", "filename", "status", tx.iso_micros(F.col("created_at")).alias("created_at"))
+
+
+@query
+def upsert_chunks(spark, folder):
+    """Chunks of documents, some of which are parsed again to fewer chunks and some to none."""
+    table = ky.KeyedTable(spark, tb.shared_folder(spark, "chunks"), "document_id")
+    chunks = ch.chunk_rows(_chunkable(spark, folder))
+    table.write(chunks)
+    again = F.col("document_id") % 3 == 0
+    first = chunks.filter(again & (F.col("document_id") % 2 == 0) & (F.col("chunk_index") == 0))
+    table.write(first, gone=chunks.filter(again).select("document_id"))
+    return table.read().select("document_id", "chunk_index", "chunk_hash", "token_count")
+
+
 @query
 def write_report(spark, folder):
     path = tb.shared_folder(spark, "report")
