@@ -531,6 +531,24 @@ add("parse_warnings", f"""SELECT doc_id, warning FROM (SELECT doc_id, {WARNING}
 
 # --- Markdown -------------------------------------------------------------------
 add("md_blocks", "SELECT * FROM blocks", MD_BLOCKS)
+# The blocks of the six shapes, told from the lines they are made of.
+add("md_nested_blocks", """SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i, k) - 1 AS INTEGER) AS position, block_type, text,
+  level, language, ordered, contains(path, 'q') AS is_quote, path
+  FROM (SELECT doc_id, i, t, unnest(CASE i % 6
+    WHEN 0 THEN [{'k': 0, 'block_type': 'paragraph', 'text': t, 'level': NULL, 'language': NULL, 'ordered': NULL, 'path': ''}]
+    WHEN 1 THEN [{'k': 0, 'block_type': 'paragraph', 'text': t || ' and on', 'level': NULL, 'language': NULL, 'ordered': NULL, 'path': 'q'}]
+    WHEN 2 THEN [{'k': 0, 'block_type': 'list_item', 'text': t, 'level': 1, 'language': NULL, 'ordered': false, 'path': 'qu'},
+      {'k': 1, 'block_type': 'list_item', 'text': 'deeper ' || t, 'level': 2, 'language': NULL, 'ordered': false, 'path': 'quu'},
+      {'k': 2, 'block_type': 'paragraph', 'text': 'then ' || t, 'level': NULL, 'language': NULL, 'ordered': NULL, 'path': 'qu'}]
+    WHEN 3 THEN [{'k': 0, 'block_type': 'list_item', 'text': t, 'level': 1, 'language': NULL, 'ordered': true, 'path': 'o'},
+      {'k': 1, 'block_type': 'code', 'text': t || chr(10) || chr(10) || '  more', 'level': NULL, 'language': 'sql', 'ordered': NULL, 'path': 'o'},
+      {'k': 2, 'block_type': 'paragraph', 'text': 'said ' || t, 'level': NULL, 'language': NULL, 'ordered': NULL, 'path': 'oq'}]
+    WHEN 4 THEN [{'k': 0, 'block_type': 'paragraph', 'text': t || ' and r' || i, 'level': NULL, 'language': NULL, 'ordered': NULL, 'path': ''}]
+    ELSE [{'k': 0, 'block_type': 'paragraph', 'text': t, 'level': NULL, 'language': NULL, 'ordered': NULL, 'path': 'qq'},
+      {'k': 1, 'block_type': 'heading', 'text': t, 'level': 1, 'language': NULL, 'ordered': NULL, 'path': 'q'}] END, recursive := true)
+    FROM (SELECT doc_id, unnest(lines) AS t, generate_subscripts(lines, 1) - 1 AS i
+      FROM (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)),
+        lambda x: trim(regexp_replace(regexp_replace(x, '[^\\pL ]', '', 'g'), ' +', ' ', 'g'))), lambda x: x <> '') AS lines FROM documents))) s""")
 add("md_tables", "SELECT doc_id, cols, rows, text FROM blocks WHERE block_type = 'table'", MD_BLOCKS)
 add("parse_stats", """SELECT doc_id, count(*) AS total_blocks, count(*) FILTER (WHERE block_type = 'heading') AS heading_count,
   count(*) FILTER (WHERE block_type = 'code') AS code_block_count, count(*) FILTER (WHERE block_type = 'table') AS table_count,

@@ -34,7 +34,8 @@ INLINE_LITERALS = (
 MARKS = "!()*<>[\\]_`"
 HELD = "".join(chr(0xFDD0 + i) for i in range(len(MARKS)))
 ASIDE = "".join(chr(0xFDE0 + i) for i in range(len(MARKS)))  # where a text's own HELD characters wait
-NESTING = 3  # emphasis inside emphasis
+NESTING = 3  # emphasis inside emphasis that every text with marks is looked through for
+STRONG, EMPHASIS = r"\*\*([^*\n]+)\*\*", r"\*([^*\s\n]|[^*\s\n][^*\n]*[^*\s\n])\*"
 
 FLAGS = "(?dms)"
 INTERRUPT = "|".join([BLANK, HEADING, ANY_FENCE, RULE, ITEM, QUOTE, TABLE_START])
@@ -98,12 +99,24 @@ def _without_marks(text: Column) -> Column:
     text = _sub(text, r"<((?:https?://|mailto:)[^<>\s]++)>", "$1")
     text = _sub(text, r"</?[A-Za-z][^<>]*+>|<!--(?:[^<-]|<(?!!--)|-(?!->))*+-->", "")
     for _ in range(NESTING):
-        text = _sub(text, r"\*\*([^*\n]+)\*\*", "$1")
-        text = _sub(text, r"\*([^*\s\n]|[^*\s\n][^*\n]*[^*\s\n])\*", "$1")
+        text = _without_stars(text)
+    text = let(text, lambda t: F.when(t.rlike(f"{STRONG}|{EMPHASIS}"), _without_all_stars(t)).otherwise(t))
     text = _sub(text, r"(^|[^\w])__([^_\n]+)__($|[^\w])", "$1$2$3")
     return _sub(text, r"(^|[^\w])_([^_\n]+)_($|[^\w])", "$1$2$3")
 
 
+def _without_stars(text: Column) -> Column:
+    return _sub(_sub(text, STRONG, "$1"), EMPHASIS, "$1")
+
+
+def _without_all_stars(text: Column) -> Column:
+    """As long as marks go; each round takes a pair at least, and rounds after the last change cost nothing."""
+    rounds = F.sequence(F.lit(0), F.size(F.split(text, r"\*")))
+    begin = F.struct(text.alias("text"), F.lit(True).alias("open"))
+    step = lambda old: let(_without_stars(old), lambda new: F.struct(new.alias("text"), (new != old).alias("open")))
+    return F.aggregate(rounds, begin, lambda acc, _: F.when(acc["open"], step(acc["text"])).otherwise(acc))["text"]
+
+
 def join_lines(lines: Column) -> Column:
     """Lines of one paragraph: a soft break is a space, a hard break a new line."""
     return let(lines, _join)
@@ -228,7 +241,7 @@ def _quote(raw: Column) -> Column:
     return _block("paragraph", join_lines(filled), is_quote=True)
 
 
-def _table(raw: Column) -> Column:
+def table_block(raw: Column) -> Column:
     def build(lines: Column) -> Column:
         headers = table_cells(F.get(lines, F.lit(0)))
         body = F.slice(lines, F.lit(3), F.greatest(F.size(lines) - 2, F.lit(0)))
@@ -261,7 +274,7 @@ def markdown_blocks(text: Column) -> Column:
             F.when(_starts(raw, ANY_FENCE), _fenced(raw))
             .when(_starts(raw, HEADING), _heading(raw))
             .when(_starts(raw, RULE), F.lit(None))
-            .when(_starts(raw, TABLE_START), _table(raw))
+            .when(_starts(raw, TABLE_START), table_block(raw))
             .when(_starts(raw, ITEM), _item(raw))
             .when(_starts(raw, QUOTE), _quote(raw))
             .when(_starts(raw, INDENTED), _indented(raw))

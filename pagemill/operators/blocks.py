@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.functions.markdown import markdown_blocks, table_text
+from pagemill.functions import containers
+from pagemill.functions.markdown import inline_text, joined_text, markdown_blocks, table_block, table_text
 from pagemill.functions.text import text_paragraphs
 
 
@@ -64,6 +68,40 @@ def md_blocks(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") ->
     )
 
 
+NESTED = "position int, block_type string, raw string, level int, language string, ordered boolean, quotes int, path string"
+
+
+def md_nested_blocks(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row per Markdown block, in and outside of containers, in document order.
+
+    ``path`` has a character for each container around a block (q quote, u and o items),
+    ``is_quote`` says whether one is a quote. An item's first paragraph is its text.
+    A null text has no blocks.
+    """
+    kind = dict(docs.dtypes)[doc_id]
+    names = ("block_type", "text", "level", "language", "ordered", "quotes", "path")
+    types = (pa.string(), pa.string(), pa.int32(), pa.string(), pa.bool_(), pa.int32(), pa.string())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, value in enumerate(batch.column(1)):
+                blocks = containers.parse(value.as_py() or "")
+                columns = [pa.array([getattr(b, n) for b in blocks], t) for n, t in zip(names, types)]
+                owner = batch.column(0).take(pa.array([at] * len(blocks), pa.int32()))
+                position = pa.array(range(len(blocks)), pa.int32())
+                yield pa.record_batch([owner, position, *columns], [doc_id, *(f.split()[0] for f in NESTED.split(", "))])
+
+    found = docs.select(doc_id, text).mapInArrow(run, f"{doc_id} {kind}, {NESTED}")
+    raw, is_table = F.col("raw"), F.col("block_type") == "table"
+    table = table_block(raw)
+    read = F.when(F.col("block_type") == "code", raw).when(is_table, table["text"]).otherwise(inline_text(joined_text(raw)))
+    rows = F.when(is_table, table["table_rows"])
+    return found.select(
+        doc_id, "position", "block_type", read.alias("text"), "level", "language", "ordered",
+        (F.col("quotes") > 0).alias("is_quote"), "path", F.when(is_table, table["headers"]).alias("headers"), rows.alias("table_rows"),
+    )
+
+
 def md_tables(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per Markdown table: headers and rows as arrays."""
     blocks = md_blocks(docs, doc_id=doc_id, text=text)

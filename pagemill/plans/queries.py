@@ -429,6 +429,12 @@ def md_blocks(spark, folder):
     return blocks.drop("headers", "table_rows")
 
 
+@query
+def md_nested_blocks(spark, folder):
+    blocks = bl.md_nested_blocks(ad.nested_documents(spark, folder))
+    return blocks.drop("headers", "table_rows")
+
+
 @query
 def md_tables(spark, folder):
     tables = bl.table_to_text(bl.md_tables(ad.markdown_documents(spark, folder)))

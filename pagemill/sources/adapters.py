@@ -41,6 +41,27 @@ def markdown_text() -> Column:
     )
 
 
+def nested_documents(spark: SparkSession, folder: str) -> DataFrame:
+    """The lines of every document, as letters and blanks, inside nested containers: six shapes in turn."""
+    line = lambda x: F.btrim(F.regexp_replace(F.regexp_replace(x, r"[^\p{L} ]", ""), " +", " "))
+    lines = F.filter(F.transform(F.split("text", "\n"), line), lambda x: x != "")
+    say = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts))
+
+    def unit(t: Column, i: Column) -> Column:
+        label = F.concat(F.lit("r"), i.cast("string"))
+        return (
+            F.when(i % 6 == 0, t)
+            .when(i % 6 == 1, say("> ", t, "\nand on"))
+            .when(i % 6 == 2, say("> - ", t, "\n>   - deeper ", t, "\n>\n>   then ", t))
+            .when(i % 6 == 3, say("1. ", t, "\n\n   ~~~sql\n   ", t, "\n\n     more\n   ~~~\n   > said ", t))
+            .when(i % 6 == 4, say("[", label, "]: http://x.y/", label, "\n\n[", t, "][", label, "] and [", label, "]"))
+            .otherwise(say("> > ", t, "\n> # ", t))
+        )
+
+    text = F.array_join(F.transform(lines, unit), "\n\n")
+    return documents(spark, folder).select("doc_id", text.alias("text"))
+
+
 def markdown_documents(spark: SparkSession, folder: str) -> DataFrame:
     return documents(spark, folder).select("doc_id", markdown_text().alias("text"))
 
