@@ -505,7 +505,8 @@ add("decode_text_files", f"""SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'utf-8
   FROM (SELECT *, CASE WHEN doc_id % 2 = 1 AND {NARROW} THEN '编码' || text ELSE text END AS t FROM documents)""")
 FILE = f"text || {NL}"
 add("scan_files", f"""SELECT doc_id, '.txt' AS file_type, octet_length(encode({FILE})) AS length,
-  CASE WHEN octet_length(encode({FILE})) <= 20000 THEN sha256({FILE}) END AS content_hash, CAST(NULL AS VARCHAR) AS reject_reason
+  CASE WHEN octet_length(encode({FILE})) <= 52428800 THEN sha256({FILE}) END AS content_hash,
+  CASE WHEN octet_length(encode({FILE})) > 52428800 THEN 'too_large' END AS reject_reason
   FROM documents""")
 add("stream_files", f"""SELECT doc_id, octet_length(encode({FILE})) AS length, '.txt' AS file_type, sha256({FILE}) AS content_hash
   FROM documents""")
@@ -621,6 +622,24 @@ add("hf_normalize", f"""SELECT doc_id, line_no, trim(regexp_replace(regexp_repla
   '{WS}+', ' ', 'g'), {WS_CHARS}) AS norm FROM lines""", LINES)
 add("hf_groups", "SELECT * FROM groups", REPEATED)
 add("hf_confirm", "SELECT * FROM confirmed", REPEATED)
+MISREAD = """misread AS (SELECT doc_id, region, page_number, regexp_replace(text, '^Report ', word) AS text, regexp_replace(norm, '^Report ', word) AS norm
+    FROM (SELECT *, CASE WHEN region = 'header' AND page_number % 3 = 1 THEN 'Reports ' WHEN region = 'header' AND page_number % 3 = 2 THEN 'Rport '
+      ELSE 'Report ' END AS word FROM regions)),
+  mgroups AS (SELECT doc_id, region, norm, arg_min(text, page_number) AS text, min(page_number) AS first_page, count(*) AS page_count FROM misread GROUP BY ALL),
+  less AS (SELECT DISTINCT doc_id, region, norm, left(norm, i) || substr(norm, i + 2) AS k FROM mgroups, LATERAL (SELECT unnest(range(length(norm) + 1)) AS i) x),
+  near AS (SELECT DISTINCT a.doc_id, a.region, a.norm, b.norm AS other FROM less a JOIN less b USING (doc_id, region, k)),
+  reach AS (SELECT doc_id, region, norm, norm AS other FROM mgroups
+    UNION SELECT r.doc_id, r.region, r.norm, n.other FROM reach r JOIN near n ON n.doc_id = r.doc_id AND n.region = r.region AND n.norm = r.other),
+  merged AS (SELECT r.doc_id, r.region, r.norm AS variant, first(r.other ORDER BY g.page_count DESC, r.other) AS norm
+    FROM reach r JOIN mgroups g ON g.doc_id = r.doc_id AND g.region = r.region AND g.norm = r.other GROUP BY r.doc_id, r.region, r.norm),
+  similar_groups AS (SELECT m.doc_id, m.region, m.norm, max(CASE WHEN m.variant = m.norm THEN g.text END) AS text, min(g.first_page) AS first_page,
+    CAST(sum(g.page_count) AS BIGINT) AS page_count, count(*) AS n_variants
+    FROM merged m JOIN mgroups g ON g.doc_id = m.doc_id AND g.region = m.region AND g.norm = m.variant GROUP BY m.doc_id, m.region, m.norm)"""
+add("hf_variants", """SELECT m.doc_id, m.region, m.variant, m.norm, g.page_count
+  FROM merged m JOIN mgroups g ON g.doc_id = m.doc_id AND g.region = m.region AND g.norm = m.variant""", REPEATED, MISREAD, recursive=True)
+add("hf_similar_groups", "SELECT * FROM similar_groups", REPEATED, MISREAD, recursive=True)
+add("hf_similar_confirm", """SELECT s.*, total_pages FROM similar_groups s JOIN guards USING (doc_id)
+  WHERE detection IN ('limited', 'full') AND page_count / total_pages >= 0.5""", REPEATED, MISREAD, recursive=True)
 add("hf_page_ranges", "SELECT * FROM ranges", REPEATED)
 add("hf_warnings", """SELECT c.doc_id, c.region, c.norm, c.region || '_detected: ''' || substr(c.text, 1, 80) || ''' on '
   || page_count || '/' || total_pages || ' pages (' || string_agg(pages, ', ' ORDER BY r.first_page) || ')' AS warning

@@ -26,6 +26,7 @@ from pagemill.operators import prompts as pr
 from pagemill.operators import quality as ql
 from pagemill.operators import ranking as rk
 from pagemill.operators import repeated as rp
+from pagemill.operators import variants as va
 from pagemill.operators import vectors as vc
 from pagemill.plans import detect as dp
 from pagemill.plans import experiment as ex
@@ -71,8 +72,8 @@ def _document_of(path: Column) -> Column:
 
 @query
 def scan_files(spark, folder):
-    """One file per document, scanned; those over 20,000 bytes come without their bytes."""
-    files = fs.scan_files(spark, ad.document_files(spark, folder), max_bytes=20_000)
+    """One file per document, scanned; those over the upload limit come without their bytes."""
+    files = fs.scan_files(spark, ad.document_files(spark, folder))
     admitted = fs.admit_files(files)
     return admitted.select(
         _document_of(F.col("path")), "file_type", "length", F.sha2("content", 256).alias("content_hash"), "reject_reason"
@@ -585,6 +586,28 @@ def hf_groups(spark, folder):
     return rp.hf_groups(rp.hf_regions(ad.page_spans(ad.source_pages(spark, folder))))
 
 
+def _misread_groups(spark: SparkSession, folder: str) -> DataFrame:
+    return rp.hf_groups(rp.hf_regions(ad.misread_spans(ad.page_spans(ad.source_pages(spark, folder)))))
+
+
+@query
+def hf_variants(spark, folder):
+    return va.hf_variants(_misread_groups(spark, folder)).drop("text", "first_page")
+
+
+@query
+def hf_similar_groups(spark, folder):
+    return va.hf_similar_groups(va.hf_variants(_misread_groups(spark, folder)))
+
+
+@query
+def hf_similar_confirm(spark, folder):
+    """Merged groups on at least half of the pages, where none of their variants may be."""
+    pages = ad.source_pages(spark, folder)
+    guards = rp.hf_guards(pages.select("doc_id", "page_number"), ad.page_spans(pages))
+    return rp.hf_confirm(va.hf_similar_groups(va.hf_variants(_misread_groups(spark, folder))), guards)
+
+
 @query
 def hf_confirm(spark, folder):
     return rp.hf_order(_repeated(spark, folder).confirmed)

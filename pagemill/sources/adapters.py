@@ -41,6 +41,13 @@ def markdown_text() -> Column:
     )
 
 
+def misread_spans(spans: DataFrame) -> DataFrame:
+    """Titles of which two pages in three have a letter more or less."""
+    page = F.col("page_number") % 3
+    title = F.when(page == 1, F.replace("text", F.lit("Report "), F.lit("Reports "))).when(page == 2, F.replace("text", F.lit("Report "), F.lit("Rport ")))
+    return spans.withColumn("text", F.when(F.col("seq") == 0, F.coalesce(title, "text")).otherwise(F.col("text")))
+
+
 def nested_documents(spark: SparkSession, folder: str) -> DataFrame:
     """The lines of every document, as letters and blanks, inside nested containers: six shapes in turn."""
     line = lambda x: F.btrim(F.regexp_replace(F.regexp_replace(x, r"[^\p{L} ]", ""), " +", " "))
