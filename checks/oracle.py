@@ -432,6 +432,9 @@ add("upsert_documents", f"""SELECT id, filename, CASE WHEN id % 7 = 0 THEN 'fail
   FROM catalog WHERE (id % 11 <> 0 OR id % 7 = 0) AND NOT (id % 7 = 0 AND id % 3 = 0)""", CATALOG)
 add("upsert_chunks", """SELECT document_id, chunk_index, chunk_hash, token_count FROM chunk_table
   WHERE document_id % 3 <> 0 OR (document_id % 2 = 0 AND chunk_index = 0)""", *CHUNKS_OF_DOCS, recursive=True)
+LATEST = """latest AS (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN '' WHEN doc_id % 2 = 0 THEN substr(text, CAST(floor(length(text) / 2) AS INTEGER) + 1)
+  ELSE text END AS text FROM documents)"""
+add("version_stream", "SELECT document_id, chunk_index, chunk_hash, token_count FROM chunk_table", LATEST, paragraphs("latest"), chunks(), recursive=True)
 add("write_report", f"""SELECT line, count(*) AS n FROM (SELECT unnest(string_split(report, {NL})) AS line FROM reports)
   GROUP BY line""", PROMPTS, REPORT)
 PARSED_FILES = (

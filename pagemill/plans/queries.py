@@ -38,6 +38,7 @@ from pagemill.sources import files as fs
 from pagemill.sources import keyed as ky
 from pagemill.sources import tables as tb
 from pagemill.streaming import jobs as sj
+from pagemill.streaming import versions as vs
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -1006,6 +1007,24 @@ def ingest_stream(spark, folder):
     return spark.read.parquet(path).select("document_id", "chunk_index", "chunk_hash", "token_count")
 
 
+@query
+def version_stream(spark, folder):
+    """Documents, then a second version of some after a restart: half the text of even ones, nothing of every fifth."""
+    inbox, checkpoint = tb.shared_folder(spark, "versions"), tb.shared_folder(spark, "checkpoint")
+    table = vs.chunk_table(spark, tb.shared_folder(spark, "chunks"))
+    docs, at = tb.read_table(spark, folder, "documents"), F.lit("2026-08-03").cast("timestamp")
+    first = docs.select(F.col("doc_id").alias("document_id"), F.lit(1).cast("bigint").alias("version"), at.alias("at"), "text")
+    half = F.substring("text", F.floor(F.length("text") / 2).cast("int") + 1, F.length("text"))
+    text = F.when(F.col("document_id") % 5 == 0, "").when(F.col("document_id") % 2 == 0, half).otherwise(F.col("text"))
+    second = first.filter((F.col("document_id") % 5 == 0) | (F.col("document_id") % 2 == 0))
+    second = second.select("document_id", F.lit(2).cast("bigint").alias("version"), "at", text.alias("text"))
+    for versions in (first, second.unionByName(first.filter(F.col("document_id") % 3 == 0))):  # some come again as they were
+        tb.spread(versions).write.mode("append").parquet(inbox)
+        stream = spark.readStream.schema(first.schema).option("maxFilesPerTrigger", 1000).parquet(inbox)
+        vs.into_table(vs.changes(vs.versions_with_chunks(stream)), table, checkpoint).awaitTermination()
+    return table.read().select("document_id", "chunk_index", "chunk_hash", "token_count")
+
+
 @query
 def hot_stream(spark, folder):
     path, checkpoint = tb.shared_folder(spark, "hot"), tb.shared_folder(spark, "checkpoint")
