@@ -596,6 +596,22 @@ NUMBERED = """SELECT doc_id, page_number, block_type, text, rows, cols, needs_oc
     SELECT doc_id, page_number, 0, 'paragraph', '', NULL, NULL, TRUE, image_count FROM classes WHERE page_type = 'scanned')"""
 add("page_blocks", NUMBERED, LINE_PAGES, PAGE_PARAS, RAW_TABLES)
 PAGED = f"numbered AS ({NUMBERED}), blocks AS (SELECT doc_id, position, block_type, text FROM numbered)"
+SEAM = "chr(64976)"
+add("join_across_pages", f"""WITH cut AS (
+    SELECT source AS doc_id, doc_id AS page_number, CASE WHEN doc_id % 2 = 0 THEN regexp_replace(text, '[^\\pL]+$', '') ELSE text END
+      || CASE WHEN doc_id % 4 = 0 THEN '-' ELSE '' END AS text FROM documents),
+  page AS (SELECT doc_id, page_number, CASE WHEN page_number % 3 = 0 THEN lower(left(text, 1)) || substr(text, 2) ELSE text END AS text FROM cut),
+  line AS (SELECT doc_id, page_number, unnest(list_filter(list_transform(string_split(text, {NL}), lambda x: {strip('x')}), lambda x: x <> '')) AS text,
+      generate_subscripts(list_filter(list_transform(string_split(text, {NL}), lambda x: {strip('x')}), lambda x: x <> ''), 1) AS i FROM page),
+  seen AS (SELECT *, lag(text) OVER w AS before, lag(page_number) OVER w AS page_before FROM line WINDOW w AS (PARTITION BY doc_id ORDER BY page_number, i)),
+  marked AS (SELECT *, CASE WHEN page_before <> page_number AND NOT regexp_matches(before, '[.!?:;。！？：；…]["''”’)\\]}}»]*$')
+      AND regexp_matches(text, '^[\\p{{Ll}}\\p{{Lo}}]') THEN 0 ELSE 1 END AS opens FROM seen),
+  runs AS (SELECT *, sum(opens) OVER (PARTITION BY doc_id ORDER BY page_number, i) AS run FROM marked)
+  SELECT doc_id, CAST(run - 1 AS INTEGER) AS position, 'paragraph' AS block_type,
+    replace(regexp_replace(regexp_replace(string_agg(text, {SEAM} ORDER BY page_number, i), '(\\pL)-' || {SEAM}, '\\1', 'g'),
+      {SEAM} || '(\\p{{Lo}})', '\\1', 'g'), {SEAM}, ' ') AS text,
+    min(page_number) AS page_number, max(page_number) AS last_page, count(*) AS pieces, count(*) > 1 AS cross_page_boundary, count(*) = 1 AS page_number_certain
+  FROM runs GROUP BY doc_id, run""")
 add("page_chunk_rows", """SELECT document_id, chunk_index, chunk_hash, token_count, CAST(p.page_number AS INTEGER) AS page_number
   FROM chunk_table JOIN (SELECT doc_id, run - 1 AS spot, min(source_position) AS head FROM runs GROUP BY doc_id, run) f
     ON f.doc_id = document_id AND spot = chunk_index

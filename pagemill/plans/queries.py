@@ -20,6 +20,7 @@ from pagemill.operators import catalog as ct
 from pagemill.operators import cells as cl
 from pagemill.operators import chunking as ch
 from pagemill.operators import conversations as cv
+from pagemill.operators import crossing as cr
 from pagemill.operators import mutations as mu
 from pagemill.operators import pages as pg
 from pagemill.operators import prompts as pr
@@ -538,6 +539,11 @@ def page_blocks(spark, folder):
     return pg.number_blocks(tb.stored(blocks, "blocks"))
 
 
+@query
+def join_across_pages(spark, folder):
+    return cr.join_across_pages(tb.stored(ad.broken_pages(spark, folder), "blocks"))
+
+
 @query
 def page_chunk_rows(spark, folder):
     pages = pg.classify_pages(ad.line_pages(spark, folder))

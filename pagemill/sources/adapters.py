@@ -48,6 +48,17 @@ def misread_spans(spans: DataFrame) -> DataFrame:
     return spans.withColumn("text", F.when(F.col("seq") == 0, F.coalesce(title, "text")).otherwise(F.col("text")))
 
 
+def broken_pages(spark: SparkSession, folder: str) -> DataFrame:
+    """Lines of each source's pages as blocks; every second page stops inside a sentence, every third begins in one."""
+    page, text = F.col("page_number"), F.col("text")
+    end = F.when(page % 2 == 0, F.regexp_replace(text, "[^\\p{L}]+$", "")).otherwise(text)
+    end = F.when(page % 4 == 0, F.concat(end, F.lit("-"))).otherwise(end)
+    begin = F.when(page % 3 == 0, F.concat(F.lower(F.substring("text", 1, 1)), F.substring("text", 2, 2**30))).otherwise(F.col("text"))
+    pages = source_pages(spark, folder).filter(page >= 0).withColumn("text", end).withColumn("text", begin)
+    lines = F.filter(F.transform(F.split("text", NEW_LINE), strip), lambda x: x != "")
+    return pages.select("doc_id", "page_number", F.posexplode(lines).alias("position", "text")).withColumn("block_type", F.lit("paragraph"))
+
+
 def nested_documents(spark: SparkSession, folder: str) -> DataFrame:
     """The lines of every document, as letters and blanks, inside nested containers: six shapes in turn."""
     line = lambda x: F.btrim(F.regexp_replace(F.regexp_replace(x, r"[^\p{L} ]", ""), " +", " "))
