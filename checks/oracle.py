@@ -507,6 +507,9 @@ add("decode_text_files", f"""SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'utf-8
   CAST(length(t) AS INTEGER) AS chars, sha256(t) AS text_hash
   FROM (SELECT *, CASE WHEN doc_id % 2 = 1 AND {NARROW} THEN '编码' || text ELSE text END AS t FROM documents)""")
 FILE = f"text || {NL}"
+add("charset_of_files", """SELECT doc_id, charset, lower(charset) AS encoding, true AS same_text
+  FROM documents, (SELECT unnest(['GBK', 'Big5', 'Shift_JIS', 'EUC-KR']) AS charset) c WHERE regexp_matches(text, '[A-Za-z]')
+  UNION ALL SELECT doc_id, 'ISO-8859-1', 'iso-8859-1', true FROM documents WHERE regexp_matches(text, '[\\x{A0}-\\x{FF}]') AND NOT regexp_matches(text, '[^\\x{00}-\\x{FF}]')""")
 add("scan_files", f"""SELECT doc_id, '.txt' AS file_type, octet_length(encode({FILE})) AS length,
   CASE WHEN octet_length(encode({FILE})) <= 52428800 THEN sha256({FILE}) END AS content_hash,
   CASE WHEN octet_length(encode({FILE})) > 52428800 THEN 'too_large' END AS reject_reason

@@ -8,7 +8,8 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.functions.text import replacement_count
+from pagemill.functions.charsets import SETS, UTF8, detect_charset
+from pagemill.functions.text import let, replacement_count
 
 _LENIENT = {
     "spark.sql.legacy.javaCharsets": "true",
@@ -67,6 +68,24 @@ def decode_text(files: DataFrame, content: str = "content") -> DataFrame:
     )
 
 
+def decode_detected(files: DataFrame, content: str = "content") -> DataFrame:
+    """Add ``text``, ``encoding`` and ``confidence``: bytes read in the set that makes them most likely.
+
+    Bytes that the set has no character for are replacement characters.
+    """
+    raw = F.col(content)
+
+    def read(found: Column) -> Column:
+        text = F.when(found["charset"] == UTF8, raw.cast("string"))
+        for charset in SETS:
+            text = text.when(found["charset"] == charset, F.decode(raw, charset))
+        return F.struct(text.alias("text"), F.lower(found["charset"]).alias("encoding"), found["confidence"].alias("confidence"))
+
+    with any_charset(files.sparkSession):
+        whole = files.select("*", F.inline(F.array(let(detect_charset(raw), read))))
+    return whole
+
+
 def encode_cursor(created_at: Column, row_id: Column) -> Column:
     """The sort key of a row as URL-safe base64 of a JSON object."""
     payload = F.to_json(

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from pagemill.constants import HOT_TOP_N, ChunkingConfig
 from pagemill.functions import text as tx
-from pagemill.functions.encoding import decode_cursor, decode_text, encode_cursor
+from pagemill.functions.encoding import decode_cursor, decode_detected, decode_text, encode_cursor
 from pagemill.functions.pages import image_ratio
 from pagemill.operators import blocks as bl
 from pagemill.operators import catalog as ct
@@ -402,6 +402,13 @@ def garbled_warning(spark, folder):
     return ad.documents(spark, folder).select("doc_id", tx.garbled_warning(damaged).alias("warning"))
 
 
+@query
+def charset_of_files(spark, folder):
+    """Documents written in five character sets, read without being told which."""
+    read = decode_detected(ad.recoded_files(spark, folder))
+    return read.select("doc_id", "charset", "encoding", (F.col("text") == F.col("written")).alias("same_text"))
+
+
 @query
 def text_stats(spark, folder):
     text = F.translate("text", "h", "�")

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pagemill.functions.encoding import any_charset
 from pagemill.functions.encoding import any_charset
 from pagemill.functions.text import let, strip
 from pagemill.operators.prompts import PRESETS
@@ -48,6 +49,35 @@ def misread_spans(spans: DataFrame) -> DataFrame:
     return spans.withColumn("text", F.when(F.col("seq") == 0, F.coalesce(title, "text")).otherwise(F.col("text")))
 
 
+# Letters that stand for a to z in files of each character set: frequent ones of its language.
+ALPHABETS = {
+    "GBK": "的一是不了人我在有他这中大来上个国到说们为子和你地出",
+    "Big5": "的一是不了人我在有他這中大來上個國到說們為子和你地出",
+    "Shift_JIS": "のにはをたがでてとしれさいるなあもっかけことまりすき",
+    "EUC-KR": "이다는을에의가고하지한로기사도어리은아나인그자시대서",
+}
+LATIN1 = "ISO-8859-1"
+
+
+def recoded_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Each document as a file of every set: (doc_id, charset, written, content).
+
+    Its letters become letters of the set; what the set lacks is left out. In Latin-1 it is
+    itself, and only there if it has a letter beyond ASCII and none beyond the set.
+    """
+    docs = documents(spark, folder).select("doc_id", "text")
+    out = None
+    with any_charset(spark):
+        for charset, letters in ALPHABETS.items():
+            text = F.regexp_replace(F.translate(F.lower("text"), "abcdefghijklmnopqrstuvwxyz", letters), f"[^\\x00-\\x7f{letters}]+", "")
+            part = docs.select("doc_id", F.lit(charset).alias("charset"), text.alias("written"))
+            part = part.filter(F.col("written").rlike(f"[{letters}]")).withColumn("content", F.encode("written", charset))
+            out = part if out is None else out.unionByName(part)
+        plain = docs.filter(F.col("text").rlike(r"[\xa0-\xff]") & ~F.col("text").rlike(r"[^\x00-\xff]"))
+        latin = plain.select("doc_id", F.lit(LATIN1).alias("charset"), F.col("text").alias("written"), F.encode("text", LATIN1).alias("content"))
+        return out.unionByName(latin)
+
+
 def broken_pages(spark: SparkSession, folder: str) -> DataFrame:
     """Lines of each source's pages as blocks; every second page stops inside a sentence, every third begins in one."""
     page, text = F.col("page_number"), F.col("text")
