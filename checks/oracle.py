@@ -694,6 +694,15 @@ add("hot_counts", "SELECT * FROM scores", ACCESS, SCORES)
 add("hot_top_n", "SELECT * FROM scores ORDER BY score DESC, doc_id DESC LIMIT 20", ACCESS, SCORES)
 add("hot_remove", """SELECT * FROM scores WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)
   ORDER BY score DESC, doc_id DESC LIMIT 20""", ACCESS, SCORES)
+add("hot_sketches", """SELECT strftime(period, '%Y-%m-%d %H') AS period, CAST(sum(n) OVER (PARTITION BY period) AS BIGINT) AS total, CAST(0 AS BIGINT) AS error,
+  doc_id AS item, n FROM (SELECT date_trunc('hour', ts) AS period, doc_id, count(*) AS n FROM access_log WHERE doc_id IS NOT NULL GROUP BY ALL)""", ACCESS)
+RANGES = """ranges AS (SELECT unnest(['all', 'week', 'morning']) AS range,
+    unnest([TIMESTAMP '2024-01-01 00:00:00', TIMESTAMP '2024-01-08 00:00:00', TIMESTAMP '2024-01-20 06:00:00']) AS a,
+    unnest([TIMESTAMP '2024-02-01 00:00:00', TIMESTAMP '2024-01-15 00:00:00', TIMESTAMP '2024-01-20 12:00:00']) AS b),
+  range_scores AS (SELECT range, doc_id, count(*) AS score FROM access_log JOIN ranges ON ts >= a AND ts < b WHERE doc_id IS NOT NULL GROUP BY ALL),
+  range_top AS (SELECT * FROM range_scores QUALIFY row_number() OVER (PARTITION BY range ORDER BY score DESC, doc_id DESC) <= 20)"""
+add("hot_of_ranges", "SELECT * FROM range_top", ACCESS, RANGES)
+add("hot_stream_ranges", "SELECT doc_id, score FROM range_top WHERE range = 'week'", ACCESS, RANGES)
 add("recent_access", f"""SELECT user_id, CAST(rank AS INTEGER) AS rank, doc_id, {iso('last_ts')} AS last_ts FROM (
   SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY last_ts DESC, doc_id DESC) AS rank FROM (
     SELECT user_id, doc_id, max(ts) AS last_ts FROM access_log GROUP BY user_id, doc_id)) WHERE rank <= 20""", ACCESS)

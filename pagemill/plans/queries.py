@@ -21,6 +21,7 @@ from pagemill.operators import cells as cl
 from pagemill.operators import chunking as ch
 from pagemill.operators import conversations as cv
 from pagemill.operators import crossing as cr
+from pagemill.operators import frequent as fr
 from pagemill.operators import mutations as mu
 from pagemill.operators import pages as pg
 from pagemill.operators import prompts as pr
@@ -45,6 +46,12 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
 USER = 7  # the owner whose catalog the single-user queries list
+SKETCH_ITEMS = 64
+HOT_RANGES = {
+    "all": ("2024-01-01 00:00:00", "2024-02-01 00:00:00"),
+    "week": ("2024-01-08 00:00:00", "2024-01-15 00:00:00"),
+    "morning": ("2024-01-20 06:00:00", "2024-01-20 12:00:00"),
+}
 
 
 def query(build: Query) -> Query:
@@ -759,6 +766,30 @@ def hot_remove(spark, folder):
     return rk.hot_top_n(rk.hot_remove(rk.hot_counts(ad.access_log(spark, folder)), bad))
 
 
+def _range(first: str, last: str) -> tuple[Column, Column]:
+    return F.lit(first).cast("timestamp_ntz"), F.lit(last).cast("timestamp_ntz")
+
+
+@query
+def hot_sketches(spark, folder):
+    """Hourly sketches that hold every document of an hour, as the counts in them."""
+    parts = fr.sketches(ad.access_log(spark, folder), "doc_id")
+    return parts.select(F.date_format("period", "yyyy-MM-dd HH").alias("period"), "total", "error", F.inline("items"))
+
+
+@query
+def hot_of_ranges(spark, folder):
+    """The top documents of three ranges of hours, from one table of sketches of a few items each."""
+    log = ad.access_log(spark, folder)
+    parts = tb.stored(fr.sketches(log, "doc_id", capacity=SKETCH_ITEMS), "sketches")
+    out = None
+    for name, (start, end) in HOT_RANGES.items():
+        top = fr.top_of_range(log, parts, *_range(start, end), HOT_TOP_N, "doc_id", capacity=SKETCH_ITEMS)
+        part = top.select(F.lit(name).alias("range"), F.col("item").alias("doc_id"), "score")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 @query
 def recent_access(spark, folder):
     recent = rk.recent_access(ad.access_log(spark, folder))
@@ -1038,6 +1069,17 @@ def version_stream(spark, folder):
     return table.read().select("document_id", "chunk_index", "chunk_hash", "token_count")
 
 
+@query
+def hot_stream_ranges(spark, folder):
+    """Sketches of a stream, folded to one an hour, and the top documents of a week from them."""
+    checkpoint, table = tb.shared_folder(spark, "checkpoint"), ky.KeyedTable(spark, tb.shared_folder(spark, "sketches"), "id")
+    log = ad.access_log_of(tb.stream_table(spark, folder, "events"))
+    sj.sketches_into(log, "doc_id", table, checkpoint, SKETCH_ITEMS).awaitTermination()
+    sj.fold_sketches(table, SKETCH_ITEMS)
+    top = fr.top_of_range(ad.access_log(spark, folder), table.read(), *_range(*HOT_RANGES["week"]), HOT_TOP_N, "doc_id", capacity=SKETCH_ITEMS)
+    return top.select(F.col("item").alias("doc_id"), "score")
+
+
 @query
 def hot_stream(spark, folder):
     path, checkpoint = tb.shared_folder(spark, "hot"), tb.shared_folder(spark, "checkpoint")
