@@ -494,6 +494,8 @@ add("count_by_status", "SELECT user_id, status, count(*) AS cnt FROM catalog GRO
 add("count_by_status_user", "SELECT status, count(*) AS cnt FROM catalog WHERE user_id = 7 GROUP BY ALL", CATALOG)
 add("catalog_totals", """SELECT user_id, count(*) AS total, count(*) FILTER (WHERE status = 'ready') AS filtered_total,
   greatest(1, CAST(ceil(count(*) / 20) AS BIGINT)) AS total_pages FROM catalog GROUP BY user_id""", CATALOG)
+add("maintained_totals", """SELECT user_id, CASE WHEN id % 7 = 0 THEN 'failed' WHEN id % 5 = 0 THEN 'uploaded' ELSE status END AS status,
+  count(*) AS cnt, CAST(sum(file_size) AS BIGINT) AS bytes FROM catalog WHERE (id % 11 <> 0 OR id % 7 = 0) AND NOT (id % 7 = 0 AND id % 3 = 0) GROUP BY 1, 2""", CATALOG)
 add("owner_lookup", "SELECT id, c_name AS username, filename FROM catalog JOIN customer ON c_custkey = user_id", CATALOG)
 
 # --- text -----------------------------------------------------------------------

@@ -28,6 +28,7 @@ from pagemill.operators import prompts as pr
 from pagemill.operators import quality as ql
 from pagemill.operators import ranking as rk
 from pagemill.operators import repeated as rp
+from pagemill.operators import totals as to
 from pagemill.operators import variants as va
 from pagemill.operators import vectors as vc
 from pagemill.plans import detect as dp
@@ -375,6 +376,23 @@ def catalog_totals(spark, folder):
     return ct.catalog_totals(ad.catalog(spark, folder), matching=ct.catalog_filter(status="ready"))
 
 
+@query
+def maintained_totals(spark, folder):
+    """Totals per owner and status after inserts, updates and deletes, none of which read the whole catalog."""
+    table = ky.KeyedTable(spark, tb.shared_folder(spark, "documents"), "id")
+    totals = to.Totals(table, tb.shared_folder(spark, "totals"), ["user_id", "status"], {"bytes": F.col("file_size")})
+    catalog = ad.catalog(spark, folder).select("id", "user_id", "status", "file_size")
+    totals.write(catalog.filter(F.col("id") % 5 != 0), name="first")
+    totals.write(catalog.filter(F.col("id") % 5 == 0).withColumn("status", F.lit("uploaded")), name="second")
+    table.compact()
+    failed = catalog.filter(F.col("id") % 7 == 0).withColumn("status", F.lit("failed"))
+    for _ in range(2):  # a retried batch changes nothing
+        totals.write(failed, gone=catalog.filter(F.col("id") % 11 == 0).select("id"), name="third")
+    totals.fold("fold-1")
+    totals.write(catalog.limit(0), gone=failed.filter(F.col("id") % 3 == 0).select("id"), name="fourth")
+    return totals.read()
+
+
 @query
 def owner_lookup(spark, folder):
     owners = ad.users(spark, folder).select(F.col("id").alias("user_id"), "username")

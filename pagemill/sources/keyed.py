@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 VERSION, GONE = "_version", "_gone"
 SHARE, FOLDERS = 0.25, 64  # of the base's bytes, and number, that changes may reach
 DONE = "_SUCCESS"
+LOOKED_UP = 1000  # keys that a lookup sends to the scan
+SALTS = 64
 
 
 class KeyedTable:
@@ -63,7 +65,7 @@ class KeyedTable:
 
         A key in both has the new rows. ``name`` identifies the write.
         """
-        if name is not None and any(folder.endswith(f".{name}") for _, folder in self._folders("changes")):
+        if name is not None and self.has(name):
             return
         number = self._claim()
         marked = rows.withColumn(GONE, F.lit(False))
@@ -75,6 +77,22 @@ class KeyedTable:
         folder = f"changes/{number:012d}.{name or uuid.uuid4().hex[:12]}"
         marked.withColumn(VERSION, F.lit(number)).write.mode("overwrite").parquet(f"{self.path}/{folder}")
 
+    def has(self, name: str) -> bool:
+        """Whether there is a write of this name, unless it has been dropped."""
+        return any(folder.endswith(f".{name}") for _, folder in self._folders("changes"))
+
+    def exists(self) -> bool:
+        return bool(self._folders("base") or self._folders("changes"))
+
+    def rows_of(self, keys: DataFrame) -> DataFrame:
+        """The rows of these keys (the only column of ``keys``), which are looked up in the base by range."""
+        asked = keys.toDF("_asked")
+        few = [r[0] for r in asked.limit(LOOKED_UP + 1).collect()]
+        rows = self.read()
+        if len(few) <= LOOKED_UP and None not in few:  # reaches the scan, where it passes over files and row groups
+            rows = rows.filter(F.col(self.key).isin(few))
+        return rows.join(asked, F.col(self.key).eqNullSafe(F.col("_asked")), "left_semi")
+
     def read(self) -> DataFrame:
         """The rows of every key's latest write."""
         base, changes = self._state()
@@ -102,7 +120,11 @@ class KeyedTable:
         if not changes or (base and len(changes) < folders and size([f for _, f in changes]) < share * size([base])):
             return False
         target = f"base/{changes[-1][0]:012d}.{uuid.uuid4().hex[:12]}"
-        self.read().hint("rebalance").write.parquet(f"{self.path}/{target}")
+        whole = self.read()
+        partitions = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        # By ranges of the key, so that a lookup passes over most files; a salt splits a key of very many rows.
+        salt = F.pmod(F.monotonically_increasing_id(), F.lit(SALTS))
+        whole.repartitionByRange(partitions, self.key, salt).sortWithinPartitions(self.key).write.parquet(f"{self.path}/{target}")
         return True
 
     def drop_old(self) -> None:
