@@ -138,3 +138,29 @@ def test_packed_arrays_round_trip():
     values = np.array([1, 2**40, 77, 0], np.int64)
     assert packs.values_of(packs.planes(values), np.int64).tolist() == values.tolist()
     assert len(packs.values_of(None, np.uint16)) == 0
+
+
+def test_inner_nodes_of_subtrees():
+    import numpy as np
+
+    rng = random.Random(11)
+    words = [rng.randrange(3) for _ in range(60)]
+    words = words * 2 + [rng.randrange(2) for _ in range(150)] + words[:50]
+    data = np.array(words, np.uint64)
+    at = np.arange(len(words) - 19)
+    group = np.array([rng.randrange(2) for _ in at])
+    tree = passages.suffix_tree(data, at, group)
+    leaves = [(int(group[k]), tuple(words[at[k] : at[k] + 20])) for k in tree.leaves]
+    assert leaves == sorted(leaves)
+    wanted = set()
+    for depth in range(1, 21):
+        prefixes = {}
+        for k, (g, w) in enumerate(leaves):
+            prefixes.setdefault((g, w[:depth]), []).append(k)
+        for mine in prefixes.values():  # a node: at least two leaves that share no more than this, or all 20 words
+            deeper = {leaves[k][1][: depth + 1] for k in mine}
+            if len(mine) > 1 and (depth == 20 or len(deeper) > 1):
+                wanted.add((depth, mine[0], mine[-1]))
+    assert {tuple(map(int, n)) for n in zip(*tree.nodes())} == wanted
+    assert {tuple(map(int, n)) for n in zip(*tree.nodes(20))} == {n for n in wanted if n[0] == 20}
+    assert [len(x) for x in passages.Subtree(np.zeros(0, int), np.zeros(0, int)).nodes()] == [0, 0, 0]
