@@ -9,8 +9,9 @@ a passage reaches ``THRESHOLD`` are retrieved. Retrieved items are then verified
 word trigrams of the item's question (all sentences but the last) and of its
 answer (the last sentence) are looked up around the passage.
 
-Items are searched in shards of about ``SHARD`` items, whose index is sent to all
-tasks; a larger benchmark means more shards, not a larger index. Document
+Items are searched in shards of about ``SHARD`` items; ``AT_ONCE`` indexes of shards are
+sent to all tasks and searched in one scan of the corpus, so a larger benchmark means more
+scans, not a larger broadcast. Document
 frequencies, the number of parts and their mean length are those of all items.
 
 Defined cases: a null text or one without words has no passages; an item without
@@ -38,7 +39,7 @@ THRESHOLD = 0.6  # of a part's own score
 K1, B = 1.2, 0.75
 POSTINGS = 32  # of a block of a posting list
 RANGES = 128  # of part numbers, whose largest impacts bound a passage before it is searched
-SHARD = 4_000  # items
+SHARD, AT_ONCE = 4_000, 8  # items of an index; indexes that one scan of the corpus searches
 TRIGRAM = 3
 QUESTION, ANSWER, WHOLE = 0.6, 0.5, 0.7  # least overlaps
 SCHEMA = "doc_id bigint, item_id bigint, score double, start_word bigint, question_overlap double, answer_overlap double"
@@ -254,15 +255,14 @@ def part_words(items: DataFrame) -> DataFrame:
     return items.mapInArrow(run, "word bigint, size bigint, shard bigint")
 
 
-def search_shard(docs: DataFrame, items: list[tuple[int | None, bytes]], known: Statistics | None = None) -> DataFrame:
-    """Verified leaks of these items in all passages of all texts."""
-    shared = docs.sparkSession.sparkContext.broadcast(Index(items, known))
+def search_shards(docs: DataFrame, indexes: list[Index]) -> DataFrame:
+    """Verified leaks of the items of these indexes in all passages of all texts, in one scan."""
+    shared = docs.sparkSession.sparkContext.broadcast(indexes)
 
     def run(batches):  # noqa: ANN001, ANN202
-        index = shared.value
         for block in slices(batches, "text", BLOCK_BYTES // 2):
-            ids = block.column("doc_id").to_pylist()
-            rows = [(ids[i], *rest) for i, *rest in leaks_of(index, text_bytes(block.column("text")))]
+            ids, texts = block.column("doc_id").to_pylist(), text_bytes(block.column("text"))
+            rows = [(ids[i], *rest) for index in shared.value for i, *rest in leaks_of(index, texts)]
             yield pa.record_batch([pa.array(c, f.type) for c, f in zip(list(zip(*rows)) or [()] * 6, ARROW)], schema=ARROW)
 
     return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
@@ -273,7 +273,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     usable = benchmark.where(F.col("text").isNotNull()).select("item_id", "text")
     shards = max(1, math.ceil(usable.count() / SHARD))
     shard = F.pmod(F.xxhash64("item_id", "text"), F.lit(shards))
-    found = None
+    found, indexes = None, []
     if shards > 1:
         counted = stored(part_words(usable.select("text", shard.cast("bigint").alias("shard"))).groupBy("word", "shard").agg(
             F.count("*").alias("n"), F.sum("size").alias("size")
@@ -289,8 +289,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             order = np.argsort(word)
             known = Statistics(whole.n or 0, (whole.size or 0) / max(whole.n or 0, 1), word[order], df[order])
         items = sorted(((r.item_id, r.text.encode()) for r in usable.where(shard == k).collect()), key=lambda x: (x[0] is None, x[0] or 0, x[1]))
-        part = search_shard(docs, items, known)
-        found = part if found is None else found.unionByName(part)
+        indexes.append(Index(items, known))
+        if len(indexes) == AT_ONCE or k == shards - 1:
+            part = search_shards(docs, indexes)
+            found, indexes = part if found is None else found.unionByName(part), []
     best = F.max_by(F.struct("score", "start_word", "question_overlap", "answer_overlap"), F.struct("score", -F.col("start_word")))
     grouped = found.groupBy("doc_id", "item_id").agg(best.alias("_best"), F.count("*").alias("n_passages"))
     return grouped.select("doc_id", "item_id", "_best.*", "n_passages")
