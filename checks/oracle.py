@@ -512,6 +512,10 @@ FILE = f"text || {NL}"
 add("charset_of_files", """SELECT doc_id, charset, lower(charset) AS encoding, true AS same_text
   FROM documents, (SELECT unnest(['GBK', 'Big5', 'Shift_JIS', 'EUC-KR']) AS charset) c WHERE regexp_matches(text, '[A-Za-z]')
   UNION ALL SELECT doc_id, 'ISO-8859-1', 'iso-8859-1', true FROM documents WHERE regexp_matches(text, '[\\x{A0}-\\x{FF}]') AND NOT regexp_matches(text, '[^\\x{00}-\\x{FF}]')""")
+add("parsed_files", f"""SELECT page_id, CAST(i - 1 AS INTEGER) AS position, 'paragraph' AS block_type, regexp_replace(p[i], '<[^>]*>', '', 'g') AS text,
+    CAST(NULL AS VARCHAR) AS error FROM (SELECT page_id, regexp_extract_all(html || {NL}, '(?s)<p>(.*?)</p>', 1) AS p, unnest(range(1, len(p) + 1)) AS i
+    FROM pages WHERE page_id <> (SELECT max(page_id) FROM pages))
+  UNION ALL SELECT max(page_id), NULL, NULL, NULL, 'not a page' FROM pages""")
 add("scan_files", f"""SELECT doc_id, '.txt' AS file_type, octet_length(encode({FILE})) AS length,
   CASE WHEN octet_length(encode({FILE})) <= 52428800 THEN sha256({FILE}) END AS content_hash,
   CASE WHEN octet_length(encode({FILE})) > 52428800 THEN 'too_large' END AS reject_reason

@@ -39,6 +39,7 @@ from pagemill.plans import paged as pd
 from pagemill.sources import adapters as ad
 from pagemill.sources import files as fs
 from pagemill.sources import keyed as ky
+from pagemill.sources import parsed as pf
 from pagemill.sources import tables as tb
 from pagemill.streaming import jobs as sj
 from pagemill.streaming import versions as vs
@@ -222,6 +223,15 @@ def route_by_type(spark, folder):
     return counted.unionByName(rejected, allowMissingColumns=True)
 
 
+@query
+def parsed_files(spark, folder):
+    """The paragraphs of files of web pages, through a parser plug-in; one file is broken."""
+    pf.register_parsers(spark, {".txt": ad.html_paragraphs})
+    blocks = spark.read.format(pf.NAME).option("packedBytes", 100_000).load(ad.page_files(spark, folder))
+    page = F.regexp_extract("path", r"page_id=(\d+)/", 1).cast("bigint")
+    return blocks.filter(F.col("file_type") == ".txt").select(page.alias("page_id"), "position", "block_type", "text", "error")
+
+
 @query
 def isolate_failures(spark, folder):
     parsed = ig.parse_files(ad.text_files(spark, folder))

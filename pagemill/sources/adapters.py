@@ -6,7 +6,9 @@ keeps every row of its table.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import re
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pagemill.functions.encoding import any_charset
@@ -155,6 +157,27 @@ def document_files(spark: SparkSession, folder: str) -> str:
     return path
 
 
+BROKEN = "cut off"  # what the one broken file of pages begins with
+
+
+def page_files(spark: SparkSession, folder: str) -> str:
+    """A folder with one file per web page, under a folder named by its id; the page of the largest id is broken."""
+    path = shared_folder(spark, "pages")
+    pages = read_table(spark, folder, "pages").select("page_id", "html")
+    last = F.max("page_id").over(Window.partitionBy())
+    html = F.when(F.col("page_id") == last, F.concat(F.lit(BROKEN), "html")).otherwise(F.col("html"))
+    pages.select("page_id", html.alias("html")).repartition("page_id").write.partitionBy("page_id").text(path)
+    return path
+
+
+def html_paragraphs(name: str, content: bytes) -> list[tuple[str, str, None]]:
+    """A parser of the paragraphs of a web page, without marks inside them."""
+    text = content.decode()
+    if text.startswith(BROKEN):
+        raise ValueError("not a page")
+    return [("paragraph", re.sub("<[^>]*>", "", p), None) for p in re.findall(r"(?s)<p>(.*?)</p>", text)]
+
+
 def web_files(spark: SparkSession, folder: str) -> DataFrame:
     """Pages as files named by their address, without the query part."""
     return spread(read_table(spark, folder, "pages").select(
