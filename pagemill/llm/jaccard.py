@@ -47,7 +47,8 @@ ROUTES = 3  # shared shingles by which a set is routed at first
 GROUPS = 256  # of shingle hashes: coordinates of a point
 FULL = 255  # counts are moved as single bytes
 FANOUT = 16  # children of a box
-MEETING = 2048  # sets at a shingle that are joined in one piece
+MEETING, MEETING_BYTES = 512, 64 << 20  # sets at a shingle, and their bytes, that are joined in one piece
+POINTED = 2048  # points at a shingle that are joined in one piece
 
 
 def shingle_sets(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -231,8 +232,9 @@ def spanning_links(sets: list[np.ndarray]) -> list[tuple[int, int]]:
 def meet(sets: DataFrame) -> DataFrame:
     """Verified links (a, b) between sets that meet at one of their first shared shingles."""
     routed = sets.select("node", "shingles", F.explode(F.slice("routes", 1, ROUTES)).alias("route"))
-    busy = routed.groupBy("route").count().where(F.col("count") > MEETING)
-    busy = busy.select(F.col("route").alias("_route"), F.ceil(F.col("count") / MEETING).alias("_parts"))
+    parts = F.greatest(F.ceil(F.count("*") / MEETING), F.ceil(F.sum(F.octet_length("shingles")) / MEETING_BYTES))
+    busy = routed.groupBy(F.col("route").alias("_route")).agg(parts.alias("_parts")).where(F.col("_parts") > 1)
+    busy = stored(busy, "jaccard-busy")  # a table of its own, so that Spark can split a hot shingle's rows in the join
     part = F.when(F.col("_parts").isNotNull(), F.pmod(F.xxhash64("node", "route"), F.col("_parts"))).otherwise(F.lit(0))
     keyed = routed.join(busy, F.col("route") == F.col("_route"), "left").select(
         "node", "shingles", "route", part.cast("bigint").alias("part")
@@ -275,8 +277,9 @@ def candidates(sets: DataFrame, parts: DataFrame) -> DataFrame:
         routed.groupBy("route")
         .agg(F.min("component").alias("_low"), F.max("component").alias("_high"), F.count("*").alias("_n"))
         .where(F.col("_low") != F.col("_high"))
-        .select(F.col("route").alias("_route"), F.ceil(F.col("_n") / MEETING).cast("int").alias("_parts"))
+        .select(F.col("route").alias("_route"), F.ceil(F.col("_n") / POINTED).cast("int").alias("_parts"))
     )
+    mixed = stored(mixed, "jaccard-mixed")
     met = routed.join(mixed, F.col("route") == F.col("_route"))
     own = F.pmod(F.xxhash64("node"), F.col("_parts")).cast("int")
     pair = F.transform(

@@ -50,6 +50,7 @@ def rows(prose):
 @pytest.mark.parametrize(("meeting", "routes", "often"), [(2048, 3, 2048), (3, 1, 8)])
 def test_components(documents, rows, monkeypatch, meeting, routes, often):
     monkeypatch.setattr(jaccard, "MEETING", meeting)
+    monkeypatch.setattr(jaccard, "POINTED", meeting)
     monkeypatch.setattr(jaccard, "ROUTES", routes)
     monkeypatch.setattr("pagemill.llm.repeats.FREQUENT", often)
     monkeypatch.setattr("pagemill.llm.repeats.SAMPLED", 2)
