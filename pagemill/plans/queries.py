@@ -1110,18 +1110,18 @@ def hot_stream_ranges(spark, folder):
 
 @query
 def hot_stream(spark, folder):
-    path, checkpoint = tb.shared_folder(spark, "hot"), tb.shared_folder(spark, "checkpoint")
+    table, checkpoint = sj.counts_table(spark, tb.shared_folder(spark, "hot")), tb.shared_folder(spark, "checkpoint")
     log = ad.access_log_of(tb.stream_table(spark, folder, "events"))
-    sj.changes_to(sj.running_counts(log, ["doc_id"], "score"), path, checkpoint).awaitTermination()
-    return rk.hot_top_n(sj.latest_counts(spark, path, ["doc_id"], "score"), HOT_TOP_N)
+    sj.counts_into(sj.running_counts(log, ["doc_id"], "score"), ["doc_id"], table, checkpoint).awaitTermination()
+    return rk.hot_top_n(table.read().select("doc_id", "score"), HOT_TOP_N)
 
 
 @query
 def count_stream(spark, folder):
-    path, checkpoint = tb.shared_folder(spark, "counts"), tb.shared_folder(spark, "checkpoint")
+    table, checkpoint = sj.counts_table(spark, tb.shared_folder(spark, "counts")), tb.shared_folder(spark, "checkpoint")
     orders = tb.stream_table(spark, folder, "orders").select(F.col("o_orderstatus").alias("status"))
-    sj.changes_to(sj.running_counts(orders, ["status"], "cnt"), path, checkpoint).awaitTermination()
-    return sj.latest_counts(spark, path, ["status"], "cnt")
+    sj.counts_into(sj.running_counts(orders, ["status"], "cnt"), ["status"], table, checkpoint).awaitTermination()
+    return table.read().select("status", "cnt")
 
 
 @query
