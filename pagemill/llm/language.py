@@ -29,6 +29,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagemill.llm.blocks import BLOCK_BYTES, map_blocks, slices
+from pagemill.sources.tables import stored
 
 FEATURES = 1 << 12
 ORDERS = (1, 2, 3)
@@ -164,7 +165,8 @@ def sample(docs: DataFrame, keep: Column, rows: int = SAMPLE_ROWS, total: int =
     known = narrow.groupBy("lang").agg(F.approx_count_distinct("_draw", 0.02).alias("count"))
     rows = max(1, min(rows, total // max(known.count(), 1)))
     limit = F.least(F.lit(4.0 * rows + 40) / F.col("count"), F.lit(1.0)) * F.lit(float(1 << 52))
-    rates = known.select(F.col("lang").alias("_lang"), limit.alias("_limit"))
+    # A table of its own, so that Spark sends it to all tasks if it is small and splits hot languages if not.
+    rates = stored(known.select(F.col("lang").alias("_lang"), limit.alias("_limit")), "language-rates")
     thinned = narrow.join(rates, F.col("lang") == F.col("_lang")).where(F.col("_draw") <= F.col("_limit"))
     ranked = thinned.select("lang", "_draw").distinct().withColumn("_rank", F.row_number().over(Window.partitionBy("lang").orderBy("_draw")))
     chosen = ranked.where(F.col("_rank") <= rows).select(F.col("_draw").alias("_chosen"), F.col("lang").alias("_of"))
