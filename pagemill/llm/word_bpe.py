@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.llm.blocks import map_blocks, slices
+from pagemill.llm.blocks import BLOCK_BYTES, map_blocks, slices
 
 PIECE = 1 << 20  # characters of a text that are cut into words at once
 NONE = np.int64(1 << 40)  # rank of a pair that does not merge
@@ -54,14 +54,16 @@ class Words:
         from tokenizers import Regex, normalizers
 
         self.nfc = normalizers.NFC()
-        every = "".join(chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000)
-        letters, digits, blanks = (
-            "".join(sorted(set(normalizers.Replace(Regex(f"[^{name}]+"), "").normalize_str(every)))) for name in (r"\p{L}", r"\p{N}", r"\s")
-        )
-        lower = normalizers.Lowercase()
-        lowered = lower.normalize_str("\n".join(every.replace("\n", ""))).split("\n")
-        odd = {c: low for c, low in zip(every.replace("\n", ""), lowered) if low != c.lower()}
-        odd["Σ"] = "σ"  # at the end of a word Python has another form
+        lower, classes = normalizers.Lowercase(), ["", "", ""]
+        odd = {"Σ": "σ"}  # at the end of a word Python has another form
+        for first in range(0, 0x110000, 0x4000):  # in pieces, which keeps the memory small
+            every = "".join(chr(c) for c in range(first, first + 0x4000) if not 0xD800 <= c < 0xE000)
+            for k, name in enumerate((r"\p{L}", r"\p{N}", r"\s")):
+                classes[k] += normalizers.Replace(Regex(f"[^{name}]+"), "").normalize_str(every)
+            plain = every.replace("\n", "")
+            if plain:
+                odd |= {c: low for c, low in zip(plain, lower.normalize_str("\n".join(plain)).split("\n")) if low != c.lower()}
+        letters, digits, blanks = classes
         self.odd = {ord(c): low for c, low in odd.items()}
         self.has_odd = re.compile(f"[{_ranges(''.join(odd))}]").search
         letter, digit, blank = _ranges(letters), _ranges(digits), _ranges(blanks)
@@ -222,14 +224,18 @@ def merge(vocabulary: Vocabulary, symbols: np.ndarray, word: np.ndarray) -> tupl
 
 
 @functools.cache
-def load(path: str) -> tuple[Vocabulary, Words]:
-    vocabulary = Vocabulary(path)
-    return vocabulary, Words(list(vocabulary.special))
+def vocabulary_of(path: str) -> Vocabulary:
+    return Vocabulary(path)
+
+
+@functools.cache
+def words_of(path: str) -> Words:
+    return Words(list(vocabulary_of(path).special))
 
 
 def encode_texts(texts: list[str], path: str) -> list[bytes]:
     """The ids of each text as little-endian unsigned 32-bit integers."""
-    vocabulary, cut = load(path)
+    vocabulary, cut = vocabulary_of(path), words_of(path)
     number: dict[str, int] = {}
     parts = [[_numbers(words, number) for words in cut(text)] for text in texts]
     if not number:
@@ -253,7 +259,7 @@ def _numbers(words: list[str], number: dict[str, int]) -> np.ndarray:
 
 def decode_ids(stored: list[bytes], path: str) -> list[bytes]:
     """The text of each run of ids as UTF-8: its tokens with a blank between them."""
-    vocabulary, _ = load(path)
+    vocabulary = vocabulary_of(path)
     return [vocabulary.decode(np.frombuffer(ids, "<u4").astype(np.int64))[0].tobytes()[:-1] for ids in stored]
 
 
@@ -266,14 +272,14 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
         return pa.record_batch([block.column("doc_id"), counts, pa.array(ids, pa.binary())], ["doc_id", "n_tokens", "ids"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return map_blocks(docs.select("doc_id", "text"), work, f"doc_id {kind}, n_tokens bigint, ids binary", block_bytes=4 << 20)
+    return map_blocks(docs.select("doc_id", "text"), work, f"doc_id {kind}, n_tokens bigint, ids binary")
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
     """The rows of ``encode`` and the text of their ids, as UTF-8 in the column ``decoded``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in slices(batches, "ids", 4 << 20):
+        for block in slices(batches, "ids", BLOCK_BYTES):
             decoded = decode_ids([i or b"" for i in block.column("ids").to_pylist()], path)
             yield pa.record_batch([*block.columns, pa.array(decoded, pa.binary())], [*block.schema.names, "decoded"])
 
