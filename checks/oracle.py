@@ -481,6 +481,7 @@ add("list_documents", f"""SELECT CAST(id AS VARCHAR) AS id, filename, file_type,
     WHERE r = 5 AND n > 5) AS next_cursor
   FROM (SELECT * FROM catalog WHERE user_id = 7 AND status = 'ready' {ORDER} LIMIT 5)""", CATALOG)
 add("sorted_listing", f"{PUBLIC} FROM (SELECT * FROM catalog ORDER BY file_size, id LIMIT 100 OFFSET 100)", CATALOG)
+add("deep_page", f"{PUBLIC} FROM (SELECT * FROM catalog ORDER BY file_size DESC, id DESC LIMIT 100 OFFSET 1300)", CATALOG)
 add("offset_page", f"{PUBLIC} FROM (SELECT * FROM catalog WHERE file_type = '.pdf' {ORDER} LIMIT 20 OFFSET 40)", CATALOG)
 TIMES = f"{iso('created_at')} AS created_at, {iso('updated_at')} AS updated_at"
 add("document_info", f"SELECT id, filename, file_type, file_size, status, {TIMES} FROM catalog", CATALOG)

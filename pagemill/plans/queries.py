@@ -31,6 +31,7 @@ from pagemill.operators import repeated as rp
 from pagemill.operators import totals as to
 from pagemill.operators import variants as va
 from pagemill.operators import vectors as vc
+from pagemill.plans import deep_listing as dl
 from pagemill.plans import detect as dp
 from pagemill.plans import experiment as ex
 from pagemill.plans import ingest as ig
@@ -343,6 +344,14 @@ def offset_page(spark, folder):
     return _public(ct.offset_page(ad.catalog(spark, folder), page=3, page_size=20, file_type=".pdf"))
 
 
+@query
+def deep_page(spark, folder):
+    """A page far down the listing of files by size, from boundary rows a thousand places apart."""
+    catalog = ad.catalog(spark, folder)
+    bounds = tb.stored(dl.boundaries(catalog, sort_by="file_size", sort_order="desc", step=1000), "boundaries")
+    return _public(dl.deep_page(catalog, bounds, sort_by="file_size", sort_order="desc", page=14, page_size=100))
+
+
 @query
 def document_info(spark, folder):
     return ct.document_info(ad.catalog(spark, folder))
