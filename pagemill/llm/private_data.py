@@ -206,8 +206,8 @@ def _context(patterns: Column) -> Column:
 def scored(spans: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
     """(pattern, kind, score) of the accepted patterns, and (value, kind, score) of the candidates that count.
 
-    Both are of the last round. The tables of a round are stored, so a hot pattern or string
-    is a skewed join of two tables, which Spark splits.
+    Both are of the last round. The tables of a round are stored, so a hot pattern is a
+    skewed join of two tables, which Spark splits.
     """
     edges = spans.where(F.size("patterns") > 0).select("value", "shape", "kind", "patterns").distinct()
     edges = edges.select("value", "shape", "kind", _context(F.col("patterns")).alias("context"), F.explode("patterns").alias("pattern"))
@@ -225,13 +225,13 @@ def scored(spans: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame
     # What a string counts in its patterns, and all strings of a pattern together.
     weight = F.when(F.col("seed"), 1.0).otherwise(F.greatest(F.lit(UNDECIDED), 1 - 1 / F.col("contexts")))
     is_seed = seeds.select("value").distinct().withColumn("seed", F.lit(True))
-    weights = strings.join(sizes, "pattern", "left_semi").join(stored(is_seed, "private-seeds"), "value", "left").join(measured, "value", "left")
+    weights = strings.join(sizes, "pattern", "left_semi").join(is_seed, "value", "left").join(measured, "value", "left")
     telling = stored(weights.select("value", "pattern", weight.alias("weight")), "private-telling")
     totals = stored(telling.groupBy("pattern").agg(F.sum("weight").alias("total")), "private-totals")
     found = None
     for _ in range(rounds):
         known = seeds if found is None else seeds.unionByName(found).groupBy("value", "kind").agg(F.max("score").alias("score"))
-        sums = telling.join(stored(known, "private-known"), "value").groupBy("pattern", "kind")
+        sums = telling.join(known, "value").groupBy("pattern", "kind")
         sums = sums.agg(F.sum("score").alias("sum"), F.sum("weight").alias("own")).join(totals, "pattern")
         share = F.col("sum") / (F.col("sum") + F.greatest(F.col("total") - F.col("own"), F.lit(0.0)))
         good = sums.where((F.col("sum") >= SUPPORT) & (share >= CONFIDENCE))
