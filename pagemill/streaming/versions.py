@@ -11,6 +11,7 @@ micro-batch, so a batch that is run again after a failure changes nothing.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 from typing import Any
 
 from pyspark.sql import DataFrame, Row, SparkSession
@@ -25,6 +26,8 @@ from pagemill.sources.keyed import KeyedTable
 
 CHUNK = "chunk_index int, chunk_text string, chunk_hash string, token_count int"
 ID = "chunk_id"
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 change = Row("document_id", "chunk_index", "chunk_text", "chunk_hash", "token_count", "gone")
 
 
@@ -88,9 +91,23 @@ def into_table(changed: DataFrame, table: KeyedTable, checkpoint: str) -> Stream
         table.compact()
         batch.unpersist()
 
-    return (
-        changed.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    )
+    writer = changed.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True)
+    with rocksdb_state(changed.sparkSession):
+        return writer.start()
+
+
+@contextmanager
+def rocksdb_state(spark: SparkSession) -> Iterator[None]:
+    """State on local disk, which keyed state needs; a stream takes the setting when it is started."""
+    before = spark.conf.get(PROVIDER, None)
+    spark.conf.set(PROVIDER, ROCKSDB)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(PROVIDER)
+        else:
+            spark.conf.set(PROVIDER, before)
 
 
 def chunk_table(spark: SparkSession, path: str) -> KeyedTable:
