@@ -94,3 +94,14 @@ def test_random_paragraphs(values):
     samples = ["".join(rng.choice("ab \n\n\t\x0c") for _ in range(60)) for _ in range(50)]
     expected = [[p.strip() for p in re.split(r"\n\s*\n", s) if p.strip()] for s in samples]
     assert values(tx.paragraphs, samples) == expected
+
+
+def test_a_text_is_decoded_once_a_row(spark):
+    from pagemill.functions.encoding import decode_text
+
+    made = F.translate(F.col("content").cast("string"), "h", "�").cast("binary")
+    files = spark.createDataFrame([(1, bytearray(b"h\xc3\xa9h")), (2, None), (3, bytearray(b"\xff\xfea\0")), (4, bytearray("编".encode("gbk")))], "id int, content binary")
+    read = decode_text(files.withColumn("content", F.when(F.col("id") == 1, made).otherwise(F.col("content"))))
+    assert [(r.text, r.encoding) for r in read.orderBy("id").collect()] == [("�é�", "utf-8"), (None, None), ("a", "utf-16"), ("编", "gbk")]
+    plan = read.select(F.length("text"), F.sha2("text", 256), "encoding")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("translate(") == 1
