@@ -23,6 +23,7 @@ NAME = "parsed_files"
 FILE_COLUMNS = "path string, file_type string, length bigint"
 SCHEMA = f"{FILE_COLUMNS}, position int, block_type string, text string, page_number int, error string"
 PACKED, FILE_COST = 64 << 20, 256 << 10  # bytes of a partition; bytes that opening a file counts as
+PACKS = 2048  # partitions, about, at most: a task costs more than opening many small files
 
 # A parser takes a file's name and bytes and gives (block_type, text, page_number).
 Parser = Callable[[str, bytes], Iterable[tuple[str, str, int | None]]]
@@ -34,10 +35,15 @@ class Pack(InputPartition):
 
 
 def packed(files: Iterable[tuple[str, str, int]], most: int = PACKED) -> list[list[tuple[str, str, int]]]:
-    """Files (path, type, length) in packs of about ``most`` bytes, the larger ones first; a larger file is a pack."""
+    """Files (path, type, length) in packs of about ``most`` bytes, the larger ones first; a larger file is a pack.
+
+    Packs hold more where there would be more of them than ``PACKS``.
+    """
     packs: list[list[tuple[str, str, int]]] = []
     room = 0
-    for file in sorted(files, key=lambda f: (-f[2], f[0])):
+    found = sorted(files, key=lambda f: (-f[2], f[0]))
+    most = max(most, sum(f[2] + FILE_COST for f in found) // PACKS)
+    for file in found:
         cost = file[2] + FILE_COST
         if not packs or cost > room:
             packs.append([])

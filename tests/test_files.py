@@ -212,3 +212,43 @@ def test_files_without_bytes_are_rejected_by_the_same_limit(spark, folder):
     large = [r for r in files if r.content is None]
     assert large and all(r.length > 5 and r.reject_reason in ("too_large", "extension_not_allowed") for r in large)
     assert any(r.reject_reason == "too_large" for r in large) and all(r.reject_reason != "too_large" for r in files if r.length <= 5)
+
+
+def test_files_are_written_by_tasks(spark, tmp_path, monkeypatch):
+    from pyspark.sql import DataFrameWriter
+
+    from pagemill.sources.tables import write_files
+
+    monkeypatch.setattr(DataFrameWriter, "text", lambda *a: pytest.fail("Spark moves every folder from the driver"))
+    write_files(spark.createDataFrame([(1, "é\nb"), (2, None), (3, "x"), (3, "y"), (None, "z")], "k long, t string"), f"file://{tmp_path}/out")
+    found = {p.parent.name: p.read_text() for p in (tmp_path / "out").rglob("*") if p.is_file()}
+    assert found.pop("k=3") in ("x\ny\n", "y\nx\n")
+    assert found == {"k=1": "é\nb\n", "k=2": "\n", "k=__HIVE_DEFAULT_PARTITION__": "z\n"}
+    write_files(spark.createDataFrame([], "k long, t string"), f"file://{tmp_path}/none")
+    assert fs.list_files(spark, f"file://{tmp_path}/none").count() == 0
+
+
+def test_listing_takes_few_tasks(spark, tmp_path):
+    for k in range(100):
+        (tmp_path / f"{k}").mkdir()
+        (tmp_path / f"{k}" / "a.txt").write_text("a")
+    tracker, group = spark.sparkContext.statusTracker(), "listing"
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        files = fs.scan_files(spark, f"file://{tmp_path}")
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    stages = [tracker.getStageInfo(s) for j in tracker.getJobIdsForGroup(group) for s in tracker.getJobInfo(j).stageIds]
+    assert stages and max(s.numTasks for s in stages) <= 4 * spark.sparkContext.defaultParallelism
+    assert files.count() == 100
+
+
+def test_pages_are_not_all_in_one_task(spark, tmp_path, monkeypatch):
+    from pagemill.sources import adapters
+
+    spark.createDataFrame([(1, "<p>a</p>"), (7, "<p>b</p>"), (7, "<p>c</p>")], "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    seen = []
+    monkeypatch.setattr(adapters, "write_files", lambda rows, path: seen.append(rows))
+    adapters.page_files(spark, str(tmp_path))
+    assert sorted(r.html for r in seen[0].collect()) == ["<p>a</p>", "cut off<p>b</p>", "cut off<p>c</p>"]
+    assert "Window" not in seen[0]._jdf.queryExecution().optimizedPlan().toString()

@@ -78,3 +78,9 @@ def test_packs_by_bytes(spark, folder, monkeypatch):
 
 def test_no_files(spark, tmp_path):
     assert spark.read.format(parsed.NAME).load(f"file://{tmp_path}").collect() == []
+
+
+def test_very_many_files_are_few_partitions():
+    files = [(f"{k}", ".txt", 4000) for k in range(20_000)]
+    packs = parsed.packed(files, 100_000)
+    assert len(packs) < 1.2 * parsed.PACKS and sorted(f for p in packs for f in p) == sorted(files)
