@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagemill.functions.markdown import table_text
 from pagemill.functions.pages import image_ratio, page_type
 from pagemill.functions.text import page_paragraphs
-from pagemill.operators.segments import by_position, row_numbers
+from pagemill.operators.segments import SEGMENT, by_position, row_numbers, segmented
 
 PAGE = ["doc_id", "page_number"]
 
@@ -99,42 +99,42 @@ def table_warnings(tables: DataFrame) -> DataFrame:
 def page_blocks(pages: DataFrame, page_text: DataFrame, raw_tables: DataFrame) -> DataFrame:
     """Blocks of paged documents, not yet numbered.
 
-    Blank pages give nothing and scanned pages give a placeholder.
+    Blank pages give nothing and scanned pages give a placeholder. The rows lie by the
+    segments of :func:`number_blocks`.
     """
-    classes = pages.select(*PAGE, "page_type")
-    readable = F.col("page_type").isin("text", "hybrid")
-    paragraphs = (
-        split_paragraphs_page(page_text)
-        .join(classes, PAGE)
-        .filter(readable)
-        .select(*PAGE, F.lit(1).alias("_kind"), "seq", F.lit("paragraph").alias("block_type"), "text")
+    readable = pages.filter(F.col("page_type").isin("text", "hybrid")).select(*PAGE, F.lit(1).alias("_classes"))
+    paragraphs = split_paragraphs_page(page_text).select(
+        *PAGE, F.lit(1).alias("_kind"), "seq", F.lit("paragraph").alias("block_type"), "text"
     )
-    tables = (
-        tables_with_rows(page_tables(raw_tables))
-        .join(classes, PAGE)
-        .filter(readable)
-        .select(
-            *PAGE,
-            F.lit(2).alias("_kind"),
-            F.col("table_no").cast("int").alias("seq"),
-            F.lit("table").alias("block_type"),
-            "text",
-            F.size("rows").alias("rows"),
-            F.size("headers").alias("cols"),
-        )
+    tables = tables_with_rows(page_tables(raw_tables)).select(
+        *PAGE,
+        F.lit(2).alias("_kind"),
+        F.col("table_no").cast("int").alias("seq"),
+        F.lit("table").alias("block_type"),
+        "text",
+        F.size("rows").alias("rows"),
+        F.size("headers").alias("cols"),
     )
     scanned = ocr_placeholders(pages).select(
         *PAGE, F.lit(0).alias("_kind"), F.lit(0).alias("seq"), "block_type", "text", "needs_ocr", "image_count"
     )
-    return paragraphs.unionByName(tables, allowMissingColumns=True).unionByName(
-        scanned, allowMissingColumns=True
-    )
+    # Blocks meet the readable classes of their page in a window, so that texts are dealt out
+    # once, by the segment that numbering needs. As in a join, a null key meets none.
+    rows = None
+    for part in (paragraphs, tables, scanned, readable):
+        rows = part if rows is None else rows.unionByName(part, allowMissingColumns=True)
+    dealt = segmented(rows, ["doc_id"], by_position("page_number")).repartition(SEGMENT)
+    met = F.sum("_classes").over(Window.partitionBy(SEGMENT, "page_number"))
+    known = F.col("doc_id").isNotNull() & F.col("page_number").isNotNull()
+    times = F.when(F.col("_kind") == 0, 1).when(known, F.coalesce(met, F.lit(0)).cast("int")).otherwise(0)
+    found = dealt.withColumn("_times", times).filter(F.col("_kind").isNotNull() & (F.col("_times") > 0))
+    return found.withColumn("_time", F.explode(F.array_repeat(F.lit(0), F.col("_times")))).drop("_classes", "_times", "_time")
 
 
 def number_blocks(blocks: DataFrame) -> DataFrame:
     """Add ``position``: reading order within the document, per page text before tables.
 
-    The blocks are read twice, so pass a stored table.
+    The blocks are read twice, once without their texts.
     """
     order = [F.col("page_number"), F.col("_kind"), F.col("seq")]
     numbered = row_numbers(blocks, ["doc_id"], order, by_position("page_number"), "_n")

@@ -10,10 +10,10 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-SEGMENT = "_segment"
+SEGMENT, PART = "_segment", "_part"
 ROWS_PER_SEGMENT = 8192
 
 
@@ -27,18 +27,24 @@ def by_second(ts: str) -> Column:
     return F.date_trunc("second", F.col(ts))
 
 
-def _carry(
-    rows: DataFrame, keys: Sequence[str], totals: DataFrame, carried: dict[str, Column]
-) -> DataFrame:
+def segmented(df: DataFrame, keys: Sequence[str], segment: Column) -> DataFrame:
+    """Add the key of a row's segment, by which windows and the carry join share one shuffle.
+
+    It is one column, never null, in which null keys are equal to each other. Rows that come
+    dealt out by it already keep theirs.
+    """
+    return df if SEGMENT in df.columns else df.withColumn(SEGMENT, F.struct(*keys, segment.alias(PART)))
+
+
+def _across(keys: Sequence[str]) -> WindowSpec:
+    """The segments of a key in order."""
+    return Window.partitionBy(*[f"{SEGMENT}.{key}" for key in keys]).orderBy(f"{SEGMENT}.{PART}")
+
+
+def _carry(rows: DataFrame, totals: DataFrame, carried: dict[str, Column]) -> DataFrame:
     """Join the per-segment state, scanned over the segments of a key, to the rows."""
-    state = totals.select(*keys, SEGMENT, *[c.alias(name) for name, c in carried.items()])
-    renamed = state
-    on = None
-    for key in [*keys, SEGMENT]:
-        renamed = renamed.withColumnRenamed(key, f"_c_{key}")
-        same = rows[key].eqNullSafe(F.col(f"_c_{key}"))
-        on = same if on is None else on & same
-    return rows.join(renamed, on, "left").drop(*[f"_c_{k}" for k in [*keys, SEGMENT]])
+    state = totals.select(F.col(SEGMENT).alias("_of"), *[c.alias(name) for name, c in carried.items()])
+    return rows.join(state, F.col(SEGMENT) == F.col("_of"), "left").drop("_of")
 
 
 def running_sum(
@@ -50,16 +56,14 @@ def running_sum(
     out: str,
 ) -> DataFrame:
     """Add ``out``: sum of ``value`` from the first row of the key to this one."""
-    rows = df.withColumn(SEGMENT, segment).withColumn("_value", value.cast("bigint"))
-    local = Window.partitionBy(*keys, SEGMENT).orderBy(*order).rowsBetween(
+    rows = segmented(df, keys, segment).withColumn("_value", value.cast("bigint"))
+    local = Window.partitionBy(SEGMENT).orderBy(*order).rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )
-    earlier = Window.partitionBy(*keys).orderBy(SEGMENT).rowsBetween(
-        Window.unboundedPreceding, -1
-    )
-    totals = rows.groupBy(*keys, SEGMENT).agg(F.sum("_value").alias("_total"))
+    earlier = _across(keys).rowsBetween(Window.unboundedPreceding, -1)
+    totals = rows.groupBy(SEGMENT).agg(F.sum("_value").alias("_total"))
     scanned = rows.withColumn("_local", F.sum("_value").over(local))
-    joined = _carry(scanned, keys, totals, {"_before": F.sum("_total").over(earlier)})
+    joined = _carry(scanned, totals, {"_before": F.sum("_total").over(earlier)})
     return joined.withColumn(
         out, F.coalesce(F.col("_before"), F.lit(0)) + F.col("_local")
     ).drop("_value", "_local", "_before", SEGMENT)
@@ -87,9 +91,9 @@ def run_numbers(
     whether the later one starts a new run; the first row of a key always does.
     The rows are read twice, so a costly input should be a stored table.
     """
-    local = Window.partitionBy(*keys, SEGMENT).orderBy(*order)
+    local = Window.partitionBy(SEGMENT).orderBy(*order)
     upto = local.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    across = Window.partitionBy(*keys).orderBy(SEGMENT)
+    across = _across(keys)
     earlier = across.rowsBetween(Window.unboundedPreceding, -1)
 
     def step(previous: Column, current: Column) -> Column:
@@ -97,7 +101,7 @@ def run_numbers(
         return F.when(previous.isNull() | starts, 1).otherwise(0)
 
     rows = (
-        df.withColumn(SEGMENT, segment)
+        segmented(df, keys, segment)
         .withColumn("_this", F.struct(*values))
         .withColumn("_n", F.row_number().over(local))
         .withColumn("_prev", F.lag("_this").over(local))
@@ -105,7 +109,7 @@ def run_numbers(
             "_open", F.when(F.col("_n") > 1, step(F.col("_prev"), F.col("_this"))).otherwise(0)
         )
     )
-    totals = rows.groupBy(*keys, SEGMENT).agg(
+    totals = rows.groupBy(SEGMENT).agg(
         F.sum("_open").alias("_opened"),
         F.min_by("_this", "_n").alias("_first"),
         F.max_by("_this", "_n").alias("_last"),
@@ -114,7 +118,6 @@ def run_numbers(
     before = F.coalesce(F.sum(F.col("_head") + F.col("_opened")).over(earlier), F.lit(0))
     joined = _carry(
         rows.withColumn("_local", F.sum("_open").over(upto)),
-        keys,
         scanned,
         {"_base": before + F.col("_head")},
     )

@@ -14,13 +14,13 @@ from pagemill.sources.tables import stored
 def paged_blocks(pages: DataFrame, raw_tables: DataFrame) -> DataFrame:
     """Numbered blocks of classified pages with their text, as a stored table."""
     blocks = pg.page_blocks(pages, pages, raw_tables)
-    return stored(pg.number_blocks(stored(blocks, "page-blocks")), "numbered-blocks")
+    return stored(pg.number_blocks(blocks), "numbered-blocks")
 
 
 def page_chunk_rows(blocks: DataFrame, *, config: ChunkingConfig = ChunkingConfig()) -> DataFrame:
     """Rows of the chunk table; a chunk has the page of its first block."""
     rows = blocks.withColumn("page_number", F.col("page_number").cast("int"))
-    merged = ch.merge_short(stored(ch.split_long(rows, config=config), "page-parts"), config=config)
+    merged = ch.merge_short(ch.split_long(rows, config=config), config=config)
     return ch.to_chunk_table(
         merged.select(
             F.col("doc_id").alias("document_id"), F.col("position").alias("chunk_index"), "text", "page_number"

@@ -587,7 +587,7 @@ def table_warnings(spark, folder):
 def page_blocks(spark, folder):
     pages = pg.classify_pages(ad.line_pages(spark, folder))
     blocks = pg.page_blocks(pages, ad.line_pages(spark, folder), ad.raw_tables(spark, folder))
-    return pg.number_blocks(tb.stored(blocks, "blocks"))
+    return pg.number_blocks(blocks)
 
 
 @query

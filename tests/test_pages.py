@@ -202,3 +202,22 @@ def test_paged_documents(spark):
     [record] = paged.parsed_documents(pages, blocks, tables).collect()
     assert (record.total_pages, record.scanned_pages, record.status) == (3, 1, "ready") and record.total_blocks == blocks.count()
     assert record.warnings == ["page 1 table: headers only, skipped", "page 2 scanned: no text, needs OCR, images=1"]
+
+
+def test_texts_of_blocks_are_dealt_out_once(spark):
+    image = [(0.0, 0.0, 90.0, 90.0)]
+    rows = [(1, 1, "a paragraph of the first page", 29, 100.0, 100.0, []), (1, 1, "a paragraph of the first page", 29, 100.0, 100.0, []),
+            (None, 1, "a paragraph of no document", 29, 100.0, 100.0, []), (None, 2, "", 0, 100.0, 100.0, image)]
+    frame = spark.createDataFrame(rows, "doc_id long, page_number int, text string, text_len int, width double, height double, images array<struct<x0 double, y0 double, x1 double, y1 double>>")
+    tables = spark.createDataFrame([(1, 1, 1, [["h"], ["1"]]), (None, 1, 1, [["h"], ["1"]]), (2, 1, 1, [["h"], ["1"]])], "doc_id long, page_number int, table_no int, cells array<array<string>>")
+    blocks = pg.number_blocks(pg.page_blocks(pg.classify_pages(frame), frame, tables))
+    got = sorted((r.doc_id or 0, r.position, r.block_type, r.rows) for r in blocks.collect())
+    assert got == [(0, 0, "paragraph", None), *((1, k, "paragraph", None) for k in range(4)), (1, 4, "table", 1), (1, 5, "table", 1)]
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = pg.number_blocks(pg.page_blocks(pg.classify_pages(frame), frame, tables))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert plan.count("Exchange hashpartitioning") == 4  # blocks with texts; without, for the sums; sums by document and back
