@@ -14,7 +14,7 @@ from pagemill.sources.tables import stored
 def paged_blocks(pages: DataFrame, raw_tables: DataFrame) -> DataFrame:
     """Numbered blocks of classified pages with their text, as a stored table."""
     blocks = pg.page_blocks(pages, pages, raw_tables)
-    return stored(pg.number_blocks(blocks), "numbered-blocks")
+    return stored(pg.number_blocks(blocks), "numbered-blocks", "zstd")
 
 
 def page_chunk_rows(blocks: DataFrame, *, config: ChunkingConfig = ChunkingConfig()) -> DataFrame:
