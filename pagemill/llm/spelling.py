@@ -46,6 +46,9 @@ REST = 3  # code points that candidates may differ in; an eighth of words over 3
 PIECE = 1 << 20  # characters of a text that are cut into words at once
 HELD = 200_000  # different words that a task counts before it passes them on
 WORDS = 50_000  # words that are indexed at once
+# Spark sizes these tables by the stored words, in compressed bytes and without the keys that are made of
+# them, and would send some hundred times its limit for broadcasts through the driver.
+MERGE = "merge"
 
 
 def document_words(doc_id: object, text: str) -> Iterator[tuple[str, int]]:
@@ -216,7 +219,7 @@ def near_pairs(words: DataFrame, counts: np.ndarray | None = None) -> DataFrame:
     """(a, b) with a < b of all words that differ by one inserted, deleted or replaced code point."""
     counts = gram_counts(words) if counts is None else counts
     pivot, prefix = index(words, counts, True).alias("l"), index(words, counts, False).alias("r")
-    found = pivot.join(prefix, (F.col("l.key") == F.col("r.key")) & (F.levenshtein(F.col("l.word"), F.col("r.word"), 1) == 1))
+    found = pivot.join(prefix.hint(MERGE), (F.col("l.key") == F.col("r.key")) & (F.levenshtein(F.col("l.word"), F.col("r.word"), 1) == 1))
     return found.select(F.least("l.word", "r.word").alias("a"), F.greatest("l.word", "r.word").alias("b")).distinct()
 
 
@@ -226,8 +229,8 @@ def forms(words: DataFrame) -> DataFrame:
     both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
     other = words.select(F.col("word").alias("b"), F.col("n").alias("other_n"))
     best = F.min(F.struct((-F.col("other_n")).alias("less"), "b")).alias("best")
-    near = both.join(other, "b").groupBy(F.col("a").alias("word")).agg(F.count("*").alias("n_near"), best)
-    joined = words.join(near, "word", "left")
+    near = both.join(other.hint(MERGE), "b").groupBy(F.col("a").alias("word")).agg(F.count("*").alias("n_near"), best)
+    joined = words.join(near.hint(MERGE), "word", "left")
     has = -F.col("best.less") >= OUTWEIGHS * F.col("n")
     return joined.select(
         "word",
@@ -246,7 +249,7 @@ def roots(found: DataFrame) -> DataFrame:
     at = stored(found.where(F.col("form").isNotNull()).select("word", F.col("form").alias("root")), "spelling-roots")
     while True:
         ahead = at.select(F.col("word").alias("_word"), F.col("root").alias("_root"))
-        joined = at.join(ahead, F.col("root") == F.col("_word"), "left")
+        joined = at.join(ahead.hint(MERGE), F.col("root") == F.col("_word"), "left")
         moved = joined.select("word", F.coalesce("_root", "root").alias("root"), F.col("_root").isNotNull().alias("moved"))
         moved = stored(moved, "spelling-roots")
         at = moved.select("word", "root")
@@ -257,5 +260,5 @@ def roots(found: DataFrame) -> DataFrame:
 def variants(docs: DataFrame) -> DataFrame:
     """word, form, root, n, n_near and form_n of all words of the texts."""
     found = stored(forms(stored(vocabulary(docs), "spelling-words")), "spelling-forms")
-    joined = found.join(roots(found), "word", "left")
+    joined = found.join(roots(found).hint(MERGE), "word", "left")
     return joined.select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")

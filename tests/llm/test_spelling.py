@@ -106,3 +106,20 @@ def test_near_words_share_a_key(word, kind, place, letter, counts):
         return set(spelling.keys(code, np.zeros(len(places), np.int64), places, pivots)[1].tolist())
 
     assert of(word, True) & of(other, False) or of(other, True) & of(word, False)
+
+
+def test_tables_of_words_are_not_broadcast(spark, tmp_path, monkeypatch):
+    from pagemill.sources import tables
+
+    plans = []
+
+    def kept(df, purpose):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return tables.stored(df, purpose)
+
+    monkeypatch.setattr(spelling, "stored", kept)
+    docs = spark.createDataFrame([(k, "garden gardon gardens window windows") for k in range(4)] + [(9, "gardon garden garden")], "doc_id long, text string")
+    found = spelling.variants(docs)
+    plans.append(found._jdf.queryExecution().executedPlan().toString())
+    assert {r.word: r.n_near for r in found.collect()}["garden"] == 2
+    assert sum("SortMergeJoin" in p for p in plans) >= 4 and not any("Broadcast" in p for p in plans)
