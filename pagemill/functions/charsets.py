@@ -5,14 +5,18 @@ under which they are most likely is taken. A set's model is a share for each cla
 characters (pairs of a lead and a trail byte, or single bytes), spread evenly over the
 codes of the class; bytes below 128 are alike in all sets and count nothing, unless a set
 reads one as the second byte of a character. In Latin-1 a letter beyond ASCII rarely
-follows another, which keeps pairs apart from two such letters. Only built-in functions
-are used, each over single characters, so a long text costs time but no stack.
+follows another, which keeps pairs apart from two such letters. Classes are looked up by
+two bytes for all bytes of a block of texts at once, in Arrow tasks.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -54,42 +58,106 @@ SETS: dict[str, list[tuple[tuple[tuple[int, int], ...], tuple[tuple[int, int], .
 FOLLOWS = 0.05  # share of Latin-1 letters beyond ASCII that follow one
 NEVER = 1e-6  # share of bytes that a set has no character for
 # ------------------------------------------------------------------------------
+BLOCK = 1 << 16  # bytes that are looked up at once, so few that their classes stay near the processor
+WIDTH = 2 + max(map(len, SETS.values()))  # classes, one of none, and bytes without a character
 UTF8, LATIN1 = "UTF-8", "ISO-8859-1"
 
 
-def _class(ranges: tuple[tuple[int, int], ...]) -> str:
-    return "[" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in ranges) + "]"
-
-
 def _codes(ranges: tuple[tuple[int, int], ...]) -> int:
     return sum(b - a + 1 for a, b in ranges)
 
 
-def likelihood(name: str, raw: Column) -> Column:
-    """Log likelihood of bytes, given as the text of the same code points, under a set.
-
-    The bytes are cut into the set's characters, one a line, and each class is a count of lines
-    that the classes up to it hold, less those that the classes before it hold.
-    """
-    classes = SETS[name]
-    shapes = [f"{_class(f)}{_class(s) if s else ''}" for f, s, _ in classes]
-    pairs = [shape for shape, (_, s, _) in zip(shapes, classes) if s]
+def _within(ranges: tuple[tuple[int, int], ...]) -> np.ndarray:
+    """Of every byte, whether it is in the ranges."""
+    found = np.zeros(256, bool)
+    for a, b in ranges:
+        found[a : b + 1] = True
+    return found
 
-    logs = [math.log(share / (_codes(f) * max(_codes(s), 1))) for f, s, share in classes] + [math.log(NEVER)]
 
-    def weighed(lines: Column) -> Column:
-        total = (F.regexp_count(lines, F.lit(r"\n")) - 1) * logs[-1]
-        for k in range(len(shapes)):
-            total = total + F.regexp_count(lines, F.lit(rf"\n(?:{'|'.join(shapes[: k + 1])})(?=\n)")) * (logs[k] - logs[k + 1])
-        return total
+@functools.cache
+def _classes(name: str) -> tuple[np.ndarray, np.ndarray]:
+    """The class of every two bytes (number: second byte * 256 + first) and of every single byte.
 
-    found = F.regexp_extract_all(raw, F.lit("|".join([*pairs, r"[\x{80}-\x{ff}]"])), F.lit(0))
-    total = let(F.concat(F.lit("\n"), F.array_join(found, "\n"), F.when(F.size(found) > 0, "\n").otherwise("")), weighed)
-    if name != LATIN1:
-        return total
-    high = F.length(F.regexp_replace(raw, r"[\x00-\x7f]+", ""))
-    runs = F.regexp_count(raw, F.lit(r"[\x{80}-\x{ff}]++"))
-    return total + (high - runs) * math.log(FOLLOWS) + runs * math.log(1 - FOLLOWS)
+    A class is its place in the list from 1, the first that holds the bytes. Two bytes that are no character are
+    0; single bytes without one come after all classes, and those below 128 are 0.
+    """
+    classes = SETS[name]
+    pairs, singles = np.zeros((256, 256), np.uint8), np.zeros(256, np.uint8)
+    singles[0x80:] = len(classes) + 1
+    for k in range(len(classes), 0, -1):
+        first, second, _ = classes[k - 1]
+        if second:
+            pairs[np.outer(_within(second), _within(first))] = k
+        else:
+            singles[_within(first)] = k
+    return pairs.ravel(), singles
+
+
+def _counts(name: str, data: np.ndarray, two: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
+    """How many characters of each class, and bytes without a character, each row has; ``row`` in steps of WIDTH.
+
+    Bytes are cut from left to right. Where two bytes make a character and the next two as well,
+    each second one of such a run is the end of a character, as characters do not overlap.
+    """
+    pairs, singles = _classes(name)
+    open_ = data >= 0x80  # bytes that count, but for those of characters of two
+    at = kind = np.zeros(0, np.int64)
+    if pairs.any():
+        of = pairs.take(two)
+        found = of != 0
+        edge = found.copy()
+        edge[1:] ^= found[:-1]  # each run begins at one edge and ends at the next
+        edge = np.flatnonzero(edge)
+        begins, ends = edge[0::2], edge[1::2]
+        if len(ends) < len(begins):
+            ends = np.append(ends, len(found))
+        many = (ends - begins + 1) // 2
+        at = np.repeat(begins - 2 * (np.cumsum(many) - many), many) + 2 * np.arange(many.sum())
+        kind = of.take(at)
+        open_[at] = False
+        open_[at + 1] = False
+    alone = np.flatnonzero(open_)
+    total = np.bincount(row.take(at) + kind, minlength=rows * WIDTH) + np.bincount(row.take(alone) + singles.take(data.take(alone)), minlength=rows * WIDTH)
+    return total.reshape(rows, WIDTH)[:, 1 : len(SETS[name]) + 2]
+
+
+def _scores(texts: pa.Array) -> np.ndarray:
+    """Log likelihood of each text under each set, a row for each text; a null text is like an empty one."""
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    data = np.frombuffer(b"".join(t for t in texts.to_pylist() if t), np.uint8)
+    rows = len(sizes)
+    row = np.repeat(np.arange(rows, dtype=np.int64) * WIDTH, sizes)
+    two = data.astype(np.int64)
+    two[:-1] |= two[1:] << 8
+    two &= 0xFFFF
+    ends = np.cumsum(sizes)[sizes > 0] - 1
+    two[ends] = data[ends]  # of the last byte no character begins that goes on in the next text
+    out = np.zeros((rows, len(SETS)))
+    for k, (name, classes) in enumerate(SETS.items()):
+        counts = _counts(name, data, two, row, rows).astype(float)
+        logs = [math.log(share / (_codes(f) * max(_codes(s), 1))) for f, s, share in classes] + [math.log(NEVER)]
+        total = counts.sum(1) * logs[-1]
+        for i in range(len(classes)):
+            total = total + counts[:, : i + 1].sum(1) * (logs[i] - logs[i + 1])
+        out[:, k] = total
+    high = data >= 0x80
+    begins = high.copy()
+    begins[1:] &= ~high[:-1] | (row[1:] != row[:-1])
+    n, runs = (np.bincount(row[x] // WIDTH, minlength=rows).astype(float) for x in (high, begins))
+    latin = list(SETS).index(LATIN1)
+    out[:, latin] = out[:, latin] + (n - runs) * math.log(FOLLOWS) + runs * math.log(1 - FOLLOWS)
+    return out
+
+
+def _likelihoods(column: pa.Array) -> pa.Array:
+    """The scores of the texts of a column, in blocks of bounded size; null for null."""
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    part = np.cumsum(sizes) // BLOCK
+    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(sizes)]
+    found = np.concatenate([_scores(column.slice(a, b - a)) for a, b in zip(cuts, cuts[1:])] or [np.zeros((0, len(SETS)))])
+    edges = pa.array(np.arange(len(sizes) + 1, dtype=np.int32) * len(SETS), mask=np.append(column.is_null().to_numpy(zero_copy_only=False), False))
+    return pa.ListArray.from_arrays(edges, pa.array(found.ravel()))
 
 
 def detect_charset(content: Column) -> Column:
@@ -99,8 +167,8 @@ def detect_charset(content: Column) -> Column:
     1. Equal likelihoods go to the set that is listed first.
     """
 
-    def best(raw: Column) -> Column:
-        scores = F.array(*(F.struct(likelihood(n, raw).alias("log"), F.lit(-i).alias("order"), F.lit(n).alias("name")) for i, n in enumerate(SETS)))
+    def best(logs: Column) -> Column:
+        scores = F.array(*(F.struct(logs[i].alias("log"), F.lit(-i).alias("order"), F.lit(n).alias("name")) for i, n in enumerate(SETS)))
 
         def told(found: Column) -> Column:
             top = F.array_max(found)
@@ -110,6 +178,6 @@ def detect_charset(content: Column) -> Column:
         return let(scores, told)
 
     known = F.struct(F.lit(UTF8).alias("charset"), F.lit(1.0).alias("confidence"))
-    # Bytes below 128 matter only as the second byte of a character.
-    raw = F.regexp_replace(F.decode(content, LATIN1), r"(?<![\x{80}-\x{ff}])[\x00-\x7f]++", "")
-    return F.when(content.isNull(), None).when(F.is_valid_utf8(content.cast("string")), known).otherwise(let(raw, best))
+    others = F.when(~F.is_valid_utf8(content.cast("string")), content)
+    logs = F.arrow_udf(_likelihoods, "array<double>")(others)
+    return F.when(content.isNull(), None).when(logs.isNull(), known).otherwise(let(logs, best))

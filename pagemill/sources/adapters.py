@@ -71,9 +71,11 @@ def recoded_files(spark: SparkSession, folder: str) -> DataFrame:
     out = None
     with any_charset(spark):
         for charset, letters in ALPHABETS.items():
-            text = F.regexp_replace(F.translate(F.lower("text"), "abcdefghijklmnopqrstuvwxyz", letters), f"[^\\x00-\\x7f{letters}]+", "")
-            part = docs.select("doc_id", F.lit(charset).alias("charset"), text.alias("written"))
-            part = part.filter(F.col("written").rlike(f"[{letters}]")).withColumn("content", F.encode("written", charset))
+            # What the set lacks goes first, so that bytes below 128 are passed over without a look at the letters.
+            kept = F.regexp_replace(F.lower("text"), f"[^\\x00-\\x7f](?<![{letters}])", "")
+            text = F.translate(kept, "abcdefghijklmnopqrstuvwxyz", letters)
+            lettered = docs.filter(F.lower("text").rlike(f"[a-z{letters}]"))  # those that keep a letter, told before it is replaced
+            part = lettered.select("doc_id", F.lit(charset).alias("charset"), text.alias("written")).withColumn("content", F.encode("written", charset))
             out = part if out is None else out.unionByName(part)
         plain = docs.filter(F.col("text").rlike(r"[\xa0-\xff]") & ~F.col("text").rlike(r"[^\x00-\xff]"))
         latin = plain.select("doc_id", F.lit(LATIN1).alias("charset"), F.col("text").alias("written"), F.encode("text", LATIN1).alias("content"))

@@ -35,3 +35,49 @@ def test_extra_columns_stay(spark):
     frame = spark.createDataFrame([(1, bytearray(b"x"), "kept")], "charset int, content binary, _found string")
     row = decode_detected(frame).select(F.struct("*").alias("r")).first().r
     assert (row.charset, row._found, row.text, row.encoding) == (1, "kept", "x", "utf-8")
+
+
+def test_bytes_are_looked_up_not_matched(spark):
+    import math
+    import random
+
+    from pagemill.functions import charsets as cs
+
+    def plainly(name, raw):
+        inside = lambda ranges, b: any(x <= b <= y for x, y in ranges)
+        pair = lambda two: next((k for k, (f, s, _) in enumerate(cs.SETS[name]) if s and inside(f, two[0]) and inside(s, two[1])), None)
+        logs = [math.log(p / (cs._codes(f) * max(cs._codes(s), 1))) for f, s, p in cs.SETS[name]] + [math.log(cs.NEVER)]
+        at, total = 0, 0.0
+        while at < len(raw):
+            k = pair(raw[at : at + 2]) if at + 1 < len(raw) else None
+            if k is not None:
+                at, total = at + 2, total + logs[k]
+                continue
+            if raw[at] >= 0x80:
+                total += logs[next((k for k, (f, s, _) in enumerate(cs.SETS[name]) if not s and inside(f, raw[at])), -1)]
+            at += 1
+        if name == cs.LATIN1:
+            follows = [x >= 0x80 for x in raw[:-1]]
+            total += sum(math.log(cs.FOLLOWS if k and follows[k - 1] else 1 - cs.FOLLOWS) for k, b in enumerate(raw) if b >= 0x80)
+        return total
+
+    rng = random.Random(5)
+    raws = [bytes(rng.choices([*range(0x3F, 0x100), 0x0A], k=rng.randint(1, 60))) for _ in range(200)] + [b"\xb0", b"\xa1\xa1" * 50_000, b"\xa1", b"", b"plain"]
+    rows = [(k, bytearray(r)) for k, r in enumerate(raws)] + [(len(raws), None)]
+    found = spark.createDataFrame(rows, "k int, content binary").repartition(2).select("k", detect_charset(F.col("content")).alias("c"))
+    assert "regexp" not in found._jdf.queryExecution().executedPlan().toString().lower()
+    for k, c in found.collect():
+        raw = raws[k] if k < len(raws) else None
+        if raw is None:
+            assert c is None
+        elif b"" == raw or raw == b"plain":
+            assert (c.charset, c.confidence) == ("UTF-8", 1.0)
+        else:
+            scores = {name: plainly(name, raw) for name in cs.SETS}
+            best = max(scores.values())
+            try:
+                raw.decode()
+                assert c.charset == "UTF-8"
+            except UnicodeDecodeError:
+                assert scores[c.charset] > best - 1e-6
+                assert abs(1 / c.confidence - sum(math.exp(max(s - best, -700)) for s in scores.values())) < 1e-6
