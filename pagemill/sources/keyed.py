@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 VERSION, GONE = "_version", "_gone"
 SHARE, FOLDERS = 0.25, 64  # of the base's bytes, and number, that changes may reach
 DONE = "_SUCCESS"
+PACKED = "zstd"  # how the table is compressed, which lies on disk as base and changes
 LOOKED_UP = 1000  # keys that a lookup sends to the scan
 SALTS = 64
 
@@ -74,8 +75,16 @@ class KeyedTable:
             only = removed.join(rows.select(self.key), F.col("_removed").eqNullSafe(F.col(self.key)), "left_anti")
             marks = only.select(F.col("_removed").cast(rows.schema[self.key].dataType).alias(self.key), F.lit(True).alias(GONE))
             marked = marked.unionByName(marks, allowMissingColumns=True)
+        self._append(marked, number, name)
+
+    def put(self, changes: DataFrame, gone: str, *, name: str | None = None) -> None:
+        """Write changes that have each key in one row, in one pass: keys marked in the column ``gone`` are removed."""
+        if name is None or not self.has(name):
+            self._append(changes.withColumnRenamed(gone, GONE), self._claim(), name)
+
+    def _append(self, marked: DataFrame, number: int, name: str | None) -> None:
         folder = f"changes/{number:012d}.{name or uuid.uuid4().hex[:12]}"
-        marked.withColumn(VERSION, F.lit(number)).write.mode("overwrite").parquet(f"{self.path}/{folder}")
+        marked.withColumn(VERSION, F.lit(number)).write.mode("overwrite").parquet(f"{self.path}/{folder}", compression=PACKED)
 
     def has(self, name: str) -> bool:
         """Whether there is a write of this name, unless it has been dropped."""
@@ -99,8 +108,11 @@ class KeyedTable:
         if not changes:
             return self._open([base]) if base else self.spark.createDataFrame([], f"{self.key} string")
         rows = self._open([folder for _, folder in changes])
-        latest = rows.groupBy(F.col(self.key).alias("_key")).agg(F.max(VERSION).alias("_latest"))
-        current = rows.join(latest, self._same() & (F.col(VERSION) == F.col("_latest")), "left_semi")
+        if len(changes) == 1:  # it has all rows of its keys from one write
+            latest, current = rows.select(F.col(self.key).alias("_key")), rows
+        else:
+            latest = rows.groupBy(F.col(self.key).alias("_key")).agg(F.max(VERSION).alias("_latest"))
+            current = rows.join(latest, self._same() & (F.col(VERSION) == F.col("_latest")), "left_semi")
         current = current.where(~F.col(GONE)).drop(VERSION, GONE)
         if base is None:
             return current
@@ -124,7 +136,7 @@ class KeyedTable:
         partitions = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         # By ranges of the key, so that a lookup passes over most files; a salt splits a key of very many rows.
         salt = F.pmod(F.monotonically_increasing_id(), F.lit(SALTS))
-        whole.repartitionByRange(partitions, self.key, salt).sortWithinPartitions(self.key).write.parquet(f"{self.path}/{target}")
+        whole.repartitionByRange(partitions, self.key, salt).sortWithinPartitions(self.key).write.parquet(f"{self.path}/{target}", compression=PACKED)
         return True
 
     def drop_old(self) -> None:

@@ -84,3 +84,21 @@ def test_many_folders_are_compacted_and_columns_may_be_added(spark, table):
     table.write(rows(spark, ("9", 9, "x")).withColumn("more", F.lit(1)))
     assert table.compact(folders=5)
     assert sorted((r.k, r.more) for r in table.read().collect()) == [("0", None), ("1", None), ("2", None), ("3", None), ("9", 1)]
+
+
+def test_changes_are_put_in_one_pass(spark, table):
+    changes = lambda *values: spark.createDataFrame(list(values), "k string, n int, t string, away boolean")
+    table.put(changes(("a", 0, "x", False), ("b", 0, "y", False), (None, 0, "z", False), ("never", None, None, True)), "away", name="one")
+    plan = table.read()._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Aggregate" not in plan  # one write has all rows of its keys
+    assert seen(table) == [("", 0, "z"), ("a", 0, "x"), ("b", 0, "y")]
+    table.compact()
+    for _ in range(2):
+        table.put(changes(("a", None, None, True), ("c", 1, "w", False), (None, 1, "again", False)), "away", name="two")
+    expected = [("", 1, "again"), ("b", 0, "y"), ("c", 1, "w")]
+    assert seen(table) == expected and len(table._state()[1]) == 1
+    table.write(rows(spark, ("b", 2, "new")))
+    expected[1] = ("b", 2, "new")
+    assert seen(table) == expected
+    table.compact(share=0)
+    assert seen(table) == expected
