@@ -252,3 +252,30 @@ def test_pages_are_not_all_in_one_task(spark, tmp_path, monkeypatch):
     adapters.page_files(spark, str(tmp_path))
     assert sorted(r.html for r in seen[0].collect()) == ["<p>a</p>", "cut off<p>b</p>", "cut off<p>c</p>"]
     assert "Window" not in seen[0]._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_folders_are_listed_and_read_by_tasks(spark, tmp_path, monkeypatch):
+    from pyspark.sql import DataFrameReader
+
+    root = tmp_path / "in put%20é"
+    names = ["a.txt", "k=1/part.txt", "k=2/b/c.txt", "_k=3/d.txt", "_hidden/e.txt", ".f.txt", "_g.txt", "h.txt._COPYING_", "_metadata", "_metadata_of/i.txt", "empty.txt", "ü ~+&.txt", "no/o"]
+    for name in names:
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_bytes(b"" if name == "empty.txt" else name.encode() * 1000)
+    (root / "none").mkdir()
+    (root / "link.txt").symlink_to(root / "a.txt")
+    (root / "packed.gz").write_bytes(b"\x1f\x8bnot unpacked")
+    plain = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(str(root))
+    expected = sorted((r.path, r.modificationTime, r.length, bytes(r.content)) for r in plain.collect())
+    assert len(expected) == 9
+    monkeypatch.setattr(DataFrameReader, "format", lambda *a: pytest.fail("the driver lists every file"))
+    for path in (str(root), f"file://{root}/"):
+        found = fs.list_files(spark, path) if path[0] == "/" else fs.list_files(spark, f"{tmp_path}/./{root.name}/")
+        assert sorted((r.path, r.modificationTime, r.length, bytes(r.content)) for r in found.collect()) == expected
+    assert {f.name: f.dataType for f in fs.list_files(spark, str(root)).schema if f.name != "filename"} == {f.name: f.dataType for f in plain.schema}
+
+
+def test_patterns_and_single_files_are_listed(spark, folder):
+    assert {r.filename for r in fs.list_files(spark, f"{folder}/in/*.txt").select("filename").collect()} == {"a.txt"}
+    [row] = fs.list_files(spark, f"{folder}/in/sub/b.md").collect()
+    assert row.filename == "b.md" and row.content.startswith(b"# ")
